@@ -1,15 +1,370 @@
-"""All queries of the prose engine by name, and the SQL that checks them."""
+"""All queries of the prose engine by name, each over its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from proseplane import cli
+from proseplane.functions import rulebook as book
+from proseplane.functions import text as T
+from proseplane.operators import cleanup, features, gates, lm, mining, polish, prompts, rules
+from proseplane.plans import oracle
+from proseplane.sources import probe
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def scaled(c: Column | str) -> Column:
+    """A double as a whole number of millionths, which both engines give alike; the offset keeps halves off the edge."""
+    return F.floor((F.col(c) if isinstance(c, str) else c) * 1e6 + 0.4987).cast("long")
+
+
+def _long(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("long")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _model(spark: SparkSession, sf_dir: str) -> lm.LanguageModel:
+    return lm.LanguageModel.train(_documents(spark, sf_dir).where("lang = 'en'").select("text"))
+
+
+def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.features(probe.load(spark, sf_dir), _model(spark, sf_dir))
+
+
+def _text_featured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.text_features(probe.load(spark, sf_dir))
+
+
+def _by_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return _documents(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id")
+
+
+# ---- segmentation -------------------------------------------------------------------------------------------
+
+
+def strip_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = T.without_code(F.col("text"))
+    return probe.load(spark, sf_dir).select("doc_id", _long(F.length(body)).alias("n"), F.md5(body).alias("body_md5"))
+
+
+def normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = T.normalised(F.replace("text", F.lit("\n"), F.lit("\\n")))
+    return probe.load(spark, sf_dir).select("doc_id", _long(F.length(n)).alias("n"), F.md5(n).alias("text_md5"))
+
+
+def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = T.tokens(F.col("text"))
+    return probe.load(spark, sf_dir).select("doc_id", _long(F.size(t)).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+
+
+def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = T.sentences(F.col("text"))
+    words = F.transform(s, lambda x: T.token_count(x).cast("double"))
+    return probe.load(spark, sf_dir).select("doc_id", _long(F.size(s)).alias("n_sentences"), scaled(T.variation(words)).alias("cv"), F.md5(F.array_join(s, "|")).alias("sentences_md5"))
+
+
+def paragraph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = T.paragraphs(F.col("text"))
+    return probe.load(spark, sf_dir).select("doc_id", _long(F.size(p)).alias("n_paragraphs"), scaled(T.variation(F.transform(p, lambda x: F.length(x).cast("double")))).alias("cv"))
+
+
+# ---- rules --------------------------------------------------------------------------------------------------
+
+
+def _list_rule(rule: book.ListRule, phrases: bool) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = probe.load(spark, sf_dir).withColumn("low", T.lower_folded(T.without_code(F.col("text"))))
+        docs = docs.withColumn("hits", rules.list_hits(rule, F.col("low"), phrases))
+        return docs.select("doc_id", _long("hits").alias("hits"), scaled(rules.ladder(F.col("hits"), rule.weight, rule.soft, rule.hard)).alias("score"))
+
+    return run
+
+
+def _named_rule(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = rules.long_form(rules.scored(probe.load(spark, sf_dir)).select("doc_id", "violations")).where(F.col("rule") == name)
+        return found.select("doc_id", _long("count").alias("hits"), scaled("score").alias("score"))
+
+    return run
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.scored(probe.load(spark, sf_dir))
+
+
+def rule_hits_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.long_form(_scored(spark, sf_dir).select("doc_id", "violations")).select("doc_id", "category", "rule", _long("count").alias("hits"), scaled("score").alias("score"))
+
+
+def sample_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = next(r for r in book.WORDS if r.name == "corporate_filler")
+    return probe.load(spark, sf_dir).select("doc_id", rules.first_hit(rule, T.without_code(F.col("text")), False).alias("sample"))
+
+
+def rule_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("doc_id", scaled("total").alias("total"), "level", _long("n_violations").alias("n_violations"), _long("text_length").alias("text_length"))
+
+
+def rule_score_with_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.scored(probe.load(spark, sf_dir), has_notes=F.lit(True))
+    return found.select("doc_id", scaled("total").alias("total"), "level", _long("n_violations").alias("n_violations"))
+
+
+def level_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n"))
+
+
+def violations_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.long_form(_scored(spark, sf_dir).select("doc_id", "violations")).groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"))
+
+
+def top_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = _scored(spark, sf_dir).select("doc_id", F.slice(rules.by_severity(F.col("violations")), 1, 5).alias("v"))
+    return top.select("doc_id", F.posexplode("v").alias("p", "v")).select("doc_id", (_long("p") + 1).alias("place"), F.col("v.rule").alias("rule"), scaled(F.col("v.score")).alias("score"))
+
+
+def rollup_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _scored(spark, sf_dir).withColumn("s", scaled("total")).rollup("lang", "source").agg(F.count("*").alias("n"), F.sum("s").alias("total"))
+    return got.select("lang", "source", "n", _long("total").alias("total"))
+
+
+# ---- language model and features ----------------------------------------------------------------------------
+
+
+def _english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).where("lang = 'en'").select("text")
+
+
+def lm_unigrams_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.top_unigrams(_english(spark, sf_dir), k=500)
+
+
+def lm_bigrams_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.top_bigrams(_english(spark, sf_dir), k=500)
+
+
+def lm_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lm.mass_kept(lm.bigram_counts(_english(spark, sf_dir)), 500, ["w1", "w2"])
+    return got.select(_long("kept").alias("kept"), _long("total").alias("total"), scaled("share").alias("share"))
+
+
+def _feature(*names: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        needs_model = {"perplexity", "avg_log_prob", "burstiness"} & set(names)
+        rows = _featured(spark, sf_dir) if needs_model else _text_featured(spark, sf_dir)
+        return rows.select("doc_id", *[scaled(n).alias(n) for n in names])
+
+    return run
+
+
+def lr_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = features.ngram_score(_featured(spark, sf_dir))
+    return got.select("doc_id", scaled("ngram_probability").alias("p"), "ngram_level", "too_short")
+
+
+def combined_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = _scored(spark, sf_dir).select("doc_id", "total")
+    both = rule.join(features.ngram_score(_featured(spark, sf_dir)).select("doc_id", "ngram_probability"), "doc_id")
+    c = features.combined(F.col("total"), F.col("ngram_probability"), F.lit(True))
+    return both.select("doc_id", scaled(c).alias("combined"), rules.band_key(c).alias("level"), (c >= 50).alias("block"))
+
+
+# ---- mining and calibration ---------------------------------------------------------------------------------
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _by_quality(spark, sf_dir)
+    return rows.where("quality = 0"), rows.where("quality = 1")
+
+
+def mine_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mining.word_ratios(*_classes(spark, sf_dir), least=5)
+    return got.select("token", "target_count", "other_count", scaled("ratio").alias("ratio"))
+
+
+def _mine_phrases(n: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        got = mining.phrase_ratios(*_classes(spark, sf_dir), n, least=3)
+        return got.select("phrase", "target_df", "other_df", scaled("ratio").alias("ratio"))
+
+    return run
+
+
+def rhythm_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mining.rhythm_metrics(_by_quality(spark, sf_dir)).select("quality", scaled("sentence_cv").alias("v"))
+    return mining.percentiles(rows, "quality", "v")
+
+
+def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return mining.balanced_sample(labels, "quality", "doc_id", 40)
+
+
+def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = mining.standardised(_text_featured(spark, sf_dir).select("doc_id", "comma_density", "word_mattr"), ["comma_density", "word_mattr"])
+    return rows.select("doc_id", scaled("comma_density").alias("comma_density"), scaled("word_mattr").alias("word_mattr"))
+
+
+def rank_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mining.rank_auc(_by_quality(spark, sf_dir).select(F.length("text").alias("s"), "quality"), "s", "quality")
+    return got.select("n_pos", "n_neg", scaled("auc").alias("auc"))
+
+
+def lr_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.features(_by_quality(spark, sf_dir), _model(spark, sf_dir))
+    rows = rows.join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"), "doc_id").cache()
+    calibration, intercept = mining.train_logistic(rows, [c[0] for c in book.CALIBRATION], "quality")
+    rows = rows.withColumn("p", features.probability(calibration, intercept, rounded=False))
+    return mining.rank_auc(rows, "p", "quality")
+
+
+# ---- clean-up, readability, prompts, reviews ----------------------------------------------------------------
+
+
+def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probe.load(spark, sf_dir, cleanup=True).withColumn("after", cleanup.cleaned(F.col("text")))
+
+
+def cleanup_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cleaned(spark, sf_dir).select("doc_id", _long(F.length("after")).alias("n"), F.md5("after").alias("after_md5"))
+
+
+def cleanup_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _cleaned(spark, sf_dir)
+    return docs.agg(_long(F.sum(F.length("text") - F.length("after"))).alias("chars_removed"), F.sum((F.col("text") != F.col("after")).cast("long")).alias("changed"), F.count("*").alias("documents"))
+
+
+def cleanup_score_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _cleaned(spark, sf_dir).select("doc_id", "text", "after")
+    before = rules.scored(docs).select("doc_id", "after", F.col("total").alias("before_total"))
+    return rules.scored(before, "after").select("doc_id", (F.col("before_total") - F.col("total")).alias("dropped"))
+
+
+def cleanup_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = probe.load(spark, sf_dir, cleanup=True)
+    return docs.select("doc_id", F.length(cleanup.protected(F.col("text"))).alias("n"))
+
+
+def leftover_tells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a key left after the clean-up, and those without, by a semi and an anti join."""
+    docs = _cleaned(spark, sf_dir)
+    left = cleanup.leftovers(docs, "after")
+    rest = docs.select("doc_id").join(left, "doc_id", "left_anti").withColumn("old", F.lit("none"))
+    return left.join(docs.select("doc_id"), "doc_id", "left_semi").unionByName(rest)
+
+
+def fkgl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probe.load(spark, sf_dir).select("doc_id", scaled(features.fleschkincaid("text")).alias("grade"))
+
+
+def _grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.readability_rows(_cleaned(spark, sf_dir), "text", "after")
+
+
+def readability_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = gates.readability_gate(_grades(spark, sf_dir))
+    return got.select("name", scaled("metric").alias("metric"), "status")
+
+
+def gate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grades = _grades(spark, sf_dir).cache()
+    none = grades.where("false").select(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    external = gates.external_gate(grades.select((F.col("before_grade") / 100).alias("a"), (F.col("after_grade") / 100).alias("b")), "a", "b")
+    return gates.summary(gates.readability_gate(grades), external, gates.meaning_gate(none, "a")).select("name", scaled("metric").alias("metric"), "status")
+
+
+def _prompt(strength: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _scored(spark, sf_dir)
+        return docs.select("doc_id", prompts.rewrite_prompt(F.col("text"), F.col("violations"), strength=strength).alias("prompt"))
+
+    return run
+
+
+ANSWERS = (
+    '{"publishable": true}', '```json\n{"publishable": false, "best_theses": ["x"]}\n```', 'Here is the output:\n\n{"publishable": true}\n\nDone.', "This is just commentary.",
+    "[1, 2, 3]", '{"unterminated: "yes', "", "x" * 5000,
+)
+
+
+def _answers(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(ANSWERS)), "id long, answer string").withColumn("p", prompts.parsed_answer(F.col("answer")))
+
+
+def judge_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark).select("id", F.col("p.result.publishable").alias("publishable"), F.col("p.parse_error").alias("parse_error"), _long(F.length("p.raw")).alias("raw_length"))
+
+
+def judge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark).select("id", F.substring(prompts.report(F.col("p")), 1, 60).alias("report"))
+
+
+def detect_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cli.detect(spark, probe.load(spark, sf_dir))
+
+
+def polish_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def shorter(prompt: str) -> str:
+        return prompt.split("## Article\n", 1)[1].rsplit("\n\nReturn", 1)[0].replace("utilize", "use")
+
+    got = polish.one_pass(probe.load(spark, sf_dir), polish.Provider("local", "rule", shorter))
+    return got.select("doc_id", "status", "before_total", "after_total")
+
+
+def iterative_polish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def writer(prompt: str) -> str:
+        return prompt.split("## Article\n", 1)[1].rsplit("\n\nReturn", 1)[0][:-40] or "."
+
+    def judge(prompt: str) -> str:
+        return '{"ai_score": %d, "tells": [], "verdict": "mixed"}' % (len(prompt) % 80)
+
+    return polish.iterate(probe.load(spark, sf_dir), polish.Provider("w", "1", writer), polish.Provider("j", "1", judge)).select("doc_id", "round", "ai_score", "stopped")
+
+
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of the documents as a stream of files, written once and read again."""
+    import uuid
+
+    from proseplane.plans.scratch import ensure_checkpoint_dir
+    from proseplane.streaming import scoring
+
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    docs = probe.load(spark, sf_dir)
+    docs.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{folder}/in")
+    query = scoring.score_to(stream.select("doc_id", "text"), f"{folder}/out", f"{folder}/state")
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("doc_id", scaled("total").alias("total"), "level")
+
+
+def queries() -> dict[str, Query]:
+    found: dict[str, Query] = {f.__name__: f for f in (strip_code, normalize, tokenize_counts, sentence_stats, paragraph_stats)}
+    for phrases, group in ((False, book.WORDS), (True, book.PHRASES)):
+        found |= {f"rule_{r.name}": _list_rule(r, phrases) for r in group}
+    found |= {f.__name__: f for f in (rule_hits_long, sample_first_match, rule_score, rule_score_with_notes, level_histogram, violations_by_category, top_violations, rollup_scores)}
+    gated = ["heading_density", "list_density", "sentence_length_cv", "short_sentence_ratio", "paragraph_uniformity", "para_opening_enumeration"]
+    found |= {n: _named_rule(n) for n in gated + [r.name for r in (*book.PRETENCE, *book.SIGNALS)]}
+    found |= {f.__name__: f for f in (lm_unigrams_topk, lm_bigrams_topk, lm_mass, lr_probability, combined_score)}
+    found |= {
+        "perplexity": _feature("perplexity", "avg_log_prob"), "burstiness": _feature("burstiness"), "entropy_uniformity": _feature("entropy_cv", "mean_entropy"),
+        "transition_density": _feature("transition_density"), "sentence_features": _feature("sentence_cv", "short_frac", "equal_mid_frac"), "mattr": _feature("word_mattr"),
+        "punctuation_density": _feature("comma_density", "punct_density"), "ngram_features": _feature(*[c[0] for c in book.CALIBRATION]),
+    }
+    found |= {"mine_bigrams": _mine_phrases(2), "mine_trigrams": _mine_phrases(3)}
+    found |= {f.__name__: f for f in (mine_words, rhythm_percentiles, balanced_sample, standardize, rank_auc, lr_train)}
+    found |= {"cleanup": cleanup_texts} | {f.__name__: f for f in (cleanup_delta, cleanup_score_delta, cleanup_protected, leftover_tells, fkgl, readability_gate, gate_summary)}
+    found |= {f"prompt_{s.value}": _prompt(s.value) for s in prompts.Strength}
+    found |= {f.__name__: f for f in (judge_parse, judge_report, detect_json, polish_once, iterative_polish, stream_scores)}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
