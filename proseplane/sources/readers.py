@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BENCH = "struct<id:string,domain:string,scene:string,text:string>"
@@ -19,7 +19,11 @@ def read_answers(spark: SparkSession, path: str, least: int = 50) -> DataFrame:
     Answers are stripped; shorter ones than `least` are left out. Blank and broken lines give nothing.
     """
     rows = spark.read.schema("human_answers array<string>, chatgpt_answers array<string>").json(path)
-    both = F.concat(*[F.transform(F.coalesce(c, F.array()), lambda x, k=k: F.struct(x.alias("text"), F.lit(k).alias("label"))) for k, c in enumerate(("human_answers", "chatgpt_answers"))])
+
+    def labelled(column: str, label: int) -> Column:
+        return F.transform(F.coalesce(column, F.array()), lambda x: F.struct(x.alias("text"), F.lit(label).alias("label")))
+
+    both = F.concat(labelled("human_answers", 0), labelled("chatgpt_answers", 1))
     each = rows.select(F.explode(both).alias("a")).select(F.regexp_replace("a.text", r"(?U)\A\s+|\s+\z", "").alias("text"), "a.label")
     return each.where(F.length("text") >= least)
 
