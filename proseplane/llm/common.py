@@ -48,7 +48,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(texts: pa.Array, limit: int = 4_000_000) -> Iterator[pa.Array]:
+def slices(texts: pa.Array, limit: int = 2_000_000) -> Iterator[pa.Array]:
     """Consecutive slices of about `limit` bytes of text, of one row at least; null becomes empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from proseplane.llm.common import mix64, shared_dir, slices
 
 #: Pairs that a task counts before it sends them on.
-FLUSH = 2_000_000
+FLUSH = 1_500_000
 #: Bytes of text for which one range file is made.
 RANGE_BYTES = 24_000_000
 _START = np.uint64(0x5851F42D4C957F2D)
@@ -138,7 +138,7 @@ def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _rows(found: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = {"kind": pa.int32(), "part": pa.int64(), "blob": pa.binary()}
+    kinds = {"kind": pa.int32(), "part": pa.int64(), "blob": pa.binary(), "words": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for c, n in zip(zip(*found, strict=True), names, strict=True)], names=names)
 
 
@@ -164,11 +164,24 @@ def _counter(bits: int):
 
 
 def _flush(held: list[tuple[np.ndarray, np.ndarray]], bits: int) -> Iterator[pa.RecordBatch]:
+    """One row for each range: its pairs by first word, the second words as numbers in a dictionary beside."""
     a, b = (np.concatenate(x) for x in zip(*held, strict=True))
     held.clear()
-    key, first, n = np.unique(pair_hash(a, b), return_index=True, return_counts=True)
-    for part, blob in _dealt(key, bits, a[first], b[first], n.astype(np.uint32)):
-        yield _rows([(part, blob)], ["part", "blob"])
+    key = pair_hash(a, b)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    n = np.diff(np.append(first, len(key))).astype(np.uint32)
+    key, a, b = key[first], a[order[first]], b[order[first]]
+    del order, first
+    part = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+    edges = np.searchsorted(part, np.arange((1 << bits) + 1))
+    for p in range(1 << bits):
+        at = slice(edges[p], edges[p + 1])
+        if at.stop > at.start:
+            words, code = np.unique(b[at], return_inverse=True)
+            by_first = np.argsort(a[at], kind="stable")
+            yield _rows([(p, _pack(a[at][by_first], _narrow(code[by_first]), _narrow(n[at][by_first])), _pack(words))], ["part", "blob", "words"])
 
 
 def _pairs_of_range(folder: str, bits: int):
@@ -176,33 +189,41 @@ def _pairs_of_range(folder: str, bits: int):
 
     def added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = key[0].as_py()
-        now: list[np.ndarray] | None = None
+        now = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)]
         waiting: list[list[np.ndarray]] = []
+        size = 0
 
         def merge() -> list[np.ndarray]:
-            rows = [x for x in ([now] if now else []) + waiting]
-            k, a, b, n = (np.concatenate([r[i] for r in rows]) for i in range(4))
-            k, first, back = np.unique(k, return_index=True, return_inverse=True)
-            return [k, a[first], b[first], np.bincount(back, n, len(k)).astype(np.uint32)]
+            k, a, b, n = (np.concatenate([r[i] for r in (now, *waiting)]) for i in range(4))
+            waiting.clear()
+            order = np.argsort(k)
+            k = k[order]
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            return [k[first], a[order[first]], b[order[first]], np.add.reduceat(n[order], first)]
 
         for batch in batches:
-            for blob in batch.column(batch.schema.get_field_index("blob")):
-                waiting.append(_unpack(blob.as_py()))
-                if sum(len(x[0]) for x in waiting) > max(1_000_000, len(now[0]) if now else 0):
-                    now, waiting = merge(), []
-        if waiting:
-            now, waiting = merge(), []
-        k, a, b, n = now
+            blobs, dictionaries = (batch.column(batch.schema.get_field_index(c)) for c in ("blob", "words"))
+            for blob, words in zip(blobs, dictionaries, strict=True):
+                a, code, n = _unpack(blob.as_py())
+                b = _unpack(words.as_py())[0][code]
+                waiting.append([pair_hash(a, b), a, b, n.astype(np.uint32)])
+                size += len(a)
+                if size > max(500_000, len(now[0]) // 2):
+                    now, size = merge(), 0
+        k, a, b, n = merge() if waiting else now
+        now.clear()
         _write(folder, f"pairs-{part}", k, n)
+        del k
         followed = _summed(a, n.astype(np.int64), *((n == i).astype(np.int64) for i in (1, 2)), (n > 2).astype(np.int64))
         follows = _summed(b, np.ones(len(b), np.int64), n.astype(np.int64))
-        del k, a, b
+        del a, b
         word = np.concatenate([followed[0], follows[0]])
         zeros = lambda x: np.zeros(len(x[0]), np.int64)
         columns = [np.concatenate([c, zeros(follows)]) for c in followed[1:]] + [np.concatenate([zeros(followed), c]) for c in follows[1:]]
         word, *columns = _summed(word, *columns)
-        found = [(0, p, blob) for p, blob in _dealt(word, bits, *(_narrow(c) for c in columns))]
-        yield _rows([*found, (1, 0, _pack(np.arange(1, 5, dtype=np.uint64), np.array([int((n == i).sum()) for i in range(1, 5)]))), (2, 0, _pack(np.zeros(1, np.uint64), np.array([len(n)])))], ["kind", "part", "blob"])
+        for p, blob in _dealt(word, bits, *(_narrow(c) for c in columns)):
+            yield _rows([(0, p, blob)], ["kind", "part", "blob"])
+        yield _rows([(1, 0, _pack(np.arange(1, 5, dtype=np.uint64), np.array([int((n == i).sum()) for i in range(1, 5)]))), (2, 0, _pack(np.zeros(1, np.uint64), np.array([len(n)])))], ["kind", "part", "blob"])
 
     return added
 
@@ -254,7 +275,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     folder = f"{shared_dir(spark).rstrip('/')}/ngram-lm-{uuid.uuid4().hex}"
     size = docs.select(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1.0, size / RANGE_BYTES)))))
-    counted = docs.select(F.col(text).alias("t")).mapInArrow(_counter(bits), "part long, blob binary")
+    counted = docs.select(F.col(text).alias("t")).mapInArrow(_counter(bits), "part long, blob binary, words binary")
     n = 1 << bits
     gathered = counted.repartition(n, "part").groupBy("part").applyInArrow(_pairs_of_range(folder, bits), "kind int, part long, blob binary")
     kept = _kept(gathered, folder)
