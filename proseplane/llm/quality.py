@@ -43,36 +43,41 @@ class Model:
     bias: float
 
 
-def _count(t: Column, pattern: str) -> Column:
-    return F.regexp_count(t, F.lit(pattern)).cast("double")
-
-
 #: Names of the statistics, all shares of a text's words or characters but the first two.
 STATISTICS = ("log_words", "word_length", "upper", "digits", "symbols", "bangs", "bars", "marked_ends", "repeats", "capital_words", "stops", "short_words", "distinct")
 
-
-def statistics(text: str) -> list[Column]:
-    """One double for each name in STATISTICS; 0 for null and empty texts, never null or not a number."""
+#: What is counted in a text, each by one pass of an expression that does not go back.
+_COUNTS = {
+    "upper": r"\p{Lu}",
+    "digits": r"\d",
+    "symbols": r"[$%&*#@^~<>{}=_+\\/\[\]-]",
+    "bangs": r"!",
+    "bars": r"\|",
+    "marked_ends": r"[^\p{L}\p{N}\s.,;:?'\")][^\p{L}\p{N}\s](?!\S)",
+    "repeats": r"(?<!\S)(\S++)(?=\s++\1(?!\S))",
+    "capital_words": r"\p{Lu}\p{Lu}++",
+    "stops": r"[.?!…](?!\S)",
+    "short_words": r"(?<!\S)\S{1,3}+(?!\S)",
+}
+
+
+def statistics(text: str) -> Column:
+    """An array of doubles, one for each name in STATISTICS; 0 for null and empty texts, never null.
+
+    The counts are bound by a lambda, so that they are made once wherever the optimiser moves the expression.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    n = F.greatest(F.length(t), F.lit(1)).cast("double")
-    words = F.greatest(words_of(t), F.lit(1)).cast("double")
-    bare = F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("double")
-    split = F.split(F.lower(t), r"[\x20\x09-\x0D]+")
-    return [
-        F.log1p(words_of(t).cast("double")),
-        bare / words,
-        _count(t, r"\p{Lu}") / n,
-        _count(t, r"\d") / n,
-        _count(t, r"[$%&*#@^~<>{}=_+\\/\[\]-]") / n,
-        _count(t, r"!") / n,
-        _count(t, r"\|") / words,
-        _count(t, r"[^\p{L}\p{N}\s.,;:?'\")][^\p{L}\p{N}\s](?=\s|$)") / words,
-        _count(t, r"(?<![^\s])(\S{1,40})(?=\s+\1(?:\s|$))") / words,
-        _count(t, r"\p{Lu}{2,}") / words,
-        _count(t, r"[.?!…](?=\s|$)") / words,
-        _count(t, r"(?<![^\s])\S{1,3}(?=\s|$)") / words,
-        F.size(F.array_distinct(split)).cast("double") / words,
-    ]
+    counts = [F.regexp_count(t, F.lit(p)).cast("double").alias(k) for k, p in _COUNTS.items()]
+    bare = F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]++", "")).cast("double").alias("bare")
+    pieces = F.size(F.array_distinct(F.split(t, " "))).cast("double").alias("distinct")
+
+    def shares(c: Column) -> Column:
+        n, words = F.greatest(c["n"], F.lit(1.0)), F.greatest(c["words"], F.lit(1.0))
+        of = {"upper": n, "digits": n, "symbols": n, "bangs": n}
+        return F.array(F.log1p(c["words"]), c["bare"] / words, *[c[k] / of.get(k, words) for k in _COUNTS], c["distinct"] / words)
+
+    once = F.struct(F.length(t).cast("double").alias("n"), words_of(t).cast("double").alias("words"), bare, pieces, *counts)
+    return F.element_at(F.transform(F.array(once), shares), 1)
 
 
 def _grow(x: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray, rows: np.ndarray, path: tuple, config: Config, rules: list, out: np.ndarray) -> None:
@@ -164,14 +169,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     u = (F.xxhash64("_k", F.lit(29)) / F.lit(2.0**64)) + F.lit(0.5)
     chosen = labels.where(u < min(1.0, config.sample_rows / max(n, 1))).limit(2 * config.sample_rows)  # so many at most
     rows = docs.select(F.col(doc_id).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_k").limit(4 * config.sample_rows)
-    data = np.array(sorted(tuple(r) for r in rows.select("_y", *statistics("_t")).collect()), np.float64).reshape(-1, len(STATISTICS) + 1)
+    data = np.array(sorted((r[0], *r[1]) for r in rows.select("_y", statistics("_t")).collect()), np.float64).reshape(-1, len(STATISTICS) + 1)
     return learn(data[:, 1:], data[:, 0], config)
 
 
 def compiled(model: Model, text: str) -> Column:
     """The model's probability of label 1 as one column expression over a text column."""
-    stats = F.array(*statistics(text))
-
     def total(s: Column) -> Column:
         z = F.lit(model.bias)
         for rule in model.rules:
@@ -183,7 +186,7 @@ def compiled(model: Model, text: str) -> Column:
             z = z + F.when(holds, F.lit(rule.weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-z))
 
-    return F.element_at(F.transform(F.array(stats), total), 1)  # the statistics are computed once
+    return F.element_at(F.transform(F.array(statistics(text)), total), 1)  # the statistics are computed once
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
