@@ -16,20 +16,16 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = turns.unionByName(spark.sql("select -7L as conv_id, stack(2, 0L, 'user', 1L, 'assistant') as (turn, role)").withColumn("text", F.lit(probe)))
     windows = chat.format_windows(turns)
-    read = windows.withColumn("t", chat.parsed(F.col("formatted")))
-    own = F.slice("t", F.col("n_repeated") + 1, F.size("t"))
-    read = read.select(
-        "conv_id", "start", F.size(own).cast("long").alias("n"), F.length("formatted").cast("long").alias("chars"),
-        F.array_join(F.transform(own, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "").alias("said"),
-        chat.under_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"),
-    )
-    parts = F.sort_array(F.collect_list(F.struct("start", "said", "loss")))
-    whole = read.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), parts.alias("p"))
-    joined = lambda name: F.array_join(F.transform("p", lambda x: x[name]), "")
-    return whole.select(
-        "conv_id", "n_turns", F.sha2(joined("said"), 256).alias("turns_sha256"), F.length(joined("loss")).cast("long").alias("loss_chars"),
-        F.sha2(joined("loss"), 256).alias("loss_sha256"), "formatted_chars",
-    )
+    # what the digests need of a conversation has to meet in one row: its windows as they are, read there
+    parts = F.sort_array(F.collect_list(F.struct("first_turn", "start", "n_repeated", "formatted", "loss_spans")))
+    whole = windows.groupBy("conv_id").agg(parts.alias("p"))
+    own = lambda x: F.slice(chat.parsed(x["formatted"]), x["n_repeated"] + 1, F.greatest(F.size(chat.parsed(x["formatted"])) - x["n_repeated"], F.lit(0)))
+    said = F.flatten(F.transform("p", own))
+    loss = F.array_join(F.transform("p", lambda x: chat.under_loss(x["formatted"], x["loss_spans"])), "")
+    chars = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.length(x["formatted"]))
+    read = whole.select("conv_id", said.alias("said"), loss.alias("loss"), chars.alias("formatted_chars"))
+    lines = F.array_join(F.transform("said", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("said").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
 def _labels(spark: SparkSession, sf_dir: str, n: int, held: int) -> DataFrame:
