@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,13 +81,34 @@ def _violation(category: str, rule: str, weight: int, count: Column, sample: Col
     return F.when(fires, row.cast(VIOLATION))
 
 
+def _any_of(patterns: list[str]) -> str:
+    """One expression for all patterns, branching by first letter, so that a place is tried by few of them."""
+    by: dict[str, list[str]] = {}
+    for p in dict.fromkeys(patterns):
+        by.setdefault(p[0], []).append(p[1:])
+    return "(?:" + "|".join(re.escape(c) + "(?:" + "|".join(rest) + ")" for c, rest in sorted(by.items())) + ")"
+
+
+#: Any hit of a word rule lies in a piece between blanks that this matches.
+_WORD_GATE = _any_of([re.escape(w) for r in book.WORDS for w in r.patterns])
+#: Any text with a hit of a phrase rule matches this.
+_PHRASE_GATE = T.FLAGS + _any_of([f"{T.BLANK}+".join(map(re.escape, p.split(" "))) for r in book.PHRASES for p in r.patterns])
+#: Any text with a hit of a pretence rule matches this: what its patterns begin with, in lower case.
+_PRETENCE_GATE = r"(?Ud)\b(?:" + "|".join(sorted({re.split(r"[(\\]", p.removeprefix(r"\b"))[0].rstrip() for r in book.PRETENCE for p in r.patterns})) + ")"
+
+
 def _listed(docs: DataFrame, strict: bool) -> tuple[DataFrame, list[Column]]:
+    """Word rules read only the pieces that hold a listed word; phrase rules only texts that hold a phrase."""
+    pieces = F.array_join(F.filter(F.split("p_lower", " ", -1), lambda w: F.rlike(w, F.lit(_WORD_GATE))), " ")
+    docs = docs.withColumns({"p_pieces": pieces, "p_phrases": F.rlike("p_lower", F.lit(_PHRASE_GATE))})
     counts, out = {}, []
     for category, rules in (("blacklist_words", book.WORDS), ("blacklist_phrases", book.PHRASES)):
         for r in rules:
             n = f"n_{r.name}"
-            counts[n] = list_hits(r, F.col("p_lower"), category == "blacklist_phrases", strict)
-            sample = first_hit(r, F.col("p_body"), category == "blacklist_phrases", strict)
+            phrases = category == "blacklist_phrases"
+            hits = list_hits(r, F.col("p_lower" if phrases else "p_pieces"), phrases, strict)
+            counts[n] = F.when(F.col("p_phrases"), hits).otherwise(F.lit(0)) if phrases else hits
+            sample = first_hit(r, F.col("p_body"), phrases, strict)
             out.append(_violation(category, r.name, r.weight, F.col(n), sample, r.hard, ladder(F.col(n), r.weight, r.soft, r.hard), F.col(n) > 0))
     return docs.withColumns(counts), out
 
@@ -120,7 +143,7 @@ def _pretence(docs: DataFrame, has_notes: Column) -> tuple[DataFrame, list[Colum
     counts, out = {}, []
     for r in book.PRETENCE:
         n = f"n_{r.name}"
-        counts[n] = F.when(has_notes, F.lit(0)).otherwise(regex_hits(r, F.col("p_body")))
+        counts[n] = F.when(has_notes | ~F.rlike("p_lower", F.lit(_PRETENCE_GATE)), F.lit(0)).otherwise(regex_hits(r, F.col("p_body")))
         samples = [F.nullif(F.regexp_extract("p_body", "(?iuUd)" + p, 0), F.lit("")) for p in r.patterns]
         out.append(_violation("fake_human", r.name, r.weight, F.col(n), F.coalesce(*samples), r.hard, ladder(F.col(n), r.weight, None, r.hard), F.col(n) > 0))
     return docs.withColumns(counts), out
