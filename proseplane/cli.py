@@ -1,4 +1,6 @@
-"""Command line: detect, clean, mine, train, judge rendering and gates over paths.
+"""Command line: detect, clean, polish, judge, mine, train, gate and the rules page, over paths.
+
+Providers for polish and judge are named `module:function`; the function takes a prompt and returns text.
 
 Exit codes: 0 done, 1 a gate failed, 2 bad input, 3 no provider, 130 interrupted.
 """
@@ -6,12 +8,14 @@ Exit codes: 0 done, 1 a gate failed, 2 bad input, 3 no provider, 130 interrupted
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from proseplane.operators import cleanup, features, gates, lm, mining, rules
+from proseplane.operators import cleanup, features, gates, lm, mining, polish, rules
+from proseplane.plans import rules_doc
 from proseplane.sources import readers
 
 
@@ -19,6 +23,16 @@ def _docs(spark: SparkSession, path: str):
     return spark.read.parquet(path).select("doc_id", "text") if path.rstrip("/").endswith(".parquet") else readers.read_articles(spark, path)
 
 
+def _provider(name: str | None) -> polish.Provider:
+    if not name:
+        return polish.resolve_provider()
+    module, _, function = name.partition(":")
+    try:
+        return polish.Provider(name, "-", getattr(importlib.import_module(module), function))
+    except (ImportError, AttributeError, ValueError) as e:
+        raise polish.ConfigError(f"no provider {name!r}: {e}") from e
+
+
 def detect(spark: SparkSession, docs, model_dir: str | None = None):
     """One JSON payload for each document."""
     scored = rules.scored(docs)
@@ -41,15 +55,34 @@ def detect(spark: SparkSession, docs, model_dir: str | None = None):
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="proseplane")
     sub = parser.add_subparsers(dest="command", required=True)
-    for name in ("detect", "clean", "mine", "train", "gate"):
+    p = sub.add_parser("rules")
+    p.add_argument("output")
+    p.add_argument("--check", action="store_true")
+    for name in ("detect", "clean", "mine", "train", "gate", "polish", "judge"):
         p = sub.add_parser(name)
         p.add_argument("input")
         p.add_argument("output")
+        if name in ("polish", "judge"):
+            p.add_argument("--provider")
+            p.add_argument("--writer")
+            p.add_argument("--scene", default="analysis")
+            p.add_argument("--strength")
+            p.add_argument("--candidates", type=int, default=1)
+            p.add_argument("--force", action="store_true")
+            p.add_argument("--allow-self", action="store_true")
         if name == "detect":
             p.add_argument("--model")
         if name == "mine":
             p.add_argument("--least", type=int, default=200)
     args = parser.parse_args(argv)
+    if args.command == "rules":
+        return rules_doc.write(args.output, args.check)
+    if args.command in ("polish", "judge"):
+        try:
+            provider, writer = _provider(args.provider), _provider(args.writer) if args.writer else None
+        except polish.ProviderError as e:
+            print(e, file=sys.stderr)
+            return 3
     spark = SparkSession.builder.appName(f"proseplane {args.command}").getOrCreate()
     try:
         if args.command == "mine":
@@ -63,6 +96,12 @@ def main(argv: list[str] | None = None) -> int:
         docs = _docs(spark, args.input)
         if args.command == "detect":
             readers.write_texts(detect(spark, docs, args.model), "payload", args.output)
+        elif args.command == "polish":
+            done = polish.one_pass(docs, provider, force=args.force, scene=args.scene, strength=args.strength, candidates=args.candidates)
+            done.select("doc_id", "after", "status", "before_total", "after_total").write.mode("overwrite").parquet(args.output)
+        elif args.command == "judge":
+            reviewed = polish.review(docs, provider, writer, allow_self=args.allow_self)
+            reviewed.select("doc_id", "review_report").write.mode("overwrite").parquet(args.output)
         elif args.command == "clean":
             docs.select("doc_id", cleanup.protected(F.col("text")).alias("text")).write.mode("overwrite").parquet(args.output)
         else:

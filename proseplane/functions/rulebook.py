@@ -296,3 +296,25 @@ BANDS = (
     (25.0, "MEDIUM", "MEDIUM (some AI traces)"),
     (0.0, "LOW", "LOW (looks human-written)"),
 )
+
+
+@dataclass(frozen=True)
+class RuleSet:
+    """All rules of a scoring; without arguments the ones above."""
+
+    version: str = VERSION
+    words: tuple[ListRule, ...] = WORDS
+    phrases: tuple[ListRule, ...] = PHRASES
+    pretence: tuple[RegexRule, ...] = PRETENCE
+    signals: tuple[SignalRule, ...] = SIGNALS
+    heading_density: tuple | None = HEADING_DENSITY
+    list_density: tuple | None = LIST_DENSITY
+    sentence_length_cv: tuple | None = SENTENCE_LENGTH_CV
+    short_sentence_ratio: tuple | None = SHORT_SENTENCE_RATIO
+    paragraph_uniformity: tuple | None = PARAGRAPH_UNIFORMITY
+    para_opening_enumeration: tuple | None = PARA_OPENING_ENUMERATION
+
+
+DEFAULT = RuleSet()
+#: What a rule file that can't be read gives: no rules, so that scoring goes on.
+EMPTY = RuleSet("0.0.0-unloadable", (), (), (), (), None, None, None, None, None, None)

@@ -84,6 +84,14 @@ def balanced_sample(rows: DataFrame, label: str, key: str, most: int, seed: str
     return numbered.crossJoin(F.broadcast(counts)).where(F.col("_r") <= F.least("_least", F.lit(most))).drop("_r", "_least")
 
 
+def stratified_split(rows: DataFrame, label: str, key: str, share: float = 0.8, seed: str = "42") -> DataFrame:
+    """rows with `train`: the first `share` of each label's rows by md5 of key and seed."""
+    order = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    by = Window.partitionBy(label)
+    numbered = rows.withColumns({"_r": F.row_number().over(by.orderBy(order, key)), "_n": F.count("*").over(by)})
+    return numbered.withColumn("train", F.col("_r") <= F.floor(F.col("_n") * F.lit(share))).drop("_r", "_n")
+
+
 def standardised(rows: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
     """rows with each named column less its mean, over its population deviation (0: 1), and these figures."""
     got = rows.agg(*[F.avg(c).alias(f"{c}_m") for c in names], *[F.stddev_pop(c).alias(f"{c}_s") for c in names]).first()

@@ -51,12 +51,16 @@ def signal_hits(rule: book.SignalRule, body: Column) -> Column:
     return F.regexp_count(body, F.lit(("(?iuUd)" if rule.ignore_case else T.FLAGS) + rule.pattern))
 
 
-def prepared(docs: DataFrame, text: str = "text", strip_code: bool = True) -> DataFrame:
+def prepared(docs: DataFrame, text: str = "text", strip_code: bool = True, rules: book.RuleSet = book.DEFAULT) -> DataFrame:
     """docs with the columns that the rules share: body, lowered, length, sentence and paragraph measures.
 
     Null texts are empty. Columns of these names, all beginning with `p_`, are replaced.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
+    _, least_sentences, _ = rules.sentence_length_cv or book.SENTENCE_LENGTH_CV
+    _, short_length, short_sentences, _ = rules.short_sentence_ratio or book.SHORT_SENTENCE_RATIO
+    _, least_paragraphs, _ = rules.paragraph_uniformity or book.PARAGRAPH_UNIFORMITY
+    opener = (rules.para_opening_enumeration or book.PARA_OPENING_ENUMERATION)[2]
     docs = docs.withColumn("p_body", T.without_code(raw) if strip_code else raw).withColumn("p_blank", T.is_blank(raw))
     docs = docs.withColumns({"p_lower": T.lower_folded(F.col("p_body")), "p_length": F.length("p_body"), "p_sentences": T.sentences(F.col("p_body")), "p_paragraphs": T.paragraphs(F.col("p_body"))})
     words = F.filter(F.transform("p_sentences", lambda s: T.token_count(s)), lambda n: n > 0)
@@ -64,15 +68,15 @@ def prepared(docs: DataFrame, text: str = "text", strip_code: bool = True) -> Da
     docs = docs.withColumns({
         "p_words": F.transform(words, lambda n: n.cast("double")),
         "p_lengths": F.transform("p_paragraphs", lambda s: F.length(s).cast("double")),
-        "p_openers": F.size(F.filter("p_paragraphs", lambda s: F.rlike(s, F.lit("(?iuUd)" + book.PARA_OPENING_ENUMERATION[2])))),
+        "p_openers": F.size(F.filter("p_paragraphs", lambda s: F.rlike(s, F.lit("(?iuUd)" + opener)))),
         "p_headings": F.regexp_count("p_body", F.lit(HEADING)),
         "p_lines": F.size(lines),
         "p_items": F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(LIST_ITEM)))),
     })
-    sentence_cv = F.when(F.size("p_words") >= book.SENTENCE_LENGTH_CV[1], T.variation(F.col("p_words")))
+    sentence_cv = F.when(F.size("p_words") >= least_sentences, T.variation(F.col("p_words")))
     short = F.size(F.filter("p_words", lambda n: n < 6)) / F.size("p_words")
-    short = F.when((F.size("p_words") >= book.SHORT_SENTENCE_RATIO[2]) & (F.col("p_length") >= book.SHORT_SENTENCE_RATIO[1]), short)
-    paragraph_cv = F.when(F.size("p_lengths") >= book.PARAGRAPH_UNIFORMITY[1], T.variation(F.col("p_lengths")))
+    short = F.when((F.size("p_words") >= short_sentences) & (F.col("p_length") >= short_length), short)
+    paragraph_cv = F.when(F.size("p_lengths") >= least_paragraphs, T.variation(F.col("p_lengths")))
     return docs.withColumns({"p_sentence_cv": sentence_cv, "p_short": short, "p_paragraph_cv": paragraph_cv})
 
 
@@ -83,75 +87,89 @@ def _violation(category: str, rule: str, weight: int, count: Column, sample: Col
 
 def _any_of(patterns: list[str]) -> str:
     """One expression for all patterns, branching by first letter, so that a place is tried by few of them."""
+    if not patterns:
+        return "(?!)"
     by: dict[str, list[str]] = {}
     for p in dict.fromkeys(patterns):
-        by.setdefault(p[0], []).append(p[1:])
-    return "(?:" + "|".join(re.escape(c) + "(?:" + "|".join(rest) + ")" for c, rest in sorted(by.items())) + ")"
+        first = p[:2] if p[0] == "\\" else p[0]  # an escaped character stays whole
+        by.setdefault(first, []).append(p[len(first) :])
+    return "(?:" + "|".join(c + "(?:" + "|".join(rest) + ")" for c, rest in sorted(by.items())) + ")"
 
 
-#: Any hit of a word rule lies in a piece between blanks that this matches.
-_WORD_GATE = _any_of([re.escape(w) for r in book.WORDS for w in r.patterns])
-#: Any text with a hit of a phrase rule matches this.
-_PHRASE_GATE = T.FLAGS + _any_of([f"{T.BLANK}+".join(map(re.escape, p.split(" "))) for r in book.PHRASES for p in r.patterns])
-#: Any text with a hit of a pretence rule matches this: what its patterns begin with, in lower case.
-_PRETENCE_GATE = r"(?Ud)\b(?:" + "|".join(sorted({re.split(r"[(\\]", p.removeprefix(r"\b"))[0].rstrip() for r in book.PRETENCE for p in r.patterns})) + ")"
+def _gates(rules: book.RuleSet) -> tuple[str, str, str]:
+    """Expressions that match every piece between blanks with a hit of a word rule, every text with one of a
+    phrase rule, and every lower-case text with one of a pretence rule (by what its patterns begin with)."""
+    words = _any_of([re.escape(w) for r in rules.words for w in r.patterns])
+    phrases = T.FLAGS + _any_of([f"{T.BLANK}+".join(map(re.escape, p.split(" "))) for r in rules.phrases for p in r.patterns])
+    begins = {re.split(r"[(\\.*+?|{^$]", p.removeprefix(r"\b"))[0].rstrip() if p.startswith(r"\b") else "" for r in rules.pretence for p in r.patterns}
+    return words, phrases, "(?Ud)" + ("" if "" in begins else r"\b") + "(?:" + "|".join(sorted(begins)) + ")"
 
 
-def _listed(docs: DataFrame, strict: bool) -> tuple[DataFrame, list[Column]]:
+def _listed(docs: DataFrame, strict: bool, rules: book.RuleSet) -> tuple[DataFrame, list[Column]]:
     """Word rules read only the pieces that hold a listed word; phrase rules only texts that hold a phrase."""
-    pieces = F.array_join(F.filter(F.split("p_lower", " ", -1), lambda w: F.rlike(w, F.lit(_WORD_GATE))), " ")
-    docs = docs.withColumns({"p_pieces": pieces, "p_phrases": F.rlike("p_lower", F.lit(_PHRASE_GATE))})
+    in_piece, in_text, _ = _gates(rules)
+    pieces = F.array_join(F.filter(F.split("p_lower", " ", -1), lambda w: F.rlike(w, F.lit(in_piece))), " ")
+    docs = docs.withColumns({"p_pieces": pieces, "p_phrases": F.rlike("p_lower", F.lit(in_text))})
     counts, out = {}, []
-    for category, rules in (("blacklist_words", book.WORDS), ("blacklist_phrases", book.PHRASES)):
-        for r in rules:
+    for category, group in (("blacklist_words", rules.words), ("blacklist_phrases", rules.phrases)):
+        for r in group:
             n = f"n_{r.name}"
             phrases = category == "blacklist_phrases"
-            hits = list_hits(r, F.col("p_lower" if phrases else "p_pieces"), phrases, strict)
+            hits = list_hits(r, F.col("p_lower" if phrases or any(" " in w for w in r.patterns) else "p_pieces"), phrases, strict)
             counts[n] = F.when(F.col("p_phrases"), hits).otherwise(F.lit(0)) if phrases else hits
             sample = first_hit(r, F.col("p_body"), phrases, strict)
             out.append(_violation(category, r.name, r.weight, F.col(n), sample, r.hard, ladder(F.col(n), r.weight, r.soft, r.hard), F.col(n) > 0))
     return docs.withColumns(counts), out
 
 
-def _structural() -> list[Column]:
-    w, least, top = book.HEADING_DENSITY
-    per_1k = F.col("p_headings") * 1000 / F.greatest("p_length", F.lit(1))
-    heads = _violation("structural_rules", "heading_density", w, F.col("p_headings"), F.format_string(f"%d markdown headings (%.1f/1k chars > {top})", "p_headings", per_1k), int(top), F.lit(w), (F.col("p_length") >= least) & (per_1k > top))
-    w, least, top = book.LIST_DENSITY
-    share = F.col("p_items") / F.nullif("p_lines", F.lit(0))
-    items = _violation("structural_rules", "list_density", w, F.col("p_items"), F.format_string(f"%d/%d lines are list items (%.0f%% > {top:.0%}%)", "p_items", "p_lines", share * 100), int(top * 100), F.lit(w), (F.col("p_length") >= least) & (share > top))
-    return [heads, items]
-
-
-def _rhythm() -> list[Column]:
-    w, _, top = book.SENTENCE_LENGTH_CV
-    cv = F.col("p_sentence_cv")
-    out = [_violation("rhythm_rules", "sentence_length_cv", w, F.lit(1), F.format_string(f"sentence CV=%.2f < {top} (uniform sentence lengths)", cv), int(top * 100), F.lit(w), cv < top)]
-    w, _, _, top = book.SHORT_SENTENCE_RATIO
-    short = F.col("p_short")
-    out.append(_violation("rhythm_rules", "short_sentence_ratio", w, F.lit(1), F.format_string(f"short-sentence ratio=%.1f%% < {top:.1%}%", short * 100), int(top * 100), F.lit(w), short < top))
-    w, _, top = book.PARAGRAPH_UNIFORMITY
-    cv = F.col("p_paragraph_cv")
-    out.append(_violation("rhythm_rules", "paragraph_uniformity", w, F.lit(1), F.format_string(f"paragraph-length CV=%.2f < {top} (uniform paragraphs)", cv), int(top * 100), F.lit(w), cv < top))
-    w, free, _ = book.PARA_OPENING_ENUMERATION
-    n = F.col("p_openers")
-    out.append(_violation("rhythm_rules", "para_opening_enumeration", w, n, F.format_string(f"%d paragraphs open with enumeration/transition markers (>{free})", n), free, (n - free) * w, n > free))
+def _structural(rules: book.RuleSet) -> list[Column]:
+    out = []
+    if rules.heading_density:
+        w, least, top = rules.heading_density
+        per_1k = F.col("p_headings") * 1000 / F.greatest("p_length", F.lit(1))
+        out.append(_violation("structural_rules", "heading_density", w, F.col("p_headings"), F.format_string(f"%d markdown headings (%.1f/1k chars > {top})", "p_headings", per_1k), int(top), F.lit(w), (F.col("p_length") >= least) & (per_1k > top)))
+    if rules.list_density:
+        w, least, top = rules.list_density
+        share = F.col("p_items") / F.nullif("p_lines", F.lit(0))
+        out.append(_violation("structural_rules", "list_density", w, F.col("p_items"), F.format_string(f"%d/%d lines are list items (%.0f%% > {top:.0%}%)", "p_items", "p_lines", share * 100), int(top * 100), F.lit(w), (F.col("p_length") >= least) & (share > top)))
     return out
 
 
-def _pretence(docs: DataFrame, has_notes: Column) -> tuple[DataFrame, list[Column]]:
+def _rhythm(rules: book.RuleSet) -> list[Column]:
+    out = []
+    if rules.sentence_length_cv:
+        w, _, top = rules.sentence_length_cv
+        cv = F.col("p_sentence_cv")
+        out.append(_violation("rhythm_rules", "sentence_length_cv", w, F.lit(1), F.format_string(f"sentence CV=%.2f < {top} (uniform sentence lengths)", cv), int(top * 100), F.lit(w), cv < top))
+    if rules.short_sentence_ratio:
+        w, _, _, top = rules.short_sentence_ratio
+        short = F.col("p_short")
+        out.append(_violation("rhythm_rules", "short_sentence_ratio", w, F.lit(1), F.format_string(f"short-sentence ratio=%.1f%% < {top:.1%}%", short * 100), int(top * 100), F.lit(w), short < top))
+    if rules.paragraph_uniformity:
+        w, _, top = rules.paragraph_uniformity
+        cv = F.col("p_paragraph_cv")
+        out.append(_violation("rhythm_rules", "paragraph_uniformity", w, F.lit(1), F.format_string(f"paragraph-length CV=%.2f < {top} (uniform paragraphs)", cv), int(top * 100), F.lit(w), cv < top))
+    if rules.para_opening_enumeration:
+        w, free, _ = rules.para_opening_enumeration
+        n = F.col("p_openers")
+        out.append(_violation("rhythm_rules", "para_opening_enumeration", w, n, F.format_string(f"%d paragraphs open with enumeration/transition markers (>{free})", n), free, (n - free) * w, n > free))
+    return out
+
+
+def _pretence(docs: DataFrame, has_notes: Column, rules: book.RuleSet) -> tuple[DataFrame, list[Column]]:
     counts, out = {}, []
-    for r in book.PRETENCE:
+    *_, begins = _gates(rules)
+    for r in rules.pretence:
         n = f"n_{r.name}"
-        counts[n] = F.when(has_notes | ~F.rlike("p_lower", F.lit(_PRETENCE_GATE)), F.lit(0)).otherwise(regex_hits(r, F.col("p_body")))
+        counts[n] = F.when(has_notes | ~F.rlike("p_lower", F.lit(begins)), F.lit(0)).otherwise(regex_hits(r, F.col("p_body")))
         samples = [F.nullif(F.regexp_extract("p_body", "(?iuUd)" + p, 0), F.lit("")) for p in r.patterns]
         out.append(_violation("fake_human", r.name, r.weight, F.col(n), F.coalesce(*samples), r.hard, ladder(F.col(n), r.weight, None, r.hard), F.col(n) > 0))
     return docs.withColumns(counts), out
 
 
-def _signals(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+def _signals(docs: DataFrame, rules: book.RuleSet) -> tuple[DataFrame, list[Column]]:
     counts, out = {}, []
-    for r in book.SIGNALS:
+    for r in rules.signals:
         n = f"n_{r.name}"
         counts[n] = signal_hits(r, F.col("p_body"))
         out.append(_violation("soul_signals", r.name, r.weight, F.col(n), F.format_string(f"found %d signal(s), need >= {r.least}", F.col(n)), r.least, (r.least - F.col(n)) * r.weight, (F.col("p_length") >= r.min_length) & (F.col(n) < r.least)))
@@ -172,27 +190,28 @@ def band_label(score: Column) -> Column:
     return out
 
 
-def violations(docs: DataFrame, text: str = "text", has_notes: Column | None = None, strip_code: bool = True, strict: bool = False) -> DataFrame:
+def violations(docs: DataFrame, text: str = "text", has_notes: Column | None = None, strip_code: bool = True, strict: bool = False, ruleset: book.RuleSet = book.DEFAULT) -> DataFrame:
     """docs with `violations` (in the order of the rulebook) and the columns of prepared and the rules' counts.
 
     Blank and null texts have none. One narrow stage, whatever the number of rules.
     """
-    docs = prepared(docs, text, strip_code)
-    docs, listed = _listed(docs, strict)
-    docs, pretence = _pretence(docs, F.lit(False) if has_notes is None else F.coalesce(has_notes, F.lit(False)))
-    docs, signals = _signals(docs)
-    found = F.filter(F.array(*listed, *_structural(), *_rhythm(), *pretence, *signals), lambda v: v.isNotNull())
+    docs = prepared(docs, text, strip_code, ruleset)
+    docs, listed = _listed(docs, strict, ruleset)
+    docs, pretence = _pretence(docs, F.lit(False) if has_notes is None else F.coalesce(has_notes, F.lit(False)), ruleset)
+    docs, signals = _signals(docs, ruleset)
+    none = F.lit(None).cast(VIOLATION)
+    found = F.filter(F.array(none, *listed, *_structural(ruleset), *_rhythm(ruleset), *pretence, *signals), lambda v: v.isNotNull())
     return docs.withColumn("violations", F.when(F.col("p_blank"), F.array().cast(f"array<{VIOLATION}>")).otherwise(found))
 
 
-def scored(docs: DataFrame, text: str = "text", has_notes: Column | None = None, strip_code: bool = True, strict: bool = False) -> DataFrame:
+def scored(docs: DataFrame, text: str = "text", has_notes: Column | None = None, strip_code: bool = True, strict: bool = False, ruleset: book.RuleSet = book.DEFAULT) -> DataFrame:
     """docs with total (0 to 100, unrounded), rounded_total, level, violations, text_length and stats columns.
 
     Bands go by the unrounded total. stats: n_violations, sentence_cv, short_sentence_ratio, paragraph_cv,
     para_opener_count; null where a text is too short for them. Columns of these names are replaced.
     """
     kept = [c for c in docs.columns if c not in _RESULTS]
-    found = violations(docs, text, has_notes, strip_code, strict)
+    found = violations(docs, text, has_notes, strip_code, strict, ruleset)
     raw = F.aggregate("violations", F.lit(0.0), lambda a, v: a + v["score"])
     found = found.withColumn("total", F.least(F.lit(100.0), raw / F.greatest(F.lit(1.0), F.col("p_length") / UNIT)))
     present = lambda c: F.when(~F.col("p_blank"), c)

@@ -208,6 +208,11 @@ def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.balanced_sample(labels, "quality", "doc_id", 40)
 
 
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return mining.stratified_split(labels, "quality", "doc_id")
+
+
 def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = mining.standardised(_text_featured(spark, sf_dir).select("doc_id", "comma_density", "word_mattr"), ["comma_density", "word_mattr"])
     return rows.select("doc_id", scaled("comma_density").alias("comma_density"), scaled("word_mattr").alias("word_mattr"))
@@ -359,7 +364,7 @@ def queries() -> dict[str, Query]:
         "punctuation_density": _feature("comma_density", "punct_density"), "ngram_features": _feature(*[c[0] for c in book.CALIBRATION]),
     }
     found |= {"mine_bigrams": _mine_phrases(2), "mine_trigrams": _mine_phrases(3)}
-    found |= {f.__name__: f for f in (mine_words, rhythm_percentiles, balanced_sample, standardize, rank_auc, lr_train)}
+    found |= {f.__name__: f for f in (mine_words, rhythm_percentiles, balanced_sample, stratified_split, standardize, rank_auc, lr_train)}
     found |= {"cleanup": cleanup_texts} | {f.__name__: f for f in (cleanup_delta, cleanup_score_delta, cleanup_protected, leftover_tells, fkgl, readability_gate, gate_summary)}
     found |= {f"prompt_{s.value}": _prompt(s.value) for s in prompts.Strength}
     found |= {f.__name__: f for f in (judge_parse, judge_report, detect_json, polish_once, iterative_polish, stream_scores)}

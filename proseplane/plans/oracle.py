@@ -241,6 +241,7 @@ FROM (SELECT token, count(*) AS c FROM (SELECT unnest(t) AS token FROM ltoks WHE
         "rhythm_percentiles": f"""SELECT quality, len(v) AS n, {", ".join(f"v[CAST(least(len(v) - 1, floor({x} * len(v))) AS BIGINT) + 1] AS p{round(x * 100)}" for x in (0.1, 0.25, 0.5, 0.75, 0.9))}
 FROM (SELECT quality, list(v ORDER BY v) AS v FROM (SELECT quality, {scaled(cv("l"))} AS v FROM (SELECT quality, list_filter(list_transform(ss, lambda s: len(regexp_extract_all(s, {q(T.TOKEN)}))), lambda x: x > 0) AS l FROM ltoks) WHERE len(l) >= 3) GROUP BY quality)""",
         "balanced_sample": "SELECT doc_id, quality FROM (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) AS r FROM labels) WHERE r <= least(40, (SELECT min(c) FROM (SELECT count(*) AS c FROM labels GROUP BY quality)))",
+        "stratified_split": "SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) <= floor(count(*) OVER (PARTITION BY quality) * 0.8) AS train FROM labels",
         "standardize": f"SELECT doc_id, {scaled('(comma_density - avg(comma_density) OVER ()) / stddev_pop(comma_density) OVER ()')} AS comma_density, {scaled('(word_mattr - avg(word_mattr) OVER ()) / stddev_pop(word_mattr) OVER ()')} AS word_mattr FROM other JOIN mt USING (doc_id)",
         "rank_auc": f"SELECT CAST(sum(y) AS BIGINT) AS n_pos, CAST(sum(1 - y) AS BIGINT) AS n_neg, {scaled('(sum(r * y) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y))')} AS auc FROM (SELECT quality AS y, avg(rn) OVER (PARTITION BY s) AS r FROM (SELECT quality, length(text) AS s, row_number() OVER (ORDER BY length(text)) AS rn FROM labelled))",
         "cleanup": "SELECT doc_id, length(after) AS n, md5(after) AS after_md5 FROM cl",

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from proseplane import cli
 from proseplane.functions import rulebook as book
-from proseplane.operators import cleanup, gates, polish, prompts, rules
+from proseplane.operators import cleanup, external, gates, polish, prompts, rules
 from proseplane.plans.catalogue import ANSWERS
 from proseplane.sources import readers
 from proseplane.streaming import scoring
@@ -131,6 +131,52 @@ def test_command_line(spark, tmp_path, texts):
     assert cli.main(["detect", str(tmp_path / "no.md"), str(tmp_path / "out2")]) == 2
 
 
+def test_command_line_with_providers(spark, tmp_path):
+    (tmp_path / "in.md").write_text(BAD)
+    assert cli.main(["polish", str(tmp_path / "in.md"), str(tmp_path / "out")]) == 3
+    assert cli.main(["polish", str(tmp_path / "in.md"), str(tmp_path / "out"), "--provider", "no.such:thing"]) == 3
+    assert cli.main(["polish", str(tmp_path / "in.md"), str(tmp_path / "out"), "--provider", "json:dumps", "--force"]) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).first()["status"] in ("cleaned", "rewritten")
+    assert cli.main(["judge", str(tmp_path / "in.md"), str(tmp_path / "j"), "--provider", "textwrap:dedent"]) == 0
+    assert "JSON parse failure" in spark.read.parquet(str(tmp_path / "j")).first()["review_report"]
+    page = str(tmp_path / "rules.md")
+    assert cli.main(["rules", page, "--check"]) == 1 and cli.main(["rules", page]) == 0 and cli.main(["rules", page, "--check"]) == 0
+
+
+def test_rule_files(spark, tmp_path, texts):
+    (tmp_path / "r.json").write_text('{"_meta": {"version": "9"}, "blacklist_words": {"_desc": "x", "mine": {"weight": 2, "patterns": ["zorp", "zorping"]}, "odd": 3}, "soul_signals": {"s": {"min_threshold": 1, "pattern": "q"}}, "rhythm_rules": {"short_sentence_ratio": {"weight": 1, "min_sentences": 2}}}')
+    own = readers.read_rules(str(tmp_path / "r.json"))
+    got = rules.scored(texts("We zorp and utilize zorping."), ruleset=own).first()
+    assert {(v["rule"], v["count"], v["score"]) for v in got["violations"]} == {("mine", 2, 4.0), ("s", 0, 5.0)} and own.version == "9" and own.short_sentence_ratio == (1, 300, 5, 0.02)
+    none = readers.read_rules(str(tmp_path / "missing.json"))
+    assert none.version == "0.0.0-unloadable" and rules.scored(texts(BAD), ruleset=none).first()["total"] == 0
+    (tmp_path / "p.json").write_text('{"replacements": {"_order": ["a"], "a": [["x", "y"], ["bad"], "worse"]}}')
+    assert cleanup.ordered_pairs(readers.read_replacements(str(tmp_path / "p.json"))) == [("a", "x", "y")]
+    assert readers.read_replacements(str(tmp_path / "none.json")) == {}
+
+
+def test_environment_file(tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setenv("PROSE_A", "kept")
+    monkeypatch.delenv("PROSE_B", raising=False)
+    (tmp_path / "env").write_text("# note\nPROSE_A=1\nPROSE_B='two'\nnothing\n")
+    assert readers.read_environment(str(tmp_path / "env")) == 1 and os.environ["PROSE_A"] == "kept" and os.environ.pop("PROSE_B") == "two"
+    assert readers.read_environment(str(tmp_path / "none")) == 0
+
+
+def test_external_scores(texts):
+    def load():
+        def scorer(ts):
+            if any("bad" in t for t in ts):
+                raise ValueError
+            return [float(len(t)) for t in ts]
+
+        return scorer
+
+    assert [r[0] for r in texts("ab", "bad", None, "abcd").orderBy("doc_id").select(external.external_scores(F.col("text"), load)).collect()] == [2.0, None, None, 4.0]
+
+
 def test_stream_equals_batch(spark, tmp_path, texts):
     docs = texts(BAD, "Cats sleep.", "")
     docs.write.parquet(str(tmp_path / "in"))
