@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 from collections.abc import Iterator
 
@@ -61,9 +60,14 @@ def slices(texts: pa.Array, limit: int = 2_000_000) -> Iterator[pa.Array]:
         at = to
 
 
-def java_literal(s: str) -> str:
-    """s as a regular expression that matches it."""
-    return re.sub(r"([\\.^$|?*+()\[\]{}#-])", r"\\\1", s)
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """rows, or so many of them where there are more, as when one key repeats; a sample's rows stay spread out."""
+    return rows if rows.count() <= most else rows.limit(most)
+
+
+def packed_rows(df: DataFrame, *more: Column) -> DataFrame:
+    """The row of df as the struct `_row`, so that its columns can have any names, and further columns."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *more)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

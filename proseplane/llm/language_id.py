@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from proseplane.llm.common import bounded
+
 UNKNOWN = "und"
 
 
@@ -107,7 +109,7 @@ def _sample(docs: DataFrame, key: Column, label: Column, shares: dict[str, float
     """Rows by a hash of their key, the given share of each language; the limit holds where keys repeat."""
     share = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])
     u = (F.xxhash64(key, F.lit(17)) / F.lit(2.0**64)) + F.lit(0.5)
-    return docs.where(u < F.element_at(share, label)).limit(limit)
+    return bounded(docs.where(u < F.element_at(share, label)), limit)
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", config: Config = Config()) -> Model:
