@@ -12,6 +12,7 @@ from proseplane.functions import rulebook as book
 from proseplane.functions import text as T
 from proseplane.operators import cleanup, features, gates, lm, mining, polish, prompts, rules
 from proseplane.plans import oracle
+from proseplane.shipping import shipped
 from proseplane.sources import probe
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -368,7 +369,7 @@ def queries() -> dict[str, Query]:
     found |= {"cleanup": cleanup_texts} | {f.__name__: f for f in (cleanup_delta, cleanup_score_delta, cleanup_protected, leftover_tells, fkgl, readability_gate, gate_summary)}
     found |= {f"prompt_{s.value}": _prompt(s.value) for s in prompts.Strength}
     found |= {f.__name__: f for f in (judge_parse, judge_report, detect_json, polish_once, iterative_polish, stream_scores)}
-    return found
+    return {name: shipped(f) for name, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
