@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proseplane.functions import text as T
@@ -29,12 +29,27 @@ def bigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return words.select(F.explode(pairs(F.col("t"))).alias("p")).groupBy("p.w1", "p.w2").agg(F.count("*").alias("cnt"))
 
 
+def top(counts: DataFrame, k: int, order: list[str]) -> DataFrame:
+    """The k rows of the highest cnt, equal ones by order.
+
+    A histogram of counts gives the least count that stays, so only rows of that very count are ranked.
+    """
+    counts = counts.cache()
+    line = Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each distinct count
+    hist = counts.groupBy("cnt").agg(F.count("*").alias("n")).withColumn("above", F.coalesce(F.sum("n").over(line), F.lit(0)))
+    last = hist.where(F.col("above") < k).agg(F.min("cnt"), F.max("above")).first()
+    if last[0] is None:
+        return counts.limit(0)
+    edge = counts.where(F.col("cnt") == last[0]).orderBy(*order).limit(k - last[1])
+    return counts.where(F.col("cnt") > last[0]).unionByName(edge)
+
+
 def top_unigrams(docs: DataFrame, text: str = "text", k: int = UNIGRAMS) -> DataFrame:
-    return unigram_counts(docs, text).orderBy(F.desc("cnt"), "token").limit(k)
+    return top(unigram_counts(docs, text), k, ["token"])
 
 
 def top_bigrams(docs: DataFrame, text: str = "text", k: int = BIGRAMS) -> DataFrame:
-    return bigram_counts(docs, text).orderBy(F.desc("cnt"), "w1", "w2").limit(k)
+    return top(bigram_counts(docs, text), k, ["w1", "w2"])
 
 
 class LanguageModel:
@@ -84,5 +99,6 @@ class LanguageModel:
 
 def mass_kept(counts: DataFrame, k: int, order: list[str]) -> DataFrame:
     """One row: kept, total and share of the counts that the top k rows hold."""
-    kept = counts.orderBy(F.desc("cnt"), *order).limit(k).agg(F.sum("cnt").alias("kept"))
-    return kept.crossJoin(counts.agg(F.sum("cnt").alias("total"))).withColumn("share", F.col("kept") / F.col("total"))
+    total = counts.agg(F.sum("cnt")).first()[0] or 0
+    kept = top(counts, k, order).agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("kept"))
+    return kept.withColumn("total", F.lit(total).cast("long")).withColumn("share", F.col("kept") / F.nullif(F.col("total"), F.lit(0)))

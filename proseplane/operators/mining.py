@@ -19,11 +19,11 @@ def word_ratios(target: DataFrame, other: DataFrame, text: str = "text", least:
     """
     t = unigram_counts(target, text).withColumnRenamed("cnt", "target_count")
     o = unigram_counts(other, text).withColumnRenamed("cnt", "other_count")
-    sums = t.agg(F.sum("target_count").alias("_nt")).crossJoin(o.agg(F.coalesce(F.sum("other_count"), F.lit(0)).alias("_no")))  # one row
-    rows = t.where(F.col("target_count") >= least).join(o, "token", "left").withColumn("other_count", F.coalesce("other_count", F.lit(0))).crossJoin(F.broadcast(sums))
-    pm = lambda c, n: F.col(c) * 1e6 / F.greatest(F.col(n), F.lit(1))
-    rows = rows.withColumns({"target_pm": pm("target_count", "_nt"), "other_pm": pm("other_count", "_no")})
-    return rows.withColumn("ratio", F.col("target_pm") / F.greatest("other_pm", F.lit(1.0))).drop("_nt", "_no")
+    total = lambda docs: max(docs.agg(F.sum(T.token_count(F.coalesce(F.col(text), F.lit(""))))).first()[0] or 0, 1)
+    rows = t.where(F.col("target_count") >= least).join(o, "token", "left").withColumn("other_count", F.coalesce("other_count", F.lit(0)))
+    pm = lambda c, n: F.col(c) * 1e6 / F.lit(n)
+    rows = rows.withColumns({"target_pm": pm("target_count", total(target)), "other_pm": pm("other_count", total(other))})
+    return rows.withColumn("ratio", F.col("target_pm") / F.greatest("other_pm", F.lit(1.0)))
 
 
 def phrase_documents(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
@@ -40,12 +40,11 @@ def phrase_ratios(target: DataFrame, other: DataFrame, n: int, text: str = "text
     """
     t = phrase_documents(target, n, text).withColumnRenamed("df", "target_df").where(F.col("target_df") >= least)
     o = phrase_documents(other, n, text).withColumnRenamed("df", "other_df")
-    size = lambda d: d.where(F.length(text) > 0).agg(F.count("*").alias("n"))
-    sums = size(target).withColumnRenamed("n", "_nt").crossJoin(size(other).withColumnRenamed("n", "_no"))  # one row
-    rows = t.join(o, "phrase", "left").withColumn("other_df", F.coalesce("other_df", F.lit(0))).crossJoin(F.broadcast(sums))
-    pct = lambda c, k: F.col(c) * 100.0 / F.greatest(F.col(k), F.lit(1))
-    rows = rows.withColumns({"target_pct": pct("target_df", "_nt"), "other_pct": pct("other_df", "_no")})
-    return rows.withColumn("ratio", F.col("target_pct") / F.greatest("other_pct", F.lit(0.05))).drop("_nt", "_no")
+    size = lambda docs: max(docs.where(F.length(text) > 0).count(), 1)
+    rows = t.join(o, "phrase", "left").withColumn("other_df", F.coalesce("other_df", F.lit(0)))
+    pct = lambda c, k: F.col(c) * 100.0 / F.lit(k)
+    rows = rows.withColumns({"target_pct": pct("target_df", size(target)), "other_pct": pct("other_df", size(other))})
+    return rows.withColumn("ratio", F.col("target_pct") / F.greatest("other_pct", F.lit(0.05)))
 
 
 def rhythm_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -62,34 +61,72 @@ def rhythm_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     }).drop("_w", "_l")
 
 
+#: Parts of the line of values in which running sums are made; a task sees one part of it.
+PARTS = 256
+
+
+def running(rows: DataFrame, value: str, sums: list[str], by: list[str]) -> DataFrame:
+    """rows with, for each name in sums, `<name>_before`: its sum over rows of the group with lesser values.
+
+    The line is cut at approximate quantiles, windows run inside a part, and the parts' totals, a few hundred
+    rows for each group, are added to them. So no task sees a whole group; the sums are exact for any cuts.
+    Values are distinct within a group and not null.
+    """
+    cuts = rows.agg(F.percentile_approx(value, F.array(*[F.lit((i + 1) / PARTS) for i in range(PARTS - 1)]), F.lit(1000))).first()[0] or []
+    cuts = sorted(set(cuts))
+    rows = rows.withColumn("_part", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col(value) > c)) if cuts else F.lit(0))
+    line = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    parts = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, "_part", *[F.coalesce(F.sum(f"_{c}").over(parts), F.lit(0)).alias(f"_{c}") for c in sums])
+    rows = rows.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(line), F.lit(0)) for c in sums}).join(totals, [*by, "_part"])
+    return rows.withColumns({f"{c}_before": F.col(f"{c}_before") + F.col(f"_{c}") for c in sums}).drop("_part", *[f"_{c}" for c in sums])
+
+
 def percentiles(rows: DataFrame, by: str, value: str, at: tuple[float, ...] = QUANTILES) -> DataFrame:
     """(by, n, p10, ...): the value at place int(p * n) of each class's sorted values, from 0; nulls left out.
 
     Values are counted first, so a class of any size costs one row for each distinct value. Places come from
-    running counts over those.
+    running counts over those. A null class is left out.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
-    line = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumns({"upto": F.sum("c").over(line), "n": F.sum("c").over(Window.partitionBy(by))})
+    counts = rows.where(F.col(value).isNotNull() & F.col(by).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c")).cache()
+    sizes = counts.groupBy(by).agg(F.sum("c").alias("n"))
+    counts = running(counts, value, ["c"], [by]).join(sizes, by)
     place = lambda p: F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n")))
-    picks = [F.min(F.when(F.col("upto") > place(p), F.col(value))).alias(f"p{round(p * 100)}") for p in at]
+    picks = [F.min(F.when(F.col("c_before") + F.col("c") > place(p), F.col(value))).alias(f"p{round(p * 100)}") for p in at]
     return counts.groupBy(by).agg(F.max("n").alias("n"), *picks)
 
 
+def first_by_hash(rows: DataFrame, label: str, key: str, limits: DataFrame, seed: str) -> DataFrame:
+    """rows with `chosen`: of each label the `limit` first by md5 of key and seed; ties by key. limits: (label, limit).
+
+    Rows are counted by the first four digits of the hash. The digits say of all rows but those of one group of
+    65 536 whether they are in; only those are ranked, so a label of any size spreads over tasks.
+    """
+    hashed = rows.withColumn("_h", F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")))).withColumn("_d", F.substring("_h", 1, 4))
+    counts = hashed.groupBy(F.col(label).alias("_l"), "_d").agg(F.count("*").alias("_c"))
+    line = Window.partitionBy("_l").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(line), F.lit(0)))
+    limits = limits.select(F.col(label).alias("_ll"), F.col("limit").alias("_limit"))
+    counts = counts.join(limits, F.col("_l").eqNullSafe(F.col("_ll"))).select("_l", F.col("_d").alias("_dd"), "_c", (F.col("_limit") - F.col("_before")).alias("_left"))
+    placed = hashed.join(counts, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_d") == F.col("_dd")))
+    sure = placed.where((F.col("_left") >= F.col("_c")) | (F.col("_left") <= 0)).withColumn("chosen", F.col("_left") > 0)
+    edge = placed.where((F.col("_left") < F.col("_c")) & (F.col("_left") > 0))
+    edge = edge.withColumn("chosen", F.row_number().over(Window.partitionBy("_l").orderBy("_h", key)) <= F.col("_left"))
+    return sure.unionByName(edge).drop("_h", "_d", "_l", "_dd", "_c", "_left")
+
+
 def balanced_sample(rows: DataFrame, label: str, key: str, most: int, seed: str = "42") -> DataFrame:
     """As many rows of each label: of the rarest label's count and `most` the less, by md5 of key and seed."""
-    order = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
-    counts = rows.groupBy(label).count().agg(F.min("count").alias("_least"))
-    numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(order, key)))
-    return numbered.crossJoin(F.broadcast(counts)).where(F.col("_r") <= F.least("_least", F.lit(most))).drop("_r", "_least")
+    sizes = rows.groupBy(label).count()
+    least = sizes.agg(F.min("count")).first()[0] or 0
+    return first_by_hash(rows, label, key, sizes.select(label, F.lit(min(least, most)).alias("limit")), seed).where("chosen").drop("chosen")
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, share: float = 0.8, seed: str = "42") -> DataFrame:
     """rows with `train`: the first `share` of each label's rows by md5 of key and seed."""
-    order = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
-    by = Window.partitionBy(label)
-    numbered = rows.withColumns({"_r": F.row_number().over(by.orderBy(order, key)), "_n": F.count("*").over(by)})
-    return numbered.withColumn("train", F.col("_r") <= F.floor(F.col("_n") * F.lit(share))).drop("_r", "_n")
+    limits = rows.groupBy(label).count().select(label, F.floor(F.col("count") * F.lit(share)).alias("limit"))
+    return first_by_hash(rows, label, key, limits, seed).withColumnRenamed("chosen", "train")
 
 
 def standardised(rows: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
@@ -102,12 +139,11 @@ def standardised(rows: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str
 def rank_auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """One row (n_pos, n_neg, auc): the share of pairs in the right order, ties half; null without both classes.
 
-    Equal scores meet first, so the running sums are over distinct scores.
+    Equal scores meet first, so the running sums are over distinct scores, in parts.
     """
     known = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(score).alias("s"), (F.col(label) == 1).cast("long").alias("y"))
-    each = known.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    got = each.withColumn("won", F.col("pos") * (below + F.col("neg") / 2)).agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n_neg"), F.sum("won").alias("won"))
+    each = running(known.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).cache(), "s", ["neg"], [])
+    got = each.withColumn("won", F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)).agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n_neg"), F.sum("won").alias("won"))
     return got.select("n_pos", "n_neg", (F.col("won") / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))).alias("auc"))
 
 

@@ -102,6 +102,35 @@ def test_percentiles_auc_and_samples(spark):
     assert sorted(r["count"] for r in mining.balanced_sample(labels, "y", "doc_id", 30).groupBy("y").count().collect()) == [20, 20]
 
 
+def test_running_sums_in_parts(spark, monkeypatch):
+    rng = random.Random(2)
+    monkeypatch.setattr(mining, "PARTS", 7)
+    rows = [(k, float(v), rng.randint(0, 5)) for k in "ab" for v in rng.sample(range(1000), 200)]
+    got = mining.running(spark.createDataFrame(rows, "k string, v double, c long"), "v", ["c"], ["k"]).collect()
+    for r in got:
+        assert r["c_before"] == sum(c for k, v, c in rows if k == r["k"] and v < r["v"])
+    assert len(got) == 400
+
+
+def test_chosen_by_hash(spark):
+    import hashlib
+
+    rows = [(i, i % 3) for i in range(3000)] + [(7, 1)] * 4
+    got = mining.stratified_split(spark.createDataFrame(rows, "doc_id long, y int"), "y", "doc_id", 0.3)
+    for y in range(3):
+        own = sorted((hashlib.md5(f"{i}:42".encode()).hexdigest(), i) for i, k in rows if k == y)
+        assert sorted(r["doc_id"] for r in got.where(f"train and y = {y}").collect()) == sorted(i for _, i in own[: int(len(own) * 0.3)])
+    assert got.count() == len(rows)
+
+
+def test_top_counts(spark):
+    rows = [("a", 5), ("b", 3), ("c", 3), ("d", 3), ("e", 1)]
+    counts = spark.createDataFrame(rows, "token string, cnt long")
+    for k in range(7):
+        assert sorted(r["token"] for r in lm.top(counts, k, ["token"]).collect()) == sorted("abcde"[:k])
+    assert lm.top(counts.where("false"), 3, ["token"]).count() == 0
+
+
 def test_training_separates(spark):
     rng = random.Random(1)
     rows = spark.createDataFrame([(rng.gauss(y, 1), rng.gauss(0, 1), y) for y in (0, 1) for _ in range(200)], "a double, b double, y int")
