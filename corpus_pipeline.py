@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseplane.llm import decontaminate, language_id, mixing, quality, simhash
-from proseplane.llm.common import id_bucket, shared_dir, table
+from proseplane.llm.common import id_bucket, packed_rows, shared_dir, table
+from proseplane.shipping import shipped
 
 #: A document goes if its best language is less likely than this.
 LEAST_LANGUAGE = 0.4
@@ -16,31 +17,36 @@ LEAST_LANGUAGE = 0.4
 LEAST_QUALITY = 0.5
 
 
+@shipped
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no language that the model knows well, go."""
     model = language_id.fit(docs.where(id_bucket("doc_id", 3) != 1))
-    found = language_id.identify(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text")), model)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select("row.*")
+    found = language_id.identify(packed_rows(docs, F.col("text")), model)
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select("_row.*")
 
 
+@shipped
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are likely of low quality go."""
     labels = table(spark, sf_dir, "labels").where(id_bucket("doc_id", 3) != 1)
     model = quality.fit(docs.where(id_bucket("doc_id", 3) != 1), labels)
-    return quality.score(docs, model, into="_quality").where(F.col("_quality") >= LEAST_QUALITY).select(*docs.columns)
+    return quality.score(packed_rows(docs, F.col("text")), model).where(F.col("score") >= LEAST_QUALITY).select("_row.*")
 
 
+@shipped
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the least id stays."""
     return simhash.one_of_each(docs)
 
 
+@shipped
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; from the others the passages of items are cut out."""
     clean = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return clean.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@shipped
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it, numbered by `copy`."""
     return mixing.mix(docs)

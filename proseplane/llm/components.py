@@ -33,4 +33,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         seen = state
         now = cut(_starred(_starred(now, small=False), small=True))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

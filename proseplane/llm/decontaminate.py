@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proseplane.llm.common import cut
+from proseplane.llm.common import cut, packed_rows
 
 WINDOW = 13
 #: Words of items in one automaton (some 100 bytes each); longer benchmarks take several, one pass for each.
@@ -215,7 +215,8 @@ def _pass(docs: DataFrame, shared, text: str) -> DataFrame:
                 rows.append({"n_words": len(words), "spans": [{"first": s, "last": e} for s, e in spans], "items": sorted({*found, *seen["items"]}, key=lambda k: k.encode("utf-8", "surrogatepass"))})
             yield pa.array(rows, kind)
 
-    return docs.withColumn("contamination", scan(F.col(text), F.col("contamination")))
+    # called non-deterministic, it is not repeated in a filter that is pushed below it
+    return docs.withColumn("contamination", scan.asNondeterministic()(F.col(text), F.col("contamination")))
 
 
 def judged(found: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -249,7 +250,11 @@ def _removed(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """docs without the documents that are contaminated; the spans that others share with items are cut out."""
-    found = judged(find_contamination(docs, benchmark, text, window=window), coverage)
-    kept = found.where(~F.col("contaminated")).withColumn(text, F.when(F.col("n_hit") > 0, _without(F.col(text), F.col("contamination.spans"))).otherwise(F.col(text)))
-    return kept.drop("contamination", "n_hit", "contaminated")
+    """docs without the documents that are contaminated; the spans that others share with items are cut out.
+
+    Columns are those of docs, with any names.
+    """
+    found = judged(find_contamination(packed_rows(docs, F.col(text).alias("_text")), benchmark, "_text", window=window), coverage)
+    kept = found.where(~F.col("contaminated"))
+    clean = F.when(F.col("n_hit") > 0, _without(F.col("_text"), F.col("contamination.spans"))).otherwise(F.col("_text"))
+    return kept.select(clean.alias("_text"), "_row").select(*[F.col("_text").alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns])

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proseplane.llm.common import cut, words_of
+from proseplane.llm.common import cut, packed_rows, words_of
 
 #: Documents, and open fractions, that fold in one group.
 FAN_IN = 64
@@ -138,10 +138,11 @@ def copies_by_row(classes: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """docs, each row as often as the mix takes it, with the column `copy` (1, 2, ...); columns else as in docs."""
     key = [F.col(doc_id).alias("_id"), F.col(source).alias("_source"), words_of(F.col(text)).alias("_size")]
+    own = packed_rows(docs, *key)
     classes = copies_of(docs, doc_id, source, text, **options).select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), "m", "copies").where("copies > 0")
-    joined = docs.select("*", *key).join(classes, F.col("_id").eqNullSafe(F.col("i")) & F.col("_source").eqNullSafe(F.col("s")) & (F.col("_size") == F.col("z")))
+    joined = own.join(classes, F.col("_id").eqNullSafe(F.col("i")) & F.col("_source").eqNullSafe(F.col("s")) & (F.col("_size") == F.col("z")))
     single = joined.where("m = 1").withColumn("_own", F.col("copies"))
     nth = F.row_number().over(Window.partitionBy("i", "s", "z").orderBy(F.lit(1))) - 1
     repeated = joined.where("m > 1").withColumn("_own", (F.floor(F.col("copies") / F.col("m")) + (nth < F.pmod("copies", "m")).cast("long")).cast("long"))
     rows = single.unionByName(repeated).where("_own > 0")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_own")))).select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "copy"], "copy")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_own")))).select(*[F.col(f"_row.`{c}`") for c in docs.columns if c.lower() != "copy"], "copy")

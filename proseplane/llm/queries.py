@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from proseplane.llm import chat, decontaminate, language_id, licenses, media, mixing, ngram_lm, quality, simhash, toxicity
 from proseplane.llm.common import id_bucket, table
+from proseplane.shipping import shipped
 
 
 def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,8 +109,65 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_chat_windows, op2_toxicity, op3_quality, op4_decontaminate, op5_mix, op6_simhash, op7_media, op8_language, op9_language_model, op10_licenses)
-    return {f.__name__: f for f in own}
+    return {f.__name__: shipped(f) for f in own}
+
+
+def _op1_sql() -> str:
+    """op1 in DuckDB's SQL: the digests from the turns themselves, the windows by the same formulas."""
+    esc = lambda x: f"replace(replace(replace({x}, '\\', '\\\\'), '#', '\\h'), '</', '<\\/')"
+    width = f"length(replace({esc('role')}, ':', '\\c')) + length({esc('text')}) + {len(chat.OPEN) + len(chat.SEPARATOR) + len(chat.CLOSE)}"
+    budget, history = chat.BUDGET, chat.HISTORY
+    part = "PARTITION BY conv_id, block"
+    return rf"""WITH raw AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, * FROM (VALUES (0, 'user', '\### Assistant: </turn> ok'), (1, 'assistant', '\### Assistant: </turn> ok'))),
+turns AS (
+  SELECT *, CAST(floor(turn / {chat.BLOCK}.0) AS BIGINT) AS block, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + {chat.OVERHEAD} AS t, {width} AS w, false AS mark FROM raw),
+blocks AS (
+  SELECT conv_id, block, min(turn) AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn) NULLS FIRST) AS nth,
+    first_value(arg_min(struct_pack(role := role, t := t, w := w), rn)) OVER (PARTITION BY conv_id ORDER BY min(turn) NULLS FIRST) AS head
+  FROM (SELECT *, row_number() OVER ({part} ORDER BY turn NULLS FIRST, role, text) AS rn FROM turns) GROUP BY conv_id, block),
+every AS (
+  SELECT conv_id, block, turn, role, text, t, w, mark FROM turns
+  UNION ALL SELECT conv_id, block, turn, CASE WHEN head.role = 'system' THEN 'system' END, '', CASE WHEN head.role = 'system' THEN head.t ELSE 0 END, CASE WHEN head.role = 'system' THEN head.w ELSE 0 END, true FROM blocks WHERE nth > 1),
+placed AS (
+  SELECT *, row_number() OVER o AS n, sum(t) OVER o AS upto, sum(t) OVER ({part}) AS total, bool_or(mark) OVER ({part}) AS later
+  FROM every WINDOW o AS ({part} ORDER BY mark DESC, turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+led AS (SELECT *, mark OR (NOT later AND n = 1 AND role = 'system') AS is_lead FROM placed),
+sized AS (SELECT *, coalesce(sum(t) FILTER (is_lead) OVER ({part}), 0) AS lead, coalesce(sum(w) FILTER (is_lead) OVER ({part}), 0) AS lead_w FROM led),
+lined AS (SELECT *, upto - t - lead AS q, greatest({budget - history} - lead, {budget // 4}) AS stride FROM sized),
+celled AS (SELECT *, CASE WHEN is_lead THEN -1 ELSE CAST(floor((q + t - 1) * 1.0 / stride) AS BIGINT) END AS cell FROM lined),
+lone AS (SELECT *, NOT is_lead AND floor(q * 1.0 / stride) < cell AND sum(t) OVER (PARTITION BY conv_id, block, cell) > stride AS alone FROM celled),
+ended AS (SELECT *, min(q) OVER v AS start, max(q + t) OVER v AS stop FROM lone WINDOW v AS (PARTITION BY conv_id, block, cell, alone)),
+chars AS (
+  SELECT conv_id, sum(c) AS formatted_chars FROM (
+    SELECT conv_id, w AS c FROM ended WHERE is_lead
+    UNION ALL SELECT conv_id, w FROM ended WHERE NOT is_lead
+    UNION ALL SELECT conv_id, w FROM ended WHERE NOT is_lead AND stop - q <= {history} AND stop < total - lead
+    UNION ALL SELECT conv_id, lead_w FROM (SELECT DISTINCT conv_id, block, start, lead_w FROM ended WHERE NOT is_lead AND start > 0)) GROUP BY conv_id)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(any_value(formatted_chars) AS BIGINT) AS formatted_chars
+FROM raw JOIN chars USING (conv_id) GROUP BY conv_id"""
+
+
+def _op4_sql() -> str:
+    """op4 by windows as lists of words, for tables that DuckDB can hold."""
+    n = decontaminate.WINDOW
+    words = lambda x: f"list_filter(string_split(regexp_replace(translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), lambda w: w <> '')"
+    return rf"""WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, {words("text")} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS g FROM (SELECT item, w, least(len(w), {n}) AS size, unnest(range(1, len(w) - least(len(w), {n}) + 2)) AS i FROM item WHERE len(w) > 0)),
+doc AS (SELECT row_number() OVER () AS r, doc_id, {words("text")} AS w FROM documents),
+sizes AS (SELECT DISTINCT size FROM win),
+spot AS (SELECT r, size, i, array_to_string(w[i:i + size - 1], ' ') AS g FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc, sizes)),
+hit AS (SELECT r, i, spot.size, item FROM spot JOIN win ON spot.size = win.size AND spot.g = win.g),
+spots AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM hit) GROUP BY r),
+found AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN spots USING (r) LEFT JOIN found USING (r)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For what SQL can express; the fitted and the hash-drawn queries are held against brute force in tests."""
+    return {"op1_chat_windows": _op1_sql(), "op4_decontaminate": _op4_sql()}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proseplane.llm.common import cut
+from proseplane.llm.common import cut, packed_rows
 from proseplane.llm.components import connected_components
 
 BITS = 64
@@ -137,18 +137,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay: of each class the one with the least id, one where that id repeats.
 
-    A class of null ids alone keeps one row. Columns are those of docs.
+    A class of null ids alone keeps one row. Columns are those of docs, with any names.
     """
-    found = near_duplicates(docs, doc_id, text).select(F.col(doc_id).alias("_id"), "root", "component_id")
-    stay = found.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_id", "root").agg(F.count("*").alias("_n"))
-    own = docs.select("*", F.col(doc_id).alias("_own"))
-    plain = stay.where("_n = 1 and _id is not null").select("_id")
-    kept = own.join(plain, F.col("_own") == F.col("_id"), "left_semi").drop("_own")
-    again = stay.where("_n > 1 or _id is null")
-    if again.isEmpty():
+    found = cut(near_duplicates(docs, doc_id, text).select(F.col(doc_id).alias("_id"), F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col(doc_id).eqNullSafe(F.col("component_id")).alias("_stays")))
+    ids = found.groupBy("_id").agg(F.count("*").alias("_n"), F.max("_stays").alias("_any"))
+    once = ids.where("_n = 1 and _any and _id is not null").select("_id")
+    own = packed_rows(docs, F.col(doc_id).alias("_own_id"), F.col(text).alias("_text"))
+    columns = [F.col(f"_row.`{c}`") for c in docs.columns]
+    kept = own.join(once, F.col("_own_id") == F.col("_id"), "left_semi").select(columns)
+    several = ids.where("_any and (_n > 1 or _id is null)").select("_id")
+    if several.isEmpty():
         return kept
-    # rows that share an id: one for each class, told apart by their fingerprints
-    repeated = fingerprints(docs, text, "_fp").join(again.select(F.col("_id")).distinct(), F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
-    roots = near_duplicates(docs, doc_id, text).select("fp", "root").distinct().withColumnRenamed("root", "_root")
-    one = repeated.join(roots, F.col("_fp") == F.col("fp")).join(again.select("_id", F.col("root").alias("_r")), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_root") == F.col("_r")), "left_semi")
-    return kept.unionByName(one.dropDuplicates(["_root"]).select(*docs.columns))
+    # rows that share an id are told apart by their fingerprints; of a class one stays
+    stay = found.where("_stays").select(F.col("_id").alias("_stay_id"), F.col("_fp").alias("_stay_fp"), "_root").distinct()
+    rows = fingerprints(own.join(several, F.col("_own_id").eqNullSafe(F.col("_id")), "left_semi"), "_text", "_own_fp")
+    one = rows.join(stay, F.col("_own_id").eqNullSafe(F.col("_stay_id")) & (F.col("_own_fp") == F.col("_stay_fp"))).dropDuplicates(["_root"])
+    return kept.unionByName(one.select(columns))
