@@ -7,6 +7,8 @@ import enum
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from proseplane.functions.rulebook import REPORT
+
 MOST_VIOLATIONS, MOST_SAMPLE = 30, 60
 
 
@@ -90,7 +92,7 @@ def parsed_answer(answer: Column, schema: str = REVIEW) -> Column:
     bare = F.regexp_replace(a, r"(?U)\A\s+|\s+\z", "")
     found = F.when(F.startswith(bare, F.lit("[")), F.lit("")).otherwise(F.regexp_extract(a, r"(?s)\{.*\}", 0))
     valid = F.get_json_object(found, "$").isNotNull() & (found != "")
-    error = F.when(bare == "", F.lit(None)).when(valid, F.lit(None)).when(found == "", F.lit("no json found")).otherwise(F.lit("bad json"))
+    error = F.when(bare == "", F.lit(None)).when(valid, F.lit(None)).when(found == "", F.lit(REPORT["no_json"])).otherwise(F.lit("bad json"))
     result = F.from_json(F.when(valid, found).otherwise(F.lit("{}")), schema)
     return F.struct(F.when(error.isNull(), result).alias("result"), error.cast("string").alias("parse_error"), F.when(error.isNotNull(), F.substring(a, 1, 500)).alias("raw"))
 
@@ -104,13 +106,13 @@ def report(parsed: Column, error: Column | None = None) -> Column:
         return F.when(n > 0, F.concat(F.lit(f"### {title} ("), n.cast("string"), F.lit(f"){warn}\n"), F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), line(x))), "\n"), F.lit("\n")))
 
     quoted = lambda a, middle, b: lambda x: F.concat(F.lit("“"), F.coalesce(x[a], F.lit("?")), F.lit(middle), F.coalesce(x[b], F.lit("?")))
-    verdict = F.concat(F.lit("## Final verdict: "), F.when(F.coalesce(r["publishable"], F.lit(False)), F.lit("✅ publishable")).otherwise(F.lit("❌ needs revision")), F.lit("\n"))
-    brief = F.when(F.coalesce(r["rewrite_brief"], F.lit("")) != "", F.concat(F.lit("### Rewrite brief\n"), r["rewrite_brief"]))
+    verdict = F.concat(F.lit(REPORT["verdict"]), F.when(F.coalesce(r["publishable"], F.lit(False)), F.lit(REPORT["publishable"])).otherwise(F.lit(REPORT["revise"])), F.lit("\n"))
+    brief = F.when(F.coalesce(r["rewrite_brief"], F.lit("")) != "", F.concat(F.lit(REPORT["rewrite_brief"]), r["rewrite_brief"]))
     whole = F.concat_ws(
-        "\n", verdict, section("Strongest judgements", r["best_theses"], lambda x: x), section("Most AI-flavoured passages", r["worst_ai_sections"], quoted("para", "…” — ", "reason")),
-        section("Unsupported claims", r["unsupported_claims"], quoted("claim", "” missing: ", "missing_evidence")), section("Template-smell issues", r["template_smell"], lambda x: x),
-        section("Fabricated human details", r["fake_human_details"], lambda x: x, " ⚠️ High risk"), brief,
+        "\n", verdict, section(REPORT["best_theses"], r["best_theses"], lambda x: x), section(REPORT["worst_ai_sections"], r["worst_ai_sections"], quoted("para", "…” — ", "reason")),
+        section(REPORT["unsupported_claims"], r["unsupported_claims"], quoted("claim", "” missing: ", "missing_evidence")), section(REPORT["template_smell"], r["template_smell"], lambda x: x),
+        section(REPORT["fake_human_details"], r["fake_human_details"], lambda x: x, REPORT["risk"]), brief,
     )
-    failed = F.concat(F.lit("[judge] JSON parse failure: "), parsed["parse_error"], F.lit("\n\nraw:\n"), F.coalesce(parsed["raw"], F.lit("")))
+    failed = F.concat(F.lit(REPORT["parse_error"]), parsed["parse_error"], F.lit("\n\nraw:\n"), F.coalesce(parsed["raw"], F.lit("")))
     out = F.when(parsed["parse_error"].isNotNull(), failed).otherwise(whole)
-    return out if error is None else F.when(error.isNotNull(), F.concat(F.lit("[judge] error: "), error)).otherwise(out)
+    return out if error is None else F.when(error.isNotNull(), F.concat(F.lit(REPORT["error"]), error)).otherwise(out)

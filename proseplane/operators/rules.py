@@ -127,11 +127,11 @@ def _structural(rules: book.RuleSet) -> list[Column]:
     if rules.heading_density:
         w, least, top = rules.heading_density
         per_1k = F.col("p_headings") * 1000 / F.greatest("p_length", F.lit(1))
-        out.append(_violation("structural_rules", "heading_density", w, F.col("p_headings"), F.format_string(f"%d markdown headings (%.1f/1k chars > {top})", "p_headings", per_1k), int(top), F.lit(w), (F.col("p_length") >= least) & (per_1k > top)))
+        out.append(_violation("structural_rules", "heading_density", w, F.col("p_headings"), F.format_string(book.SAMPLES["heading_density"].format(top=top), "p_headings", per_1k), int(top), F.lit(w), (F.col("p_length") >= least) & (per_1k > top)))
     if rules.list_density:
         w, least, top = rules.list_density
         share = F.col("p_items") / F.nullif("p_lines", F.lit(0))
-        out.append(_violation("structural_rules", "list_density", w, F.col("p_items"), F.format_string(f"%d/%d lines are list items (%.0f%% > {top:.0%}%)", "p_items", "p_lines", share * 100), int(top * 100), F.lit(w), (F.col("p_length") >= least) & (share > top)))
+        out.append(_violation("structural_rules", "list_density", w, F.col("p_items"), F.format_string(book.SAMPLES["list_density"].format(top=top), "p_items", "p_lines", share * 100), int(top * 100), F.lit(w), (F.col("p_length") >= least) & (share > top)))
     return out
 
 
@@ -140,19 +140,19 @@ def _rhythm(rules: book.RuleSet) -> list[Column]:
     if rules.sentence_length_cv:
         w, _, top = rules.sentence_length_cv
         cv = F.col("p_sentence_cv")
-        out.append(_violation("rhythm_rules", "sentence_length_cv", w, F.lit(1), F.format_string(f"sentence CV=%.2f < {top} (uniform sentence lengths)", cv), int(top * 100), F.lit(w), cv < top))
+        out.append(_violation("rhythm_rules", "sentence_length_cv", w, F.lit(1), F.format_string(book.SAMPLES["sentence_length_cv"].format(top=top), cv), int(top * 100), F.lit(w), cv < top))
     if rules.short_sentence_ratio:
         w, _, _, top = rules.short_sentence_ratio
         short = F.col("p_short")
-        out.append(_violation("rhythm_rules", "short_sentence_ratio", w, F.lit(1), F.format_string(f"short-sentence ratio=%.1f%% < {top:.1%}%", short * 100), int(top * 100), F.lit(w), short < top))
+        out.append(_violation("rhythm_rules", "short_sentence_ratio", w, F.lit(1), F.format_string(book.SAMPLES["short_sentence_ratio"].format(top=top), short * 100), int(top * 100), F.lit(w), short < top))
     if rules.paragraph_uniformity:
         w, _, top = rules.paragraph_uniformity
         cv = F.col("p_paragraph_cv")
-        out.append(_violation("rhythm_rules", "paragraph_uniformity", w, F.lit(1), F.format_string(f"paragraph-length CV=%.2f < {top} (uniform paragraphs)", cv), int(top * 100), F.lit(w), cv < top))
+        out.append(_violation("rhythm_rules", "paragraph_uniformity", w, F.lit(1), F.format_string(book.SAMPLES["paragraph_uniformity"].format(top=top), cv), int(top * 100), F.lit(w), cv < top))
     if rules.para_opening_enumeration:
         w, free, _ = rules.para_opening_enumeration
         n = F.col("p_openers")
-        out.append(_violation("rhythm_rules", "para_opening_enumeration", w, n, F.format_string(f"%d paragraphs open with enumeration/transition markers (>{free})", n), free, (n - free) * w, n > free))
+        out.append(_violation("rhythm_rules", "para_opening_enumeration", w, n, F.format_string(book.SAMPLES["para_opening_enumeration"].format(top=free), n), free, (n - free) * w, n > free))
     return out
 
 
@@ -172,7 +172,7 @@ def _signals(docs: DataFrame, rules: book.RuleSet) -> tuple[DataFrame, list[Colu
     for r in rules.signals:
         n = f"n_{r.name}"
         counts[n] = signal_hits(r, F.col("p_body"))
-        out.append(_violation("soul_signals", r.name, r.weight, F.col(n), F.format_string(f"found %d signal(s), need >= {r.least}", F.col(n)), r.least, (r.least - F.col(n)) * r.weight, (F.col("p_length") >= r.min_length) & (F.col(n) < r.least)))
+        out.append(_violation("soul_signals", r.name, r.weight, F.col(n), F.format_string(book.SAMPLES["signals"].format(least=r.least), F.col(n)), r.least, (r.least - F.col(n)) * r.weight, (F.col("p_length") >= r.min_length) & (F.col(n) < r.least)))
     return docs.withColumns(counts), out
 
 
