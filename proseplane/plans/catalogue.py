@@ -251,7 +251,7 @@ def cleanup_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cleanup_score_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _cleaned(spark, sf_dir).select("doc_id", "text", "after")
     before = rules.scored(docs).select("doc_id", "after", F.col("total").alias("before_total"))
-    return rules.scored(before, "after").select("doc_id", (F.col("before_total") - F.col("total")).alias("dropped"))
+    return rules.scored(before, "after").select("doc_id", (scaled("before_total") - scaled("total")).alias("dropped"))
 
 
 def cleanup_protected(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,17 +102,17 @@ def _levels(x: str) -> str:
     return "CASE " + " ".join(f"WHEN {x} >= {least} THEN {q(key)}" for least, key, _ in book.BANDS[:-1]) + f" ELSE {q(book.BANDS[-1][1])} END"
 
 
-def _violations() -> str:
+def _violations(pre: str) -> str:
     """One SELECT for each rule: doc_id, category, rule, place, hits, score."""
     out, place = [], 0
     for category, rules, phrases in (("blacklist_words", book.WORDS, False), ("blacklist_phrases", book.PHRASES, True)):
         for r in rules:
-            out.append(f"SELECT doc_id, {q(category)} AS category, {q(r.name)} AS rule, {place} AS place, c AS hits, {ladder('c', r)} AS score FROM (SELECT doc_id, {count('e', _rule_pattern(r, phrases))} AS c FROM enc) WHERE c > 0")
+            out.append(f"SELECT doc_id, {q(category)} AS category, {q(r.name)} AS rule, {place} AS place, c AS hits, {ladder('c', r)} AS score FROM (SELECT doc_id, {count('e', _rule_pattern(r, phrases))} AS c FROM {pre}enc) WHERE c > 0")
             place += 1
 
     def gate(category: str, rule: str, hits: str, score: str, where: str) -> None:
         nonlocal place
-        out.append(f"SELECT doc_id, {q(category)}, {q(rule)}, {place}, {hits}, ({score}) * 1.0 FROM shape WHERE {where}")
+        out.append(f"SELECT doc_id, {q(category)}, {q(rule)}, {place}, {hits}, ({score}) * 1.0 FROM {pre}shape WHERE {where}")
         place += 1
 
     w, least, top = book.HEADING_DENSITY
@@ -129,16 +129,33 @@ def _violations() -> str:
     gate("rhythm_rules", "para_opening_enumeration", "openers", f"(openers - {free}) * {w}", f"openers > {free}")
     for r in book.PRETENCE:
         total = " + ".join(count("regexp_replace(body, '(?mi)^.*\\b(?:studies|research|reports|data)\\b', '', 'g')" if "(?!" in p else "body", "(?i)" + _plain(p)) for p in r.patterns)
-        out.append(f"SELECT doc_id, 'fake_human', {q(r.name)}, {place}, c, {r.weight} * c * 1.0 FROM (SELECT doc_id, {total} AS c FROM abody) WHERE c > 0")
+        out.append(f"SELECT doc_id, 'fake_human', {q(r.name)}, {place}, c, {r.weight} * c * 1.0 FROM (SELECT doc_id, {total} AS c FROM {pre}abody) WHERE c > 0")
         place += 1
     for r in book.SIGNALS:
-        out.append(f"SELECT doc_id, 'soul_signals', {q(r.name)}, {place}, c, ({r.least} - c) * {r.weight} * 1.0 FROM (SELECT doc_id, length(body) AS n, {count('body', ('(?i)' if r.ignore_case else '') + r.pattern)} AS c FROM abody) WHERE n >= {r.min_length} AND c < {r.least}")
+        out.append(f"SELECT doc_id, 'soul_signals', {q(r.name)}, {place}, c, ({r.least} - c) * {r.weight} * 1.0 FROM (SELECT doc_id, length(body) AS n, {count('body', ('(?i)' if r.ignore_case else '') + r.pattern)} AS c FROM {pre}abody) WHERE n >= {r.min_length} AND c < {r.least}")
         place += 1
     return "\n  UNION ALL ".join(out)
 
 
-def prefix() -> str:
+def _scoring(pre: str, table: str, column: str) -> str:
+    """The rules over one column of a table, as common table expressions whose names begin with pre."""
     opener = "(?i)" + book.PARA_OPENING_ENUMERATION[2]
+    return f"""{pre}body AS (SELECT doc_id, source, lang, regexp_replace(regexp_replace({column}, '(?s)```.*?```', '', 'g'), '`[^`\\n]+`', '', 'g') AS body FROM {table}),
+{pre}abody AS (SELECT doc_id, regexp_replace(body, '[ªµºÀ-ÖØ-öø-ʯ\u0370-\u1fff]', '_', 'g') AS body FROM {pre}body),
+{pre}enc AS (SELECT doc_id, chr(1) || regexp_replace(body, '([^\\p{{L}}\\p{{N}}_''])', chr(2) || '\\1' || chr(1), 'g') || chr(2) AS e FROM {pre}body),
+{pre}shape AS (
+  SELECT doc_id, length(body) AS n, {count("body", r"(?m)(?:^|\n)#{1,6}\s+\S")} AS headings, len(lines) AS n_lines, len(list_filter(lines, lambda x: regexp_matches(x, '^\\s*(?:[-*•]\\s+|\\d+[.)]\\s+)'))) AS items,
+    list_filter(list_transform(ss, lambda s: len(regexp_extract_all({_norm("s")}, {q(T.TOKEN)}))), lambda x: x > 0) AS words, list_transform(ps, lambda p: length(p)) AS lens, len(list_filter(ps, lambda p: regexp_matches(p, {q(opener)}))) AS openers
+  FROM (SELECT doc_id, body, {sentences("body")} AS ss, {paragraphs("body")} AS ps, list_filter(string_split(body, chr(10)), lambda x: {_strip("x")} <> '') AS lines FROM {pre}body)),
+{pre}violations AS ({_violations(pre)}),
+{pre}scores AS (
+  SELECT b.doc_id, b.source, b.lang, length(body) AS n, least(100.0, coalesce(v.s, 0) / greatest(1.0, length(body) / 3000.0)) AS total, coalesce(v.c, 0) AS c,
+    least(100.0, coalesce(v.s_notes, 0) / greatest(1.0, length(body) / 3000.0)) AS notes_total, coalesce(v.c_notes, 0) AS c_notes
+  FROM {pre}body b LEFT JOIN (SELECT doc_id, sum(score) AS s, count(*) AS c, sum(score) FILTER (category <> 'fake_human') AS s_notes, count(*) FILTER (category <> 'fake_human') AS c_notes FROM {pre}violations GROUP BY doc_id) v USING (doc_id)),
+"""
+
+
+def prefix() -> str:
     lp = "CASE WHEN coalesce(u1.cnt, 0) > 0 THEN ln((coalesce(b.cnt, 0) + 1.0) / (u1.cnt + m.v)) ELSE ln((coalesce(u2.cnt, 0) + 1.0) / (m.n + m.v)) END"
     joins = "LEFT JOIN bi b ON b.w1 = p.w1 AND b.w2 = p.w2 LEFT JOIN uni u1 ON u1.token = p.w1 LEFT JOIN uni u2 ON u2.token = p.w2, meta m"
     changed = "text"
@@ -146,19 +163,7 @@ def prefix() -> str:
         changed = f"replace({changed}, {q(a)}, {q(b)})"
     return f"""WITH {_probe("probe", probe.tells())},
 {_probe("cprobe", probe.cleanup_tells())},
-body AS (SELECT doc_id, source, lang, regexp_replace(regexp_replace(text, '(?s)```.*?```', '', 'g'), '`[^`\\n]+`', '', 'g') AS body FROM probe),
-abody AS (SELECT doc_id, regexp_replace(body, '[ªµºÀ-ÖØ-öø-ʯ\u0370-\u1fff]', '_', 'g') AS body FROM body),
-enc AS (SELECT doc_id, chr(1) || regexp_replace(body, '([^\\p{{L}}\\p{{N}}_''])', chr(2) || '\\1' || chr(1), 'g') || chr(2) AS e FROM body),
-shape AS (
-  SELECT doc_id, length(body) AS n, {count("body", r"(?m)(?:^|\n)#{1,6}\s+\S")} AS headings, len(lines) AS n_lines, len(list_filter(lines, lambda x: regexp_matches(x, '^\\s*(?:[-*•]\\s+|\\d+[.)]\\s+)'))) AS items,
-    list_filter(list_transform(ss, lambda s: len(regexp_extract_all({_norm("s")}, {q(T.TOKEN)}))), lambda x: x > 0) AS words, list_transform(ps, lambda p: length(p)) AS lens, len(list_filter(ps, lambda p: regexp_matches(p, {q(opener)}))) AS openers
-  FROM (SELECT doc_id, body, {sentences("body")} AS ss, {paragraphs("body")} AS ps, list_filter(string_split(body, chr(10)), lambda x: {_strip("x")} <> '') AS lines FROM body)),
-violations AS ({_violations()}),
-scores AS (
-  SELECT b.doc_id, b.source, b.lang, length(body) AS n, least(100.0, coalesce(v.s, 0) / greatest(1.0, length(body) / 3000.0)) AS total, coalesce(v.c, 0) AS c,
-    least(100.0, coalesce(v.s_notes, 0) / greatest(1.0, length(body) / 3000.0)) AS notes_total, coalesce(v.c_notes, 0) AS c_notes
-  FROM body b LEFT JOIN (SELECT doc_id, sum(score) AS s, count(*) AS c, sum(score) FILTER (category <> 'fake_human') AS s_notes, count(*) FILTER (category <> 'fake_human') AS c_notes FROM violations GROUP BY doc_id) v USING (doc_id)),
-corpus AS (SELECT {tokens("text")} AS t FROM documents WHERE lang = 'en'),
+{_scoring("", "probe", "text")}corpus AS (SELECT {tokens("text")} AS t FROM documents WHERE lang = 'en'),
 uni_all AS (SELECT token, count(*) AS cnt FROM (SELECT unnest(t) AS token FROM corpus) GROUP BY token),
 bi_all AS (SELECT w1, w2, count(*) AS cnt FROM (SELECT t[i] AS w1, t[i + 1] AS w2 FROM (SELECT t, unnest(range(1, len(t))) AS i FROM corpus)) GROUP BY w1, w2),
 uni AS (SELECT * FROM uni_all ORDER BY cnt DESC, token LIMIT 100000),
@@ -181,8 +186,8 @@ other AS (SELECT doc_id, len(t) AS word_count, CASE WHEN len(t) > 0 THEN {count(
   CASE WHEN len(t) > 0 THEN {count("text", ",")} * 100.0 / len(t) ELSE 0 END AS comma_density, CASE WHEN len(t) > 0 THEN {count("text", "[,;:—–()]")} * 100.0 / len(t) ELSE 0 END AS punct_density FROM toks),
 feats AS (SELECT * FROM other JOIN ppl USING (doc_id) JOIN burst USING (doc_id) JOIN ent USING (doc_id) JOIN sf USING (doc_id) JOIN mt USING (doc_id)),
 lr AS (SELECT doc_id, word_count, CASE WHEN word_count < 30 THEN 0.0 ELSE round(100 / (1 + exp(-greatest(-10.0, least(10.0, {_logit()})))), 1) END AS p FROM feats),
-cl AS (SELECT doc_id, text, {changed} AS after FROM cprobe),
-labelled AS (SELECT d.doc_id, d.text, l.quality FROM documents d JOIN labels l USING (doc_id)),
+cl AS (SELECT doc_id, source, lang, text, {changed} AS after FROM cprobe),
+{_scoring("before_", "cl", "text")}{_scoring("after_", "cl", "after")}labelled AS (SELECT d.doc_id, d.text, l.quality FROM documents d JOIN labels l USING (doc_id)),
 ltoks AS (SELECT doc_id, quality, text, {tokens("text")} AS t, {sentences("text")} AS ss FROM labelled)
 """
 
@@ -245,6 +250,7 @@ FROM (SELECT quality, list(v ORDER BY v) AS v FROM (SELECT quality, {scaled(cv("
         "standardize": f"SELECT doc_id, {scaled('(comma_density - avg(comma_density) OVER ()) / stddev_pop(comma_density) OVER ()')} AS comma_density, {scaled('(word_mattr - avg(word_mattr) OVER ()) / stddev_pop(word_mattr) OVER ()')} AS word_mattr FROM other JOIN mt USING (doc_id)",
         "rank_auc": f"SELECT CAST(sum(y) AS BIGINT) AS n_pos, CAST(sum(1 - y) AS BIGINT) AS n_neg, {scaled('(sum(r * y) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y))')} AS auc FROM (SELECT quality AS y, avg(rn) OVER (PARTITION BY s) AS r FROM (SELECT quality, length(text) AS s, row_number() OVER (ORDER BY length(text)) AS rn FROM labelled))",
         "cleanup": "SELECT doc_id, length(after) AS n, md5(after) AS after_md5 FROM cl",
+        "cleanup_score_delta": f"SELECT doc_id, {scaled('b.total')} - {scaled('a.total')} AS dropped FROM before_scores b JOIN after_scores a USING (doc_id)",
         "cleanup_delta": "SELECT CAST(sum(length(text) - length(after)) AS BIGINT) AS chars_removed, CAST(sum(CASE WHEN text <> after THEN 1 ELSE 0 END) AS BIGINT) AS changed, count(*) AS documents FROM cl",
         "leftover_tells": f"SELECT doc_id, unnest(CASE WHEN len(l) = 0 THEN ['none'] ELSE l END) AS old FROM (SELECT doc_id, list_filter([{', '.join(q(a) for _, a, _ in cleanup.ordered_pairs())}], lambda x: contains(after, x)) AS l FROM cl)",
         "fkgl": f"SELECT doc_id, {scaled(_grade('text'))} AS grade FROM probe",
