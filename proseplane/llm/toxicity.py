@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from proseplane.llm.common import bounded
+
+#: Texts with so many features or more count once if their so many least features are the same.
+SKETCH_FROM, SKETCH = 64, 3
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -28,9 +32,10 @@ class Config:
     #: Bounds of the confirmed toxic texts and of the unlabelled texts that weights are fitted on.
     positives: int = 4_000
     unlabelled: int = 8_000
-    #: A feature is kept if so many positives have it, at so many times the rate of the unlabelled.
-    least_count: int = 4
+    #: A feature is kept if positives have it at so many times the rate of the unlabelled, and if chance gives so
+    #: many hits among them with a probability of e to the minus `evidence` at most (Chernoff's bound).
     least_lift: float = 3.0
+    evidence: float = 10.0
     steps: int = 600
     rate: float = 0.05
     l2: float = 1e-4
@@ -91,10 +96,15 @@ def nonnegative_pu(pos: list[np.ndarray], unl: list[np.ndarray], dims: int, prio
 def _collected(rows: DataFrame, text: str, dims: int, heads: tuple[int, ...]) -> list[np.ndarray]:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([np.array(sorted(features(t.as_py(), dims, heads)), np.int32).tobytes() for t in batch.column(0)], pa.binary())], names=["f"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(sorted(features(t.as_py(), dims, heads)), np.int32).tobytes() for t in batch.column(1)], pa.binary())], names=["h", "f"])
 
-    got = {bytes(r[0]) for r in rows.select(text).mapInArrow(sets, "f binary").toLocalIterator()}  # copies count once
-    return [np.frombuffer(x, np.int32) for x in sorted(got)]
+    hashed = rows.select(F.xxhash64(text).alias("h"), text)
+    got: dict[tuple, np.ndarray] = {}
+    for h, f in sorted((r[0], bytes(r[1])) for r in hashed.mapInArrow(sets, "h long, f binary").collect()):  # the bounded sample
+        x = np.frombuffer(f, np.int32)
+        # copies count once, near ones too: the least hashes of a long text are a sketch of its features
+        got.setdefault(tuple(x[:SKETCH]) if len(x) >= SKETCH_FROM else (h,), x)
+    return list(got.values())
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", config: Config = Config()) -> Model:
@@ -108,15 +118,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     draw = lambda key, share: (F.xxhash64(key, F.lit(23)) / F.lit(2.0**64)) + F.lit(0.5) < F.lit(share)
     chosen = labels.where("_y").where(draw(F.col("_k"), min(1.0, config.positives / max(p or 0, 1)))).select("_k").distinct().limit(2 * config.positives)
     known = docs.select(F.col(doc_id).alias("_k"), F.col(text).alias("_t"))
-    pos = _collected(known.join(F.broadcast(chosen), "_k"), "_t", config.dims, config.heads)  # at most 2 * positives ids
+    pos = _collected(bounded(known.join(F.broadcast(chosen), "_k"), 4 * config.positives), "_t", config.dims, config.heads)  # at most 2 * positives ids
     if not pos:
         return Model({}, -20.0, prior, config.dims, config.heads)
     total = docs.count()
-    unl = _collected(known.where(draw(F.col("_k"), min(1.0, config.unlabelled / max(total, 1)))).limit(2 * config.unlabelled), "_t", config.dims, config.heads)
+    unl = _collected(bounded(known.where(draw(F.col("_k"), min(1.0, config.unlabelled / max(total, 1)))), 2 * config.unlabelled), "_t", config.dims, config.heads)
     in_pos = np.bincount(np.concatenate(pos), minlength=config.dims)
     in_unl = np.bincount(np.concatenate([*unl, np.zeros(0, np.int32)]), minlength=config.dims)
-    lift = (in_pos / len(pos)) / ((in_unl + 1) / (len(unl) + 1))
-    keep = np.flatnonzero((in_pos >= config.least_count) & (lift >= config.least_lift))
+    chance = len(pos) * (in_unl + 1) / (len(unl) + 1)
+    proof = in_pos * np.log(np.maximum(in_pos, 1e-9) / chance) - in_pos + chance
+    keep = np.flatnonzero((in_pos >= config.least_lift * chance) & (proof >= config.evidence))
     number = np.full(config.dims, -1)
     number[keep] = np.arange(len(keep))
     chosen_rows = lambda rows: [x[x >= 0] for x in (number[r] for r in rows)]
