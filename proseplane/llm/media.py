@@ -175,3 +175,13 @@ def store_text(docs: DataFrame, text: str = "text") -> DataFrame:
 def media_features(images: DataFrame, media: str = "media") -> DataFrame:
     """images with the struct `features` read back from the stored bytes, with the NPY tile and difference hash."""
     return images.withColumn("features", _features(F.col(media)))
+
+
+def write_tiles(found: DataFrame, path: str, key: str = "doc_id") -> None:
+    """Writes (key, dhash, tile) of the images that could be read; a tile is a whole .npy file."""
+    f = F.col("features")
+    found.where(f["tile"].isNotNull()).select(key, f["dhash"].alias("dhash"), f["tile"].alias("tile")).write.mode("overwrite").parquet(path)
+
+
+def read_tile(tile: bytes) -> np.ndarray:
+    return np.load(io.BytesIO(bytes(tile)), allow_pickle=False)

@@ -21,7 +21,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,14 +138,23 @@ def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _rows(found: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = {"kind": pa.int32(), "part": pa.int64(), "blob": pa.binary(), "words": pa.binary()}
+    kinds = {"kind": pa.int32(), "slot": pa.int64(), "blob": pa.binary(), "words": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for c, n in zip(zip(*found, strict=True), names, strict=True)], names=names)
 
 
 # ---- counting -----------------------------------------------------------------------------------------------
 
 
-def _counter(bits: int):
+def _slots(spark, n: int) -> list[int]:
+    """A number for each of n ranges, of which hash partitioning sends one to each of n partitions."""
+    if n == 1:
+        return [0]
+    rows = spark.range(64 * n).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
+    found = {r["p"]: r["id"] for r in rows}
+    return [found.get(p, 64 * n + p) for p in range(n)]
+
+
+def _counter(bits: int, slots: list[int]):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -155,15 +164,15 @@ def _counter(bits: int):
                 held.append((befores(h, bounds), h))
                 size += len(h)
                 if size >= FLUSH:
-                    yield from _flush(held, bits)
+                    yield from _flush(held, bits, slots)
                     held, size = [], 0
         if held:
-            yield from _flush(held, bits)
+            yield from _flush(held, bits, slots)
 
     return counted
 
 
-def _flush(held: list[tuple[np.ndarray, np.ndarray]], bits: int) -> Iterator[pa.RecordBatch]:
+def _flush(held: list[tuple[np.ndarray, np.ndarray]], bits: int, slots: list[int]) -> Iterator[pa.RecordBatch]:
     """One row for each range: its pairs by first word, the second words as numbers in a dictionary beside."""
     a, b = (np.concatenate(x) for x in zip(*held, strict=True))
     held.clear()
@@ -181,14 +190,14 @@ def _flush(held: list[tuple[np.ndarray, np.ndarray]], bits: int) -> Iterator[pa.
         if at.stop > at.start:
             words, code = np.unique(b[at], return_inverse=True)
             by_first = np.argsort(a[at], kind="stable")
-            yield _rows([(p, _pack(a[at][by_first], _narrow(code[by_first]), _narrow(n[at][by_first])), _pack(words))], ["part", "blob", "words"])
+            yield _rows([(slots[p], _pack(a[at][by_first], _narrow(code[by_first]), _narrow(n[at][by_first])), _pack(words))], ["slot", "blob", "words"])
 
 
-def _pairs_of_range(folder: str, bits: int):
+def _pairs_of_range(folder: str, bits: int, slots: list[int]):
     """Adds up a range's pairs, writes its file, and sends what its words need, by the words' ranges."""
 
     def added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = key[0].as_py()
+        part = slots.index(key[0].as_py())
         now = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)]
         waiting: list[list[np.ndarray]] = []
         size = 0
@@ -222,8 +231,8 @@ def _pairs_of_range(folder: str, bits: int):
         columns = [np.concatenate([c, zeros(follows)]) for c in followed[1:]] + [np.concatenate([zeros(followed), c]) for c in follows[1:]]
         word, *columns = _summed(word, *columns)
         for p, blob in _dealt(word, bits, *(_narrow(c) for c in columns)):
-            yield _rows([(0, p, blob)], ["kind", "part", "blob"])
-        yield _rows([(1, 0, _pack(np.arange(1, 5, dtype=np.uint64), np.array([int((n == i).sum()) for i in range(1, 5)]))), (2, 0, _pack(np.zeros(1, np.uint64), np.array([len(n)])))], ["kind", "part", "blob"])
+            yield _rows([(0, slots[p], blob)], ["kind", "slot", "blob"])
+        yield _rows([(1, 0, _pack(np.arange(1, 5, dtype=np.uint64), np.array([int((n == i).sum()) for i in range(1, 5)]))), (2, 0, _pack(np.zeros(1, np.uint64), np.array([len(n)])))], ["kind", "slot", "blob"])
 
     return added
 
@@ -233,11 +242,11 @@ def _narrow(c: np.ndarray) -> np.ndarray:
     return c.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def _words_of_range(folder: str):
+def _words_of_range(folder: str, slots: list[int]):
     """Adds up a range's words and writes its file; returns its totals."""
 
     def added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = key[0].as_py()
+        part = slots.index(key[0].as_py())
         now: tuple[np.ndarray, ...] | None = None
         for batch in batches:
             got = [_unpack(x.as_py()) for x in batch.column(batch.schema.get_field_index("blob"))]
@@ -275,9 +284,10 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     folder = f"{shared_dir(spark).rstrip('/')}/ngram-lm-{uuid.uuid4().hex}"
     size = docs.select(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1.0, size / RANGE_BYTES)))))
-    counted = docs.select(F.col(text).alias("t")).mapInArrow(_counter(bits), "part long, blob binary, words binary")
     n = 1 << bits
-    gathered = counted.repartition(n, "part").groupBy("part").applyInArrow(_pairs_of_range(folder, bits), "kind int, part long, blob binary")
+    slots = _slots(spark, n)
+    counted = docs.select(F.col(text).alias("t")).mapInArrow(_counter(bits, slots), "slot long, blob binary, words binary")
+    gathered = counted.repartition(n, "slot").groupBy("slot").applyInArrow(_pairs_of_range(folder, bits, slots), "kind int, slot long, blob binary")
     kept = _kept(gathered, folder)
     c = [0] * 4
     pairs = 0
@@ -287,7 +297,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
             c = [x + int(y) for x, y in zip(c, values, strict=True)]
         else:
             pairs += int(values[0])
-    totals = kept.where("kind = 0").select("part", "blob").repartition(n, "part").groupBy("part").applyInArrow(_words_of_range(folder), ", ".join(f"{x} long" for x in _TOTALS))
+    totals = kept.where("kind = 0").select("slot", "blob").repartition(n, "slot").groupBy("slot").applyInArrow(_words_of_range(folder, slots), ", ".join(f"{x} long" for x in _TOTALS))
     t = totals.agg(*[F.sum(x).alias(x) for x in _TOTALS]).first()
     get = lambda x: int(t[x] or 0)
     lower = discounts([get(f"c{i}") for i in range(1, 5)])
@@ -440,6 +450,11 @@ class Scorer:
         self.pairs.close()
 
 
+def perplexity(lm: Column) -> Column:
+    """Of the struct that score() adds; infinite beyond the range of doubles."""
+    return F.pow(F.lit(10.0), -lm["score"] / lm["n_tokens"])
+
+
 _RESULT = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
 

@@ -93,7 +93,7 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     lm = F.col("lm")
     return ngram_lm.score(docs, model).select(
         "doc_id", held.alias("held_out"), lm["n_tokens"].alias("n_tokens"), lm["n_known"].alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        lm["base_score"].alias("base_score"), lm["score"].alias("score"),
+        lm["base_score"].alias("base_score"), lm["score"].alias("score"), ngram_lm.perplexity(lm).alias("perplexity"),
     )
 
 

@@ -361,6 +361,16 @@ def test_media_query(spark, tables):
     assert queries.op7_media(spark, tables(documents=([], DOC))).count() == 0
 
 
+def test_tiles_are_written(spark, tmp_path):
+    pixels = np.random.default_rng(1).integers(0, 256, (30, 40), np.uint8)
+    images = spark.createDataFrame([(1, media.encode_pgm(pixels)), (2, b"no image"), (3, None)], "doc_id long, media binary")
+    media.write_tiles(media.media_features(images), str(tmp_path / "tiles"))
+    rows = spark.read.parquet(str(tmp_path / "tiles")).collect()
+    assert [r["doc_id"] for r in rows] == [1]
+    tile = media.read_tile(rows[0]["tile"])
+    assert tile.shape == (9, 9) and np.allclose(tile, media.area_resize(pixels, 9, 9), rtol=1e-5) and rows[0]["dhash"] == media.difference_hash(media.area_resize(pixels, 9, 9))
+
+
 def test_images_decode():
     rng = np.random.default_rng(0)
     grey, colour = rng.integers(0, 256, (5, 7), np.uint8), rng.integers(0, 256, (5, 7, 3), np.uint8)
@@ -442,7 +452,7 @@ def test_language_model_query(spark, tables, monkeypatch):
     for (k, *_), (n, known, total, base, score) in zip(rows, want, strict=True):
         r = got[k]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(k), n, known, total)
-        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
+        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score) and r["perplexity"] == pytest.approx(10 ** (-score / n))
 
 
 def test_language_model_of_nothing(spark, tables):
