@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proseplane.llm.common import words_of
+from proseplane.llm.common import bounded, words_of
 
 
 @dataclass(frozen=True)
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     n = labels.count()
     u = (F.xxhash64("_k", F.lit(29)) / F.lit(2.0**64)) + F.lit(0.5)
     chosen = labels.where(u < min(1.0, config.sample_rows / max(n, 1))).limit(2 * config.sample_rows)  # so many at most
-    rows = docs.select(F.col(doc_id).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_k").limit(4 * config.sample_rows)
+    rows = bounded(docs.select(F.col(doc_id).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_k"), 4 * config.sample_rows)
     data = np.array(sorted((r[0], *r[1]) for r in rows.select("_y", statistics("_t")).collect()), np.float64).reshape(-1, len(STATISTICS) + 1)
     return learn(data[:, 1:], data[:, 0], config)
 
