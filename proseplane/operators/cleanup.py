@@ -41,4 +41,4 @@ def dimension(spark, buckets: dict = book.REPLACEMENTS) -> DataFrame:
 def leftovers(docs: DataFrame, text: str, key: str = "doc_id", buckets: dict = book.REPLACEMENTS) -> DataFrame:
     """(key, old): the keys that a text still contains."""
     olds = F.array(*[F.when(F.contains(F.col(text), F.lit(a)), F.lit(a)) for _, a, _ in ordered_pairs(buckets)])
-    return docs.select(key, F.explode(F.filter(olds, lambda x: x.isNotNull())).alias("old"))
+    return docs.select(key, F.explode_outer(F.filter(olds, lambda x: x.isNotNull())).alias("old")).where("old is not null")

@@ -90,8 +90,12 @@ def lm_features(docs: DataFrame, model: LanguageModel, key: str = "doc_id") -> D
     words = F.flatten(F.transform("f_sentences", lambda s, i: F.transform(s, lambda w: F.struct(w.alias("w"), i.alias("s")))))
     base = docs.select(key, F.size("f_sentences").alias("sents"), words.alias("t"))
     n = F.size("t")
-    pairs = F.when(n >= 2, F.transform(F.slice("t", 1, n - 1), lambda a, i: F.struct(a["w"].alias("w1"), F.get("t", i + 1)["w"].alias("w2"), F.get("t", i + 1)["s"].alias("s"), (a["s"] == F.get("t", i + 1)["s"]).alias("own"))))
-    rows = base.select(key, "sents", n.alias("n"), F.explode(pairs).alias("p")).select(key, "sents", "n", "p.*")
+
+    def pair(a: Column, b: Column) -> Column:
+        return F.struct(a["w"].alias("w1"), b["w"].alias("w2"), b["s"].alias("s"), (a["s"] == b["s"]).alias("own"))
+
+    pairs = F.when(n >= 2, F.zip_with(F.slice("t", 1, n - 1), F.slice("t", 2, n - 1), pair))
+    rows = base.select(key, "sents", n.alias("n"), F.explode_outer(pairs).alias("p")).where("p is not null").select(key, "sents", "n", "p.*")
     rows = model.log_probabilities(rows)
     each = rows.groupBy(key, "sents", "n", "s").agg(F.sum("lp").alias("all_lp"), F.count("*").alias("all_n"), F.sum(F.when(F.col("own"), F.col("lp"))).alias("own_lp"), F.count(F.when(F.col("own"), F.lit(1))).alias("own_n"))
     mean = F.when(F.col("own_n") >= 2, F.col("own_lp") / F.col("own_n"))

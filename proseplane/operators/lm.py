@@ -14,7 +14,8 @@ BIGRAMS = 500_000
 
 def unigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(token, cnt) over all texts."""
-    return docs.select(F.explode(T.tokens(F.coalesce(F.col(text), F.lit("")))).alias("token")).groupBy("token").agg(F.count("*").alias("cnt"))
+    rows = docs.select(F.explode_outer(T.tokens(F.coalesce(F.col(text), F.lit("")))).alias("token"))  # see rules.long_form
+    return rows.where("token is not null").groupBy("token").agg(F.count("*").alias("cnt"))
 
 
 def pairs(words: Column) -> Column:
@@ -26,7 +27,8 @@ def pairs(words: Column) -> Column:
 def bigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(w1, w2, cnt) over all texts; pairs don't cross texts."""
     words = docs.select(T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    return words.select(F.explode(pairs(F.col("t"))).alias("p")).groupBy("p.w1", "p.w2").agg(F.count("*").alias("cnt"))
+    rows = words.select(F.explode_outer(pairs(F.col("t"))).alias("p")).where("p is not null")
+    return rows.groupBy("p.w1", "p.w2").agg(F.count("*").alias("cnt"))
 
 
 def top(counts: DataFrame, k: int, order: list[str]) -> DataFrame:

@@ -30,7 +30,8 @@ def phrase_documents(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
     """(phrase, df): in how many texts each n-gram of tokens occurs."""
     words = docs.select(T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     grams = F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.array_join(F.slice("t", i, n), " ")))
-    return words.select(F.explode(F.array_distinct(grams)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("df"))
+    rows = words.select(F.explode_outer(F.array_distinct(grams)).alias("phrase"))  # see rules.long_form
+    return rows.where("phrase is not null").groupBy("phrase").agg(F.count("*").alias("df"))
 
 
 def phrase_ratios(target: DataFrame, other: DataFrame, n: int, text: str = "text", least: int = 80) -> DataFrame:

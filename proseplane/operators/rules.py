@@ -97,26 +97,35 @@ def _any_of(patterns: list[str]) -> str:
 
 
 def _gates(rules: book.RuleSet) -> tuple[str, str, str]:
-    """Expressions that match every piece between blanks with a hit of a word rule, every text with one of a
-    phrase rule, and every lower-case text with one of a pretence rule (by what its patterns begin with)."""
+    """Expressions that match every piece between blanks with a hit of a word rule, the longest phrase of any
+    rule at each place of a text, and every lower-case text with a hit of a pretence rule (its beginning)."""
     words = _any_of([re.escape(w) for r in rules.words for w in r.patterns])
-    phrases = T.FLAGS + _any_of([f"{T.BLANK}+".join(map(re.escape, p.split(" "))) for r in rules.phrases for p in r.patterns])
+    every = sorted((p for r in rules.phrases for p in r.patterns), key=len, reverse=True)
+    phrases = T.FLAGS + "(?=(" + _any_of([f"{T.BLANK}+".join(map(re.escape, p.split(" "))) for p in every]) + "))"
     begins = {re.split(r"[(\\.*+?|{^$]", p.removeprefix(r"\b"))[0].rstrip() if p.startswith(r"\b") else "" for r in rules.pretence for p in r.patterns}
     return words, phrases, "(?Ud)" + ("" if "" in begins else r"\b") + "(?:" + "|".join(sorted(begins)) + ")"
 
 
 def _listed(docs: DataFrame, strict: bool, rules: book.RuleSet) -> tuple[DataFrame, list[Column]]:
-    """Word rules read only the pieces that hold a listed word; phrase rules only texts that hold a phrase."""
+    """Word rules read only the pieces that hold a listed word; phrase rules only texts that hold one of theirs.
+
+    One pass finds the longest phrase at each place; a shorter one that begins it may be another rule's.
+    """
     in_piece, in_text, _ = _gates(rules)
     pieces = F.array_join(F.filter(F.split("p_lower", " ", -1), lambda w: F.rlike(w, F.lit(in_piece))), " ")
-    docs = docs.withColumns({"p_pieces": pieces, "p_phrases": F.rlike("p_lower", F.lit(in_text))})
+    found = F.transform(F.regexp_extract_all("p_lower", F.lit(in_text), F.lit(1)), lambda x: F.regexp_replace(x, f"{T.FLAGS}{T.BLANK}+", " "))
+    docs = docs.withColumns({"p_pieces": pieces, "p_phrases": F.array_distinct(found)})
+    every = [p for r in rules.phrases for p in r.patterns]
     counts, out = {}, []
     for category, group in (("blacklist_words", rules.words), ("blacklist_phrases", rules.phrases)):
         for r in group:
             n = f"n_{r.name}"
             phrases = category == "blacklist_phrases"
             hits = list_hits(r, F.col("p_lower" if phrases or any(" " in w for w in r.patterns) else "p_pieces"), phrases, strict)
-            counts[n] = F.when(F.col("p_phrases"), hits).otherwise(F.lit(0)) if phrases else hits
+            if phrases:
+                may = F.array(*[F.lit(p) for p in every if any(p.startswith(q) for q in r.patterns)])
+                hits = F.when(F.arrays_overlap("p_phrases", may), hits).otherwise(F.lit(0))
+            counts[n] = hits
             sample = first_hit(r, F.col("p_body"), phrases, strict)
             out.append(_violation(category, r.name, r.weight, F.col(n), sample, r.hard, ladder(F.col(n), r.weight, r.soft, r.hard), F.col(n) > 0))
     return docs.withColumns(counts), out

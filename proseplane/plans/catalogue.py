@@ -129,7 +129,7 @@ def violations_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def top_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = _scored(spark, sf_dir).select("doc_id", F.slice(rules.by_severity(F.col("violations")), 1, 5).alias("v"))
-    return top.select("doc_id", F.posexplode("v").alias("p", "v")).select("doc_id", (_long("p") + 1).alias("place"), F.col("v.rule").alias("rule"), scaled(F.col("v.score")).alias("score"))
+    return top.select("doc_id", F.posexplode_outer("v").alias("p", "v")).where("v is not null").select("doc_id", (_long("p") + 1).alias("place"), F.col("v.rule").alias("rule"), scaled(F.col("v.score")).alias("score"))
 
 
 def rollup_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
