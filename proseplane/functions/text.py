@@ -62,6 +62,15 @@ def lower_folded(s: Column) -> Column:
     return F.lower(s)
 
 
+def once(c: Column) -> Column:
+    """c, marked as non-deterministic, so that it is evaluated where it stands.
+
+    The optimiser would else write it out again in every filter that is pushed below it. Filters on other
+    columns stop there too: filter documents before scoring them.
+    """
+    return F.when(F.rand(0) >= 0, c)
+
+
 def mean(values: Column) -> Column:
     """Of an array of numbers; null if it is empty."""
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(values), F.lit(0))
@@ -69,8 +78,15 @@ def mean(values: Column) -> Column:
 
 def variation(values: Column) -> Column:
     """Population standard deviation over mean; 0 for under two values or mean 0."""
-    of = F.element_at(F.transform(F.array(mean(values)), lambda m: F.when(m != 0, F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(values)) / m)), 1)
-    return F.when(F.size(values) >= 2, F.coalesce(of, F.lit(0.0))).otherwise(F.lit(0.0))
+
+    def spread(v: Column, m: Column) -> Column:
+        return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(v))
+
+    def of(v: Column) -> Column:
+        bound = F.transform(F.array(mean(v)), lambda m: F.when(m != 0, spread(v, m) / m))
+        return F.when(F.size(v) >= 2, F.coalesce(F.element_at(bound, 1), F.lit(0.0))).otherwise(F.lit(0.0))
+
+    return F.when(values.isNotNull(), F.element_at(F.transform(F.array(values), of), 1)).otherwise(F.lit(0.0))
 
 
 def word_pattern(words: tuple[str, ...], strict: bool = False) -> str:

@@ -58,7 +58,7 @@ def mattr(words: Column, window: int = WINDOW) -> Column:
 def text_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the features that need no language model, word_count, and the arrays f_tokens and f_sentences."""
     t = F.coalesce(F.col(text), F.lit(""))
-    docs = docs.withColumns({"f_tokens": T.tokens(t), "f_sentences": F.transform(T.sentences(t), T.tokens), "f_paragraphs": F.transform(T.paragraphs(t), T.tokens)})
+    docs = docs.withColumns({"f_tokens": T.once(T.tokens(t)), "f_sentences": F.transform(T.sentences(t), T.tokens), "f_paragraphs": F.transform(T.paragraphs(t), T.tokens)})
     n = F.size("f_tokens")
     per = lambda c, k: F.when(n > 0, c * F.lit(float(k)) / n).otherwise(F.lit(0.0))
     lengths = F.transform("f_sentences", lambda s: F.size(s).cast("double"))

@@ -53,7 +53,7 @@ def rhythm_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.transform(T.sentences(t), lambda s: T.token_count(s).cast("double")), lambda n: n > 0)
     lengths = F.transform(T.paragraphs(t), lambda p: F.length(p).cast("double"))
-    docs = docs.withColumns({"_w": words, "_l": lengths})
+    docs = docs.withColumns({"_w": T.once(words), "_l": lengths})
     enough = F.size("_w") >= 3
     return docs.withColumns({
         "sentence_cv": F.when(enough, T.variation(F.col("_w"))),

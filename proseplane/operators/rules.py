@@ -210,7 +210,7 @@ def violations(docs: DataFrame, text: str = "text", has_notes: Column | None = N
     docs, signals = _signals(docs, ruleset)
     none = F.lit(None).cast(VIOLATION)
     found = F.filter(F.array(none, *listed, *_structural(ruleset), *_rhythm(ruleset), *pretence, *signals), lambda v: v.isNotNull())
-    return docs.withColumn("violations", F.when(F.col("p_blank"), F.array().cast(f"array<{VIOLATION}>")).otherwise(found))
+    return docs.withColumn("violations", T.once(F.when(F.col("p_blank"), F.array().cast(f"array<{VIOLATION}>")).otherwise(found)))
 
 
 def scored(docs: DataFrame, text: str = "text", has_notes: Column | None = None, strip_code: bool = True, strict: bool = False, ruleset: book.RuleSet = book.DEFAULT) -> DataFrame:

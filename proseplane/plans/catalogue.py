@@ -13,7 +13,7 @@ from proseplane.functions import text as T
 from proseplane.operators import cleanup, features, gates, lm, mining, polish, prompts, rules
 from proseplane.plans import oracle
 from proseplane.shipping import shipped
-from proseplane.sources import probe
+from proseplane.sources import probe, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,11 +28,11 @@ def _long(c: Column | str) -> Column:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return tables.documents(spark, sf_dir)
 
 
 def _model(spark: SparkSession, sf_dir: str) -> lm.LanguageModel:
-    return lm.LanguageModel.train(_documents(spark, sf_dir).where("lang = 'en'").select("text"))
+    return lm.LanguageModel.train(_english(spark, sf_dir))
 
 
 def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def _text_featured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _by_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return _documents(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id")
+    return tables.spread(tables.table(spark, sf_dir, "documents").select("doc_id", "text")).join(labels, "doc_id")
 
 
 # ---- segmentation -------------------------------------------------------------------------------------------
@@ -141,7 +141,7 @@ def rollup_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).where("lang = 'en'").select("text")
+    return tables.spread(tables.table(spark, sf_dir, "documents").where("lang = 'en'").select("text"))
 
 
 def lm_unigrams_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

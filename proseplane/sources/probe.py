@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proseplane.functions import rulebook as book
 from proseplane.operators.cleanup import ordered_pairs
+from proseplane.sources import tables
 
 EXTRA = ("in my experience", "based on my experience", "i've found that", "trust me,x", "i can assure you", "for the past 10 years", "i firmly believe that")
 APPEND_1 = " In 2024 Alice Smith met Bob Jones with 42 people, but it failed."
@@ -39,4 +40,5 @@ def probe(docs: DataFrame, phrases: list[str] | None = None) -> DataFrame:
 
 
 def load(spark: SparkSession, sf_dir: str, cleanup: bool = False) -> DataFrame:
-    return probe(spark.read.parquet(f"{sf_dir}/documents.parquet"), cleanup_tells() if cleanup else None)
+    rows = tables.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text", "source", "lang")
+    return probe(tables.spread(rows), cleanup_tells() if cleanup else None)
