@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proseplane.sources import tables
+
 #: Runs of characters other than the six ASCII blanks (\x20, \x09 to \x0D).
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; documents of fewer partitions than there are cores are dealt over all cores."""
+    return tables.documents(spark, sf_dir) if name == "documents" else tables.table(spark, sf_dir, name)
 
 
 def id_bucket(key: str | Column, n: int) -> Column:
