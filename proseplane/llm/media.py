@@ -133,8 +133,16 @@ def pack(text: str | None) -> tuple[int, bytes]:
 @F.arrow_udf(T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
 def _packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
-        rows = [pack(t.as_py()) for t in texts]
-        yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["n_bytes", "media"])
+        sizes: list[int] = []
+
+        def stored(texts: pa.Array = texts, sizes: list[int] = sizes) -> Iterator[bytes]:
+            for t in texts:
+                n, data = pack(t.as_py())
+                sizes.append(n)
+                yield data
+
+        media = pa.array(stored(), pa.binary(), size=len(texts))  # one image at a time beside the array itself
+        yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), media], ["n_bytes", "media"])
 
 
 _FEATURES = [("width", pa.int32()), ("height", pa.int32()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("dhash", pa.string()), ("tile", pa.binary()), ("error", pa.string())]
