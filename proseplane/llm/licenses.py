@@ -232,11 +232,10 @@ def gate(model: Model) -> str:
     return r"(?<![\p{L}\p{N}])(?:" + "|".join("[0-9]+" if w == "9" else w.replace("9", "[0-9]+") for w in model.anchors) + r")(?![\p{L}\p{N}])"
 
 
-def classified(paragraph: Column, model: Model) -> Column:
-    """struct<family, score, confirmed> of a paragraph."""
+def classified(words: Column, model: Model) -> Column:
+    """struct<family, score, words> of a paragraph's words."""
     k = len(model.families)
     weights = _literal_map(model.weights)
-    words = tokens(paragraph)
 
     def of(words: Column) -> Column:
         vectors = F.filter(F.transform(grams(words), lambda g: F.element_at(weights, g)), lambda v: v.isNotNull())
@@ -251,33 +250,130 @@ def classified(paragraph: Column, model: Model) -> Column:
     return F.element_at(F.transform(F.array(words), of), 1)
 
 
-def covers(words: Column, family: Column, coverage: float) -> Column:
-    """Whether the words hold enough pairs of one notice of the family, or are themselves mostly from one."""
+def coverage_of(words: Column, family: Column) -> Column:
+    """The greatest share of the pairs of one notice of the family that the words hold."""
     own = pairs(words)
-    tests = None
+    shares = None
     for name, notices in TEMPLATES.items():
-        hit = None
-        for n in notices:
-            of = sorted(_pairs(_tokens(n)))
-            both = F.size(F.array_intersect(own, F.array(*map(F.lit, of))))
-            one = both >= F.lit(coverage * len(of))
-            hit = one if hit is None else hit | one
-        tests = F.when(family == name, hit) if tests is None else tests.when(family == name, hit)
-    return F.coalesce(tests, F.lit(False))
+        of = [sorted(_pairs(_tokens(n))) for n in notices]
+        best = F.greatest(F.lit(0.0), *[F.size(F.array_intersect(own, F.array(*map(F.lit, n)))) / F.lit(float(len(n))) for n in of])
+        shares = F.when(family == name, best) if shares is None else shares.when(family == name, best)
+    return F.coalesce(shares, F.lit(0.0))
+
+
+def _with(x: Column, f) -> Column:
+    """f(x) with x evaluated once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+#: Words of a wrapped notice behind its first line: twice the longest notice, so that it may hold other words.
+REACH = 2 * max(len(_tokens(n)) for ns in TEMPLATES.values() for n in ns)
+
+
+def _covering(words: Column, coverage: float) -> Column:
+    """Whether the words hold enough pairs of any notice."""
+    of = [sorted(_pairs(_tokens(n))) for ns in TEMPLATES.values() for n in ns]
+    least = min(int(np.ceil(coverage * len(n))) for n in of)
+    known = F.array_intersect(pairs(words), F.array(*[F.lit(p) for p in sorted({p for n in of for p in n})]))
+
+    def some(known: Column) -> Column:
+        hit = F.lit(False)
+        for n in of:
+            hit = hit | (F.size(F.array_intersect(known, F.array(*map(F.lit, n)))) >= F.lit(coverage * len(n)))
+        return (F.size(known) >= least) & hit
+
+    return _with(known, some)
+
+
+def _windows(lines: Column, gated: Column, coverage: float) -> Column:
+    """Runs of neighbouring lines with words (struct<first, last, words>) near the gated ones, of two lines or more.
+
+    A run goes on while the lines behind its first have fewer than REACH words, so however a notice is wrapped,
+    one run begins and ends with its lines. Of the first and last line only the REACH words next to the others
+    are in it. Where the longest run from a line covers no notice, no shorter one does; these are left out.
+    """
+
+    def starting(of: Column, first: Column) -> Column:
+        head = F.get(of, first)
+        head = F.slice(head, F.greatest(F.size(head) - REACH + 1, F.lit(1)), REACH)
+
+        def step(a: Column, at: Column) -> Column:
+            def joined(line: Column) -> Column:
+                longer = F.struct(F.lit(True).alias("open"), (a["behind"] + F.size(line)).alias("behind"), at.alias("last"), F.concat(a["words"], F.slice(line, 1, REACH)).alias("words"))
+                shut = F.struct(F.lit(False).alias("open"), a["behind"].alias("behind"), a["last"].alias("last"), a["words"].alias("words"))
+                return F.when((F.size(line) > 0) & (a["behind"] < REACH), longer).otherwise(shut)
+
+            return F.when(a["open"], _with(F.get(of, at), joined)).otherwise(a)
+
+        def shorter(a: Column) -> Column:
+            def run(last: Column) -> Column:
+                behind = F.flatten(F.transform(F.sequence(first + 1, last), lambda at: F.slice(F.get(of, at), 1, REACH)))
+                return F.struct(first.alias("first"), last.alias("last"), F.concat(head, behind).alias("words"))
+
+            none = F.expr("cast(array() as array<struct<first:int,last:int,words:array<string>>>)")
+            return F.when((a["last"] > first) & _covering(a["words"], coverage), F.transform(F.sequence(first + 1, a["last"]), run)).otherwise(none)
+
+        zero = F.struct((F.size(head) > 0).alias("open"), F.lit(0).alias("behind"), first.alias("last"), head.alias("words"))
+        ats = F.slice(F.sequence(first, F.least(first + REACH, F.size(of) - 1)), 2, REACH)
+        return _with(F.aggregate(ats, zero, step), shorter)
+
+    # a gated line of a run is at most REACH lines from its first
+    starts = F.array_distinct(F.flatten(F.transform(gated, lambda g: F.sequence(F.greatest(g - REACH, F.lit(0)), g))))
+    return _with(F.transform(lines, tokens), lambda of: F.flatten(F.transform(starts, lambda first: starting(of, first))))
+
+
+def _chosen(single: Column, wrapped: Column) -> Column:
+    """The hits that stay: all single lines, then runs by coverage, then shortness, that share no line with those before.
+
+    Runs of different families may share the line in which one ends and the other begins.
+    """
+
+    def step(a: Column, x: Column) -> Column:
+        def clash(y: Column) -> Column:
+            joint = (y["first"] < y["last"]) & (y["family"] != x["family"]) & ((y["last"] == x["first"]) | (y["first"] == x["last"]))
+            return (y["first"] <= x["last"]) & (x["first"] <= y["last"]) & ~joint
+
+        return F.when(F.exists(a, clash), a).otherwise(F.concat(a, F.array(x)))
+
+    return F.aggregate(F.array_sort(wrapped), single, step)
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with the column `licences`: array of (paragraph number, family, score), in order.
 
-    Paragraphs are the lines of the whole text, numbered from 0. An entry is a line for which the classifier
-    passes its threshold and the notice confirms it; other lines are unknown. Null and empty texts have none.
-    A column of that name is replaced.
+    Lines of the whole text are numbered from 0. An entry is a line, or a run of neighbouring lines as of a
+    hard-wrapped notice, numbered by its first line, for which the classifier passes its threshold and the
+    notice confirms it; what else there is is unknown. A line without letters and digits ends a run. Null and
+    empty texts have none. A column of that name is replaced.
     """
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("paragraph"), x.alias("line"))), lambda x: F.rlike(F.lower(x["line"]), F.lit(gate(model))))
 
-    def judged(x: Column) -> Column:
-        return F.struct(x["paragraph"].alias("paragraph"), classified(x["line"], model).alias("c"))
+    def hit(x: Column) -> Column:
+        """A hit (rank first, for _chosen), or null."""
+
+        def judged(c: Column) -> Column:
+            def ranked(share: Column) -> Column:
+                found = F.struct((-share).alias("rank"), (x["last"] - x["first"]).alias("more"), x["first"].alias("first"), x["last"].alias("last"), c["family"].alias("family"), c["score"].alias("score"))
+                return F.when(share >= model.coverage, found)
+
+            return F.when(c["score"] >= model.threshold, _with(coverage_of(c["words"], c["family"]), ranked))
+
+        return _with(classified(x["words"], model), judged)
+
+    def found(of: Column) -> Column:
+        gated = F.filter(F.transform(of, lambda x, i: F.struct(i.alias("first"), i.alias("last"), x.alias("line"))), lambda x: F.rlike(F.lower(x["line"]), F.lit(gate(model))))
+
+        def both(gated: Column) -> Column:
+            single = F.transform(gated, lambda x: F.struct(x["first"], x["last"], tokens(x["line"]).alias("words")))
+            wrapped = _windows(of, F.transform(gated, lambda x: x["first"]), model.coverage)
+            hits = F.filter(F.transform(F.concat(single, wrapped), hit), lambda x: x.isNotNull())
+            return _with(hits, entries)
+
+        def entries(hits: Column) -> Column:
+            chosen = _chosen(F.filter(hits, lambda x: x["more"] == 0), F.filter(hits, lambda x: x["more"] > 0))
+            return F.array_sort(F.transform(chosen, lambda x: F.struct(x["first"].alias("paragraph"), x["family"].alias("family"), x["score"].alias("score"))))
+
+        none = F.expr("cast(array() as array<struct<paragraph:int,family:string,score:double>>)")
+        return _with(gated, lambda gated: F.when(F.size(gated) > 0, both(gated)).otherwise(none))
 
-    hits = F.filter(F.transform(numbered, judged), lambda x: (x["c"]["score"] >= model.threshold) & covers(x["c"]["words"], x["c"]["family"], model.coverage))
-    return docs.withColumn("licences", F.transform(hits, lambda x: F.struct(x["paragraph"], x["c"]["family"].alias("family"), x["c"]["score"].alias("score"))))
+    return docs.withColumn("licences", _with(lines, found))

@@ -196,6 +196,25 @@ def test_licences_in_long_documents(spark, licence_model):
     assert [(x["paragraph"], x["family"]) for x in found] == [(400, "MIT"), (402, "CC-BY-NC")] and all(0.5 <= x["score"] <= 1 for x in found)
 
 
+WRAPPED = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights",
+    "BSD": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:",
+    "GPL": " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or",
+    "Apache-2.0": "Licensed under the\nApache License,\nVersion 2.0.",
+}
+
+
+def test_hard_wrapped_licences(spark, licence_model):
+    around = "the thing of the er\nand to {}\nthe thing is to\n" + "\n\nunder the thing" * 3
+    texts = [*WRAPPED.values(), *[around.format("\n" + w) for w in WRAPPED.values()], *["\n".join(licenses._tokens(w)) for w in WRAPPED.values()], *[w.replace("\n", "\r\n") for w in WRAPPED.values()]]
+    texts += ["\n\n".join(WRAPPED.values()), WRAPPED["MIT"].replace("\n", "\n\n"), "license\n" * 1_000]
+    got = [r["licences"] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), licence_model).orderBy("doc_id").collect()]
+    for k, found in enumerate(got[: 4 * len(WRAPPED)]):
+        assert [x["family"] for x in found] == [list(WRAPPED)[k % len(WRAPPED)]], texts[k]
+    assert [x["paragraph"] for x in got[0]] == [0]
+    assert [x["family"] for x in got[-3]] == list(WRAPPED) and got[-2] == got[-1] == []
+
+
 def test_anchors_miss_no_covering_paragraph(licence_model):
     """Any choice of enough pairs of a notice holds an anchor."""
     rng = random.Random(9)
