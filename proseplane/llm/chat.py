@@ -1,6 +1,6 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
-A conversation's turns (of a block) lie one after another on a line of tokens; the prefix sums of their sizes are their
+A conversation's turns lie one after another on a line of tokens; the prefix sums of their sizes are their
 places. The line is cut into cells of equal length. Turns inside a cell form a window; a turn across a
 boundary joins the window of the cell in which it ends where that fits, else it is a window of its own. So
 windows hold whole turns, and their own turns take at most a cell or are one longer turn. Each window but
@@ -19,8 +19,8 @@ BUDGET = 1024
 HISTORY = 256
 #: Tokens that the marks of a turn take.
 OVERHEAD = 3
-#: Turn numbers of one line of tokens. Longer conversations go on in the next block, which begins with the
-#: system turn and without other history, so that one conversation of any length spreads over tasks.
+#: Turn numbers that share a partial prefix sum, so that one long conversation spreads over tasks. Windows and
+#: history don't depend on it.
 BLOCK = 1024
 OPEN, SEPARATOR, CLOSE = "### ", ": ", "</turn>\n"
 
@@ -47,54 +47,51 @@ def rendered(turn: Column) -> Column:
 
 
 def format_windows(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = BUDGET, history: int = HISTORY, tokens=words_of) -> DataFrame:
-    """One row for each window: conv_id, first_turn, start, formatted, loss_spans, n_repeated, n_turns.
+    """One row for each window: conv_id, start, formatted, loss_spans, n_repeated, n_turns.
 
-    A conversation's windows are in the order of first_turn (that of their block, null first) and start (place
-    of their first own turn in the block). loss_spans are (first code point, length) in formatted; the first
+    A conversation's windows are in the order of start (place of their first own turn on the line of tokens).
+    loss_spans are (first code point, length) in formatted; the first
     n_repeated turns are repeated context. Turns are in the order of turn (null first), role, text; null roles
     and texts are empty; repeated rows are turns of their own; a null conv_id is a conversation. A system turn
     counts as such in the first place. A window takes at most `budget` tokens (words and OVERHEAD for each
     turn) unless one turn alone is longer than what history and system turn leave, or these leave under a
     quarter. Other columns are ignored; no rows give no windows.
 
-    Texts are shuffled once, by conversation and block; all windows below need no other partitioning.
+    Texts are shuffled by block for their places, by cell and by window, never by conversation.
     """
     c = turns.select(
         F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"),
         F.concat(F.when(F.col(conv_id).isNull(), F.lit("n")).otherwise(F.lit("v")), F.coalesce(F.col(conv_id).cast("string"), F.lit(""))).alias("conv"),
         F.coalesce(F.floor(F.col(turn) / BLOCK).cast("string"), F.lit("null")).alias("block"),
     ).withColumn("t", (tokens(F.col("text")) + F.lit(OVERHEAD)).cast("long"))
-    # one mark for each block but a conversation's first, with its system turn if it begins with one
     system = F.col("role") == "system"
-    heads = c.groupBy("conv", "conv_id", "block").agg(F.min(F.struct("turn", "role", F.when(system, F.col("text")).alias("text"), "t")).alias("head"))
-    line = Window.partitionBy("conv").orderBy("head.turn")
-    marks = heads.withColumns({"lead": F.first("head").over(line), "nth": F.row_number().over(line)}).where("nth > 1")
-    leads = F.col("lead.role") == "system"
-    marks = marks.select("conv_id", F.col("head.turn").alias("turn"), F.when(leads, F.col("lead.role")).alias("role"), F.when(leads, F.col("lead.text")).alias("text"), "conv", "block", F.when(leads, F.col("lead.t")).otherwise(F.lit(0)).cast("long").alias("t"))
-    c = c.withColumn("mark", F.lit(False)).unionByName(marks.withColumn("mark", F.lit(True)))
-
-    part = Window.partitionBy("conv", "block")
-    inside = part.orderBy(F.desc("mark"), "turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = c.withColumns({"upto": F.sum("t").over(inside), "n": F.row_number().over(inside), "all": F.sum("t").over(part), "later": F.max("mark").over(part), "first_turn": F.min("turn").over(part)})
-    c = c.withColumn("is_lead", F.col("mark") | (~F.col("later") & (F.col("n") == 1) & (F.col("role") == "system")))
-    c = c.withColumn("lead", F.sum(F.when(F.col("is_lead"), F.col("t")).otherwise(F.lit(0))).over(part))
-    c = c.withColumns({"q": F.col("upto") - F.col("t") - F.col("lead"), "stride": F.greatest(F.lit(budget - history) - F.col("lead"), F.lit(budget // 4))})
+    heads = F.min(F.struct("turn", "role", F.when(system, F.col("text")).alias("text"), "t"))
+    blocks = c.groupBy("conv", "block").agg(F.sum("t").alias("total"), F.min("turn").alias("low"), heads.alias("head"))
+    line = Window.partitionBy("conv").orderBy("low")
+    first = F.first("head").over(line)
+    blocks = blocks.withColumns({"before": F.sum("total").over(line) - F.col("total"), "all": F.sum("total").over(Window.partitionBy("conv")), "head": first, "nth": F.row_number().over(line)})
+    leads = F.col("head.role") == "system"
+    sums = blocks.select("conv", "block", "before", "all", F.when(leads, F.col("head.t")).otherwise(F.lit(0)).cast("long").alias("lead"))
+    inside = Window.partitionBy("conv", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = c.withColumn("upto", F.sum("t").over(inside)).join(sums, ["conv", "block"])
+    c = c.withColumn("q", F.col("before") + F.col("upto") - F.col("t") - F.col("lead"))  # the system turn lies below 0
+    c = c.withColumns({"is_lead": F.col("q") < 0, "stride": F.greatest(F.lit(budget - history) - F.col("lead"), F.lit(budget // 4))})
     c = c.withColumn("cell", F.when(F.col("is_lead"), F.lit(-1)).otherwise(F.floor((F.col("q") + F.col("t") - 1) / F.col("stride"))).cast("long"))
-    cell = Window.partitionBy("conv", "block", "cell")
+    cell = Window.partitionBy("conv", "cell")
     c = c.withColumn("alone", ~F.col("is_lead") & (F.floor(F.col("q") / F.col("stride")) < F.col("cell")) & (F.sum("t").over(cell) > F.col("stride")))
-    window = Window.partitionBy("conv", "block", "cell", "alone")
+    window = Window.partitionBy("conv", "cell", "alone")
     c = c.withColumns({"start": F.min("q").over(window), "end": F.max(F.col("q") + F.col("t")).over(window)})
     again = (F.col("end") - F.col("q") <= history) & (F.col("end") < F.col("all") - F.col("lead"))
-    place = lambda at, repeated: F.struct(at.cast("long").alias("at"), repeated.alias("repeated"))
-    places = F.when(F.col("is_lead"), F.array(place(F.lit(0), F.col("mark")))).when(again, F.array(place(F.col("start"), F.lit(False)), place(F.col("end"), F.lit(True)))).otherwise(F.array(place(F.col("start"), F.lit(False))))
+    place = lambda at, repeated: F.struct(at.cast("long").alias("at"), F.lit(repeated).alias("repeated"))
+    places = F.when(F.col("is_lead"), F.array(place(F.lit(0), False))).when(again, F.array(place(F.col("start"), False), place(F.col("end"), True))).otherwise(F.array(place(F.col("start"), False)))
     rows = c.withColumn("w", F.explode(places))
-    item = F.struct(F.when(F.col("is_lead"), F.lit(-1)).otherwise(F.col("q")).cast("long").alias("q"), F.col("w.repeated").alias("repeated"), F.col("role").alias("role"), F.col("text").alias("text"))
+    item = F.struct(F.when(F.col("is_lead"), F.lit(-1)).otherwise(F.col("q")).cast("long").alias("q"), F.col("w.repeated").alias("repeated"), "role", "text")
     # a window's turns are bounded by the budget, or are one turn and its context
-    windows = rows.groupBy("conv", "conv_id", "block", F.col("w.at").alias("start")).agg(F.min("first_turn").alias("first_turn"), F.sort_array(F.collect_list(item)).alias("turns"))
-    windows = windows.withColumn("head", F.first(F.get(F.filter("turns", lambda x: (x["q"] < 0) & x["role"].isNotNull()), 0)).over(part.orderBy("start")))
-    repeat = F.struct(F.col("head.q").alias("q"), F.lit(True).alias("repeated"), F.col("head.role").alias("role"), F.col("head.text").alias("text"))
-    own = F.filter("turns", lambda x: x["role"].isNotNull())
-    windows = windows.withColumn("turns", F.when((F.col("start") > 0) & F.col("head").isNotNull(), F.concat(F.array(repeat), own)).otherwise(own))
+    windows = rows.groupBy("conv", "conv_id", F.col("w.at").alias("start")).agg(F.sort_array(F.collect_list(item)).alias("turns"))
+    repeat = F.struct(F.lit(-1).cast("long").alias("q"), F.lit(True).alias("repeated"), F.col("head.role").alias("role"), F.col("head.text").alias("text"))
+    repeats = blocks.where((F.col("nth") == 1) & leads).select("conv", repeat.alias("head"))
+    windows = windows.join(repeats, "conv", "left")
+    windows = windows.withColumn("turns", F.when((F.col("start") > 0) & F.col("head").isNotNull(), F.concat(F.array("head"), F.col("turns"))).otherwise(F.col("turns")))
     lengths = F.transform("turns", lambda x: F.struct((F.length(rendered(x))).alias("n"), F.length(escaped(x["text"])).alias("body"), ((x["role"] == "assistant") & ~x["repeated"]).alias("target")))
     zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<first:int,length:int>>)").alias("spans"))
 
@@ -103,7 +100,7 @@ def format_windows(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn
         return F.struct((a["at"] + x["n"]).alias("at"), F.when(x["target"], F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
 
     return windows.select(
-        "conv_id", "first_turn", "start", F.array_join(F.transform("turns", rendered), "").alias("formatted"), F.aggregate(lengths, zero, step, lambda a: a["spans"]).alias("loss_spans"),
+        "conv_id", "start", F.array_join(F.transform("turns", rendered), "").alias("formatted"), F.aggregate(lengths, zero, step, lambda a: a["spans"]).alias("loss_spans"),
         F.size(F.filter("turns", lambda x: x["repeated"])).alias("n_repeated"), F.size("turns").alias("n_turns"),
     )
 

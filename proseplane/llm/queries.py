@@ -18,7 +18,7 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = turns.unionByName(spark.sql("select -7L as conv_id, stack(2, 0L, 'user', 1L, 'assistant') as (turn, role)").withColumn("text", F.lit(probe)))
     windows = chat.format_windows(turns)
     # what the digests need of a conversation has to meet in one row: its windows as they are, read there
-    parts = F.sort_array(F.collect_list(F.struct("first_turn", "start", "n_repeated", "formatted", "loss_spans")))
+    parts = F.sort_array(F.collect_list(F.struct("start", "n_repeated", "formatted", "loss_spans")))
     whole = windows.groupBy("conv_id").agg(parts.alias("p"))
     own = lambda x: F.slice(chat.parsed(x["formatted"]), x["n_repeated"] + 1, F.greatest(F.size(chat.parsed(x["formatted"])) - x["n_repeated"], F.lit(0)))
     said = F.flatten(F.transform("p", own))

@@ -83,6 +83,16 @@ def test_chat_windows_keep_their_budget_and_context(spark):
     assert any(r["n_repeated"] > 1 for r in got)
 
 
+def test_chat_history_crosses_blocks(spark):
+    """Windows go by the order of turns: numbers over several blocks, or sparse ones, change nothing."""
+    texts = [(t, "system" if t == 0 else "assistant" if t % 2 else "user", f"t{t} " * (1 + t % 9)) for t in range(2100)]
+    of = lambda number: chat.format_windows(spark.createDataFrame([(1, number(t), r, x) for t, r, x in texts], CONV), budget=200, history=50).orderBy("start").collect()
+    got = of(lambda t: t)
+    assert got == of(lambda t: 5000 * t) and len(got) > 50
+    for a, b in zip(got, got[1:], strict=False):
+        assert b["formatted"].startswith(chat.OPEN + "system") and b["n_repeated"] > 1 and b["start"] > a["start"]
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(alphabet="\\#<>/:hc\nturn é", max_size=30), min_size=1, max_size=20))
 def test_escapes_are_reversible(spark, samples):
