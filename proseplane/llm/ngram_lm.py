@@ -1,21 +1,28 @@
-"""Interpolated modified Kneser-Ney language model of words (Chen and Goodman, 1999), of order 2.
-
-Counts are made in Spark: tasks count word pairs by 64-bit hashes and deal them out by hash range as packed
-sorted arrays, one row for each task and range; the ranges add them up. A word's statistics (its count, what
-follows it, what it follows) are gathered by the word's hash range the same way. Every range is a sorted
-hash array with values beside it in a file of the shared folder; scoring workers map these files into
-memory and look hashes up by interpolation, so they hold only the pages that they touch.
+"""Interpolated modified Kneser-Ney language model of words (Chen and Goodman, 1999), of order 2 or 3.
+
+Counts are made in Spark, level by level. Tasks count the n-grams of their texts by 64-bit word hashes and
+deal them out by the hash of the first two words, packed, one row for each task and range. A range adds up
+its n-grams, writes them, and sends on what the next lower level needs: of trigrams the word pairs with the
+number of words that they follow, of pairs the statistics of single words. With more ranges than one pass
+may deal to (FAN), dealing takes further passes, so rows grow with the input and not with its square.
+
+A range is one file of the shared folder with sorted hash arrays: a directory of the leading bits, the next
+32 bits of each hash (words: all 64), and numbers into a table of the distinct values. A hash that is not
+there is taken for one that is with a probability of about 4e-9. Scoring workers map a file into memory when
+they first need it, one map for each, and keep the MAPS last used ones.
 """
 
 from __future__ import annotations
 
-import io
+import json
+import mmap
 import os
 import shutil
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from urllib.parse import urlparse
 
 import numpy as np
@@ -25,35 +32,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proseplane.llm.common import mix64, shared_dir, slices
+from proseplane.llm.common import cut, mix64, shared_dir, slices
 
-#: Pairs that a task counts before it sends them on.
+ORDER = 3
+#: Tokens that a task counts before it sends them on.
 FLUSH = 1_500_000
-#: Bytes of text for which one range file is made.
+#: Bytes of text for which there is one range, so that a range's work fits in a task's memory.
 RANGE_BYTES = 24_000_000
+#: Bits of the range number that one pass deals out, and bits of the number of ranges of single words at most.
+FAN, WORD_FAN = 11, 10
+#: Files that a scoring worker keeps mapped.
+MAPS = 128
+_BEFORE = np.uint64(0x2545F4914F6CDD1D)
 _START = np.uint64(0x5851F42D4C957F2D)
 _END = np.uint64(0x14057B7EF767814F)
+_RANGE = np.uint64(0x9FB21C651E98DF25)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Where the ranges are and what holds for the whole: bits of the range number, totals, discounts."""
+    """Where the ranges are and what holds for the whole; `ranges` has the numbers of each level's files."""
 
     folder: str
+    order: int
     bits: int
+    word_bits: int
     train_tokens: int
     distinct: int
     pairs: int
-    discounts: tuple[float, float, float]
-    lower_discounts: tuple[float, float, float]
+    #: Of level 1 (numbers of words that a word follows) to the order (counts).
+    discounts: tuple[tuple[float, float, float], ...]
     lower_rest: float
+    ranges: dict[int, np.ndarray] = field(repr=False)
 
 
 # ---- tokens -------------------------------------------------------------------------------------------------
 
 
-def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts one after another, each text ended by an end token; and the texts' bounds."""
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, the last the end token's; the number of each token, with an end token after
+    each text; and the texts' bounds."""
     import xxhash
 
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
@@ -64,44 +82,59 @@ def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     coded = words.dictionary_encode()
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
-    table = np.array([xxhash.xxh64_intdigest(w, 1) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64)
-    n = np.bincount(parents, minlength=len(texts))
-    ends = np.cumsum(n + 1)
-    out = np.full(int(ends[-1]) if len(ends) else 0, _END, np.uint64)
-    if len(table):
-        out[np.arange(len(parents)) + parents] = table[coded.indices.to_numpy()]
-    return out, np.concatenate([[0], ends]).astype(np.int64)
-
-
-def befores(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The hash before each token; the start mark before a text's first."""
-    out = np.empty_like(h)
-    out[1:] = h[:-1]
-    out[bounds[:-1]] = _START
+    known = [xxhash.xxh64_intdigest(w, 1) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
+    ends = np.cumsum(np.bincount(parents, minlength=len(texts)) + 1)
+    code = np.full(int(ends[-1]) if len(ends) else 0, len(known), np.uint32)
+    code[np.arange(len(parents)) + parents] = coded.indices.to_numpy()
+    return np.array([*known, int(_END)], np.uint64), code, np.concatenate([[0], ends]).astype(np.int64)
+
+
+def _after(x: np.ndarray, starts: np.ndarray, first) -> np.ndarray:
+    """What stands before each token; `first` before a text's first."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[starts] = first
     return out
 
 
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def gram_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of an n-gram from the hash of all but its last word and that word's."""
     with np.errstate(over="ignore"):
         return mix64(a * np.uint64(0x9E3779B97F4A7C15) + mix64(b))
 
 
+def range_of(h: np.ndarray, bits: int) -> np.ndarray:
+    """Range numbers by a hash (of the first two words, or of a single one), independent of its own bits."""
+    return (mix64(h ^ _RANGE) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+
+
+def _by_range(part: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The rows of each range number that there is."""
+    if not bits:
+        if len(part):
+            yield 0, np.arange(len(part))
+        return
+    order = np.argsort(part.astype(np.uint16) if bits <= 16 else part, kind="stable")  # 16 bits are sorted by radix
+    edges = np.flatnonzero(np.diff(part[order], prepend=-1))
+    for a, b in zip(edges, np.append(edges[1:], len(part)), strict=True):
+        yield int(part[order[a]]), order[a:b]
+
+
 # ---- packed rows --------------------------------------------------------------------------------------------
 
 
 def _pack(*columns: np.ndarray) -> bytes:
-    """Sorted keys first, as differences; all columns compressed."""
+    """Columns of one length; the first as differences, bytes of one rank together, all compressed."""
     import zstandard
 
-    out = io.BytesIO()
-    out.write(np.int64([len(columns[0]), len(columns)]).tobytes())
+    out = [np.int64([len(columns[0]), len(columns)]).tobytes()]
     squeeze = zstandard.ZstdCompressor(level=1)
     for k, c in enumerate(columns):
         c = np.ascontiguousarray(c)
-        data = (np.diff(c, prepend=c.dtype.type(0)) if k == 0 else c).view(np.uint8).reshape(-1, c.itemsize).T.tobytes()  # bytes of one rank together
+        data = (np.diff(c, prepend=c.dtype.type(0)) if k == 0 else c).view(np.uint8).reshape(-1, c.itemsize).T.tobytes()
         small = squeeze.compress(data)
-        out.write(np.dtype(c.dtype).str.encode().ljust(8) + np.int64([len(small)]).tobytes() + small)
-    return out.getvalue()
+        out.append(np.dtype(c.dtype).str.encode().ljust(8) + np.int64([len(small)]).tobytes() + small)
+    return b"".join(out)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -119,149 +152,313 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _dealt(key: np.ndarray, bits: int, *values: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """The rows of each range of sorted keys, packed."""
-    part = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
-    edges = np.searchsorted(part, np.arange((1 << bits) + 1))
-    for p in range(1 << bits):
-        a, b = edges[p], edges[p + 1]
-        if b > a:
-            yield p, _pack(key[a:b], *(v[a:b] for v in values))
+def _narrow(c: np.ndarray) -> np.ndarray:
+    top = int(c.max()) if len(c) else 0
+    return c.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order, with the sums of their values."""
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts key, and where its runs of equal keys begin in that order."""
     order = np.argsort(key)
     key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[first], *(np.add.reduceat(v[order], first) if len(key) else v for v in values)
+    return order, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
 
 
-def _rows(found: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = {"kind": pa.int32(), "slot": pa.int64(), "blob": pa.binary(), "words": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for c, n in zip(zip(*found, strict=True), names, strict=True)], names=names)
+def _mapped(at: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+    """An array of n numbers with `to` at the places `at`."""
+    out = np.zeros(n, np.uint32)
+    out[at] = to
+    return out
 
 
-# ---- counting -----------------------------------------------------------------------------------------------
+@dataclass
+class Grams:
+    """Distinct n-grams: numbers of words for each place, and values (their sums where n-grams meet)."""
+
+    words: np.ndarray
+    codes: list[np.ndarray]
+    values: list[np.ndarray]
+
+    def distinct(self) -> Grams:
+        """Equal n-grams added up; sorted by the numbers of their words, the first foremost."""
+        k = len(self.codes)
+        width = max(1, len(self.words).bit_length())
+        if k * width > 64:  # over two million words of trigrams
+            order = np.lexsort(self.codes[::-1])
+            codes = [c[order] for c in self.codes]
+            new = np.logical_or.reduce([np.diff(c, prepend=c[:1] + np.uint32(1)) != 0 for c in codes]) if len(order) else np.zeros(0, bool)
+            first = np.flatnonzero(new)
+            return Grams(self.words, [c[first] for c in codes], [np.add.reduceat(v[order], first) if len(first) else v for v in self.values])
+        key = np.zeros(len(self.codes[0]), np.uint64)
+        for c in self.codes:
+            key = (key << np.uint64(width)) | c.astype(np.uint64)
+        line = np.sort(key)  # much faster than an order of rows; what is over 1 in the few other rows is added then
+        first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(line)))
+        line = line[first]
+        values = []
+        for v in self.values:
+            more = np.flatnonzero(v != 1)
+            at = np.searchsorted(line, key[more])
+            values.append(times + (np.bincount(at, v[more] - 1, len(line)).astype(np.int64) if len(more) else 0))
+        mask = np.uint64((1 << width) - 1)
+        return Grams(self.words, [((line >> np.uint64(width * (k - 1 - i))) & mask).astype(np.uint32) for i in range(k)], values)
+
+    def of(self, rows: np.ndarray) -> Grams:
+        return Grams(self.words, [c[rows] for c in self.codes], [v[rows] for v in self.values])
+
+    def head(self) -> np.ndarray:
+        """The hash of the first two words."""
+        return gram_hash(self.words[self.codes[0]], self.words[self.codes[1]])
+
+    @staticmethod
+    def together(parts: list[Grams]) -> Grams:
+        words, at = np.unique(np.concatenate([p.words for p in parts]), return_inverse=True)
+        starts = np.cumsum([0, *(len(p.words) for p in parts)])
+        maps = [at[s:e].astype(np.uint32) for s, e in zip(starts, starts[1:], strict=False)]
+        codes = [np.concatenate([m[p.codes[i]] for m, p in zip(maps, parts, strict=True)]) for i in range(len(parts[0].codes))]
+        return Grams(words, codes, [np.concatenate([p.values[i] for p in parts]) for i in range(len(parts[0].values))])
+
+    def packed(self) -> bytes:
+        """With a dictionary of the words used, frequent ones first, so that numbers are small; rows sorted."""
+        flat = np.concatenate(self.codes)
+        if 8 * len(flat) > len(self.words):
+            n = np.bincount(flat, minlength=len(self.words))
+            used = np.flatnonzero(n)
+            n = n[used]
+        else:
+            used, n = np.unique(flat, return_counts=True)
+        order = np.argsort(64 - np.frexp(n)[1].astype(np.uint16), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        columns = [rank[np.searchsorted(used, c)] if 8 * len(flat) <= len(self.words) else _mapped(used, rank, len(self.words))[c] for c in self.codes] + self.values
+        widths = [max(1, int(c.max()).bit_length()) for c in columns]
+        if sum(widths) <= 64:
+            line = np.zeros(len(flat) // len(self.codes), np.uint64)
+            for c, w in zip(columns, widths, strict=True):
+                line = (line << np.uint64(w)) | c.astype(np.uint64)
+            line.sort()
+            for i in range(len(columns) - 1, -1, -1):
+                columns[i] = line & np.uint64((1 << widths[i]) - 1)
+                line = line >> np.uint64(widths[i])
+        else:
+            by = np.lexsort(columns[len(self.codes) - 1 :: -1])
+            columns = [c[by] for c in columns]
+        words = _pack(self.words[used][order])
+        return np.int64([len(words), len(self.codes)]).tobytes() + words + _pack(*map(_narrow, columns))
+
+    @staticmethod
+    def unpacked(blob: bytes) -> Grams:
+        size, k = np.frombuffer(blob, np.int64, 2)
+        columns = _unpack(blob[16 + size :])
+        return Grams(_unpack(blob[16 : 16 + size])[0], [c.astype(np.uint32) for c in columns[:k]], [c.astype(np.int64) for c in columns[k:]])
+
+
+# ---- dealing ------------------------------------------------------------------------------------------------
+
+_ROW = "slot long, level int, blob binary"
+_TOTALS = 0
+
+
+def _row(slot: int, level: int, blob: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([slot]), pa.array([level], pa.int32()), pa.array([blob], pa.binary())], names=["slot", "level", "blob"])
 
 
 def _slots(spark, n: int) -> list[int]:
     """A number for each of n ranges, of which hash partitioning sends one to each of n partitions."""
-    if n == 1:
-        return [0]
+    if n == 1 or n > 1 << 14:
+        return list(range(n))
     rows = spark.range(64 * n).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
     found = {r["p"]: r["id"] for r in rows}
     return [found.get(p, 64 * n + p) for p in range(n)]
 
 
-def _counter(bits: int, slots: list[int]):
+class _Deal:
+    """Ranges of one level: 2 ** bits, of which `now` bits are dealt out so far."""
+
+    def __init__(self, bits: int, now: int, slots: list[int] | None) -> None:
+        self.bits, self.now, self.slots = bits, now, slots
+
+    def slot(self, part: int) -> int:
+        part >>= self.bits - self.now
+        return self.slots[part] if self.slots is not None and self.now == self.bits else part
+
+    def __call__(self, grams: Grams, level: int) -> Iterator[pa.RecordBatch]:
+        """One row for each range that has n-grams."""
+        for p, rows in _by_range(range_of(grams.head(), self.bits) >> (self.bits - self.now), self.now):
+            yield _row(self.slot(p << (self.bits - self.now)), level, grams.of(rows).packed())
+
+
+def _dealt(rows: DataFrame, bits: int, slots: list[int]) -> DataFrame:
+    """rows dealt by the first FAN bits, grouped by range: further passes merge them and deal on."""
+    now = min(bits, FAN)
+    while now < bits:
+        to = min(bits, now + FAN)
+        salt = F.pmod(F.xxhash64("blob"), F.lit(1 << (to - now)))  # so many tasks share what has one number so far
+        rows = rows.repartition(1 << to, F.col("slot"), salt).sortWithinPartitions("slot").mapInArrow(_dealing_on(_Deal(bits, to, slots)), _ROW)
+        now = to
+    return rows.repartition(1 << bits, "slot").groupBy("slot")
+
+
+def _dealing_on(deal: _Deal):
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Grams] = []
+        size, slot = 0, None
+        level = 0
+        for batch in batches:
+            for s, k, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if k == _TOTALS:
+                    yield _row(deal.slot(int(_unpack(blob)[0][0])), k, blob)
+                    continue
+                if held and (s != slot or size >= FLUSH):
+                    yield from deal(Grams.together(held).distinct(), level)
+                    held, size = [], 0
+                held.append(Grams.unpacked(blob))
+                size, slot, level = size + len(held[-1].codes[0]), s, k
+        if held:
+            yield from deal(Grams.together(held).distinct(), level)
+
+    return dealt
+
+
+# ---- counting -----------------------------------------------------------------------------------------------
+
+
+def counted_grams(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], order: int) -> Grams:
+    """The n-grams of lots of texts, as hashed() gives them, with counts; of pairs also as raw counts."""
+    words, at = np.unique(np.concatenate([*(w for w, _, _ in held), [_START, _BEFORE]]), return_inverse=True)
+    at = at.astype(np.uint32)
+    ends = np.cumsum([0, *(len(w) for w, _, _ in held)])
+    offsets = np.cumsum([0, *(len(c) for _, c, _ in held)])
+    codes = [np.concatenate([at[e:][c] for e, (_, c, _) in zip(ends, held, strict=False)])]
+    starts = np.concatenate([b[:-1] + o for o, (_, _, b) in zip(offsets, held, strict=False)])
+    for k in range(1, order):
+        codes.insert(0, _after(codes[0], starts, at[-2] if k == 1 else at[-1]))
+    ones = np.ones(len(codes[0]), np.int64)
+    return Grams(words, codes, [ones] if order > 2 else [ones, ones]).distinct()
+
+
+def _counter(order: int, deal: _Deal):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
             for texts in slices(batch.column(0)):
-                h, bounds = hashed(texts)
-                held.append((befores(h, bounds), h))
-                size += len(h)
+                held.append(hashed(texts))
+                size += len(held[-1][1])
                 if size >= FLUSH:
-                    yield from _flush(held, bits, slots)
-                    held, size = [], 0
+                    grams, held, size = counted_grams(held, order), [], 0
+                    yield from deal(grams, order)
         if held:
-            yield from _flush(held, bits, slots)
+            yield from deal(counted_grams(held, order), order)
 
     return counted
 
 
-def _flush(held: list[tuple[np.ndarray, np.ndarray]], bits: int, slots: list[int]) -> Iterator[pa.RecordBatch]:
-    """One row for each range: its pairs by first word, the second words as numbers in a dictionary beside."""
-    a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-    held.clear()
-    key = pair_hash(a, b)
-    order = np.argsort(key)
-    key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    n = np.diff(np.append(first, len(key))).astype(np.uint32)
-    key, a, b = key[first], a[order[first]], b[order[first]]
-    del order, first
-    part = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
-    edges = np.searchsorted(part, np.arange((1 << bits) + 1))
-    for p in range(1 << bits):
-        at = slice(edges[p], edges[p + 1])
-        if at.stop > at.start:
-            words, code = np.unique(b[at], return_inverse=True)
-            by_first = np.argsort(a[at], kind="stable")
-            yield _rows([(slots[p], _pack(a[at][by_first], _narrow(code[by_first]), _narrow(n[at][by_first])), _pack(words))], ["slot", "blob", "words"])
-
-
-def _pairs_of_range(folder: str, bits: int, slots: list[int]):
-    """Adds up a range's pairs, writes its file, and sends what its words need, by the words' ranges."""
-
-    def added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = slots.index(key[0].as_py())
-        now = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)]
-        waiting: list[list[np.ndarray]] = []
-        size = 0
+def _totals(slot: int, level: int, part: int, n: np.ndarray) -> pa.RecordBatch:
+    """A level's numbers of n-grams with counts 1 to 4 in one range."""
+    return _row(slot, _TOTALS, _pack(np.array([part, level, *((n == i).sum() for i in range(1, 5)), 0], np.int64)))
+
+
+def _of_contexts(g: Grams, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of sorted n-grams the first rows of their contexts; total, and numbers of n-grams of count 1, 2 and more."""
+    new = np.logical_or.reduce([np.diff(c.astype(np.int64), prepend=-1) != 0 for c in g.codes[:-1]])
+    first = np.flatnonzero(new)
+    return first, [np.add.reduceat(c.astype(np.int64), first) for c in (n, n == 1, n == 2, n > 2)]
+
 
-        def merge() -> list[np.ndarray]:
-            k, a, b, n = (np.concatenate([r[i] for r in (now, *waiting)]) for i in range(4))
-            waiting.clear()
-            order = np.argsort(k)
-            k = k[order]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            return [k[first], a[order[first]], b[order[first]], np.add.reduceat(n[order], first)]
+def _reducer(level: int, folder: str, parts: dict[int, int], lower: _Deal):
+    """Adds up a range's n-grams, writes its file, and sends on what the next level needs."""
 
+    def reduced(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = parts[key[0].as_py()]
+        now: Grams | None = None
+        waiting: list[Grams] = []
+        size = 0
         for batch in batches:
-            blobs, dictionaries = (batch.column(batch.schema.get_field_index(c)) for c in ("blob", "words"))
-            for blob, words in zip(blobs, dictionaries, strict=True):
-                a, code, n = _unpack(blob.as_py())
-                b = _unpack(words.as_py())[0][code]
-                waiting.append([pair_hash(a, b), a, b, n.astype(np.uint32)])
-                size += len(a)
-                if size > max(500_000, len(now[0]) // 2):
-                    now, size = merge(), 0
-        k, a, b, n = merge() if waiting else now
-        now.clear()
-        _write(folder, f"pairs-{part}", k, n)
-        del k
-        followed = _summed(a, n.astype(np.int64), *((n == i).astype(np.int64) for i in (1, 2)), (n > 2).astype(np.int64))
-        follows = _summed(b, np.ones(len(b), np.int64), n.astype(np.int64))
-        del a, b
-        word = np.concatenate([followed[0], follows[0]])
-        zeros = lambda x: np.zeros(len(x[0]), np.int64)
-        columns = [np.concatenate([c, zeros(follows)]) for c in followed[1:]] + [np.concatenate([zeros(followed), c]) for c in follows[1:]]
-        word, *columns = _summed(word, *columns)
-        for p, blob in _dealt(word, bits, *(_narrow(c) for c in columns)):
-            yield _rows([(0, slots[p], blob)], ["kind", "slot", "blob"])
-        yield _rows([(1, 0, _pack(np.arange(1, 5, dtype=np.uint64), np.array([int((n == i).sum()) for i in range(1, 5)]))), (2, 0, _pack(np.zeros(1, np.uint64), np.array([len(n)])))], ["kind", "slot", "blob"])
-
-    return added
+            for k, blob in zip(batch.column(batch.schema.get_field_index("level")).to_pylist(), batch.column(batch.schema.get_field_index("blob")), strict=True):
+                if k == _TOTALS:
+                    yield _row(lower.slot(int(_unpack(blob.as_py())[0][0]) & ((1 << lower.bits) - 1)), k, blob.as_py())
+                    continue
+                waiting.append(Grams.unpacked(blob.as_py()))
+                size += len(waiting[-1].codes[0])
+                if size > max(500_000, len(now.codes[0]) // 2 if now else 0):
+                    now, waiting, size = Grams.together([*([now] if now else []), *waiting]).distinct(), [], 0
+        if waiting:
+            now = Grams.together([*([now] if now else []), *waiting]).distinct()
+        waiting.clear()
+        if now is None:
+            return
+        here = lower.slot(part & ((1 << lower.bits) - 1))
+        if level > 2:
+            yield from _trigrams(now, folder, part, here, lower)
+        else:
+            yield from _pairs(now, folder, part, here, lower)
 
+    return reduced
 
-def _narrow(c: np.ndarray) -> np.ndarray:
-    top = int(c.max()) if len(c) else 0
-    return c.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.uint64)
 
+def _trigrams(g: Grams, folder: str, part: int, here: int, lower: _Deal) -> Iterator[pa.RecordBatch]:
+    (a, b, c), n = g.codes, g.values[0]
+    head = g.head()
+    first, contexts = _of_contexts(g, n)
+    _write(folder, 3, part, _section(gram_hash(head, g.words[c]), [n]), _section(head[first], contexts))
+    del head, contexts
+    begins = g.words[a] == _BEFORE  # the start mark follows nothing, so pairs that begin with it keep their counts
+    yield _totals(here, 3, part, n[~begins])
+    yield from lower(Grams(g.words, [b, c], [np.where(begins, n, 1), n]).distinct(), 2)
 
-def _words_of_range(folder: str, slots: list[int]):
-    """Adds up a range's words and writes its file; returns its totals."""
 
-    def added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = slots.index(key[0].as_py())
-        now: tuple[np.ndarray, ...] | None = None
-        for batch in batches:
-            got = [_unpack(x.as_py()) for x in batch.column(batch.schema.get_field_index("blob"))]
-            got = [[c.astype(np.int64) if i else c for i, c in enumerate(r)] for r in got] + ([now] if now is not None else [])
-            now = _summed(*(np.concatenate([r[i] for r in got]) for i in range(7)))
-        word, out_n, n1, n2, n3, ahead, count = now
-        _write(folder, f"words-{part}", word, out_n, n1, n2, n3, ahead, count)
-        seen = count > 0  # all but the start mark
-        row = [int(count.sum()), int(seen.sum()), *(int((ahead == i).sum()) for i in range(1, 5)), int(ahead.sum())]
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], names=_TOTALS)
+def _pairs(g: Grams, folder: str, part: int, here: int, lower: _Deal) -> Iterator[pa.RecordBatch]:
+    (b, c), (n, raw) = g.codes, g.values
+    _write(folder, 2, part, _section(g.head(), [n]))
+    yield _totals(here, 2, part, n)
+    first, contexts = _of_contexts(g, n)
+    columns = np.zeros((6, len(g.words)), np.int64)
+    columns[:4, b[first]] = contexts
+    columns[4] = np.bincount(c, minlength=len(g.words))
+    columns[5] = np.bincount(c, raw, len(g.words)).astype(np.int64)
+    for p, rows in _by_range(range_of(g.words, lower.bits), lower.bits):
+        yield _row(lower.slot(p), 1, _pack(g.words[rows], *(_narrow(x[rows]) for x in columns)))
+
 
-    return added
+_SUMS = ["level", "part", "c1", "c2", "c3", "c4", "tokens", "distinct", "ahead"]
 
 
-_TOTALS = ["tokens", "distinct", "c1", "c2", "c3", "c4", "pairs"]
+def _word_reducer(folder: str, parts: dict[int, int]):
+    """Adds up a range's words and writes its file; returns totals of this and of the other levels."""
+
+    def reduced(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list[np.ndarray] | None = None
+        rows: list[list[int]] = []
+
+        def merged(lots: list[list[np.ndarray]]) -> list[np.ndarray]:
+            word = np.concatenate([x[0] for x in lots])
+            order, first = _runs(word)
+            return [word[order[first]], *(np.add.reduceat(np.concatenate([x[i].astype(np.int64) for x in lots])[order], first) for i in range(1, 7))]
+
+        waiting: list[list[np.ndarray]] = []
+        for batch in batches:
+            for k, blob in zip(batch.column(batch.schema.get_field_index("level")).to_pylist(), batch.column(batch.schema.get_field_index("blob")), strict=True):
+                got = _unpack(blob.as_py())
+                if k == _TOTALS:
+                    part, level, *c, _ = (int(x) for x in got[0])
+                    rows.append([level, part, *c, 0, 0, 0])
+                    continue
+                waiting.append(got)
+                if sum(len(x[0]) for x in waiting) > max(500_000, len(now[0]) // 2 if now else 0):
+                    now, waiting = merged([*([now] if now else []), *waiting]), []
+        if waiting:
+            now = merged([*([now] if now else []), *waiting])
+        if now is not None:
+            part = parts[key[0].as_py()]
+            _write(folder, 1, part, _section(now[0], now[1:], whole=True))
+            ahead, count = now[5:]
+            rows.append([1, part, *(int((ahead == i).sum()) for i in range(1, 5)), int(count.sum()), int((count > 0).sum()), int(ahead.sum())])
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=_SUMS)
+
+    return reduced
 
 
 def discounts(c: list[float]) -> tuple[float, float, float]:
@@ -274,43 +471,84 @@ def discounts(c: list[float]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), top) for x, top in zip(d, (0.95, 1.95, 2.95), strict=True))
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
-    """The model of all texts of docs (null: empty). Its files lie in the shared folder; see forget().
+def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
+    """The model of all texts of docs (null: empty). Its files lie in the shared folder until forget().
 
-    An empty docs gives the model that knows no token. A range that a lost executor wrote stays valid, for
-    files are put in place whole and a repeated task writes the same bytes.
+    Repeated rows count as often as they stand there. An empty docs gives the model that knows no token. Other
+    columns are ignored. A range that a lost executor wrote stays valid, for files are put in place whole and a
+    repeated task writes the same bytes. All n-grams that begin with the same two words meet in one task, after
+    each task has added up its own.
     """
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/ngram-lm-{uuid.uuid4().hex}"
     size = docs.select(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1.0, size / RANGE_BYTES)))))
-    n = 1 << bits
-    slots = _slots(spark, n)
-    counted = docs.select(F.col(text).alias("t")).mapInArrow(_counter(bits, slots), "slot long, blob binary, words binary")
-    gathered = counted.repartition(n, "slot").groupBy("slot").applyInArrow(_pairs_of_range(folder, bits, slots), "kind int, slot long, blob binary")
-    kept = _kept(gathered, folder)
-    c = [0] * 4
-    pairs = 0
-    for kind, blob in kept.where("kind > 0").select("kind", "blob").toLocalIterator():
-        values = _unpack(bytes(blob))[1]
-        if kind == 1:
-            c = [x + int(y) for x, y in zip(c, values, strict=True)]
-        else:
-            pairs += int(values[0])
-    totals = kept.where("kind = 0").select("slot", "blob").repartition(n, "slot").groupBy("slot").applyInArrow(_words_of_range(folder, slots), ", ".join(f"{x} long" for x in _TOTALS))
-    t = totals.agg(*[F.sum(x).alias(x) for x in _TOTALS]).first()
-    get = lambda x: int(t[x] or 0)
-    lower = discounts([get(f"c{i}") for i in range(1, 5)])
-    rest = (lower[0] * get("c1") + lower[1] * get("c2") + lower[2] * (get("distinct") - get("c1") - get("c2"))) / max(get("pairs"), 1)
-    return Model(folder, bits, get("tokens"), get("distinct"), pairs, discounts(c), lower, rest if get("pairs") else 1.0)
+    word_bits = min(WORD_FAN, max(0, bits - 2))
+    slots, word_slots = _slots(spark, 1 << bits), _slots(spark, 1 << word_bits)
+    first = _Deal(bits, min(bits, FAN), slots)
+    parts = {s: p for p, s in enumerate(slots)}
+    rows = docs.select(F.col(text).alias("t")).mapInArrow(_counter(order, first), _ROW)
+    for level in range(order, 1, -1):
+        lower = first if level > 2 else _Deal(word_bits, word_bits, word_slots)
+        rows = _dealt(rows, bits, slots).applyInArrow(_reducer(level, folder, parts, lower), _ROW)
+    words = rows.repartition(1 << word_bits, "slot").groupBy("slot")
+    sums = cut(words.applyInArrow(_word_reducer(folder, {s: p for p, s in enumerate(word_slots)}), ", ".join(f"{x} long" for x in _SUMS)))
+    of = {r["level"]: r for r in sums.groupBy("level").agg(*[F.sum(x).alias(x) for x in _SUMS[2:]]).collect()}
+    get = lambda level, x: int(of[level][x]) if level in of else 0
+    d = tuple(discounts([get(k, f"c{i}") for i in range(1, 5)]) for k in range(1, order + 1))
+    there = {k: np.array(sorted(r[0] for r in sums.where(F.col("level") == k).select("part").collect()), np.int64) for k in range(1, order + 1)}
+    pairs, distinct = get(1, "ahead"), get(1, "distinct")
+    rest = (d[0][0] * get(1, "c1") + d[0][1] * get(1, "c2") + d[0][2] * (distinct - get(1, "c1") - get(1, "c2"))) / pairs if pairs else 1.0
+    return Model(folder, order, bits, word_bits, get(1, "tokens"), distinct, pairs, d, rest, there)
 
 
-def _kept(df: DataFrame, folder: str) -> DataFrame:
-    df.write.parquet(f"{folder}/gathered")
-    return df.sparkSession.read.parquet(f"{folder}/gathered")
+# ---- files --------------------------------------------------------------------------------------------------
 
 
-# ---- files --------------------------------------------------------------------------------------------------
+def _section(key: np.ndarray, columns: list[np.ndarray], whole: bool = False) -> list[np.ndarray]:
+    """Sorted hashes (a directory of the leading bits, then the next 32 bits or all) and the values beside."""
+    import pandas as pd
+
+    bits = max(0, len(key).bit_length() - 4)
+    kind = np.zeros(len(key), np.uint64)
+    for i, c in enumerate(columns):
+        kind = gram_hash(kind, c.astype(np.uint64) + np.uint64(i))
+    code = pd.factorize(kind)[0]
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1))
+    table = np.stack([c[first].astype(np.int64) for c in columns], axis=1) if len(key) else np.zeros((0, len(columns)), np.int64)
+    width = np.uint64(len(first).bit_length())
+    if not whole and bits + 32 + int(width) <= 64:  # the code takes the place of bits that are not kept
+        line = np.sort((key >> width << width) | code.astype(np.uint64))
+        key, code = line, line & ((np.uint64(1) << width) - np.uint64(1))
+    else:
+        order = np.argsort(key)
+        key, code = key[order], code[order]
+    lead = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+    directory = np.concatenate([[0], np.cumsum(np.bincount(lead, minlength=1 << bits))]).astype(np.uint32)
+    return [directory, key if whole else ((key << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32), _narrow(code), table.ravel()]
+
+
+def _find(section: list[np.ndarray], h: np.ndarray, columns: int) -> np.ndarray:
+    """Rows of values of the hashes; 0 where they are not there."""
+    directory, keys, code, table = section
+    out = np.zeros((len(h), columns), np.int64)
+    if not len(keys):
+        return out
+    bits = (len(directory) - 1).bit_length() - 1
+    lead = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+    want = h if keys.dtype == np.uint64 else ((h << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+    low, stop = directory[lead].astype(np.int64), directory[lead + 1].astype(np.int64)
+    high = stop.copy()
+    for _ in range(int((high - low).max()).bit_length()):
+        mid = (low + high) >> 1
+        less = (keys.take(mid, mode="clip") < want) & (low < high)
+        low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
+    hit = low < stop
+    hit[hit] = keys[low[hit]] == want[hit]
+    out[hit] = table.reshape(-1, columns)[code[low[hit]]]
+    return out
 
 
 def _local(folder: str) -> str | None:
@@ -319,17 +557,19 @@ def _local(folder: str) -> str | None:
     return at.path if at.scheme in ("", "file") else None
 
 
-def _write(folder: str, name: str, key: np.ndarray, *values: np.ndarray) -> None:
-    """Writes sorted keys and their values, one .npy after another, and puts the file in place whole."""
-    data = [key, *(_narrow(v) if v.dtype.kind in "iu" else v for v in values)]
-    path = _local(folder)
+def _write(folder: str, level: int, part: int, *sections: list[np.ndarray]) -> None:
+    """Writes a range: a line that says what follows, then the arrays; puts the file in place whole."""
+    arrays = [a for s in sections for a in s]
+    head = json.dumps([[a.dtype.str, len(a)] for a in arrays]).encode()
+    head += b" " * (-(len(head) + 1) % 8) + b"\n"
+    data = [head, *(a.tobytes() + b"\0" * (-a.nbytes % 8) for a in arrays)]
+    name, path = f"{level}-{part}", _local(folder)
     if path is not None:
         os.makedirs(path, exist_ok=True)
         draft = f"{path}/.{name}-{uuid.uuid4().hex}"
         with open(draft, "wb") as f:
-            for c in data:
-                np.save(f, c)
-        os.replace(draft, f"{path}/{name}.npys")
+            f.writelines(data)
+        os.replace(draft, f"{path}/{name}")
         return
     from pyarrow import fs
 
@@ -337,69 +577,68 @@ def _write(folder: str, name: str, key: np.ndarray, *values: np.ndarray) -> None
     store.create_dir(root, recursive=True)
     draft = f"{root}/.{name}-{uuid.uuid4().hex}"
     with store.open_output_stream(draft) as f:
-        for c in data:
-            whole = io.BytesIO()
-            np.save(whole, c)
-            f.write(whole.getvalue())
-    if store.get_file_info(f"{root}/{name}.npys").type != fs.FileType.NotFound:
-        store.delete_file(f"{root}/{name}.npys")
-    store.move(draft, f"{root}/{name}.npys")
+        for d in data:
+            f.write(d)
+    if store.get_file_info(f"{root}/{name}").type != fs.FileType.NotFound:
+        store.delete_file(f"{root}/{name}")
+    store.move(draft, f"{root}/{name}")
 
 
-class Ranges:
-    """The files of one kind, mapped into memory when first asked for."""
+class Files:
+    """Ranges of a model, mapped into memory; the MAPS last used stay so. A missing file is an error."""
 
-    def __init__(self, folder: str, kind: str, bits: int, columns: int) -> None:
-        self.folder, self.kind, self.bits, self.columns = folder, kind, bits, columns
-        self.mapped: dict[int, list[np.ndarray] | None] = {}
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.mapped: OrderedDict[tuple[int, int], list[np.ndarray]] = OrderedDict()
         self.copies: str | None = None
 
-    def of(self, part: int) -> list[np.ndarray] | None:
-        if part not in self.mapped:
-            self.mapped[part] = self._map(part)
-        return self.mapped[part]
-
-    def _map(self, part: int) -> list[np.ndarray] | None:
-        name = f"{self.kind}-{part}.npys"
-        path = _local(self.folder)
-        if path is None:
+    def of(self, level: int, part: int) -> list[np.ndarray]:
+        key = (level, part)
+        if key in self.mapped:
+            self.mapped.move_to_end(key)
+            return self.mapped[key]
+        while len(self.mapped) >= MAPS:
+            (k, p), _ = self.mapped.popitem(last=False)
+            if self.copies:
+                os.unlink(f"{self.copies}/{k}-{p}")
+        self.mapped[key] = self._map(f"{level}-{part}")
+        return self.mapped[key]
+
+    def _map(self, name: str) -> list[np.ndarray]:
+        path = _local(self.model.folder)
+        if path is None:  # a store that only clients reach: a copy for as long as the range is mapped
             from pyarrow import fs
 
-            store, root = fs.FileSystem.from_uri(self.folder)
-            if store.get_file_info(f"{root}/{name}").type == fs.FileType.NotFound:
-                return None
-            self.copies = self.copies or tempfile.mkdtemp(prefix="ngram-lm-")
-            path = self.copies
+            store, root = fs.FileSystem.from_uri(self.model.folder)
+            self.copies = path = self.copies or tempfile.mkdtemp(prefix="ngram-lm-")
             with store.open_input_stream(f"{root}/{name}") as source, open(f"{path}/{name}", "wb") as target:
                 shutil.copyfileobj(source, target, 1 << 22)
-        if not os.path.exists(f"{path}/{name}"):
-            return None
-        out = []
         with open(f"{path}/{name}", "rb") as f:
-            for _ in range(self.columns):
-                np.lib.format.read_magic(f)
-                shape, _, kind = np.lib.format.read_array_header_1_0(f)
-                out.append(np.memmap(f.name, kind, "r", f.tell(), shape) if shape[0] else np.zeros(0, kind))
-                f.seek(out[-1].nbytes, os.SEEK_CUR)
+            try:
+                whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+            except TypeError:  # before Python 3.13 a map keeps a descriptor
+                whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        at = whole.find(b"\n") + 1
+        out = []
+        for kind, n in json.loads(whole[:at]):
+            out.append(np.frombuffer(whole, kind, n, at))
+            at += -(-out[-1].nbytes // 8) * 8
         return out
 
     def close(self) -> None:
         self.mapped.clear()
         if self.copies:
             shutil.rmtree(self.copies, ignore_errors=True)
-
-    def find(self, h: np.ndarray) -> list[np.ndarray]:
-        """The values beside each sorted, distinct hash as int64; 0 where it is missing."""
-        out = [np.zeros(len(h), np.int64) for _ in range(self.columns - 1)]
-        part = (h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
-        edges = np.searchsorted(part, np.arange((1 << self.bits) + 1))
-        for p in range(1 << self.bits):
-            a, b = edges[p], edges[p + 1]
-            if b > a and (got := self.of(p)) is not None and len(got[0]):
-                at = np.minimum(np.searchsorted(got[0], h[a:b]), len(got[0]) - 1)
-                same = got[0][at] == h[a:b]
-                for o, v in zip(out, got[1:], strict=True):
-                    o[a:b][same] = v[at[same]]
+            self.copies = None
+
+    def find(self, level: int, section: int, part: np.ndarray, h: np.ndarray, columns: int) -> np.ndarray:
+        """The values beside each hash (rows) in a section of its range; 0 where it is not there."""
+        out = np.zeros((len(h), columns), np.int64)
+        there = self.model.ranges[level]
+        for p, rows in _by_range(part, self.model.word_bits if level == 1 else self.model.bits):
+            at = int(np.searchsorted(there, p))
+            if at < len(there) and there[at] == p:  # else no n-gram fell in that range
+                out[rows] = _find(self.of(level, p)[4 * section : 4 * section + 4], h[rows], columns)
         return out
 
 
@@ -413,41 +652,47 @@ def forget(spark, model: Model) -> None:
 # ---- scoring ------------------------------------------------------------------------------------------------
 
 
-def _discount(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
-    return np.array([0.0, *d])[np.minimum(n, 3)]
+def _left(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    """Counts less their discounts."""
+    return np.maximum(n - np.array([0.0, *d])[np.minimum(n, 3)], 0)
+
+
+def _joined(n: np.ndarray, context: np.ndarray, lower: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    """Probabilities of n-grams with count n after contexts (total, numbers of counts 1, 2, more)."""
+    total = np.maximum(context[:, 0], 1)
+    return np.where(context[:, 0] > 0, _left(n, d) / total + (context[:, 1:4] @ np.array(d)) / total * lower, lower)
 
 
 class Scorer:
-    """Of texts by one model; equal tokens of a batch are looked up once."""
+    """Of texts by one model."""
 
     def __init__(self, model: Model) -> None:
-        self.model = model
-        self.words = Ranges(model.folder, "words", model.bits, 7)
-        self.pairs = Ranges(model.folder, "pairs", model.bits, 2)
+        self.model, self.files = model, Files(model)
 
     def __call__(self, texts: pa.Array) -> dict[str, np.ndarray]:
-        m = self.model
-        h, bounds = hashed(texts)
-        before = befores(h, bounds)
-        word, at = np.unique(np.concatenate([h, [_START]]), return_inverse=True)
-        total, n1, n2, n3, ahead, count = self.words.find(word)
-        own = at[:-1]
-        ctx = np.empty_like(own)
-        ctx[1:] = own[:-1]
-        ctx[bounds[:-1]] = at[-1]
-        lower = np.maximum(ahead - _discount(ahead, m.lower_discounts), 0) / max(m.pairs, 1) + m.lower_rest / (m.distinct + 1)
-        free = (m.discounts[0] * n1 + m.discounts[1] * n2 + m.discounts[2] * n3) / np.maximum(total, 1)
-        pair, back = np.unique(pair_hash(before, h), return_inverse=True)
-        n = self.pairs.find(pair)[0][back]
-        t = total[ctx]
-        p = np.where(t > 0, np.maximum(n - _discount(n, m.discounts), 0) / np.maximum(t, 1) + free[ctx] * lower[own], lower[own])
+        m, find = self.model, self.files.find
+        words, own, bounds = hashed(texts)
+        starts = bounds[:-1]
+        words = np.append(words, _START)
+        stats = find(1, 0, range_of(words, m.word_bits), words, 6)
+        ahead, count = stats[:, 4], stats[:, 5]
+        lower = _left(ahead, m.discounts[0]) / max(m.pairs, 1) + m.lower_rest / (m.distinct + 1)
+        before = _after(own, starts, len(words) - 1)
+        pair = gram_hash(words[before], words[own])
+        ranges = range_of(pair, m.bits)
+        p = _joined(find(2, 0, ranges, pair, 1)[:, 0], stats[before], lower[own], m.discounts[1])
+        if m.order > 2:
+            later = np.ones(len(own), bool)
+            later[starts] = False
+            later = np.flatnonzero(later)  # a text's first word has the start mark alone before it
+            n = find(3, 0, ranges[later - 1], gram_hash(pair[later - 1], words[own[later]]), 1)[:, 0]
+            p[later] = _joined(n, find(3, 1, ranges[later - 1], pair[later - 1], 4), p[later], m.discounts[2])
         base = np.log10((count + 0.5) / (m.train_tokens + 0.5 * (m.distinct + 1)))[own]
-        sums = lambda x: np.add.reduceat(x, bounds[:-1]) if len(x) else np.zeros(0)
+        sums = lambda x: np.add.reduceat(x, starts) if len(x) else np.zeros(0)
         return {"n_tokens": np.diff(bounds), "n_known": sums((count[own] > 0).astype(np.int64)), "base_score": sums(base), "score": sums(np.log10(p))}
 
     def close(self) -> None:
-        self.words.close()
-        self.pairs.close()
+        self.files.close()
 
 
 def perplexity(lm: Column) -> Column:
@@ -463,12 +708,15 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "lm") -
 
     A text is its words and an end token; null and blank texts are the end token alone. perplexity is
     10 ** (-score / n_tokens). base_score is that of the add-a-half unigram model of the same counts. The
-    probabilities after any word sum to 1 over the known tokens and one unknown token.
+    probabilities after any words sum to 1 over the known tokens and one unknown token. Equal texts get equal
+    scores, repeated rows stay, no rows give no rows, and a column `into` of docs is replaced. A range file that
+    can't be read is an error, not a zero count.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(_RESULT)
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = Scorer(model)
+        scorer = Scorer(shared.value)
         try:
             for batch in batches:
                 parts = [scorer(t) for t in slices(batch)]

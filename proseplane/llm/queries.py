@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseplane.llm import chat, decontaminate, language_id, licenses, media, mixing, ngram_lm, quality, simhash, toxicity
-from proseplane.llm.common import id_bucket, table
+from proseplane.llm.common import cut, id_bucket, table
 from proseplane.shipping import shipped
 
 
@@ -91,10 +91,13 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = id_bucket("doc_id", 5) == 1
     model = ngram_lm.train(docs.where(~held))
     lm = F.col("lm")
-    return ngram_lm.score(docs, model).select(
+    scored = ngram_lm.score(docs, model).select(
         "doc_id", held.alias("held_out"), lm["n_tokens"].alias("n_tokens"), lm["n_known"].alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         lm["base_score"].alias("base_score"), lm["score"].alias("score"), ngram_lm.perplexity(lm).alias("perplexity"),
     )
+    kept = cut(scored)  # numbers only, so that the model's files can go
+    ngram_lm.forget(spark, model)
+    return kept
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

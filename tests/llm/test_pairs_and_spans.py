@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -413,58 +414,143 @@ def test_area_resize_equals_the_plain_mean(h, w, rows, columns):
 # ---- language model -----------------------------------------------------------------------------------------
 
 
-def plain_kneser_ney(train, texts):
+def plain_discounts(counts):
+    """Chen and Goodman's, of a Counter of counts; 0.5 where counts of 1 or 2 are missing."""
+    n = [sum(v == i for v in counts) for i in range(5)]
+    if not n[1] or not n[2]:
+        return {1: 0.5, 2: 0.5, 3: 0.5}
+    y = n[1] / (n[1] + 2 * n[2])
+    d = {1: 1 - 2 * y * n[2] / n[1], 2: 2 - 3 * y * n[3] / n[2], 3: 3 - 4 * y * n[4] / n[3] if n[3] else 1.5}
+    return {k: min(max(v, 0.05), k - 0.05) for k, v in d.items()}
+
+
+def plain_kneser_ney(train, texts, order):
     tok = lambda t: [*(t or "").encode().lower().split(), None]
-    bi, uni = Counter(), Counter()
+    uni, grams = Counter(), {k: Counter() for k in range(1, order + 1)}
     for t in train:
         w = tok(t)
         uni.update(w)
-        bi.update(zip(["<s>", *w[:-1]], w, strict=True))
-    follow, ahead, total = defaultdict(Counter), Counter(), Counter()
-    for (a, b), n in bi.items():
-        follow[a][min(n, 3)] += 1
-        ahead[b] += 1
-        total[a] += n
-    d = ngram_lm.discounts([sum(v == i for v in bi.values()) for i in range(1, 5)])
-    e = ngram_lm.discounts([sum(v == i for v in ahead.values()) for i in range(1, 5)])
-    N, V, P = sum(uni.values()), len(uni), len(bi)
-    rest = sum(e[min(v, 3) - 1] for v in ahead.values()) / P if P else 1.0
-
-    def lower(b):
-        return max(ahead[b] - (0, *e)[min(ahead[b], 3)], 0) / max(P, 1) + rest / (V + 1)
-
-    def p(a, b):
-        if not total[a]:
-            return lower(b)
-        n = bi[(a, b)]
-        return max(n - (0, *d)[min(n, 3)], 0) / total[a] + sum(d[k - 1] * c for k, c in follow[a].items()) / total[a] * lower(b)
+        line = ["<s>"] * (order - 1) + w
+        grams[order].update(tuple(line[i : i + order]) for i in range(len(w)))
+    for k in range(order - 1, 0, -1):  # how many words stand before; what begins with the mark keeps its count
+        for g, n in grams[k + 1].items():
+            grams[k][g[1:]] += n if g[:2] == ("<s>", "<s>") else 1
+    counted = {k: [n for g, n in grams[k].items() if k < 3 or g[:2] != ("<s>", "<s>")] for k in grams}
+    d = {k: plain_discounts(c) for k, c in counted.items()}
+    follow = defaultdict(Counter)
+    for k in range(2, order + 1):
+        for g, n in grams[k].items():
+            follow[g[:-1]][min(n, 3)] += 1
+            follow[g[:-1]]["total"] += n
+    N, V, P = sum(uni.values()), len(uni), sum(grams[1].values())
+    rest = sum(d[1][min(v, 3)] for v in grams[1].values()) / P if P else 1.0
+
+    def p(g):
+        if len(g) == 1:
+            n = grams[1][g]
+            return (n - d[1][min(n, 3)] if n else 0) / max(P, 1) + rest / (V + 1)
+        f = follow[g[:-1]]
+        if not f["total"]:
+            return p(g[1:])
+        n = grams[len(g)][g]
+        free = sum(d[len(g)][k] * f[k] for k in (1, 2, 3)) / f["total"]
+        return (n - d[len(g)][min(n, 3)] if n else 0) / f["total"] + free * p(g[1:])
 
     out = []
     for t in texts:
         w = tok(t)
+        line = ["<s>", *w]
         base = sum(math.log10((uni[x] + 0.5) / (N + 0.5 * (V + 1))) for x in w)
-        out.append((len(w), sum(uni[x] > 0 for x in w), N, base, sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w[:-1]], w, strict=True))))
+        out.append((len(w), sum(uni[x] > 0 for x in w), N, base, sum(math.log10(p(tuple(line[max(0, i + 1 - order) : i + 1]))) for i in range(1, len(line)))))
     known = [*uni, b"\x00never"]
-    for a in ("<s>", *list(uni)[:3]):
-        assert sum(p(a, b) for b in known) == pytest.approx(1)
+    for context in [g[:-1] for g in grams[order]][:4]:
+        assert sum(p((*context, b)) for b in known) == pytest.approx(1)
     return out
 
 
-def test_language_model_query(spark, tables, monkeypatch):
-    monkeypatch.setattr(ngram_lm, "RANGE_BYTES", 600)  # several ranges
+def lm_texts():
     rng = random.Random(6)
     texts = [" ".join(rng.choices([f"W{i}" for i in range(30)] + ["é", "b"], weights=[1 / (i + 1) for i in range(32)], k=rng.choice([0, 1, 9, 60]))) for _ in range(120)]
-    texts += ["", None, " \t", "never seen before", "x" * 5000, texts[0], texts[0]]
+    return texts + ["", None, " \t", "never seen before", "x" * 5000, texts[0], texts[0]]
+
+
+@pytest.mark.parametrize("fan", [11, 2])  # dealt at once, or in several passes
+def test_language_model_query(spark, tables, monkeypatch, fan):
+    monkeypatch.setattr(ngram_lm, "RANGE_BYTES", 600)  # several ranges
+    monkeypatch.setattr(ngram_lm, "FAN", fan)
+    texts = lm_texts()
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(None, "null id", None, None, None)]
     got = {r["doc_id"]: r for r in queries.op9_language_model(spark, tables(documents=(rows, DOC))).collect()}
     held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 5 == 1
-    want = plain_kneser_ney([t for k, t, *_ in rows if not held(k)], [t for _, t, *_ in rows])
+    want = plain_kneser_ney([t for k, t, *_ in rows if not held(k)], [t for _, t, *_ in rows], 3)
     for (k, *_), (n, known, total, base, score) in zip(rows, want, strict=True):
         r = got[k]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(k), n, known, total)
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score) and r["perplexity"] == pytest.approx(10 ** (-score / n))
 
 
+def local_model(folder, texts, order, bits, word_bits):
+    """The model of texts by the tasks' own functions, without Spark."""
+    slots, word_slots = list(range(1 << bits)), list(range(1 << word_bits))
+    first, last = ngram_lm._Deal(bits, bits, slots), ngram_lm._Deal(word_bits, word_bits, word_slots)
+    batch = lambda ts: pa.RecordBatch.from_arrays([pa.array(ts, pa.string())], names=["t"])
+    rows = [r for ts in (texts[::2], texts[1::2]) for r in ngram_lm._counter(order, first)(iter([batch(ts)]))]
+
+    def grouped(rows, reduce):
+        by = defaultdict(list)
+        for r in rows:
+            by[r.column(0)[0].as_py()].append(r)
+        return [x for s, own in by.items() for x in reduce((pa.scalar(s),), iter(own))]
+
+    for level in range(order, 1, -1):
+        rows = grouped(rows, ngram_lm._reducer(level, folder, {s: s for s in slots}, first if level > 2 else last))
+    sums = [dict(zip(ngram_lm._SUMS, x, strict=True)) for b in grouped(rows, ngram_lm._word_reducer(folder, {s: s for s in word_slots})) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    total = lambda level, x: sum(s[x] for s in sums if s["level"] == level)
+    d = tuple(ngram_lm.discounts([total(k, f"c{i}") for i in range(1, 5)]) for k in range(1, order + 1))
+    c1, c2, pairs, distinct = total(1, "c1"), total(1, "c2"), total(1, "ahead"), total(1, "distinct")
+    there = {k: np.array(sorted(s["part"] for s in sums if s["level"] == k)) for k in range(1, order + 1)}
+    return ngram_lm.Model(folder, order, bits, word_bits, total(1, "tokens"), distinct, pairs, d, (d[0][0] * c1 + d[0][1] * c2 + d[0][2] * (distinct - c1 - c2)) / pairs, there)
+
+
+@pytest.mark.parametrize(("order", "bits"), [(2, 0), (2, 12), (3, 0), (3, 12)])
+def test_thousands_of_ranges_under_few_open_files(tmp_path, order, bits):
+    import resource
+
+    rng = random.Random(8)
+    texts = lm_texts() + [" ".join(rng.choices([f"v{i}" for i in range(150)], k=40)) for _ in range(100)]
+    model = local_model(str(tmp_path / "m"), texts, order, bits, bits // 2)
+    files = sum(map(len, model.ranges.values()))
+    assert files == len(list((tmp_path / "m").iterdir())) and (bits == 0 or files > 2000)
+    limits = resource.getrlimit(resource.RLIMIT_NOFILE)
+    used = len(__import__("os").listdir("/proc/self/fd"))
+    resource.setrlimit(resource.RLIMIT_NOFILE, (used + 140, limits[1]))  # MAPS and little more, less than 256 for a worker
+    try:
+        scorer = ngram_lm.Scorer(model)
+        got = scorer(pa.array([t or "" for t in texts], pa.large_string()))
+        assert len(scorer.files.mapped) <= ngram_lm.MAPS
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, limits)
+    for i, (n, known, _, base, score) in enumerate(plain_kneser_ney(texts, texts, order)):
+        assert (got["n_tokens"][i], got["n_known"][i]) == (n, known) and got["base_score"][i] == pytest.approx(base) and got["score"][i] == pytest.approx(score)
+
+
+def test_a_missing_range_is_an_error(tmp_path):
+    model = local_model(str(tmp_path / "m"), ["a b c", "a b d"], 3, 2, 0)
+    (tmp_path / "m" / f"3-{model.ranges[3][0]}").unlink()
+    with pytest.raises(FileNotFoundError):
+        ngram_lm.Scorer(model)(pa.array(["a b c", "a b d"], pa.large_string()))
+
+
+def test_long_texts_cross_flushes_and_slices(tmp_path, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "FLUSH", 1000)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcdefgh", k=700_000)), *(" ".join(rng.choices("abcd", k=50)) for _ in range(200)), "a b", "a b"]
+    model = local_model(str(tmp_path / "m"), texts, 3, 2, 1)
+    got = ngram_lm.Scorer(model)(pa.array(texts[1:], pa.large_string()))
+    for i, (n, known, total, base, score) in enumerate(plain_kneser_ney(texts, texts[1:], 3)):
+        assert model.train_tokens == total and got["n_tokens"][i] == n and got["base_score"][i] == pytest.approx(base) and got["score"][i] == pytest.approx(score)
+
+
 def test_language_model_of_nothing(spark, tables):
     sf = tables(documents=([], DOC))
     assert queries.op9_language_model(spark, sf).count() == 0
