@@ -7,9 +7,9 @@ number of words that they follow, of pairs the statistics of single words. With
 may deal to (FAN), dealing takes further passes, so rows grow with the input and not with its square.
 
 A range is one file of the shared folder with sorted hash arrays: a directory of the leading bits, the next
-32 bits of each hash (words: all 64), and numbers into a table of the distinct values. A hash that is not
-there is taken for one that is with a probability of about 4e-9. Scoring workers map a file into memory when
-they first need it, one map for each, and keep the MAPS last used ones.
+24 bits of each hash (words: all 64), and numbers into a table of the distinct values. An n-gram that is not
+there is taken for one that is with a probability of about one in a million. Scoring workers map a file into
+memory when they first need it, one map for each, and keep the MAPS last used ones.
 """
 
 from __future__ import annotations
@@ -35,10 +35,12 @@ from pyspark.sql import types as T
 from proseplane.llm.common import cut, mix64, shared_dir, slices
 
 ORDER = 3
-#: Tokens that a task counts before it sends them on.
-FLUSH = 1_500_000
+#: Tokens that a task counts before it sends them on. The more, the fewer words are named in several rows.
+FLUSH = 4_000_000
 #: Bytes of text for which there is one range, so that a range's work fits in a task's memory.
 RANGE_BYTES = 24_000_000
+#: A task takes 2 ** SHARE ranges in turn and holds their rows packed, for fewer and larger rows.
+SHARE = 2
 #: Bits of the range number that one pass deals out, and bits of the number of ranges of single words at most.
 FAN, WORD_FAN = 11, 10
 #: Files that a scoring worker keeps mapped.
@@ -274,7 +276,7 @@ def _slots(spark, n: int) -> list[int]:
 
 
 class _Deal:
-    """Ranges of one level: 2 ** bits, of which `now` bits are dealt out so far."""
+    """2 ** bits groups of ranges of one level, of which `now` bits are dealt out so far."""
 
     def __init__(self, bits: int, now: int, slots: list[int] | None) -> None:
         self.bits, self.now, self.slots = bits, now, slots
@@ -308,7 +310,7 @@ def _dealing_on(deal: _Deal):
         for batch in batches:
             for s, k, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if k == _TOTALS:
-                    yield _row(deal.slot(int(_unpack(blob)[0][0])), k, blob)
+                    yield _row(deal.slot(int(_unpack(blob)[0][1])), k, blob)
                     continue
                 if held and (s != slot or size >= FLUSH):
                     yield from deal(Grams.together(held).distinct(), level)
@@ -355,9 +357,9 @@ def _counter(order: int, deal: _Deal):
     return counted
 
 
-def _totals(slot: int, level: int, part: int, n: np.ndarray) -> pa.RecordBatch:
-    """A level's numbers of n-grams with counts 1 to 4 in one range."""
-    return _row(slot, _TOTALS, _pack(np.array([part, level, *((n == i).sum() for i in range(1, 5)), 0], np.int64)))
+def _totals(slot: int, level: int, part: int, group: int, n: np.ndarray) -> pa.RecordBatch:
+    """A level's numbers of n-grams with counts 1 to 4 in one range of a group."""
+    return _row(slot, _TOTALS, _pack(np.array([part, group, level, *((n == i).sum() for i in range(1, 5))], np.int64)))
 
 
 def _of_contexts(g: Grams, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -367,59 +369,76 @@ def _of_contexts(g: Grams, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]
     return first, [np.add.reduceat(c.astype(np.int64), first) for c in (n, n == 1, n == 2, n > 2)]
 
 
-def _reducer(level: int, folder: str, parts: dict[int, int], lower: _Deal):
-    """Adds up a range's n-grams, writes its file, and sends on what the next level needs."""
+def _reducer(level: int, folder: str, parts: dict[int, int], bits: int, lower: _Deal):
+    """Adds up the n-grams of a group of the 2 ** bits ranges, writes their files, sends on what the next level needs."""
+
+    def merged(lots: list[Grams]) -> Grams:
+        return Grams.together(lots).distinct()
 
     def reduced(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = parts[key[0].as_py()]
-        now: Grams | None = None
-        waiting: list[Grams] = []
-        size = 0
+        group = parts[key[0].as_py()]
+        share = bits - (len(parts).bit_length() - 1)
+        blobs: list[bytes] = []
         for batch in batches:
             for k, blob in zip(batch.column(batch.schema.get_field_index("level")).to_pylist(), batch.column(batch.schema.get_field_index("blob")), strict=True):
                 if k == _TOTALS:
-                    yield _row(lower.slot(int(_unpack(blob.as_py())[0][0]) & ((1 << lower.bits) - 1)), k, blob.as_py())
-                    continue
-                waiting.append(Grams.unpacked(blob.as_py()))
-                size += len(waiting[-1].codes[0])
-                if size > max(500_000, len(now.codes[0]) // 2 if now else 0):
-                    now, waiting, size = Grams.together([*([now] if now else []), *waiting]).distinct(), [], 0
-        if waiting:
-            now = Grams.together([*([now] if now else []), *waiting]).distinct()
-        waiting.clear()
-        if now is None:
-            return
-        here = lower.slot(part & ((1 << lower.bits) - 1))
-        if level > 2:
-            yield from _trigrams(now, folder, part, here, lower)
-        else:
-            yield from _pairs(now, folder, part, here, lower)
+                    yield _row(lower.slot(int(_unpack(blob.as_py())[0][1]) & ((1 << lower.bits) - 1)), k, blob.as_py())
+                else:
+                    blobs.append(blob.as_py())
+        here = lower.slot(group & ((1 << lower.bits) - 1))
+        sums = None
+        for part in range(group << share, (group + 1) << share):
+            now: list[Grams] = []
+            waiting: list[Grams] = []
+            for blob in blobs:
+                got = Grams.unpacked(blob)
+                waiting.append(got.of(np.flatnonzero(range_of(got.head(), bits) == part)) if share else got)
+                if sum(len(x.codes[0]) for x in waiting) > max(500_000, len(now[0].codes[0]) // 2 if now else 0):
+                    now, waiting = [merged([*now, *waiting])], []
+            grams = merged([*now, *waiting]) if waiting else now[0] if now else None
+            del now, waiting
+            if grams is None or not len(grams.codes[0]):
+                continue
+            if level > 2:
+                yield from _trigrams(grams, folder, part, group, here, lower)
+            else:
+                sums = _added([*([sums] if sums else []), _pairs(grams, folder, part)])
+                yield _totals(here, 2, part, group, grams.values[0])
+        if sums:
+            for p, rows in _by_range(range_of(sums[0], lower.bits), lower.bits):
+                yield _row(lower.slot(p), 1, _pack(*(_narrow(x[rows]) if i else x[rows] for i, x in enumerate(sums))))
 
     return reduced
 
 
-def _trigrams(g: Grams, folder: str, part: int, here: int, lower: _Deal) -> Iterator[pa.RecordBatch]:
+def _added(lots: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Sums of the columns for each distinct word, which come first."""
+    word = np.concatenate([x[0] for x in lots])
+    order, first = _runs(word)
+    return [word[order[first]], *(np.add.reduceat(np.concatenate([x[i].astype(np.int64) for x in lots])[order], first) for i in range(1, 7))]
+
+
+def _trigrams(g: Grams, folder: str, part: int, group: int, here: int, lower: _Deal) -> Iterator[pa.RecordBatch]:
     (a, b, c), n = g.codes, g.values[0]
     head = g.head()
     first, contexts = _of_contexts(g, n)
     _write(folder, 3, part, _section(gram_hash(head, g.words[c]), [n]), _section(head[first], contexts))
     del head, contexts
     begins = g.words[a] == _BEFORE  # the start mark follows nothing, so pairs that begin with it keep their counts
-    yield _totals(here, 3, part, n[~begins])
+    yield _totals(here, 3, part, group, n[~begins])
     yield from lower(Grams(g.words, [b, c], [np.where(begins, n, 1), n]).distinct(), 2)
 
 
-def _pairs(g: Grams, folder: str, part: int, here: int, lower: _Deal) -> Iterator[pa.RecordBatch]:
+def _pairs(g: Grams, folder: str, part: int) -> list[np.ndarray]:
+    """Words with their statistics as contexts, the numbers of words that they follow, and counts."""
     (b, c), (n, raw) = g.codes, g.values
     _write(folder, 2, part, _section(g.head(), [n]))
-    yield _totals(here, 2, part, n)
     first, contexts = _of_contexts(g, n)
     columns = np.zeros((6, len(g.words)), np.int64)
     columns[:4, b[first]] = contexts
     columns[4] = np.bincount(c, minlength=len(g.words))
     columns[5] = np.bincount(c, raw, len(g.words)).astype(np.int64)
-    for p, rows in _by_range(range_of(g.words, lower.bits), lower.bits):
-        yield _row(lower.slot(p), 1, _pack(g.words[rows], *(_narrow(x[rows]) for x in columns)))
+    return [g.words, *columns]
 
 
 _SUMS = ["level", "part", "c1", "c2", "c3", "c4", "tokens", "distinct", "ahead"]
@@ -432,24 +451,19 @@ def _word_reducer(folder: str, parts: dict[int, int]):
         now: list[np.ndarray] | None = None
         rows: list[list[int]] = []
 
-        def merged(lots: list[list[np.ndarray]]) -> list[np.ndarray]:
-            word = np.concatenate([x[0] for x in lots])
-            order, first = _runs(word)
-            return [word[order[first]], *(np.add.reduceat(np.concatenate([x[i].astype(np.int64) for x in lots])[order], first) for i in range(1, 7))]
-
         waiting: list[list[np.ndarray]] = []
         for batch in batches:
             for k, blob in zip(batch.column(batch.schema.get_field_index("level")).to_pylist(), batch.column(batch.schema.get_field_index("blob")), strict=True):
                 got = _unpack(blob.as_py())
                 if k == _TOTALS:
-                    part, level, *c, _ = (int(x) for x in got[0])
+                    part, _, level, *c = (int(x) for x in got[0])
                     rows.append([level, part, *c, 0, 0, 0])
                     continue
                 waiting.append(got)
                 if sum(len(x[0]) for x in waiting) > max(500_000, len(now[0]) // 2 if now else 0):
-                    now, waiting = merged([*([now] if now else []), *waiting]), []
+                    now, waiting = _added([*([now] if now else []), *waiting]), []
         if waiting:
-            now = merged([*([now] if now else []), *waiting])
+            now = _added([*([now] if now else []), *waiting])
         if now is not None:
             part = parts[key[0].as_py()]
             _write(folder, 1, part, _section(now[0], now[1:], whole=True))
@@ -486,13 +500,14 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     size = docs.select(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1.0, size / RANGE_BYTES)))))
     word_bits = min(WORD_FAN, max(0, bits - 2))
-    slots, word_slots = _slots(spark, 1 << bits), _slots(spark, 1 << word_bits)
-    first = _Deal(bits, min(bits, FAN), slots)
+    groups = max(0, bits - SHARE)
+    slots, word_slots = _slots(spark, 1 << groups), _slots(spark, 1 << word_bits)
+    first = _Deal(groups, min(groups, FAN), slots)
     parts = {s: p for p, s in enumerate(slots)}
     rows = docs.select(F.col(text).alias("t")).mapInArrow(_counter(order, first), _ROW)
     for level in range(order, 1, -1):
         lower = first if level > 2 else _Deal(word_bits, word_bits, word_slots)
-        rows = _dealt(rows, bits, slots).applyInArrow(_reducer(level, folder, parts, lower), _ROW)
+        rows = _dealt(rows, groups, slots).applyInArrow(_reducer(level, folder, parts, bits, lower), _ROW)
     words = rows.repartition(1 << word_bits, "slot").groupBy("slot")
     sums = cut(words.applyInArrow(_word_reducer(folder, {s: p for p, s in enumerate(word_slots)}), ", ".join(f"{x} long" for x in _SUMS)))
     of = {r["level"]: r for r in sums.groupBy("level").agg(*[F.sum(x).alias(x) for x in _SUMS[2:]]).collect()}
@@ -508,7 +523,7 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
 
 
 def _section(key: np.ndarray, columns: list[np.ndarray], whole: bool = False) -> list[np.ndarray]:
-    """Sorted hashes (a directory of the leading bits, then the next 32 bits or all) and the values beside."""
+    """Sorted hashes (a directory of the leading bits, then the next 24 bits or all) and the values beside."""
     import pandas as pd
 
     bits = max(0, len(key).bit_length() - 4)
@@ -518,8 +533,10 @@ def _section(key: np.ndarray, columns: list[np.ndarray], whole: bool = False) ->
     code = pd.factorize(kind)[0]
     first = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1))
     table = np.stack([c[first].astype(np.int64) for c in columns], axis=1) if len(key) else np.zeros((0, len(columns)), np.int64)
+    often = np.argsort(-np.bincount(code, minlength=len(first)), kind="stable")  # frequent values get small numbers
+    table, code = table[often], _mapped(often, np.arange(len(often)), len(often))[code]
     width = np.uint64(len(first).bit_length())
-    if not whole and bits + 32 + int(width) <= 64:  # the code takes the place of bits that are not kept
+    if not whole and bits + 24 + int(width) <= 64:  # the code takes the place of bits that are not kept
         line = np.sort((key >> width << width) | code.astype(np.uint64))
         key, code = line, line & ((np.uint64(1) << width) - np.uint64(1))
     else:
@@ -527,27 +544,46 @@ def _section(key: np.ndarray, columns: list[np.ndarray], whole: bool = False) ->
         key, code = key[order], code[order]
     lead = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
     directory = np.concatenate([[0], np.cumsum(np.bincount(lead, minlength=1 << bits))]).astype(np.uint32)
-    return [directory, key if whole else ((key << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32), _narrow(code), table.ravel()]
+    low = (key << np.uint64(bits)) >> np.uint64(40)
+    keys = [key, np.zeros(0, np.uint8)] if whole else [(low >> np.uint64(8)).astype(np.uint16), low.astype(np.uint8)]
+    large = np.flatnonzero(code >= 255)  # numbers beyond a byte, by their places
+    return [directory, *keys, np.minimum(code, 255).astype(np.uint8), large.astype(np.uint32), _narrow(code[large]), table.ravel()]
+
+
+#: Arrays of a section.
+_ARRAYS = 7
 
 
 def _find(section: list[np.ndarray], h: np.ndarray, columns: int) -> np.ndarray:
     """Rows of values of the hashes; 0 where they are not there."""
-    directory, keys, code, table = section
+    directory, keys, ends, code, large, codes, table = section
     out = np.zeros((len(h), columns), np.int64)
     if not len(keys):
         return out
     bits = (len(directory) - 1).bit_length() - 1
     lead = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-    want = h if keys.dtype == np.uint64 else ((h << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+    if whole := keys.dtype == np.uint64:
+        want = h
+    else:
+        low = (h << np.uint64(bits)) >> np.uint64(40)
+        want, end = (low >> np.uint64(8)).astype(np.uint16), low.astype(np.uint8)
     low, stop = directory[lead].astype(np.int64), directory[lead + 1].astype(np.int64)
     high = stop.copy()
     for _ in range(int((high - low).max()).bit_length()):
         mid = (low + high) >> 1
-        less = (keys.take(mid, mode="clip") < want) & (low < high)
+        at = keys.take(mid, mode="clip")
+        less = at < want if whole else (at < want) | ((at == want) & (ends.take(mid, mode="clip") < end))
+        less &= low < high
         low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
-    hit = low < stop
-    hit[hit] = keys[low[hit]] == want[hit]
-    out[hit] = table.reshape(-1, columns)[code[low[hit]]]
+    hit = np.flatnonzero(low < stop)
+    at = low[hit]
+    same = (keys[at] == want[hit]) & (whole or (ends[at] == end[hit]))
+    hit, at = hit[same], at[same]
+    found = code[at].astype(np.int64)
+    if len(large):
+        more = np.flatnonzero(found == 255)
+        found[more] = codes[np.searchsorted(large, at[more])]
+    out[hit] = table.reshape(-1, columns)[found]
     return out
 
 
@@ -638,7 +674,7 @@ class Files:
         for p, rows in _by_range(part, self.model.word_bits if level == 1 else self.model.bits):
             at = int(np.searchsorted(there, p))
             if at < len(there) and there[at] == p:  # else no n-gram fell in that range
-                out[rows] = _find(self.of(level, p)[4 * section : 4 * section + 4], h[rows], columns)
+                out[rows] = _find(self.of(level, p)[_ARRAYS * section : _ARRAYS * (section + 1)], h[rows], columns)
         return out
 
 

@@ -491,8 +491,9 @@ def test_language_model_query(spark, tables, monkeypatch, fan):
 
 def local_model(folder, texts, order, bits, word_bits):
     """The model of texts by the tasks' own functions, without Spark."""
-    slots, word_slots = list(range(1 << bits)), list(range(1 << word_bits))
-    first, last = ngram_lm._Deal(bits, bits, slots), ngram_lm._Deal(word_bits, word_bits, word_slots)
+    groups = max(0, bits - ngram_lm.SHARE)
+    slots, word_slots = list(range(1 << groups)), list(range(1 << word_bits))
+    first, last = ngram_lm._Deal(groups, groups, slots), ngram_lm._Deal(word_bits, word_bits, word_slots)
     batch = lambda ts: pa.RecordBatch.from_arrays([pa.array(ts, pa.string())], names=["t"])
     rows = [r for ts in (texts[::2], texts[1::2]) for r in ngram_lm._counter(order, first)(iter([batch(ts)]))]
 
@@ -503,7 +504,7 @@ def local_model(folder, texts, order, bits, word_bits):
         return [x for s, own in by.items() for x in reduce((pa.scalar(s),), iter(own))]
 
     for level in range(order, 1, -1):
-        rows = grouped(rows, ngram_lm._reducer(level, folder, {s: s for s in slots}, first if level > 2 else last))
+        rows = grouped(rows, ngram_lm._reducer(level, folder, {s: s for s in slots}, bits, first if level > 2 else last))
     sums = [dict(zip(ngram_lm._SUMS, x, strict=True)) for b in grouped(rows, ngram_lm._word_reducer(folder, {s: s for s in word_slots})) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
     total = lambda level, x: sum(s[x] for s in sums if s["level"] == level)
     d = tuple(ngram_lm.discounts([total(k, f"c{i}") for i in range(1, 5)]) for k in range(1, order + 1))
