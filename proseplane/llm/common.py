@@ -63,9 +63,14 @@ def slices(texts: pa.Array, limit: int = 2_000_000) -> Iterator[pa.Array]:
         at = to
 
 
-def bounded(rows: DataFrame, most: int) -> DataFrame:
-    """rows, or so many of them where there are more, as when one key repeats; a sample's rows stay spread out."""
-    return rows if rows.count() <= most else rows.limit(most)
+def drawn(rows: DataFrame, key: str, most: int, seed: int = 23) -> DataFrame:
+    """About `most` of the rows, or all where there are fewer, by a hash of the key: every run draws the same.
+
+    Rows with one key are drawn together; distinct() then bounds them however often they repeat. Only the number
+    of rows is counted for it, which reads no other column.
+    """
+    share = min(1.0, most / max(rows.count(), 1))
+    return rows if share == 1 else rows.where(F.xxhash64(key, F.lit(seed)) / F.lit(2.0**64) + F.lit(0.5) < F.lit(share))
 
 
 def packed_rows(df: DataFrame, *more: Column) -> DataFrame:
