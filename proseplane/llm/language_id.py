@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proseplane.llm.common import bounded
+from proseplane.llm.common import packed_rows
 
 UNKNOWN = "und"
 
@@ -105,16 +105,19 @@ def document_frequencies(docs: DataFrame, text: str, config: Config) -> tuple[np
     return df, total
 
 
-def _sample(docs: DataFrame, key: Column, label: Column, shares: dict[str, float], limit: int) -> DataFrame:
-    """Rows by a hash of their key, the given share of each language; the limit holds where keys repeat."""
+def _sample(docs: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """Distinct (t, y) by a hash of the text, the given share of each language's rows."""
     share = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])
-    u = (F.xxhash64(key, F.lit(17)) / F.lit(2.0**64)) + F.lit(0.5)
-    return bounded(docs.where(u < F.element_at(share, label)), limit)
+    u = (F.xxhash64("t", F.lit(17)) / F.lit(2.0**64)) + F.lit(0.5)
+    return docs.where(u < F.element_at(share, F.col("y"))).distinct()
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", config: Config = Config()) -> Model:
-    """A model of the non-null languages of docs. Without labelled rows it knows no language."""
-    labelled = docs.where(F.col(lang).isNotNull()).select(F.col(doc_id).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("y"))
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", config: Config = Config()) -> Model:
+    """A model of the non-null languages of docs. Without labelled rows it knows no language.
+
+    Equal texts of one language count once in the sample, which is drawn by hashes; null texts have no n-grams.
+    """
+    labelled = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("y"))
     found = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
     languages = tuple(sorted(found))
     if not languages:
@@ -122,24 +125,24 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     df, n = document_frequencies(docs, text, config)
     idf = np.log((1 + n) / (1 + df)) + 1
     each = max(1, config.sample_rows // len(languages))
-    rows = _sample(labelled, F.col("k"), F.col("y"), {k: min(1.0, each / c) for k, c in found.items()}, 2 * config.sample_rows)
+    rows = _sample(labelled, {k: min(1.0, each / c) for k, c in found.items()})
     dims, orders = config.dims, config.orders
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for k, t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 points, some = _code_points(t or "")
                 if some:
                     index, counts = _counts(points, dims, orders)
-                    out.append((str(k), y, index.astype(np.int32).tobytes(), counts.astype(np.int32).tobytes()))
+                    out.append((y, index.astype(np.int32).tobytes(), counts.astype(np.int32).tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["k", "y", "i", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["y", "i", "c"])
 
-    got = sorted(tuple(r) for r in rows.mapInArrow(vectors, "k string, y string, i binary, c binary").collect())
-    xs = [(np.frombuffer(bytes(i), np.int32), np.frombuffer(bytes(c), np.int32)) for _, _, i, c in got]
+    got = sorted(tuple(r) for r in rows.mapInArrow(vectors, "y string, i binary, c binary").collect())
+    xs = [(np.frombuffer(bytes(i), np.int32), np.frombuffer(bytes(c), np.int32)) for _, i, c in got]
     xs = [(i, _weighted(i, c, idf)) for i, c in xs]
-    ys = np.array([languages.index(y) for _, y, _, _ in got], np.int64)
+    ys = np.array([languages.index(y) for y, _, _ in got], np.int64)
     order = np.random.default_rng(5).permutation(len(ys))
     cut = int(len(ys) * (1 - config.calibration)) if len(ys) > 20 else len(ys)
     weights, bias = _ftrl(xs, ys, order[:cut], len(languages), config)
@@ -220,4 +223,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             found = [predict_one(shared.value, t.as_py()) for t in texts]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])
 
-    return docs.withColumn("_lang", predict(F.col(text))).withColumns({"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")}).drop("_lang")
+    found = packed_rows(docs, predict(F.col(text)).alias("_found"))
+    own = [F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    return found.select(*own, F.col("_found.lang_pred").alias("lang_pred"), F.col("_found.score").alias("score"))

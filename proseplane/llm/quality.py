@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proseplane.llm.common import bounded, words_of
+from proseplane.llm.common import drawn, words_of
 
 
 @dataclass(frozen=True)
@@ -163,12 +163,14 @@ def lasso(z: np.ndarray, y: np.ndarray, config: Config) -> tuple[np.ndarray, flo
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", config: Config = Config()) -> Model:
-    """From docs joined with labels; null ids and labels are left out. Without both classes it is a constant."""
+    """From docs joined with labels; null ids and labels are left out. Without both classes it is a constant.
+
+    Equal texts with equal labels count once; the sample is drawn by hashes, so every run fits the same model.
+    """
     labels = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_k"), F.col(label).cast("int").alias("_y"))
-    n = labels.count()
-    u = (F.xxhash64("_k", F.lit(29)) / F.lit(2.0**64)) + F.lit(0.5)
-    chosen = labels.where(u < min(1.0, config.sample_rows / max(n, 1))).limit(2 * config.sample_rows)  # so many at most
-    rows = bounded(docs.select(F.col(doc_id).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_k"), 4 * config.sample_rows)
+    chosen = drawn(labels.distinct(), "_k", config.sample_rows, 29)
+    known = docs.select(F.col(doc_id).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_k")  # about config.sample_rows ids
+    rows = drawn(known, "_t", config.sample_rows, 29).select("_y", "_t").distinct()
     data = np.array(sorted((r[0], *r[1]) for r in rows.select("_y", statistics("_t")).collect()), np.float64).reshape(-1, len(STATISTICS) + 1)
     return learn(data[:, 1:], data[:, 0], config)
 
@@ -190,5 +192,8 @@ def compiled(model: Model, text: str) -> Column:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
-    """docs with the probability that each whole text is of quality; a column of that name is replaced."""
+    """docs with the probability that each whole text is of quality; a column of that name is replaced.
+
+    Null texts score as empty ones, equal texts alike, repeated rows stay, no rows give no rows.
+    """
     return docs.withColumn(into, compiled(model, text))
