@@ -1,14 +1,15 @@
 """Licence scans by a trained paragraph classifier, with DataFrame functions only on the scanning path.
 
-A sparse multinomial logistic regression over word uni- and bigrams tells licence families from one another
-and from ordinary paragraphs. It is trained here with numpy on variants of the notices below (a fixed set)
-and a bounded sample of the corpus's own paragraphs, and its probabilities are calibrated on held-back
-variants, so that what resembles no family is `unknown`. A prediction counts when the paragraph's words also
-cover enough of one of the family's notices.
+A sparse multinomial logistic regression over word uni- and bigrams tells licence families, licences of no
+family that it knows (`unknown`) and ordinary paragraphs from one another. It is trained here with numpy on
+variants of the notices below (a fixed set) and a bounded sample of the corpus's own paragraphs, and its
+probabilities are calibrated on held-back variants. A prediction counts when the paragraph's words also cover
+enough of one of the family's notices. Paragraphs are lines and runs of neighbouring lines.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -16,7 +17,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UNKNOWN = "unknown"
+from proseplane.llm.common import drawn
+
+#: Ordinary paragraphs; licences of no known family.
+NONE, UNKNOWN = "none", "unknown"
 
 #: Opening notices of licence families, from the public licence texts; digits are read as 9.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -24,51 +28,70 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Released under the MIT License.",
         "Licensed under the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "License-Identifier: MIT",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http www apache org licenses LICENSE-2.0",
+        "License-Identifier: Apache-2.0",
     ),
     "GPL": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+        "License-Identifier: GPL-3.0",
     ),
     "LGPL": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
+        "License-Identifier: LGPL-2.1",
     ),
     "AGPL": (
         "Licensed under the GNU Affero General Public License, version 3.",
         "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License.",
+        "License-Identifier: AGPL-3.0",
     ),
     "BSD": (
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "License-Identifier: BSD-3-Clause",
     ),
     "MPL-2.0": (
         "Licensed under the Mozilla Public License, version 2.0.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "License-Identifier: MPL-2.0",
     ),
     "CC-BY": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "License-Identifier: CC-BY-4.0",
     ),
     "CC-BY-SA": (
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "License-Identifier: CC-BY-SA-4.0",
     ),
     "CC-BY-NC": (
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "License-Identifier: CC-BY-NC-4.0",
     ),
     "CC0": (
         "Released under CC0 1.0.",
         "To the extent possible under law, the author has waived all copyright and related rights to this work under the CC0 1.0 Universal public domain dedication.",
+        "License-Identifier: CC0-1.0",
     ),
     "Unlicense": (
         "This is free and unencumbered software released into the public domain.",
         "Released under the Unlicense.",
+        "License-Identifier: Unlicense",
+    ),
+    UNKNOWN: (
+        "Licensed under the",
+        "License-Identifier:",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted.",
+        "This program and the accompanying materials are made available under the terms of the",
+        "Use of this source code is governed by a license that can be found in the file",
     ),
 }
 
@@ -78,8 +101,9 @@ class Config:
     #: Variants of each notice, and the bound of the corpus paragraphs that stand for `unknown`.
     variants: int = 60
     paragraphs: int = 2_000
-    #: Bound of the n-grams with weights.
+    #: Bound of the n-grams with weights, and of the words kept of a paragraph to fill variants with.
     features: int = 2_000
+    filler: int = 40
     steps: int = 400
     rate: float = 0.5
     l1: float = 2e-4
@@ -129,12 +153,12 @@ def _pairs(words: list[str]) -> set[str]:
     return set(words) if len(words) == 1 else {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
 
 
-def _examples(background: list[str], config: Config) -> tuple[list[set[str]], np.ndarray]:
+def _examples(background: list[frozenset[str]], filler: list[str], config: Config) -> tuple[list[set[str]], np.ndarray]:
     """Feature sets and class numbers; class 0 is unknown. Variants lose words at an end or get others around."""
     rng = np.random.default_rng(19)
     xs: list[set[str]] = []
     ys: list[int] = []
-    filler = [w for p in background[:200] for w in _tokens(p)[:40]] or ["lorem"]
+    filler = filler or ["lorem"]
 
     def add(words: list[str], y: int) -> None:
         xs.append(set(words) | _pairs(words))
@@ -151,7 +175,8 @@ def _examples(background: list[str], config: Config) -> tuple[list[set[str]], np
                 add(around[:k] + own + around[k:], y)
     shared = [w for ns in TEMPLATES.values() for n in ns for w in _tokens(n)]
     for p in background:
-        add(_tokens(p), 0)
+        xs.append(set(p))
+        ys.append(0)
     for _ in range(20 * config.variants):  # ordinary paragraphs with some words of notices
         own = [filler[i] for i in rng.integers(len(filler), size=int(rng.integers(3, 30)))]
         for w in rng.choice(shared, size=int(rng.integers(1, 4))):
@@ -160,12 +185,29 @@ def _examples(background: list[str], config: Config) -> tuple[list[set[str]], np
     return xs, np.array(ys)
 
 
+def known_grams(config: Config) -> list[str]:
+    """Words and word pairs of notices, those of more notices first, as far as the bound goes."""
+    seen: dict[str, int] = {}
+    for ns in TEMPLATES.values():
+        for n in ns:
+            for g in {*_tokens(n), *_pairs(_tokens(n))}:
+                seen[g] = seen.get(g, 0) + 1
+    return sorted(sorted(seen, key=lambda g: (-seen[g], g))[: config.features])
+
+
 def fit(paragraphs: list[str], config: Config = Config()) -> Model:
-    """From the notices and ordinary paragraphs; such as cover a notice themselves are left out."""
+    """From the notices and whole ordinary paragraphs."""
+    known = set(known_grams(config))
+    words = [_tokens(p) for p in sorted(set(paragraphs))]
+    return fit_reduced([frozenset({*w, *_pairs(w)} & known) for w in words], [x for w in words for x in w], config)
+
+
+def fit_reduced(paragraphs: list[frozenset[str]], filler: list[str], config: Config = Config()) -> Model:
+    """From paragraphs as their known n-grams, and other words of theirs; such as cover a notice are left out."""
     notices = [_pairs(_tokens(n)) for ns in TEMPLATES.values() for n in ns]
-    ordinary = [p for p in sorted(set(paragraphs)) if not any(len(n & _pairs(_tokens(p))) >= 0.5 * len(n) for n in notices)]
-    xs, ys = _examples(ordinary, config)
-    known = sorted({g for n in TEMPLATES.values() for t in n for g in {*_tokens(t), *_pairs(_tokens(t))}})[: config.features]
+    ordinary = [p for p in sorted(paragraphs, key=sorted) if not any(len(n & p) >= 0.5 * len(n) for n in notices)]
+    xs, ys = _examples(ordinary, filler, config)
+    known = known_grams(config)
     number = {g: i for i, g in enumerate(known)}
     x = np.zeros((len(xs), len(known)), np.float32)
     for i, grams_ in enumerate(xs):
@@ -194,14 +236,14 @@ def fit(paragraphs: list[str], config: Config = Config()) -> Model:
     ordinary_best = np.sort(p[ys[held] == 0][:, 1:].max(axis=1)) if (ys[held] == 0).any() else np.zeros(1)
     threshold = float(max(0.5, ordinary_best[min(len(ordinary_best) - 1, int(len(ordinary_best) * (1 - config.false_alarms)))]))
     weights = {g: tuple(map(float, w[i])) for g, i in number.items() if np.any(w[i])}
-    return Model((UNKNOWN, *TEMPLATES), weights, tuple(map(float, b)), heat, min(threshold, 0.99), config.coverage, anchors(ordinary, config.coverage))
+    return Model((NONE, *TEMPLATES), weights, tuple(map(float, b)), heat, min(threshold, 0.99), config.coverage, anchors(ordinary, config.coverage))
 
 
-def anchors(ordinary: list[str], coverage: float) -> tuple[str, ...]:
+def anchors(ordinary: list[frozenset[str]], coverage: float) -> tuple[str, ...]:
     """For each notice the rarer words of its rarest pairs, of so many pairs that a covering can't miss all."""
     seen: dict[str, int] = {}
     for p in ordinary:
-        for w in set(_tokens(p)):
+        for w in p:
             seen[w] = seen.get(w, 0) + 1
     rare = lambda w: (w.isdigit(), seen.get(w, 0), -len(w), w)
     out: set[str] = set()
@@ -214,17 +256,29 @@ def anchors(ordinary: list[str], coverage: float) -> tuple[str, ...]:
 
 
 def fit_on(docs: DataFrame, text: str = "text", config: Config = Config()) -> Model:
-    """fit with paragraphs of docs: one each, at a place fixed by a hash, of about config.paragraphs documents."""
-    n = docs.count()
-    u = (F.xxhash64(F.col(text), F.lit(31)) / F.lit(2.0**64)) + F.lit(0.5)
-    lines = F.split(F.col(text), r"\n+")
-    one = F.substring(F.get(lines, F.pmod(F.xxhash64(F.col(text), F.lit(37)), F.size(lines)).cast("int")), 1, 2000)
-    rows = docs.where(F.col(text).isNotNull() & (u < min(1.0, config.paragraphs / max(n, 1)))).select(one.alias("p")).limit(2 * config.paragraphs).collect()
-    return fit([r["p"] for r in rows if r["p"]], config)
+    """fit with paragraphs of docs: one line each, at a place fixed by a hash, of about config.paragraphs documents.
+
+    What is collected of a line, however long, is which n-grams of notices it holds and a few words drawn by a
+    hash. Equal texts count once; null texts and lines without words give nothing.
+    """
+    rows = drawn(docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t")), "t", config.paragraphs, 31).distinct()
+    lines = F.split(F.col("t"), r"\n+")
+    words = _with(F.get(lines, F.pmod(F.xxhash64("t", F.lit(37)), F.size(lines)).cast("int")), tokens)
+    known = F.split(F.lit("\n".join(known_grams(config))), "\n")
+    some = lambda w: F.transform(F.slice(F.array_sort(F.transform(F.array_distinct(w), lambda x: F.struct(F.xxhash64(x, F.lit(41)), x.alias("w")))), 1, config.filler), lambda x: x["w"])
+    got = rows.select(_with(words, lambda w: F.struct(F.array_intersect(grams(w), known).alias("known"), some(w).alias("filler"), F.size(w).alias("n"))).alias("p")).select("p.*").where("n > 0").collect()
+    return fit_reduced([frozenset(r["known"]) for r in got], sorted({w for r in got for w in r["filler"]}), config)
+
 
+def _weights_of(model: Model) -> Column:
+    """The model's weights as a map, from one literal that the optimiser parses once."""
+    return F.from_json(F.lit(json.dumps(model.weights)), "map<string,array<double>>")
 
-def _literal_map(values: dict[str, tuple[float, ...]]) -> Column:
-    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+
+def _notices() -> Column:
+    """array<struct<family, pairs>>, from one literal."""
+    rows = [{"family": k, "pairs": sorted(_pairs(_tokens(n)))} for k, ns in TEMPLATES.items() for n in ns]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<family:string,pairs:array<string>>>")
 
 
 def gate(model: Model) -> str:
@@ -233,9 +287,9 @@ def gate(model: Model) -> str:
 
 
 def classified(words: Column, model: Model) -> Column:
-    """struct<family, score, words> of a paragraph's words."""
+    """struct<family, score, words, some> of a paragraph's words; some: the probability of any licence."""
     k = len(model.families)
-    weights = _literal_map(model.weights)
+    weights = _weights_of(model)
 
     def of(words: Column) -> Column:
         vectors = F.filter(F.transform(grams(words), lambda g: F.element_at(weights, g)), lambda v: v.isNotNull())
@@ -245,20 +299,19 @@ def classified(words: Column, model: Model) -> Column:
         total = F.aggregate(scaled, F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max(scaled)))
         score = F.exp(best - F.array_max(scaled)) / total
         family = F.element_at(F.array(*map(F.lit, model.families)), F.array_position(F.slice(scaled, 2, k - 1), best).cast("int") + 1)
-        return F.struct(family.alias("family"), score.alias("score"), words.alias("words"))
+        some = 1 - F.exp(F.element_at(scaled, 1) - F.array_max(scaled)) / total
+        return F.struct(family.alias("family"), score.alias("score"), words.alias("words"), some.alias("some"))
 
     return F.element_at(F.transform(F.array(words), of), 1)
 
 
 def coverage_of(words: Column, family: Column) -> Column:
     """The greatest share of the pairs of one notice of the family that the words hold."""
-    own = pairs(words)
-    shares = None
-    for name, notices in TEMPLATES.items():
-        of = [sorted(_pairs(_tokens(n))) for n in notices]
-        best = F.greatest(F.lit(0.0), *[F.size(F.array_intersect(own, F.array(*map(F.lit, n)))) / F.lit(float(len(n))) for n in of])
-        shares = F.when(family == name, best) if shares is None else shares.when(family == name, best)
-    return F.coalesce(shares, F.lit(0.0))
+    def share(own: Column) -> Column:
+        held = F.transform(F.filter(_notices(), lambda t: t["family"] == family), lambda t: F.size(F.array_intersect(own, t["pairs"])) / F.size(t["pairs"]).cast("double"))
+        return F.coalesce(F.array_max(held), F.lit(0.0))
+
+    return _with(pairs(words), share)
 
 
 def _with(x: Column, f) -> Column:
@@ -272,17 +325,9 @@ REACH = 2 * max(len(_tokens(n)) for ns in TEMPLATES.values() for n in ns)
 
 def _covering(words: Column, coverage: float) -> Column:
     """Whether the words hold enough pairs of any notice."""
-    of = [sorted(_pairs(_tokens(n))) for ns in TEMPLATES.values() for n in ns]
-    least = min(int(np.ceil(coverage * len(n))) for n in of)
-    known = F.array_intersect(pairs(words), F.array(*[F.lit(p) for p in sorted({p for n in of for p in n})]))
-
-    def some(known: Column) -> Column:
-        hit = F.lit(False)
-        for n in of:
-            hit = hit | (F.size(F.array_intersect(known, F.array(*map(F.lit, n)))) >= F.lit(coverage * len(n)))
-        return (F.size(known) >= least) & hit
-
-    return _with(known, some)
+    every = sorted({p for ns in TEMPLATES.values() for n in ns for p in _pairs(_tokens(n))})
+    known = F.array_intersect(pairs(words), F.split(F.lit("\n".join(every)), "\n"))
+    return _with(known, lambda own: F.exists(_notices(), lambda t: F.size(F.array_intersect(own, t["pairs"])) >= F.lit(coverage) * F.size(t["pairs"])))
 
 
 def _windows(lines: Column, gated: Column, coverage: float) -> Column:
@@ -317,20 +362,31 @@ def _windows(lines: Column, gated: Column, coverage: float) -> Column:
         ats = F.slice(F.sequence(first, F.least(first + REACH, F.size(of) - 1)), 2, REACH)
         return _with(F.aggregate(ats, zero, step), shorter)
 
-    # a gated line of a run is at most REACH lines from its first
-    starts = F.array_distinct(F.flatten(F.transform(gated, lambda g: F.sequence(F.greatest(g - REACH, F.lit(0)), g))))
-    return _with(F.transform(lines, tokens), lambda of: F.flatten(F.transform(starts, lambda first: starting(of, first))))
+    def near(of: Column, g: Column) -> Column:
+        """All words that a run with the line g can hold: the line's and the REACH words on either side."""
+        before = F.flatten(F.slice(of, F.greatest(g + 1 - REACH, F.lit(1)), F.least(g, F.lit(REACH))))
+        after = F.flatten(F.slice(of, g + 2, REACH))
+        return F.concat(F.slice(before, F.greatest(F.size(before) - REACH + 1, F.lit(1)), REACH), F.get(of, g), F.slice(after, 1, REACH))
+
+    def searched(of: Column) -> Column:
+        # where not even all the words near a gated line cover a notice, no run does
+        live = F.filter(gated, lambda g: _covering(near(of, g), coverage))
+        # a gated line of a run is at most REACH lines from its first
+        starts = F.array_distinct(F.flatten(F.transform(live, lambda g: F.sequence(F.greatest(g - REACH, F.lit(0)), g))))
+        return F.flatten(F.transform(starts, lambda first: starting(of, first)))
+
+    return _with(F.transform(lines, tokens), searched)
 
 
 def _chosen(single: Column, wrapped: Column) -> Column:
-    """The hits that stay: all single lines, then runs by coverage, then shortness, that share no line with those before.
+    """The hits that stay: all of `single`, then others by coverage, then shortness, that share no line with those before.
 
-    Runs of different families may share the line in which one ends and the other begins.
+    Runs of different families may share the line in which one ends and the other begins, unless one is unknown.
     """
 
     def step(a: Column, x: Column) -> Column:
         def clash(y: Column) -> Column:
-            joint = (y["first"] < y["last"]) & (y["family"] != x["family"]) & ((y["last"] == x["first"]) | (y["first"] == x["last"]))
+            joint = (y["first"] < y["last"]) & (y["family"] != x["family"]) & (x["family"] != UNKNOWN) & ((y["last"] == x["first"]) | (y["first"] == x["last"]))
             return (y["first"] <= x["last"]) & (x["first"] <= y["last"]) & ~joint
 
         return F.when(F.exists(a, clash), a).otherwise(F.concat(a, F.array(x)))
@@ -343,20 +399,23 @@ def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Lines of the whole text are numbered from 0. An entry is a line, or a run of neighbouring lines as of a
     hard-wrapped notice, numbered by its first line, for which the classifier passes its threshold and the
-    notice confirms it; what else there is is unknown. A line without letters and digits ends a run. Null and
-    empty texts have none. A column of that name is replaced.
+    notice confirms it: a family, or `unknown` for a licence of none. A line without letters and digits ends a run.
+    Null and empty texts have none; equal texts get equal entries, repeated rows stay, no rows give no rows. A
+    column of that name is replaced.
     """
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
 
     def hit(x: Column) -> Column:
         """A hit (rank first, for _chosen), or null."""
 
-        def judged(c: Column) -> Column:
-            def ranked(share: Column) -> Column:
-                found = F.struct((-share).alias("rank"), (x["last"] - x["first"]).alias("more"), x["first"].alias("first"), x["last"].alias("last"), c["family"].alias("family"), c["score"].alias("score"))
-                return F.when(share >= model.coverage, found)
+        def entry(share: Column, family: Column, score: Column) -> Column:
+            return F.struct((-share).alias("rank"), (x["last"] - x["first"]).alias("more"), x["first"].alias("first"), x["last"].alias("last"), family.alias("family"), score.alias("score"))
 
-            return F.when(c["score"] >= model.threshold, _with(coverage_of(c["words"], c["family"]), ranked))
+        def judged(c: Column) -> Column:
+            unknown = lambda share: F.when(share >= model.coverage, entry(share, F.lit(UNKNOWN), c["some"]))
+            other = F.when(c["some"] >= model.threshold, _with(coverage_of(c["words"], F.lit(UNKNOWN)), unknown))
+            known = lambda share: F.when((c["score"] >= model.threshold) & (share >= model.coverage), entry(share, c["family"], c["score"])).otherwise(other)
+            return _with(coverage_of(c["words"], c["family"]), known)
 
         return _with(classified(x["words"], model), judged)
 
@@ -364,13 +423,22 @@ def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         gated = F.filter(F.transform(of, lambda x, i: F.struct(i.alias("first"), i.alias("last"), x.alias("line"))), lambda x: F.rlike(F.lower(x["line"]), F.lit(gate(model))))
 
         def both(gated: Column) -> Column:
-            single = F.transform(gated, lambda x: F.struct(x["first"], x["last"], tokens(x["line"]).alias("words")))
-            wrapped = _windows(of, F.transform(gated, lambda x: x["first"]), model.coverage)
-            hits = F.filter(F.transform(F.concat(single, wrapped), hit), lambda x: x.isNotNull())
-            return _with(hits, entries)
-
-        def entries(hits: Column) -> Column:
-            chosen = _chosen(F.filter(hits, lambda x: x["more"] == 0), F.filter(hits, lambda x: x["more"] > 0))
+            found = F.filter(F.transform(gated, lambda x: hit(F.struct(x["first"], x["last"], tokens(x["line"]).alias("words")))), lambda x: x.isNotNull())
+            return _with(found, lambda single: further(gated, single))
+
+        def further(gated: Column, single: Column) -> Column:
+            # a line that is a notice of a known family alone needs no neighbours; runs are tried near the others
+            sure = F.filter(single, lambda x: x["family"] != UNKNOWN)
+            rest = F.array_except(F.transform(gated, lambda x: x["first"]), F.transform(sure, lambda x: x["first"]))
+            wrapped = F.filter(F.transform(_windows(of, rest, model.coverage), hit), lambda x: x.isNotNull())
+            return F.when(F.size(rest) > 0, _with(wrapped, lambda more: entries(sure, single, more))).otherwise(sorted_entries(single))
+
+        def entries(sure: Column, single: Column, wrapped: Column) -> Column:
+            vague = lambda xs: F.filter(xs, lambda x: x["family"] == UNKNOWN)
+            named = _chosen(sure, F.filter(wrapped, lambda x: x["family"] != UNKNOWN))
+            return sorted_entries(_chosen(named, F.concat(vague(single), vague(wrapped))))
+
+        def sorted_entries(chosen: Column) -> Column:
             return F.array_sort(F.transform(chosen, lambda x: F.struct(x["first"].alias("paragraph"), x["family"].alias("family"), x["score"].alias("score"))))
 
         none = F.expr("cast(array() as array<struct<paragraph:int,family:string,score:double>>)")

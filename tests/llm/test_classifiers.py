@@ -252,6 +252,53 @@ def test_hard_wrapped_licences(spark, licence_model):
     assert [x["family"] for x in got[-3]] == list(WRAPPED) and got[-2] == got[-1] == []
 
 
+FULL_MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+
+
+def test_wrapped_at_any_width_and_identifiers(spark, licence_model):
+    import textwrap
+
+    notices = {k: " ".join(w.replace("#", " ").replace("*", " ").split()) for k, w in WRAPPED.items()}
+    texts = {textwrap.fill(n, w): [k] for k, n in notices.items() for w in (24, 40, 72, 100)}
+    texts |= {f"the thing of the er\n// SPDX-License-Identifier: {i}\nand to": [k] for i, k in (("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-3.0-or-later", "GPL"), ("BSD-3-Clause", "BSD"), ("ISC", "unknown"), ("EPL-2.0", "unknown"))}
+    texts |= {FULL_MIT: ["MIT"], "Licensed under the Frobnitz License.": ["unknown"]}
+    texts["Permission to use, copy, modify, and/or distribute this software for any purpose\nwith or without fee is hereby granted, provided that the above"] = ["unknown"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), licence_model).orderBy("doc_id").collect()
+    for r, want in zip(got, texts.values(), strict=True):
+        assert [x["family"] for x in r["licences"]] == want, r["text"]
+
+
+def test_classifier_equals_the_plain_one(spark, licence_model):
+    m, rng = licence_model, random.Random(5)
+    words = sorted({w for ns in licenses.TEMPLATES.values() for n in ns for w in licenses._tokens(n)}) + ["thing", "er"]
+    lines = [*LINES, *ORDINARY[:3], *(" ".join(rng.choices(words, k=rng.randint(1, 30))) for _ in range(60))]
+    docs = spark.createDataFrame([(x,) for x in lines], "t string")
+    got = docs.select(licenses.classified(licenses.tokens(F.col("t")), m).alias("c")).select("c.*", licenses.coverage_of(F.col("c.words"), F.col("c.family")).alias("share")).collect()
+    for x, r in zip(lines, got, strict=True):
+        own = licenses._tokens(x)
+        z = np.array(m.bias)
+        for g in {*own, *licenses._pairs(own)}:
+            z = z + np.array(m.weights.get(g, np.zeros(len(z))))
+        p = np.exp(z / m.temperature)
+        p /= p.sum()
+        best = 1 + int(p[1:].argmax())
+        assert r["family"] == m.families[best] and r["score"] == pytest.approx(p[best])
+        assert r["share"] == pytest.approx(max(len(licenses._pairs(licenses._tokens(n)) & licenses._pairs(own)) / len(licenses._pairs(licenses._tokens(n))) for n in licenses.TEMPLATES[r["family"]]))
+
+
 def test_anchors_miss_no_covering_paragraph(licence_model):
     """Any choice of enough pairs of a notice holds an anchor."""
     rng = random.Random(9)
