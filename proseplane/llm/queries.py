@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseplane.llm import chat, decontaminate, language_id, licenses, media, mixing, ngram_lm, quality, simhash, toxicity
-from proseplane.llm.common import cut, id_bucket, table
+from proseplane.llm.common import cut, id_bucket, table, words_of
 from proseplane.shipping import shipped
 
 
@@ -110,8 +110,20 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5 that SQL can state: what each source has and is to give."""
+    sizes = table(spark, sf_dir, "documents").select("source", words_of("text").alias("size"), F.lit(1).alias("m"))
+    got = mixing.source_targets(sizes)
+    return got.select("source", "source_size", F.round("target", 3).alias("target"))
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op7 that SQL can state: the digests of what is read back."""
+    return op7_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_chat_windows, op2_toxicity, op3_quality, op4_decontaminate, op5_mix, op6_simhash, op7_media, op8_language, op9_language_model, op10_licenses)
+    own = (op1_chat_windows, op2_toxicity, op3_quality, op4_decontaminate, op5_mix, op6_simhash, op7_media, op8_language, op9_language_model, op10_licenses, mix_targets, media_payloads)
     return {f.__name__: shipped(f) for f in own}
 
 
@@ -120,38 +132,27 @@ def _op1_sql() -> str:
     esc = lambda x: f"replace(replace(replace({x}, '\\', '\\\\'), '#', '\\h'), '</', '<\\/')"
     width = f"length(replace({esc('role')}, ':', '\\c')) + length({esc('text')}) + {len(chat.OPEN) + len(chat.SEPARATOR) + len(chat.CLOSE)}"
     budget, history = chat.BUDGET, chat.HISTORY
-    part = "PARTITION BY conv_id, block"
     return rf"""WITH raw AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, * FROM (VALUES (0, 'user', '\### Assistant: </turn> ok'), (1, 'assistant', '\### Assistant: </turn> ok'))),
-turns AS (
-  SELECT *, CAST(floor(turn / {chat.BLOCK}.0) AS BIGINT) AS block, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + {chat.OVERHEAD} AS t, {width} AS w, false AS mark FROM raw),
-blocks AS (
-  SELECT conv_id, block, min(turn) AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn) NULLS FIRST) AS nth,
-    first_value(arg_min(struct_pack(role := role, t := t, w := w), rn)) OVER (PARTITION BY conv_id ORDER BY min(turn) NULLS FIRST) AS head
-  FROM (SELECT *, row_number() OVER ({part} ORDER BY turn NULLS FIRST, role, text) AS rn FROM turns) GROUP BY conv_id, block),
-every AS (
-  SELECT conv_id, block, turn, role, text, t, w, mark FROM turns
-  UNION ALL SELECT conv_id, block, turn, CASE WHEN head.role = 'system' THEN 'system' END, '', CASE WHEN head.role = 'system' THEN head.t ELSE 0 END, CASE WHEN head.role = 'system' THEN head.w ELSE 0 END, true FROM blocks WHERE nth > 1),
+turns AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + {chat.OVERHEAD} AS t, {width} AS w FROM raw),
 placed AS (
-  SELECT *, row_number() OVER o AS n, sum(t) OVER o AS upto, sum(t) OVER ({part}) AS total, bool_or(mark) OVER ({part}) AS later
-  FROM every WINDOW o AS ({part} ORDER BY mark DESC, turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
-led AS (SELECT *, mark OR (NOT later AND n = 1 AND role = 'system') AS is_lead FROM placed),
-sized AS (SELECT *, coalesce(sum(t) FILTER (is_lead) OVER ({part}), 0) AS lead, coalesce(sum(w) FILTER (is_lead) OVER ({part}), 0) AS lead_w FROM led),
+  SELECT *, row_number() OVER o = 1 AND role = 'system' AS is_lead, sum(t) OVER o AS upto, sum(t) OVER (PARTITION BY conv_id) AS total
+  FROM turns WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+sized AS (SELECT *, coalesce(sum(t) FILTER (is_lead) OVER (PARTITION BY conv_id), 0) AS lead, coalesce(sum(w) FILTER (is_lead) OVER (PARTITION BY conv_id), 0) AS lead_w FROM placed),
 lined AS (SELECT *, upto - t - lead AS q, greatest({budget - history} - lead, {budget // 4}) AS stride FROM sized),
 celled AS (SELECT *, CASE WHEN is_lead THEN -1 ELSE CAST(floor((q + t - 1) * 1.0 / stride) AS BIGINT) END AS cell FROM lined),
-lone AS (SELECT *, NOT is_lead AND floor(q * 1.0 / stride) < cell AND sum(t) OVER (PARTITION BY conv_id, block, cell) > stride AS alone FROM celled),
-ended AS (SELECT *, min(q) OVER v AS start, max(q + t) OVER v AS stop FROM lone WINDOW v AS (PARTITION BY conv_id, block, cell, alone)),
+lone AS (SELECT *, NOT is_lead AND floor(q * 1.0 / stride) < cell AND sum(t) OVER (PARTITION BY conv_id, cell) > stride AS alone FROM celled),
+ended AS (SELECT *, min(q) OVER v AS start, max(q + t) OVER v AS stop FROM lone WINDOW v AS (PARTITION BY conv_id, cell, alone)),
 chars AS (
   SELECT conv_id, sum(c) AS formatted_chars FROM (
-    SELECT conv_id, w AS c FROM ended WHERE is_lead
-    UNION ALL SELECT conv_id, w FROM ended WHERE NOT is_lead
+    SELECT conv_id, w AS c FROM ended
     UNION ALL SELECT conv_id, w FROM ended WHERE NOT is_lead AND stop - q <= {history} AND stop < total - lead
-    UNION ALL SELECT conv_id, lead_w FROM (SELECT DISTINCT conv_id, block, start, lead_w FROM ended WHERE NOT is_lead AND start > 0)) GROUP BY conv_id)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    UNION ALL SELECT conv_id, lead_w FROM (SELECT DISTINCT conv_id, start, lead_w FROM ended WHERE NOT is_lead AND start > 0)) GROUP BY conv_id)
+SELECT raw.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   length(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(any_value(formatted_chars) AS BIGINT) AS formatted_chars
-FROM raw JOIN chars USING (conv_id) GROUP BY conv_id"""
+FROM raw JOIN chars ON raw.conv_id IS NOT DISTINCT FROM chars.conv_id GROUP BY raw.conv_id"""
 
 
 def _op4_sql() -> str:
@@ -171,6 +172,25 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM doc LEFT JOIN spots USING (r) LEFT JOIN found USING (r)"""
 
 
+def _mix_sql() -> str:
+    """Sources with the least room for their weight stop first; the level of the others is what is left by weight."""
+    weights = ", ".join(map(str, mixing.WEIGHTS))
+    return rf"""WITH s AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS source_size FROM documents GROUP BY source),
+r AS (SELECT *, [{weights}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS w, {mixing.CAP} * source_size AS most FROM s),
+l AS (
+  SELECT *, (sum(source_size) OVER () * {mixing.SHARE} - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM r WINDOW o AS (ORDER BY most / w, source NULLS LAST)),
+m AS (SELECT *, max(level) FILTER (level * w <= most) OVER () AS top FROM l)
+SELECT source, source_size, round(least(most, coalesce(top * w, most)), 3) AS target FROM m"""
+
+
+_MEDIA_SQL = """WITH p AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, greatest(1, CAST(ceil(octet_length(encode(coalesce(text, ''))) / 576.0) AS BIGINT)) * 576 AS size, encode(coalesce(text, '')) AS raw FROM documents),
+q AS (SELECT doc_id, n, size, raw || unhex(repeat('FF', CAST(size - n AS INTEGER))) AS payload FROM p),
+f AS (SELECT *, encode('P5' || chr(10) || '24 ' || (size // 24) || chr(10) || '255' || chr(10)) || payload AS media FROM q)
+SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(payload) AS payload_sha256, octet_length(media) AS media_bytes, sha256(media) AS media_sha256 FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
     """For what SQL can express; the fitted and the hash-drawn queries are held against brute force in tests."""
-    return {"op1_chat_windows": _op1_sql(), "op4_decontaminate": _op4_sql()}
+    return {"op1_chat_windows": _op1_sql(), "op4_decontaminate": _op4_sql(), "mix_targets": _mix_sql(), "media_payloads": _MEDIA_SQL}
