@@ -183,8 +183,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     """docs with the column `contamination`: n_words, spans of hit words [first, last) and the items' ids, sorted.
 
     An automaton of at most about max_words words is broadcast (an item longer than that still gets its own);
-    a longer benchmark takes one pass over docs for each further automaton, checkpointed without the texts
-    left out. Null and wordless texts have no words and no hits; an empty benchmark hits nothing. Repeated
+    a longer benchmark takes one pass over docs for each further automaton, and each such pass checkpoints docs
+    with their texts. Tokens far from any trigram of the items are not streamed, for no window can end there.
+    Null and wordless texts have no words and no hits; an empty benchmark hits nothing. Repeated
     items count by id; a null item id counts as the empty text. A column `contamination` of docs is replaced.
     """
     spark = docs.sparkSession

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
+from proseplane.llm.common import packed_rows
+
 UNIT = 576
 TAIL = 32
 #: Tiles have this many rows and columns; the difference hash compares columns, so it has TILE * (TILE - 1) bits.
@@ -47,9 +49,17 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         return ((1 - (np.frombuffer(bits, np.uint8) - 48)) * 255).astype(np.uint8).reshape(shape)
     if kind in (2, 3):
         values = np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:n], np.int64)
-        return values.astype(np.uint8 if top < 256 else np.uint16).reshape(shape)
+        return _full_range(values.astype(np.uint8 if top < 256 else np.uint16).reshape(shape), top)
     sample = np.dtype(np.uint8 if top < 256 else ">u2")
-    return np.frombuffer(data, sample, n, at + 1).reshape(shape)
+    return _full_range(np.frombuffer(data, sample, n, at + 1).reshape(shape), top)
+
+
+def _full_range(pixels: np.ndarray, top: int) -> np.ndarray:
+    """Samples from 0 to the image's maximum, stretched to all of 8 or 16 bits; unchanged where it is theirs."""
+    most = 255 if top < 256 else 65535
+    if top == most:
+        return pixels
+    return np.minimum((pixels.astype(np.int64) * most + top // 2) // top, most).astype(np.uint8 if top < 256 else np.uint16)
 
 
 def encode_pgm(pixels: np.ndarray) -> bytes:
@@ -62,8 +72,10 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if data[:2] != b"BM":
         raise ValueError("not a BMP image")
     offset, size, width, height, _, bits, packed = struct.unpack_from("<I4x", data, 10)[:1] + struct.unpack_from("<IiiHHI", data, 14)
-    if packed not in (0, 3) or bits not in (8, 24, 32):
+    if packed not in (0, 3) or bits not in (8, 24, 32) or (packed == 3 and bits != 32):
         raise ValueError("unsupported BMP")
+    if packed == 3 and struct.unpack_from("<III", data, 54) != (0xFF0000, 0xFF00, 0xFF):
+        raise ValueError("unsupported BMP masks")
     stride = (width * bits // 8 + 3) // 4 * 4
     rows = np.frombuffer(data, np.uint8, stride * abs(height), offset).reshape(abs(height), stride)[:, : width * bits // 8]
     rows = rows[::-1] if height > 0 else rows
@@ -177,11 +189,17 @@ def store_text(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Columns of these names are replaced. Equal texts give equal bytes.
     """
-    return docs.withColumn("_packed", _packed(F.col(text))).withColumns({"n_bytes": F.col("_packed.n_bytes"), "media": F.col("_packed.media")}).drop("_packed")
+    stored = packed_rows(docs, _packed(F.col(text)).alias("_stored"))
+    own = [F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in ("n_bytes", "media")]
+    return stored.select(*own, F.col("_stored.n_bytes").alias("n_bytes"), F.col("_stored.media").alias("media"))
 
 
 def media_features(images: DataFrame, media: str = "media") -> DataFrame:
-    """images with the struct `features` read back from the stored bytes, with the NPY tile and difference hash."""
+    """images with the struct `features` read back from the stored bytes, with the NPY tile and difference hash.
+
+    Bytes that are no image give the field `error` alone, null bytes a struct of nulls; equal images equal features.
+    Repeated rows stay, no rows give no rows, a column `features` is replaced, other columns are kept.
+    """
     return images.withColumn("features", _features(F.col(media)))
 
 

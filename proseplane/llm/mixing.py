@@ -135,14 +135,43 @@ def copies_by_row(classes: DataFrame) -> DataFrame:
     return rows.withColumn("copies", (F.floor(F.col("copies") / F.col("m")) + (F.col("r") < F.pmod("copies", "m")).cast("long")).cast("long")).drop("b", "r")
 
 
+#: Classes of more than one in so many rows are hot; there are fewer of them than this.
+HOT = 1_000
+#: Groups of the hashes of a class's rows, by which the places of rows in the class are found.
+GROUPS = 4_096
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """docs, each row as often as the mix takes it, with the column `copy` (1, 2, ...); columns else as in docs."""
+    """docs, each row as often as the mix takes it, with the column `copy` (1, 2, ...); columns else as in docs.
+
+    A column `copy` of docs is replaced. Of rows that share id, source and size those of the least hash get a copy
+    more, so reruns agree; equal rows are added up where they are read, so a row that makes up a third of the table
+    is one row of the shuffle. Nulls are as in copies_of. No rows give no rows.
+    """
     key = [F.col(doc_id).alias("_id"), F.col(source).alias("_source"), words_of(F.col(text)).alias("_size")]
     own = packed_rows(docs, *key)
-    classes = copies_of(docs, doc_id, source, text, **options).select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), "m", "copies").where("copies > 0")
-    joined = own.join(classes, F.col("_id").eqNullSafe(F.col("i")) & F.col("_source").eqNullSafe(F.col("s")) & (F.col("_size") == F.col("z")))
-    single = joined.where("m = 1").withColumn("_own", F.col("copies"))
-    nth = F.row_number().over(Window.partitionBy("i", "s", "z").orderBy(F.lit(1))) - 1
-    repeated = joined.where("m > 1").withColumn("_own", (F.floor(F.col("copies") / F.col("m")) + (nth < F.pmod("copies", "m")).cast("long")).cast("long"))
-    rows = single.unionByName(repeated).where("_own > 0")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_own")))).select(*[F.col(f"_row.`{c}`") for c in docs.columns if c.lower() != "copy"], "copy")
+    classes = cut(copies_of(docs, doc_id, source, text, **options).select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), "m", "copies"))
+    total = classes.agg(F.sum("m")).first()[0] or 0
+    hot = F.col("m") * HOT > F.lit(total)
+    same = F.col("_id").eqNullSafe(F.col("i")) & F.col("_source").eqNullSafe(F.col("s")) & (F.col("_size") == F.col("z"))
+    columns = [F.col(f"_row.`{c}`") for c in docs.columns if c.lower() != "copy"]
+    once = own.join(classes.where((F.col("m") == 1) & (F.col("copies") > 0)), same).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    several = classes.where((F.col("m") > 1) & (F.col("copies") > 0))
+    if several.isEmpty():
+        return once.select(*columns, "copy")
+    repeated = own.join(several.where(~hot), same).unionByName(own.join(F.broadcast(several.where(hot)), same))  # under HOT rows
+    kinds = repeated.withColumn("h", F.xxhash64("_row")).groupBy("i", "s", "z", "m", "copies", "h").agg(F.count("*").alias("n"), F.first("_row").alias("_row"))
+    kinds = cut(kinds.withColumns({"g": F.pmod("h", F.lit(GROUPS)), "base": F.floor(F.col("copies") / F.col("m")).cast("long"), "more": F.pmod("copies", "m")}))
+    line = Window.partitionBy("i", "s", "z").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    groups = kinds.groupBy("i", "s", "z", "g").agg(F.sum("n").alias("gn")).withColumn("gb", F.coalesce(F.sum("gn").over(line), F.lit(0)))
+    groups = groups.select(F.col("i").alias("gi"), F.col("s").alias("gs"), F.col("z").alias("gz"), F.col("g").alias("gg"), "gb")
+    placed = kinds.join(groups, F.col("i").eqNullSafe(F.col("gi")) & F.col("s").eqNullSafe(F.col("gs")) & (F.col("z") == F.col("gz")) & (F.col("g") == F.col("gg")))
+    inside = Window.partitionBy("i", "s", "z", "g").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("gb") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    placed = placed.withColumn("extra", F.greatest(F.least(F.col("more") - before, F.col("n")), F.lit(0)))
+    # n equal rows: copies 1 to base of each, and one more of `extra` of them, in blocks so that no array is long
+    each = placed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("base") + 1)))
+    each = each.withColumn("rows", F.when(F.col("copy") <= F.col("base"), F.col("n")).otherwise(F.col("extra"))).where("rows > 0")
+    each = each.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / 4096).cast("long"))))
+    rows = each.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(4096).cast("long"), F.col("rows") - F.col("block") * 4096))))
+    return once.select(*columns, "copy").unionByName(rows.select(*columns, "copy"))

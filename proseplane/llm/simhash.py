@@ -80,24 +80,40 @@ def _bucket_edges(sig: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
     us.append(fp[pairs[near]])
     vs.append(fp[pairs[near] + 1])
     for at, n in zip(bounds[:-1][sizes > 2], sizes[sizes > 2], strict=True):
-        rest = np.unique(fp[at : at + n])
-        while len(rest) > 1:  # breadth first: each fingerprint leaves `rest` as soon as a link reaches it
-            queue, rest = [rest[0]], rest[1:]
-            while queue and len(rest):
-                x = queue.pop()
-                hit = np.bitwise_count(rest ^ x) <= _RADIUS
-                if hit.any():
-                    found = rest[hit]
-                    us.append(np.full(len(found), x, np.uint64))
-                    vs.append(found)
-                    queue.extend(found)
-                    rest = rest[~hit]
+        own = np.unique(fp[at : at + n])
+        if len(own) <= LARGE:
+            _forest(own, us, vs)
+            continue
+        # the bits of the other segment differ in three places at most, so one of its four bytes is the same
+        other = np.uint64(SEGMENT * (1 - (int(sig[at]) >> SEGMENT) // SEGMENT))
+        for k in range(4):
+            byte = ((own >> (other + np.uint64(8 * k))) & np.uint64(255)).astype(np.uint8)
+            by = np.argsort(byte, kind="stable")
+            for part in np.split(own[by], np.flatnonzero(np.diff(byte[by])) + 1):
+                _forest(part, us, vs)
     u, v = np.concatenate(us), np.concatenate(vs)
     if len(u):
         yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
 
+def _forest(rest: np.ndarray, us: list[np.ndarray], vs: list[np.ndarray]) -> None:
+    """Links of distinct fingerprints: each leaves `rest` as soon as a link reaches it."""
+    while len(rest) > 1:
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            hit = np.bitwise_count(rest ^ x) <= _RADIUS
+            if hit.any():
+                found = rest[hit]
+                us.append(np.full(len(found), x, np.uint64))
+                vs.append(found)
+                queue.extend(found)
+                rest = rest[~hit]
+
+
 _RADIUS = 3
+#: Buckets of more fingerprints are split by bytes of the other segment.
+LARGE = 1_024
 
 
 def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp") -> DataFrame:
@@ -122,24 +138,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     component_id is the smallest id in the class of fingerprints linked at three differing bits or fewer.
     Null and blank texts have fingerprint 0 and link like any other. Rows with a null id get the smallest
     known id of their class, or null. Repeated rows stay repeated. No rows give no rows. Other columns of
-    docs are ignored.
+    docs are ignored. An id column that is called fp, root or component_id is returned as doc_id.
     """
-    marked = cut(fingerprints(docs.select(F.col(doc_id).alias(doc_id), F.col(text).alias("_text")), "_text").drop("_text"))
-    classes = cut(marked.groupBy("fp").agg(F.min(doc_id).alias("first_id")))
+    name = "doc_id" if doc_id.lower() in ("fp", "root", "component_id") else doc_id
+    marked = cut(fingerprints(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), "_text").drop("_text"))
+    classes = cut(marked.groupBy("fp").agg(F.min("_id").alias("first_id")))
     edges = cut(link_fingerprints(classes.select("fp")))
     roots = connected_components(edges)
     classes = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     firsts = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = classes.select("fp", "root").join(firsts, "root")
-    return marked.join(classes, "fp").select(doc_id, "fp", "root", "component_id")
+    return marked.join(classes, "fp").select(F.col("_id").alias(name), "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each class the one with the least id, one where that id repeats.
+    """The rows of docs that stay: of each class the one with the least id; where that id repeats, of the least hash.
 
     A class of null ids alone keeps one row. Columns are those of docs, with any names.
     """
-    found = cut(near_duplicates(docs, doc_id, text).select(F.col(doc_id).alias("_id"), F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col(doc_id).eqNullSafe(F.col("component_id")).alias("_stays")))
+    named = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    found = cut(near_duplicates(named, "_id", "_text").select("_id", F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("_id").eqNullSafe(F.col("component_id")).alias("_stays")))
     ids = found.groupBy("_id").agg(F.count("*").alias("_n"), F.max("_stays").alias("_any"))
     once = ids.where("_n = 1 and _any and _id is not null").select("_id")
     own = packed_rows(docs, F.col(doc_id).alias("_own_id"), F.col(text).alias("_text"))
@@ -151,5 +169,5 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     # rows that share an id are told apart by their fingerprints; of a class one stays
     stay = found.where("_stays").select(F.col("_id").alias("_stay_id"), F.col("_fp").alias("_stay_fp"), "_root").distinct()
     rows = fingerprints(own.join(several, F.col("_own_id").eqNullSafe(F.col("_id")), "left_semi"), "_text", "_own_fp")
-    one = rows.join(stay, F.col("_own_id").eqNullSafe(F.col("_stay_id")) & (F.col("_own_fp") == F.col("_stay_fp"))).dropDuplicates(["_root"])
+    one = rows.join(stay, F.col("_own_id").eqNullSafe(F.col("_stay_id")) & (F.col("_own_fp") == F.col("_stay_fp"))).groupBy("_root").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     return kept.unionByName(one.select(columns))

@@ -94,6 +94,49 @@ def test_chat_history_crosses_blocks(spark):
         assert b["formatted"].startswith(chat.OPEN + "system") and b["n_repeated"] > 1 and b["start"] > a["start"]
 
 
+def plain_windows(turns, budget, history):
+    """Windows of one conversation (turn, role, text), as lists of (role, text, repeated)."""
+    turns = sorted(((t is not None, t or 0, r, x) for t, r, x in turns))
+    turns = [(r, x, len(x.split()) + chat.OVERHEAD) for _, _, r, x in turns]
+    head = turns[0] if turns[0][0] == "system" else None
+    own = turns[1:] if head else turns
+    lead = head[2] if head else 0
+    stride = max(budget - history - lead, budget // 4)
+    cells, q = defaultdict(list), 0
+    for r, x, t in own:
+        cells[(q + t - 1) // stride].append((q, r, x, t))
+        q += t
+    out = []
+    for k, cell in sorted(cells.items()):
+        late = sum(t for *_, t in cell) > stride
+        first = [y for y in cell if late and y[0] // stride < k]  # across the boundary and too much: a window of its own
+        out += [w for w in (first, [y for y in cell if y not in first]) if w]
+    got = []
+    for i, w in enumerate(out):
+        before = [(q, r, x) for q, r, x, _ in out[i - 1] if w[0][0] - q <= history] if i else []
+        lead_in = [(*head[:2], i > 0)] if head else []
+        got.append(lead_in + [(r, x, True) for _, r, x in before] + [(r, x, False) for _, r, x, _ in w])
+    return got or [[(*head[:2], False)]]
+
+
+@pytest.mark.parametrize("numbers", ["dense", "sparse", "negative", "many"])
+def test_windows_equal_the_plain_ones(spark, numbers):
+    rng = random.Random(len(numbers))
+    rows = []
+    for c in range(6 if numbers != "many" else 1):
+        n = 11_000 if numbers == "many" else rng.choice([1, 30, 200])
+        at = {"dense": range(n), "many": range(n), "sparse": sorted(rng.sample(range(10**9), n)), "negative": sorted(rng.sample(range(-(10**6), 10**6), n))}[numbers]
+        rows += [(c, t, "system" if not i and c % 2 else "assistant" if i % 2 else "user", " ".join(["w"] * rng.choice([0, 3, 20, 60, 300])) + f" {i}") for i, t in enumerate(at)]
+    got = defaultdict(list)
+    for r in chat.format_windows(spark.createDataFrame(rows, CONV), budget=200, history=50).withColumn("t", chat.parsed(F.col("formatted"))).orderBy("start").collect():
+        got[r["conv_id"]].append([(x["role"], x["text"], i < r["n_repeated"]) for i, x in enumerate(r["t"])])
+    for c in {r[0] for r in rows}:
+        want = plain_windows([r[1:] for r in rows if r[0] == c], 200, 50)
+        if want[0][0][0] == "system" and got[c][0] == want[0][:1]:  # a system turn with nothing in the first cell
+            got[c][0] = want[0]
+        assert got[c] == want
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(alphabet="\\#<>/:hc\nturn é", max_size=30), min_size=1, max_size=20))
 def test_escapes_are_reversible(spark, samples):
@@ -227,6 +270,36 @@ def test_links_of_dense_balls_equal_brute_force(spark):
     assert groups(a) == groups(b) and edges.count() < 64 * len(fps)
 
 
+def test_large_buckets_are_split_without_losing_links():
+    rng = np.random.default_rng(5)
+    other = rng.integers(0, 1 << 32, 3000, np.uint64)
+    other[1500:] = other[:1500] ^ (np.uint64(1) << rng.integers(0, 32, 1500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 32, 1500).astype(np.uint64))
+    for seg in (0, 1):  # all share one variant of this segment
+        fps = np.unique((other << np.uint64(32 * (1 - seg))) | np.uint64(5 << (32 * seg)))
+        edges = [(u, v) for b in simhash._bucket_edges(np.full(len(fps), (32 * seg) << 32), fps) for u, v in zip(*(np.array(c.to_pylist(), np.int64).view(np.uint64).tolist() for c in b.columns), strict=True)]
+        assert all((u ^ v).bit_count() <= 3 for u, v in edges)
+        root = {f: f for f in fps.tolist()}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for u, v in edges:
+            root[find(u)] = find(v)
+        for i, f in enumerate(fps):
+            for g in fps[np.flatnonzero(np.bitwise_count(fps ^ f) <= 3)].tolist():
+                assert find(int(f)) == find(g), i
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "keep"), (2, "a b c d", "keep")], "fp long, text string, root string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, "fp").collect()} == {1: 1, 2: 1}
+    assert [r["fp"] for r in simhash.one_of_each(docs, "fp").collect()] == [1]
+    odd = spark.createDataFrame([("x", 3, "t")], "_packed string, media long, text string")
+    assert media.store_text(odd).columns == ["_packed", "text", "n_bytes", "media"]
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, 100 + i) for i in range(1, 30)]
@@ -350,6 +423,23 @@ def test_mixed_rows_and_empty_tables(spark, tables):
     assert queries.op5_mix(spark, tables(documents=([], DOC))).count() == 0 and mixing.mix(docs.where("false")).count() == 0
 
 
+def test_mix_of_repeated_rows(spark):
+    """A third of the rows are one row; others share id, source and size with different texts."""
+    rows = [(7, "a b c", "s", 0)] * 4000 + [(8, f"x y w{i % 300}", "s", 1) for i in range(3000)] + [(100 + i, "d e f g", "t", i) for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy long").repartition(8)
+    got = mixing.mix(docs).groupBy("doc_id", "text", "source", "copy").count()
+    once, again = ({tuple(r) for r in g.collect()} for g in (got, mixing.mix(docs.repartition(5)).groupBy("doc_id", "text", "source", "copy").count()))
+    assert once == again
+    taken = {r[0]: r[1] for r in mixing.copies_of(docs).groupBy("doc_id").agg(F.sum("copies")).collect()}
+    found = Counter()
+    for k, _, _, _, n in once:
+        found[k] += n
+    assert found == {k: v for k, v in taken.items() if v}
+    for k, m in ((7, 4000), (8, 3000)):  # copies are dealt evenly
+        at = {c: sum(r[4] for r in once if r[0] == k and r[3] == c) for c in {r[3] for r in once if r[0] == k}}
+        assert all(n == m for c, n in at.items() if c <= taken[k] // m) and at.get(taken[k] // m + 1, 0) == taken[k] % m
+
+
 # ---- media --------------------------------------------------------------------------------------------------
 
 
