@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Inputs of so many partitions or more stay as they are read.
+FEW = 64
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over all cores where its files give fewer partitions than there are cores; else as it is.
+    """df dealt over the cores where its files give fewer than FEW partitions and than there are cores; else as it is.
 
-    A file of one row group is one task, however large the cluster. Such inputs are small (at most a split for
-    each core), so moving their rows costs little beside the work on their texts.
+    A file of one row group is one task, however large the cluster. Only inputs of a few splits (some 8 GB at the
+    usual size) are moved, so larger ones never shuffle here, on a cluster of any size.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, FEW) else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
