@@ -84,18 +84,19 @@ def running(rows: DataFrame, value: str, sums: list[str], by: list[str]) -> Data
     return rows.withColumns({f"{c}_before": F.col(f"{c}_before") + F.col(f"_{c}") for c in sums}).drop("_part", *[f"_{c}" for c in sums])
 
 
-def percentiles(rows: DataFrame, by: str, value: str, at: tuple[float, ...] = QUANTILES) -> DataFrame:
+def percentiles(rows: DataFrame, by: str | list[str], value: str, at: tuple[float, ...] = QUANTILES) -> DataFrame:
     """(by, n, p10, ...): the value at place int(p * n) of each class's sorted values, from 0; nulls left out.
 
     Values are counted first, so a class of any size costs one row for each distinct value. Places come from
     running counts over those. A null class is left out.
     """
-    counts = rows.where(F.col(value).isNotNull() & F.col(by).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c")).cache()
-    sizes = counts.groupBy(by).agg(F.sum("c").alias("n"))
-    counts = running(counts, value, ["c"], [by]).join(sizes, by)
+    by = [by] if isinstance(by, str) else by
+    counts = rows.dropna(subset=[*by, value]).groupBy(*by, value).agg(F.count("*").alias("c")).cache()
+    sizes = counts.groupBy(*by).agg(F.sum("c").alias("n"))
+    counts = running(counts, value, ["c"], by).join(sizes, by)
     place = lambda p: F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n")))
     picks = [F.min(F.when(F.col("c_before") + F.col("c") > place(p), F.col(value))).alias(f"p{round(p * 100)}") for p in at]
-    return counts.groupBy(by).agg(F.max("n").alias("n"), *picks)
+    return counts.groupBy(*by).agg(F.max("n").alias("n"), *picks)
 
 
 def first_by_hash(rows: DataFrame, label: str, key: str, limits: DataFrame, seed: str) -> DataFrame:

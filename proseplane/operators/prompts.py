@@ -73,8 +73,13 @@ def review_prompt(article: Column) -> Column:
     return F.concat(F.lit("# Task: final review of an article\n\nAnswer with one JSON object with the fields " + ", ".join(REVIEW_FIELDS) + ".\n\n## Article\n"), article, F.lit("\n"))
 
 
+_LOOP_HEAD = '# Task: estimate how machine-like an article reads\n\nAnswer with one JSON object: {"ai_score": 0 to 100, "tells": [strings], "verdict": "human", "mixed" or "ai"}.\n\n## Article\n'
+#: Characters of a loop prompt besides the article's.
+LOOP_LENGTH = len(_LOOP_HEAD) + 1
+
+
 def loop_prompt(article: Column) -> Column:
-    return F.concat(F.lit('# Task: estimate how machine-like an article reads\n\nAnswer with one JSON object: {"ai_score": 0 to 100, "tells": [strings], "verdict": "human", "mixed" or "ai"}.\n\n## Article\n'), article, F.lit("\n"))
+    return F.concat(F.lit(_LOOP_HEAD), article, F.lit("\n"))
 
 
 REVIEW_FIELDS = ("publishable", "worst_ai_sections", "unsupported_claims", "template_smell", "fake_human_details", "best_theses", "rewrite_brief")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from proseplane.functions import rulebook as book
 from proseplane.functions import text as T
 from proseplane.operators import cleanup, features, gates, lm, mining, polish, prompts, rules
 from proseplane.plans import oracle
+from proseplane.plans.scratch import ensure_checkpoint_dir
 from proseplane.shipping import shipped
 from proseplane.sources import probe, tables
 
@@ -200,8 +202,10 @@ def _mine_phrases(n: int) -> Query:
 
 
 def rhythm_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mining.rhythm_metrics(_by_quality(spark, sf_dir)).select("quality", scaled("sentence_cv").alias("v"))
-    return mining.percentiles(rows, "quality", "v")
+    """Of all three rhythm metrics by class."""
+    metrics = ("sentence_cv", "short_ratio", "paragraph_cv")
+    rows = mining.rhythm_metrics(_by_quality(spark, sf_dir)).select("quality", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), scaled(m).alias("v")) for m in metrics])).alias("m"))
+    return mining.percentiles(rows.select("quality", "m.metric", "m.v"), ["metric", "quality"], "v")
 
 
 def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,11 +229,22 @@ def rank_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lr_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.features(_by_quality(spark, sf_dir), _model(spark, sf_dir))
-    rows = rows.join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"), "doc_id").cache()
-    calibration, intercept = mining.train_logistic(rows, [c[0] for c in book.CALIBRATION], "quality")
-    rows = rows.withColumn("p", features.probability(calibration, intercept, rounded=False))
-    return mining.rank_auc(rows, "p", "quality")
+    """The AUC on the rows of the fit and on the fifth of each class that is held out."""
+    ensure_checkpoint_dir(spark)
+    labels = mining.stratified_split(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"), "quality", "doc_id")
+    names = [c[0] for c in book.CALIBRATION]
+    rows = features.features(_by_quality(spark, sf_dir), _model(spark, sf_dir)).select("doc_id", *names).join(labels, "doc_id").checkpoint()
+    calibration, intercept = mining.train_logistic(rows.where("train"), names, "quality")
+    scored = rows.withColumn("p", features.probability(calibration, intercept, rounded=False))
+    part = lambda name, rows: mining.rank_auc(rows, "p", "quality").withColumn("part", F.lit(name))
+    return part("train", scored.where("train")).unionByName(part("held_out", scored.where("not train")))
+
+
+def lr_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes of the parts that lr_train fits and tests on, and the means of two features in them."""
+    labels = mining.stratified_split(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"), "quality", "doc_id")
+    rows = _by_quality(spark, sf_dir).select("doc_id", F.length("text").alias("n")).join(labels, "doc_id")
+    return rows.groupBy("train", "quality").agg(F.count("*").alias("documents"), F.sum("n").alias("chars"))
 
 
 # ---- clean-up, readability, prompts, reviews ----------------------------------------------------------------
@@ -256,7 +271,7 @@ def cleanup_score_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cleanup_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = probe.load(spark, sf_dir, cleanup=True)
-    return docs.select("doc_id", F.length(cleanup.protected(F.col("text"))).alias("n"))
+    return docs.select("doc_id", cleanup.protected(F.col("text")).alias("t")).select("doc_id", _long(F.length("t")).alias("n"), F.md5("t").alias("after_md5"))
 
 
 def leftover_tells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,10 +296,14 @@ def readability_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grades = _grades(spark, sf_dir).cache()
-    none = grades.where("false").select(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
-    external = gates.external_gate(grades.select((F.col("before_grade") / 100).alias("a"), (F.col("after_grade") / 100).alias("b")), "a", "b")
-    return gates.summary(gates.readability_gate(grades), external, gates.meaning_gate(none, "a")).select("name", scaled("metric").alias("metric"), "status")
+    """The scorer outside is here the share that the rules leave; the meaning is the share of distinct tokens kept."""
+    docs = _cleaned(spark, sf_dir)
+    before = rules.scored(docs).select("doc_id", "after", (1 - F.col("total") / 100).alias("a"))
+    external = gates.external_gate(rules.scored(before, "after").select("a", (1 - F.col("total") / 100).alias("b")), "a", "b")
+    words = lambda c: F.array_distinct(T.tokens(F.col(c)))
+    kept = docs.select(words("text").alias("x"), words("after").alias("y")).select((F.size(F.array_intersect("x", "y")) / F.greatest(F.size(F.array_union("x", "y")), F.lit(1))).alias("s"))
+    none = gates.meaning_gate(kept.where("false"), "s").withColumn("name", F.lit("meaning_without_scores"))
+    return gates.summary(gates.readability_gate(_grades(spark, sf_dir)), external, gates.meaning_gate(kept, "s"), none).select("name", scaled("metric").alias("metric"), "status")
 
 
 def _prompt(strength: str) -> Query:
@@ -301,19 +320,45 @@ ANSWERS = (
 )
 
 
-def _answers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(ANSWERS)), "id long, answer string").withColumn("p", prompts.parsed_answer(F.col("answer")))
+#: A review for each document that names it; document k gets answer k % 11 of these and of ANSWERS.
+REVIEWED = (
+    '{"publishable": false, "best_theses": ["t#", "u#"], "worst_ai_sections": [{"para": "p#", "reason": "r#"}, {"reason": "only"}], "rewrite_brief": "again #"}',
+    'Sure:\n```json\n{"publishable": true, "unsupported_claims": [{"claim": "c#", "missing_evidence": "m#"}], "fake_human_details": ["f#"]}\n```',
+    '{"publishable": true, "template_smell": ["s#", "s"], "best_theses": []} and so on',
+)
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer for each document, read back from it."""
+    given = F.array(*map(F.lit, (*ANSWERS, *REVIEWED)))
+    k = F.coalesce(F.pmod("doc_id", F.lit(len(ANSWERS) + len(REVIEWED))), F.lit(0)).cast("int")
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.replace(F.get(given, k), F.lit("#"), F.col("doc_id").cast("string")).alias("answer"))
+    return docs.withColumn("p", prompts.parsed_answer(F.col("answer")))
 
 
 def judge_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(spark).select("id", F.col("p.result.publishable").alias("publishable"), F.col("p.parse_error").alias("parse_error"), _long(F.length("p.raw")).alias("raw_length"))
+    return _answers(spark, sf_dir).select("id", F.col("p.result.publishable").alias("publishable"), F.col("p.parse_error").alias("parse_error"), _long(F.length("p.raw")).alias("raw_length"))
 
 
 def judge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(spark).select("id", F.substring(prompts.report(F.col("p")), 1, 60).alias("report"))
+    return _answers(spark, sf_dir).select("id", prompts.report(F.col("p")).alias("report"))
 
 
 def detect_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads with a saved language model, and what SQL can state of them, read back."""
+    folder = f"{ensure_checkpoint_dir(spark)}/lm-{uuid.uuid4().hex}"
+    _model(spark, sf_dir).save(folder)
+    got = cli.detect(spark, probe.load(spark, sf_dir), folder)
+    of = lambda path: F.get_json_object("payload", f"$.{path}")
+    number = lambda path: scaled(of(path).cast("double"))
+    return got.select(
+        _long(of("file")).alias("doc_id"), _long(of("chars")).alias("chars"), number("rule.probability").alias("rule"), _long(F.json_array_length(of("rule.violations"))).alias("violations"),
+        number("ngram.probability").alias("ngram"), of("ngram.available").alias("available"), number("combined.probability").alias("combined"), of("combined.decision").alias("decision"),
+    )
+
+
+def detect_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole payloads without a language model."""
     return cli.detect(spark, probe.load(spark, sf_dir))
 
 
@@ -322,7 +367,7 @@ def polish_once(spark: SparkSession, sf_dir: str) -> DataFrame:
         return prompt.split("## Article\n", 1)[1].rsplit("\n\nReturn", 1)[0].replace("utilize", "use")
 
     got = polish.one_pass(probe.load(spark, sf_dir), polish.Provider("local", "rule", shorter))
-    return got.select("doc_id", "status", "before_total", "after_total")
+    return got.select("doc_id", "status", scaled("before_total").alias("before_total"), scaled("after_total").alias("after_total"))
 
 
 def iterative_polish(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,9 +382,6 @@ def iterative_polish(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scores of the documents as a stream of files, written once and read again."""
-    import uuid
-
-    from proseplane.plans.scratch import ensure_checkpoint_dir
     from proseplane.streaming import scoring
 
     folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -365,10 +407,10 @@ def queries() -> dict[str, Query]:
         "punctuation_density": _feature("comma_density", "punct_density"), "ngram_features": _feature(*[c[0] for c in book.CALIBRATION]),
     }
     found |= {"mine_bigrams": _mine_phrases(2), "mine_trigrams": _mine_phrases(3)}
-    found |= {f.__name__: f for f in (mine_words, rhythm_percentiles, balanced_sample, stratified_split, standardize, rank_auc, lr_train)}
+    found |= {f.__name__: f for f in (mine_words, rhythm_percentiles, balanced_sample, stratified_split, standardize, rank_auc, lr_train, lr_parts)}
     found |= {"cleanup": cleanup_texts} | {f.__name__: f for f in (cleanup_delta, cleanup_score_delta, cleanup_protected, leftover_tells, fkgl, readability_gate, gate_summary)}
     found |= {f"prompt_{s.value}": _prompt(s.value) for s in prompts.Strength}
-    found |= {f.__name__: f for f in (judge_parse, judge_report, detect_json, polish_once, iterative_polish, stream_scores)}
+    found |= {f.__name__: f for f in (judge_parse, judge_report, detect_json, detect_payload, polish_once, iterative_polish, stream_scores)}
     return {name: shipped(f) for name, f in found.items()}
 
 

@@ -243,8 +243,9 @@ def oracle_sql() -> dict[str, str]:
 FROM (SELECT token, count(*) AS c FROM (SELECT unnest(t) AS token FROM ltoks WHERE quality = 0) GROUP BY 1) a LEFT JOIN (SELECT token, count(*) AS c FROM (SELECT unnest(t) AS token FROM ltoks WHERE quality = 1) GROUP BY 1) b USING (token) WHERE a.c >= 5""",
         "mine_bigrams": _mined(2),
         "mine_trigrams": _mined(3),
-        "rhythm_percentiles": f"""SELECT quality, len(v) AS n, {", ".join(f"v[CAST(least(len(v) - 1, floor({x} * len(v))) AS BIGINT) + 1] AS p{round(x * 100)}" for x in (0.1, 0.25, 0.5, 0.75, 0.9))}
-FROM (SELECT quality, list(v ORDER BY v) AS v FROM (SELECT quality, {scaled(cv("l"))} AS v FROM (SELECT quality, list_filter(list_transform(ss, lambda s: len(regexp_extract_all(s, {q(T.TOKEN)}))), lambda x: x > 0) AS l FROM ltoks) WHERE len(l) >= 3) GROUP BY quality)""",
+        "rhythm_percentiles": f"""SELECT metric, quality, len(v) AS n, {", ".join(f"v[CAST(least(len(v) - 1, floor({x} * len(v))) AS BIGINT) + 1] AS p{round(x * 100)}" for x in (0.1, 0.25, 0.5, 0.75, 0.9))}
+FROM (SELECT metric, quality, list(v ORDER BY v) AS v FROM ({_rhythm()}) GROUP BY metric, quality)""",
+        "lr_parts": f"SELECT train, quality, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS chars FROM labelled JOIN (SELECT doc_id, {_train()} AS train FROM labels) USING (doc_id) GROUP BY 1, 2",
         "balanced_sample": "SELECT doc_id, quality FROM (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) AS r FROM labels) WHERE r <= least(40, (SELECT min(c) FROM (SELECT count(*) AS c FROM labels GROUP BY quality)))",
         "stratified_split": "SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) <= floor(count(*) OVER (PARTITION BY quality) * 0.8) AS train FROM labels",
         "standardize": f"SELECT doc_id, {scaled('(comma_density - avg(comma_density) OVER ()) / stddev_pop(comma_density) OVER ()')} AS comma_density, {scaled('(word_mattr - avg(word_mattr) OVER ()) / stddev_pop(word_mattr) OVER ()')} AS word_mattr FROM other JOIN mt USING (doc_id)",
@@ -256,9 +257,12 @@ FROM (SELECT quality, list(v ORDER BY v) AS v FROM (SELECT quality, {scaled(cv("
         "fkgl": f"SELECT doc_id, {scaled(_grade('text'))} AS grade FROM probe",
         "readability_gate": f"SELECT 'readability' AS name, {scaled('m')} AS metric, CASE WHEN m <= 2 THEN 'pass' ELSE 'fail' END AS status FROM (SELECT avg(abs({_grade('after')} - {_grade('text')})) AS m FROM cl)",
         "gate_summary": f"""SELECT 'readability' AS name, {scaled('m')} AS metric, CASE WHEN m <= 2 THEN 'pass' ELSE 'fail' END AS status FROM (SELECT avg(abs({_grade('after')} - {_grade('text')})) AS m FROM cl)
-UNION ALL SELECT 'external_score', {scaled('m')}, CASE WHEN m >= 0.8 THEN 'pass' ELSE 'fail' END FROM (SELECT avg(CASE WHEN {_grade('after')} / 100 - {_grade('text')} / 100 >= 0.3 THEN 1.0 ELSE 0.0 END) AS m FROM cl)
-UNION ALL SELECT 'meaning', NULL, 'skipped'""",
-        "judge_parse": "SELECT * FROM (VALUES (0::BIGINT, true, NULL::VARCHAR, NULL::BIGINT), (1, false, NULL, NULL), (2, true, NULL, NULL), (3, NULL, 'no json found', 24), (4, NULL, 'no json found', 9), (5, NULL, 'no json found', 20), (6, NULL, NULL, NULL), (7, NULL, 'no json found', 500)) t(id, publishable, parse_error, raw_length)",
+UNION ALL SELECT 'external_score', {scaled('m')}, CASE WHEN m >= 0.8 THEN 'pass' ELSE 'fail' END FROM (SELECT avg(CASE WHEN (1 - a.total / 100) - (1 - b.total / 100) >= 0.3 THEN 1.0 ELSE 0.0 END) AS m FROM before_scores b JOIN after_scores a USING (doc_id))
+UNION ALL SELECT 'meaning', {scaled('m')}, CASE WHEN m >= 0.85 THEN 'pass' ELSE 'fail' END FROM (SELECT avg(len(list_intersect(x, y)) * 1.0 / greatest(len(list_distinct(list_concat(x, y))), 1)) AS m FROM (SELECT list_distinct({tokens('text')}) AS x, list_distinct({tokens('after')}) AS y FROM cl))
+UNION ALL SELECT 'meaning_without_scores', NULL, 'skipped'""",
+        "cleanup_protected": f"SELECT doc_id, length(t) AS n, md5(t) AS after_md5 FROM (SELECT doc_id, {_protected('text')} AS t FROM cprobe)",
+        "detect_json": f"""SELECT s.doc_id, s.n AS chars, {scaled('round(s.total, 1)')} AS rule, s.c AS violations, {scaled('lr.p')} AS ngram, 'true' AS available, {scaled('round(greatest(s.total, lr.p), 1)')} AS combined,
+  CASE WHEN greatest(s.total, lr.p) >= 50 THEN 'BLOCK' ELSE 'PASS' END AS decision FROM scores s JOIN lr USING (doc_id)""",
         "stream_scores": f"SELECT doc_id, {scaled('total')} AS total, {_levels('total')} AS level FROM scores",
     }
     for phrases, rules in ((False, book.WORDS), (True, book.PHRASES)):
@@ -268,4 +272,75 @@ UNION ALL SELECT 'meaning', NULL, 'skipped'""",
         out[name] = f"SELECT doc_id, hits, {scaled('score')} AS score FROM violations WHERE rule = {q(name)}"
     filler = next(r for r in book.WORDS if r.name == "corporate_filler")
     out["sample_first_match"] = f"SELECT doc_id, replace(replace(regexp_extract(e, {q(_rule_pattern(filler, False))}), chr(1), ''), chr(2), '') AS sample FROM enc"
-    return {k: v if k == "judge_parse" else p + v for k, v in out.items()}
+    out = {k: p + v for k, v in out.items()}
+    # of one pass: the clean-up and the answer of a provider that replaces one word, scored
+    once = f"""SELECT s.doc_id, {scaled('s.total')} AS before_total, {scaled('CASE WHEN s.total < 25 THEN s.total ELSE least(c.total, a.total) END')} AS after_total,
+  CASE WHEN s.total < 25 THEN 'publishable' WHEN a.total < c.total THEN 'rewritten' ELSE 'cleaned' END AS status FROM scores s JOIN clean_scores c USING (doc_id) JOIN short_scores a USING (doc_id)"""
+    kept = f"pcl AS (SELECT doc_id, source, lang, t AS clean, replace(t, 'utilize', 'use') AS short FROM (SELECT doc_id, source, lang, {_protected('text')} AS t FROM probe)),\n"
+    out["polish_once"] = p.rstrip() + ",\n" + kept + (_scoring("clean_", "pcl", "clean") + _scoring("short_", "pcl", "short")).rstrip().rstrip(",") + "\n" + once
+    out["iterative_polish"] = _iterated()
+    out["judge_parse"], out["judge_report"] = _judged()
+    return out
+
+
+_SPAN = r"(?s)```.*?```|`[^`\n]+`|https?://[^\s)]+"
+
+
+def _protected(x: str) -> str:
+    """The clean-up between code and web addresses."""
+    changed = "z"
+    for _, a, b in cleanup.ordered_pairs():
+        changed = f"replace({changed}, {q(a)}, {q(b)})"
+    parts = f"list_transform(regexp_split_to_array({x}, {q(_SPAN)}), lambda z: {changed})"
+    return f"array_to_string(list_transform(list_zip({parts}, regexp_extract_all({x}, {q(_SPAN)})), lambda y: coalesce(y[1], '') || coalesce(y[2], '')), '')"
+
+
+def _train() -> str:
+    return "row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) <= floor(count(*) OVER (PARTITION BY quality) * 0.8)"
+
+
+def _rhythm() -> str:
+    """(metric, quality, v) of the documents long enough for a metric."""
+    words = f"list_filter(list_transform(ss, lambda s: len(regexp_extract_all(s, {q(T.TOKEN)}))), lambda x: x > 0)"
+    return f"""SELECT 'sentence_cv' AS metric, quality, {scaled(cv("l"))} AS v FROM (SELECT quality, {words} AS l FROM ltoks) WHERE len(l) >= 3
+UNION ALL SELECT 'short_ratio', quality, {scaled("len(list_filter(l, lambda x: x < 6)) * 1.0 / len(l)")} FROM (SELECT quality, {words} AS l FROM ltoks) WHERE len(l) >= 3
+UNION ALL SELECT 'paragraph_cv', quality, {scaled(cv("l"))} FROM (SELECT quality, list_transform({paragraphs("text")}, lambda x: length(x)) AS l FROM ltoks) WHERE len(l) >= 3"""
+
+
+def _iterated() -> str:
+    """Three rounds: the writer cuts 40 characters off the clean-up, the judge's score is its prompt's length modulo 80."""
+    from proseplane.operators import prompts
+
+    extra = prompts.LOOP_LENGTH
+    wrote = "CASE WHEN length(c) <= 40 THEN '.' ELSE left(c, length(c) - 40) END"
+    text, rounds, out = "SELECT doc_id, text AS t FROM probe", [], []
+    for r in (1, 2, 3):
+        rounds.append(f"r{r} AS (SELECT doc_id, t, ({extra} + length(t)) % 80 AS ai_score FROM (SELECT doc_id, {wrote} AS t FROM (SELECT doc_id, {_protected('t')} AS c FROM ({text}))))")
+        out.append(f"SELECT doc_id, {r} AS round, ai_score, CASE WHEN ai_score <= 30 THEN 'target' {'ELSE ' + q('exhausted') if r == 3 else ''} END AS stopped FROM r{r}")
+        text = f"SELECT doc_id, t FROM r{r} WHERE ai_score > 30"
+    return f"WITH {_probe('probe', probe.tells())},\n" + ",\n".join(rounds) + "\n" + "\nUNION ALL ".join(out)
+
+
+def _judged() -> tuple[str, str]:
+    """What is read back from each document's answer, and its report, by the answer's number."""
+    from proseplane.plans.catalogue import ANSWERS, REVIEWED
+
+    n, r = len(ANSWERS) + len(REVIEWED), book.REPORT
+    # publishable, error, length of raw text
+    read = [(True, None, None), (False, None, None), (True, None, None), (None, r["no_json"], 24), (None, r["no_json"], 9), (None, r["no_json"], 20), (None, None, None), (None, r["no_json"], 500), (False, None, None), (True, None, None), (True, None, None)]
+    value = lambda x: "NULL" if x is None else q(x) if isinstance(x, str) else str(x)
+    pick = lambda i, kind: "CASE k " + " ".join(f"WHEN {k} THEN CAST({value(x[i])} AS {kind})" for k, x in enumerate(read)) + " END"
+    verdict = lambda ok: r["verdict"] + r["publishable" if ok else "revise"] + "\n"
+    section = lambda key, lines, warn="": f"### {r[key]} ({len(lines)}){warn}\n" + "\n".join(f"- {x}" for x in lines) + "\n"
+    failed = lambda a: r["parse_error"] + r["no_json"] + "\n\nraw:\n" + a[:500]
+    reports = [
+        verdict(True), verdict(False) + "\n" + section("best_theses", ["x"]), verdict(True), failed(ANSWERS[3]), failed(ANSWERS[4]), failed(ANSWERS[5]), verdict(False), failed(ANSWERS[7]),
+        "\n".join([verdict(False), section("best_theses", ["t\x01", "u\x01"]), section("worst_ai_sections", ["“p\x01…” — r\x01", "“?…” — only"]), r["rewrite_brief"] + "again \x01"]),
+        "\n".join([verdict(True), section("unsupported_claims", ["“c\x01” missing: m\x01"]), section("fake_human_details", ["f\x01"], r["risk"])]), "\n".join([verdict(True), section("template_smell", ["s\x01", "s"])]),
+    ]
+    rows = f"(SELECT doc_id AS id, coalesce(doc_id % {n}, 0) AS k FROM documents)"
+    texts = "CASE k " + " ".join(f"WHEN {k} THEN {q(x)}" for k, x in enumerate(reports)) + " END"
+    return (
+        f"SELECT id, {pick(0, 'BOOLEAN')} AS publishable, {pick(1, 'VARCHAR')} AS parse_error, {pick(2, 'BIGINT')} AS raw_length FROM {rows}",
+        f"SELECT id, replace({texts}, chr(1), CAST(id AS VARCHAR)) AS report FROM {rows}",
+    )
