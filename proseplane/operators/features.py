@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proseplane.functions import rulebook as book
 from proseplane.functions import text as T
-from proseplane.operators.lm import LanguageModel
+from proseplane.operators.lm import LanguageModel, Packed, hashes
 from proseplane.operators.rules import band_key
 
 WINDOW = 50
@@ -81,12 +85,59 @@ def text_features(docs: DataFrame, text: str = "text") -> DataFrame:
     }).drop("f_paragraphs", "f_entropies")
 
 
-def lm_features(docs: DataFrame, model: LanguageModel, key: str = "doc_id") -> DataFrame:
-    """(key, perplexity, avg_log_prob, burstiness) from f_sentences; one shuffle, of a row for each sentence.
+_LM = ("perplexity", "avg_log_prob", "burstiness")
+
+
+def sentence_statistics(sentences: pa.ListArray, model: Packed) -> list[np.ndarray]:
+    """perplexity, avg_log_prob and burstiness of texts given as lists of sentences of tokens."""
+    inner = sentences.flatten()
+    words = inner.flatten()
+    docs, sents, n = len(sentences), len(inner), len(words)
+    sent_of = pc.list_parent_indices(inner).to_numpy().astype(np.int64)
+    doc_of_sent = pc.list_parent_indices(sentences).to_numpy().astype(np.int64)
+    doc_of = doc_of_sent[sent_of] if n else np.zeros(0, np.int64)
+    tokens, lines = np.bincount(doc_of, minlength=docs), np.bincount(doc_of_sent, minlength=docs)
+    lp = model.log_probabilities(hashes(words)) if n > 1 else np.zeros(0)
+    together, own = doc_of[1:] == doc_of[:-1], sent_of[1:] == sent_of[:-1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a = np.bincount(doc_of[1:][together], lp[together], docs) / np.maximum(tokens - 1, 1)
+        pairs = np.bincount(sent_of[1:][own], minlength=sents)
+        means = np.bincount(sent_of[1:][own], lp[own], sents) / np.maximum(pairs, 1)
+        long, of = pairs >= 2, doc_of_sent
+        k = np.bincount(of[long], minlength=docs)
+        mu = np.bincount(of[long], means[long], docs) / np.maximum(k, 1)
+        sd = np.sqrt(np.bincount(of[long], (means[long] - mu[of[long]]) ** 2, docs) / np.maximum(k, 1))
+        bursts = np.where((lines >= 3) & (k >= 3) & (mu != 0), np.abs(sd / mu), 0.0)
+    known = tokens >= 5
+    return [np.where(known, np.minimum(np.exp(-np.where(known, a, 0)), 1e6), 0.0), np.where(known, a, 0.0), bursts]
+
+
+def with_lm_features(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """docs with perplexity, avg_log_prob and burstiness from f_sentences, where the rows are; None if the model is too large for that.
 
-    Sentences hold all tokens in order, so one pass gives the pairs of the text and those within sentences.
     Under five tokens perplexity and avg_log_prob are 0; burstiness needs three sentences of three tokens.
     """
+    if not model.available:
+        return docs.withColumns({c: F.lit(0.0) for c in _LM})
+    packed = model.packed()
+    if packed is None:
+        return None
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
+
+    @F.arrow_udf(", ".join(f"{c} double" for c in _LM))
+    def statistics(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.StructArray.from_arrays([pa.array(x) for x in sentence_statistics(batch, shared.value)], list(_LM))
+
+    return docs.withColumn("f_lm", statistics("f_sentences")).withColumns({c: F.col(f"f_lm.{c}") for c in _LM}).drop("f_lm")
+
+
+def lm_features(docs: DataFrame, model: LanguageModel, key: str = "doc_id") -> DataFrame:
+    """(key, perplexity, avg_log_prob, burstiness) from f_sentences by joins; one shuffle, of a row for each sentence.
+
+    For models too large to send to the workers. Sentences hold all tokens in order, so one pass gives the pairs of
+    the text and those within sentences.
+    """
     words = F.flatten(F.transform("f_sentences", lambda s, i: F.transform(s, lambda w: F.struct(w.alias("w"), i.alias("s")))))
     base = docs.select(key, F.size("f_sentences").alias("sents"), words.alias("t"))
     n = F.size("t")
@@ -110,10 +161,11 @@ def lm_features(docs: DataFrame, model: LanguageModel, key: str = "doc_id") -> D
 
 def features(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs' key with word_count and the twelve features, unrounded; keys are taken to be distinct."""
-    own = text_features(docs.select(key, text), text)
-    lm = lm_features(own, model, key)
-    names = ["perplexity", "avg_log_prob", "burstiness"]
-    return own.drop(text, "f_tokens", "f_sentences").join(lm, key, "left").withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in names})
+    own = text_features(docs.select(key, text), text).drop(text, "f_tokens")
+    there = with_lm_features(own, model)
+    if there is not None:
+        return there.drop("f_sentences")
+    return own.drop("f_sentences").join(lm_features(own, model, key), key, "left").withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in _LM})
 
 
 def probability(calibration=book.CALIBRATION, intercept: float = book.INTERCEPT, rounded: bool = True) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,8 @@ from proseplane.functions import text as T
 #: Rows that are kept of each table; so joins can broadcast them (some 40 MB at most).
 UNIGRAMS = 100_000
 BIGRAMS = 500_000
+#: Tables of so many rows together at most are sent to the workers (16 bytes a row); larger ones are joined.
+PACKED_ROWS = 2_000_000
 
 
 def unigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -54,6 +60,50 @@ def top_bigrams(docs: DataFrame, text: str = "text", k: int = BIGRAMS) -> DataFr
     return top(bigram_counts(docs, text), k, ["w1", "w2"])
 
 
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two."""
+    with np.errstate(over="ignore"):
+        h = a * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(0x7F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
+
+
+def _counts(keys: np.ndarray, counts: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The counts beside sorted keys; 0 for what is not there."""
+    if not len(keys):
+        return np.zeros(len(of))
+    at = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
+    return np.where(keys[at] == of, counts[at], 0.0)
+
+
+@dataclass(frozen=True)
+class Packed:
+    """Both tables as sorted 64-bit hashes with their counts."""
+
+    words: np.ndarray
+    word_counts: np.ndarray
+    pairs: np.ndarray
+    pair_counts: np.ndarray
+    total: int
+
+    def log_probabilities(self, h: np.ndarray) -> np.ndarray:
+        """Of each word but the first, given the one before it; see LanguageModel.log_probabilities."""
+        v = float(len(self.words))
+        c = _counts(self.words, self.word_counts, h)
+        both = _counts(self.pairs, self.pair_counts, _mixed(h[:-1], h[1:]))
+        known = c[:-1] > 0
+        return np.log(np.where(known, both + 1, c[1:] + 1) / np.where(known, c[:-1] + v, self.total + v))
+
+
+def hashes(words: pa.Array) -> np.ndarray:
+    """XXH64 of each word with the seed of Spark's xxhash64; equal words are hashed once."""
+    import xxhash
+
+    coded = words.dictionary_encode()
+    known = np.array([xxhash.xxh64_intdigest(w, 42) for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
+    return known[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
+
+
 class LanguageModel:
     """Trimmed tables of a corpus and their totals after trimming."""
 
@@ -85,15 +135,30 @@ class LanguageModel:
                 return None
             raise
 
+    def packed(self) -> Packed | None:
+        """The tables for the workers; None where they are too large."""
+        if self.vocabulary + self.bigrams.limit(PACKED_ROWS + 1).count() > PACKED_ROWS:
+            return None
+
+        def sorted_columns(rows: DataFrame) -> tuple[np.ndarray, ...]:
+            got = rows.toArrow()
+            h = [c.to_numpy().view(np.uint64) for c in got.columns[:-1]]
+            key = h[0] if len(h) == 1 else _mixed(*h)
+            order = np.argsort(key)
+            return key[order], got.columns[-1].to_numpy()[order].astype(np.float64)
+
+        uni = sorted_columns(self.unigrams.select(F.xxhash64("token").alias("h"), "cnt"))
+        return Packed(*uni, *sorted_columns(self.bigrams.select(F.xxhash64("w1").alias("a"), F.xxhash64("w2").alias("b"), "cnt")), self.total)
+
     def log_probabilities(self, rows: DataFrame) -> DataFrame:
         """rows (..., w1, w2) with lp: add-one given w1, or add-one of w2 alone where w1 is unknown.
 
-        The tables are small by their limits, so both joins broadcast and rows stay where they are.
+        For tables too large for packed(); the planner picks the joins by their sizes.
         """
         both, v, n = self.bigrams.select("w1", "w2", F.col("cnt").alias("_c12")), F.lit(float(self.vocabulary)), F.lit(float(self.total))
         first = self.unigrams.select(F.col("token").alias("w1"), F.col("cnt").alias("_c1"))
         second = self.unigrams.select(F.col("token").alias("w2"), F.col("cnt").alias("_c2"))
-        joined = rows.join(F.broadcast(both), ["w1", "w2"], "left").join(F.broadcast(first), "w1", "left").join(F.broadcast(second), "w2", "left")
+        joined = rows.join(both, ["w1", "w2"], "left").join(first, "w1", "left").join(second, "w2", "left")
         count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
         lp = F.when(count("_c1") > 0, F.log((count("_c12") + 1) / (count("_c1") + v))).otherwise(F.log((count("_c2") + 1) / (n + v)))
         return joined.withColumn("lp", lp).drop("_c12", "_c1", "_c2")

@@ -137,3 +137,13 @@ def test_training_separates(spark):
     calibration, intercept = mining.train_logistic(rows, ["a", "b"], "y")
     assert calibration[0][3] > 5 * abs(calibration[1][3]) > 0
     assert [c[0] for c in calibration] == ["a", "b"] and math.isfinite(intercept)
+
+
+def test_joined_and_packed_models_agree(spark, texts, monkeypatch):
+    docs = texts("The cat sat there. A dog ran on the mat! Zebras ran far away. Then nothing.", "", None, "a b", "one two three. four five six. seven eight nine ten.\n\neleven")
+    model = lm.LanguageModel.train(texts("the cat sat on the mat. The dog ran.", "one two four five"))
+    packed = features.features(docs, model).orderBy("doc_id").collect()
+    monkeypatch.setattr(lm, "PACKED_ROWS", 0)
+    assert model.packed() is None
+    for a, b in zip(packed, features.features(docs, model).orderBy("doc_id").collect(), strict=True):
+        assert set(a.asDict()) == set(b.asDict()) and all(a[c] == pytest.approx(b[c]) for c in a.asDict())
