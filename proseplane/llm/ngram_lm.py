@@ -4,7 +4,9 @@ Counts are made in Spark, level by level. Tasks count the n-grams of their texts
 deal them out by the hash of the first two words, packed, one row for each task and range. A range adds up
 its n-grams, writes them, and sends on what the next lower level needs: of trigrams the word pairs with the
 number of words that they follow, of pairs the statistics of single words. With more ranges than one pass
-may deal to (FAN), dealing takes further passes, so rows grow with the input and not with its square.
+may deal to (FAN), dealing takes further passes, so rows grow with the input and not with its square. Packed
+rows name the most frequent words by numbers that a first pass gives out, and all others by their hashes; this
+is only how rows are written, no count depends on it.
 
 A range is one file of the shared folder with sorted hash arrays: a directory of the leading bits, the next
 24 bits of each hash (words: all 64), and numbers into a table of the distinct values. An n-gram that is not
@@ -23,11 +25,13 @@ import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +47,8 @@ RANGE_BYTES = 24_000_000
 SHARE = 2
 #: Bits of the range number that one pass deals out, and bits of the number of ranges of single words at most.
 FAN, WORD_FAN = 11, 10
+#: Words that have numbers at most; they are sent to the workers, 8 bytes each.
+NUMBERED = 1 << 20
 #: Files that a scoring worker keeps mapped.
 MAPS = 128
 _BEFORE = np.uint64(0x2545F4914F6CDD1D)
@@ -173,6 +179,41 @@ def _mapped(at: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _used(codes: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Which of n numbers codes hold, how often, and codes as places among these."""
+    flat = np.concatenate(codes)
+    if 8 * len(flat) <= n:
+        used, times = np.unique(flat, return_counts=True)
+        return used, times, [np.searchsorted(used, c) for c in codes]
+    times = np.bincount(flat, minlength=n)
+    used = np.flatnonzero(times)
+    places = _mapped(used, np.arange(len(used)), n)
+    return used, times[used], [places[c] for c in codes]
+
+
+class Names:
+    """Numbers of frequent words: their hashes by number."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
+
+    @cached_property
+    def _line(self) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(self.hashes)
+        return self.hashes[order], order
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """The words' numbers, -1 where they have none."""
+        line, order = self._line
+        if not len(line):
+            return np.full(len(words), -1, np.int64)
+        at = np.minimum(np.searchsorted(line, words), len(line) - 1)
+        return np.where(line[at] == words, order[at], -1)
+
+
+_NO_NAMES = Names(np.zeros(0, np.uint64))
+
+
 @dataclass
 class Grams:
     """Distinct n-grams: numbers of words for each place, and values (their sums where n-grams meet)."""
@@ -221,39 +262,35 @@ class Grams:
         codes = [np.concatenate([m[p.codes[i]] for m, p in zip(maps, parts, strict=True)]) for i in range(len(parts[0].codes))]
         return Grams(words, codes, [np.concatenate([p.values[i] for p in parts]) for i in range(len(parts[0].values))])
 
-    def packed(self) -> bytes:
-        """With a dictionary of the words used, frequent ones first, so that numbers are small; rows sorted."""
-        flat = np.concatenate(self.codes)
-        if 8 * len(flat) > len(self.words):
-            n = np.bincount(flat, minlength=len(self.words))
-            used = np.flatnonzero(n)
-            n = n[used]
-        else:
-            used, n = np.unique(flat, return_counts=True)
-        order = np.argsort(64 - np.frexp(n)[1].astype(np.uint16), kind="stable")
-        rank = np.empty(len(order), np.uint32)
-        rank[order] = np.arange(len(order), dtype=np.uint32)
-        columns = [rank[np.searchsorted(used, c)] if 8 * len(flat) <= len(self.words) else _mapped(used, rank, len(self.words))[c] for c in self.codes] + self.values
-        widths = [max(1, int(c.max()).bit_length()) for c in columns]
+    def packed(self, names: Names = _NO_NAMES) -> bytes:
+        """Rows sorted by the numbers of words; those without a name get the numbers after, frequent ones first,
+        and stand in a dictionary."""
+        used, n, places = _used(self.codes, len(self.words))
+        number = names.of(self.words[used])
+        rest = np.flatnonzero(number < 0)
+        rest = rest[np.argsort(64 - np.frexp(n[rest])[1].astype(np.uint16), kind="stable")]
+        number[rest] = np.arange(len(names.hashes), len(names.hashes) + len(rest))
+        codes = [number[p].astype(np.uint32) for p in places]
+        widths = [max(1, int(c.max()).bit_length()) for c in codes]
         if sum(widths) <= 64:
-            line = np.zeros(len(flat) // len(self.codes), np.uint64)
-            for c, w in zip(columns, widths, strict=True):
+            line = np.zeros(len(codes[0]), np.uint64)
+            for c, w in zip(codes, widths, strict=True):
                 line = (line << np.uint64(w)) | c.astype(np.uint64)
-            line.sort()
-            for i in range(len(columns) - 1, -1, -1):
-                columns[i] = line & np.uint64((1 << widths[i]) - 1)
-                line = line >> np.uint64(widths[i])
+            by = np.argsort(line)
         else:
-            by = np.lexsort(columns[len(self.codes) - 1 :: -1])
-            columns = [c[by] for c in columns]
-        words = _pack(self.words[used][order])
-        return np.int64([len(words), len(self.codes)]).tobytes() + words + _pack(*map(_narrow, columns))
+            by = np.lexsort(codes[::-1])
+        words = _pack(self.words[used[rest]])
+        return np.int64([len(words), len(codes)]).tobytes() + words + _pack(*(_narrow(c[by]) for c in codes + self.values))
 
     @staticmethod
-    def unpacked(blob: bytes) -> Grams:
+    def unpacked(blob: bytes, names: Names = _NO_NAMES) -> Grams:
         size, k = np.frombuffer(blob, np.int64, 2)
         columns = _unpack(blob[16 + size :])
-        return Grams(_unpack(blob[16 : 16 + size])[0], [c.astype(np.uint32) for c in columns[:k]], [c.astype(np.int64) for c in columns[k:]])
+        rest, named = _unpack(blob[16 : 16 + size])[0], len(names.hashes)
+        used, _, codes = _used(columns[:k], named + len(rest))
+        cut_at = int(np.searchsorted(used, named))
+        words = np.concatenate([names.hashes[used[:cut_at]], rest[used[cut_at:].astype(np.int64) - named]])
+        return Grams(words, [c.astype(np.uint32) for c in codes], [c.astype(np.int64) for c in columns[k:]])
 
 
 # ---- dealing ------------------------------------------------------------------------------------------------
@@ -278,8 +315,12 @@ def _slots(spark, n: int) -> list[int]:
 class _Deal:
     """2 ** bits groups of ranges of one level, of which `now` bits are dealt out so far."""
 
-    def __init__(self, bits: int, now: int, slots: list[int] | None) -> None:
-        self.bits, self.now, self.slots = bits, now, slots
+    def __init__(self, bits: int, now: int, slots: list[int] | None, shared: Broadcast | None = None) -> None:
+        self.bits, self.now, self.slots, self.shared = bits, now, slots, shared
+
+    @property
+    def names(self) -> Names:
+        return self.shared.value if self.shared is not None else _NO_NAMES
 
     def slot(self, part: int) -> int:
         part >>= self.bits - self.now
@@ -288,16 +329,16 @@ class _Deal:
     def __call__(self, grams: Grams, level: int) -> Iterator[pa.RecordBatch]:
         """One row for each range that has n-grams."""
         for p, rows in _by_range(range_of(grams.head(), self.bits) >> (self.bits - self.now), self.now):
-            yield _row(self.slot(p << (self.bits - self.now)), level, grams.of(rows).packed())
+            yield _row(self.slot(p << (self.bits - self.now)), level, grams.of(rows).packed(self.names))
 
 
-def _dealt(rows: DataFrame, bits: int, slots: list[int]) -> DataFrame:
+def _dealt(rows: DataFrame, bits: int, slots: list[int], shared: Broadcast) -> DataFrame:
     """rows dealt by the first FAN bits, grouped by range: further passes merge them and deal on."""
     now = min(bits, FAN)
     while now < bits:
         to = min(bits, now + FAN)
         salt = F.pmod(F.xxhash64("blob"), F.lit(1 << (to - now)))  # so many tasks share what has one number so far
-        rows = rows.repartition(1 << to, F.col("slot"), salt).sortWithinPartitions("slot").mapInArrow(_dealing_on(_Deal(bits, to, slots)), _ROW)
+        rows = rows.repartition(1 << to, F.col("slot"), salt).sortWithinPartitions("slot").mapInArrow(_dealing_on(_Deal(bits, to, slots, shared)), _ROW)
         now = to
     return rows.repartition(1 << bits, "slot").groupBy("slot")
 
@@ -315,7 +356,7 @@ def _dealing_on(deal: _Deal):
                 if held and (s != slot or size >= FLUSH):
                     yield from deal(Grams.together(held).distinct(), level)
                     held, size = [], 0
-                held.append(Grams.unpacked(blob))
+                held.append(Grams.unpacked(blob, deal.names))
                 size, slot, level = size + len(held[-1].codes[0]), s, k
         if held:
             yield from deal(Grams.together(held).distinct(), level)
@@ -323,6 +364,48 @@ def _dealing_on(deal: _Deal):
     return dealt
 
 
+# ---- numbers of words ---------------------------------------------------------------------------------------
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words that stand more than once in a task's texts, with their counts."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def emptied() -> pa.RecordBatch:
+        words, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(words[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["word", "n"])
+
+    for batch in batches:
+        for texts in slices(batch.column(0)):
+            words, own, _ = hashed(texts)
+            held.append((words, np.bincount(own, minlength=len(words))))
+            if sum(len(w) for w, _ in held) >= FLUSH:
+                yield emptied()
+    if held:
+        yield emptied()
+
+
+def _names(texts: DataFrame) -> Names:
+    """Numbers for the marks and the most frequent words of all texts, by classes of counts, NUMBERED at most."""
+    sums = texts.mapInArrow(_repeated, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = cut(sums.withColumn("size", F.floor(8 * F.log2("n"))))
+    least, room = None, NUMBERED
+    for r in sorted(words.groupBy("size").count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["size"]
+    marks = np.array([_BEFORE, _START, _END], np.uint64)
+    if least is None:
+        return Names(marks)
+    found = words.where(F.col("size") >= least).select("word", "n").toArrow()
+    word, n = found["word"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.lexsort([word, -n])
+    return Names(np.concatenate([marks, word[order][~np.isin(word[order], marks)]]))
+
+
 # ---- counting -----------------------------------------------------------------------------------------------
 
 
@@ -391,7 +474,7 @@ def _reducer(level: int, folder: str, parts: dict[int, int], bits: int, lower: _
             now: list[Grams] = []
             waiting: list[Grams] = []
             for blob in blobs:
-                got = Grams.unpacked(blob)
+                got = Grams.unpacked(blob, lower.names)
                 waiting.append(got.of(np.flatnonzero(range_of(got.head(), bits) == part)) if share else got)
                 if sum(len(x.codes[0]) for x in waiting) > max(500_000, len(now[0].codes[0]) // 2 if now else 0):
                     now, waiting = [merged([*now, *waiting])], []
@@ -502,18 +585,21 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     word_bits = min(WORD_FAN, max(0, bits - 2))
     groups = max(0, bits - SHARE)
     slots, word_slots = _slots(spark, 1 << groups), _slots(spark, 1 << word_bits)
-    first = _Deal(groups, min(groups, FAN), slots)
+    texts = docs.select(F.col(text).alias("t"))
+    shared = spark.sparkContext.broadcast(_names(texts))
+    first = _Deal(groups, min(groups, FAN), slots, shared)
     parts = {s: p for p, s in enumerate(slots)}
-    rows = docs.select(F.col(text).alias("t")).mapInArrow(_counter(order, first), _ROW)
+    rows = texts.mapInArrow(_counter(order, first), _ROW)
     for level in range(order, 1, -1):
-        lower = first if level > 2 else _Deal(word_bits, word_bits, word_slots)
-        rows = _dealt(rows, groups, slots).applyInArrow(_reducer(level, folder, parts, bits, lower), _ROW)
+        lower = first if level > 2 else _Deal(word_bits, word_bits, word_slots, shared)
+        rows = _dealt(rows, groups, slots, shared).applyInArrow(_reducer(level, folder, parts, bits, lower), _ROW)
     words = rows.repartition(1 << word_bits, "slot").groupBy("slot")
     sums = cut(words.applyInArrow(_word_reducer(folder, {s: p for p, s in enumerate(word_slots)}), ", ".join(f"{x} long" for x in _SUMS)))
     of = {r["level"]: r for r in sums.groupBy("level").agg(*[F.sum(x).alias(x) for x in _SUMS[2:]]).collect()}
     get = lambda level, x: int(of[level][x]) if level in of else 0
     d = tuple(discounts([get(k, f"c{i}") for i in range(1, 5)]) for k in range(1, order + 1))
     there = {k: np.array(sorted(r[0] for r in sums.where(F.col("level") == k).select("part").collect()), np.int64) for k in range(1, order + 1)}
+    shared.destroy()
     pairs, distinct = get(1, "ahead"), get(1, "distinct")
     rest = (d[0][0] * get(1, "c1") + d[0][1] * get(1, "c2") + d[0][2] * (distinct - get(1, "c1") - get(1, "c2"))) / pairs if pairs else 1.0
     return Model(folder, order, bits, word_bits, get(1, "tokens"), distinct, pairs, d, rest, there)

@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -564,8 +565,9 @@ def lm_texts():
     return texts + ["", None, " \t", "never seen before", "x" * 5000, texts[0], texts[0]]
 
 
-@pytest.mark.parametrize("fan", [11, 2])  # dealt at once, or in several passes
-def test_language_model_query(spark, tables, monkeypatch, fan):
+@pytest.mark.parametrize(("fan", "numbered"), [(11, 1 << 20), (2, 1 << 20), (2, 8), (11, 0)])  # dealt at once, or in several passes
+def test_language_model_query(spark, tables, monkeypatch, fan, numbered):
+    monkeypatch.setattr(ngram_lm, "NUMBERED", numbered)
     monkeypatch.setattr(ngram_lm, "RANGE_BYTES", 600)  # several ranges
     monkeypatch.setattr(ngram_lm, "FAN", fan)
     texts = lm_texts()
@@ -579,11 +581,13 @@ def test_language_model_query(spark, tables, monkeypatch, fan):
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score) and r["perplexity"] == pytest.approx(10 ** (-score / n))
 
 
-def local_model(folder, texts, order, bits, word_bits):
-    """The model of texts by the tasks' own functions, without Spark."""
+def local_model(folder, texts, order, bits, word_bits, named=0):
+    """The model of texts by the tasks' own functions, without Spark; the first `named` words have numbers."""
+    words = ngram_lm.hashed(pa.array([t or "" for t in texts], pa.large_string()))[0][::-1][:named]
+    shared = SimpleNamespace(value=ngram_lm.Names(words))
     groups = max(0, bits - ngram_lm.SHARE)
     slots, word_slots = list(range(1 << groups)), list(range(1 << word_bits))
-    first, last = ngram_lm._Deal(groups, groups, slots), ngram_lm._Deal(word_bits, word_bits, word_slots)
+    first, last = ngram_lm._Deal(groups, groups, slots, shared), ngram_lm._Deal(word_bits, word_bits, word_slots, shared)
     batch = lambda ts: pa.RecordBatch.from_arrays([pa.array(ts, pa.string())], names=["t"])
     rows = [r for ts in (texts[::2], texts[1::2]) for r in ngram_lm._counter(order, first)(iter([batch(ts)]))]
 
@@ -603,13 +607,13 @@ def local_model(folder, texts, order, bits, word_bits):
     return ngram_lm.Model(folder, order, bits, word_bits, total(1, "tokens"), distinct, pairs, d, (d[0][0] * c1 + d[0][1] * c2 + d[0][2] * (distinct - c1 - c2)) / pairs, there)
 
 
-@pytest.mark.parametrize(("order", "bits"), [(2, 0), (2, 12), (3, 0), (3, 12)])
-def test_thousands_of_ranges_under_few_open_files(tmp_path, order, bits):
+@pytest.mark.parametrize(("order", "bits", "named"), [(2, 0, 0), (2, 12, 40), (3, 0, 10_000), (3, 12, 0), (3, 12, 40)])
+def test_thousands_of_ranges_under_few_open_files(tmp_path, order, bits, named):
     import resource
 
     rng = random.Random(8)
     texts = lm_texts() + [" ".join(rng.choices([f"v{i}" for i in range(150)], k=40)) for _ in range(100)]
-    model = local_model(str(tmp_path / "m"), texts, order, bits, bits // 2)
+    model = local_model(str(tmp_path / "m"), texts, order, bits, bits // 2, named)
     files = sum(map(len, model.ranges.values()))
     assert files == len(list((tmp_path / "m").iterdir())) and (bits == 0 or files > 2000)
     limits = resource.getrlimit(resource.RLIMIT_NOFILE)
@@ -658,3 +662,14 @@ def test_packed_rows_come_back(keys):
     v = np.arange(len(k), dtype=np.uint16)
     a, b = ngram_lm._unpack(ngram_lm._pack(k, v))
     assert (a == k).all() and (b == v).all() and b.dtype == v.dtype
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(*[st.integers(0, 30)] * 3), unique=True, min_size=1, max_size=60), st.sets(st.integers(0, 40)), st.sampled_from([1, 1 << 50]))
+def test_grams_come_back_whatever_words_have_numbers(rows, named, scale):
+    words = (np.arange(31, dtype=np.uint64) + np.uint64(1)) * np.uint64(scale)
+    g = ngram_lm.Grams(words, [np.array(c, np.uint32) for c in zip(*rows, strict=True)], [np.arange(1, len(rows) + 1)])
+    names = ngram_lm.Names(np.array([(i + 1) * scale for i in named], np.uint64))
+    back = ngram_lm.Grams.unpacked(g.packed(names), names)
+    read = lambda x: sorted(zip(*(x.words[c].tolist() for c in x.codes), x.values[0].tolist(), strict=True))
+    assert read(back) == read(g)
