@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline, each over its whole tables, and the SQL that checks them."""
+"""The queries op1 to op13 and the pipeline, each over its whole tables, and the SQL that checks them."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseplane.llm import chat, decontaminate, language_id, licenses, media, mixing, ngram_lm, quality, simhash, toxicity
+from proseplane.llm import chat, decontaminate, language_id, licenses, media, mixing, ngram_lm, quality, resampling, secret_scan, simhash, toxicity, whitening
 from proseplane.llm.common import cut, id_bucket, table, words_of
 from proseplane.shipping import shipped
+from proseplane.sources import tables
 
 
 def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +111,40 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = resampling.fit(docs, table(spark, sf_dir, "benchmark"))
+    return resampling.ranked(docs, model).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = tables.spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    model = whitening.fit(vectors)
+    w = F.col("whitening")
+    each = whitening.whiten(vectors, model).select("vec_id", w["n"].alias("n"), w["deviation"].alias("deviation"), w["explained"].alias("e"), F.posexplode(w["values"]).alias("k", "whitened"))
+    return each.select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "whitened", F.get("e", "k").alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["via"] == "")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"], s["end"])), ",")
+    return found.select("doc_id", *map(count, secret_scan.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined("secrets").alias("spans"), "complete")
+
+
+def vector_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op12 that SQL can state: the number of distinct vectors and how far each row is from their mean."""
+    vectors = tables.spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    w = F.col("whitening")
+    return whitening.whiten(vectors, whitening.fit(vectors)).select("vec_id", w["n"].alias("n"), w["deviation"].alias("deviation"))
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op13 that SQL can state: how many secrets of each kind a text shows as it stands."""
+    return op13_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op5 that SQL can state: what each source has and is to give."""
     sizes = table(spark, sf_dir, "documents").select("source", words_of("text").alias("size"), F.lit(1).alias("m"))
@@ -123,7 +158,7 @@ def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_chat_windows, op2_toxicity, op3_quality, op4_decontaminate, op5_mix, op6_simhash, op7_media, op8_language, op9_language_model, op10_licenses, mix_targets, media_payloads)
+    own = (op1_chat_windows, op2_toxicity, op3_quality, op4_decontaminate, op5_mix, op6_simhash, op7_media, op8_language, op9_language_model, op10_licenses, op11_resample, op12_whiten, op13_secrets, mix_targets, media_payloads, vector_deviations, secret_counts)
     return {f.__name__: shipped(f) for f in own}
 
 
@@ -191,6 +226,41 @@ f AS (SELECT *, encode('P5' || chr(10) || '24 ' || (size // 24) || chr(10) || '2
 SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(payload) AS payload_sha256, octet_length(media) AS media_bytes, sha256(media) AS media_sha256 FROM f"""
 
 
+def _op11_sql() -> str:
+    """op11 with the CRC of each distinct word as a fold over its bytes by the usual table."""
+    b = resampling.BUCKETS
+    words = lambda x: f"list_filter(string_split(regexp_replace(translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), lambda w: w <> '')"
+    return rf"""WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+doc AS (SELECT row_number() OVER () AS r, doc_id, {words("text")} AS w FROM documents),
+each AS (SELECT r, unnest(w) AS w FROM doc),
+target AS (SELECT unnest({words("text")}) AS w FROM benchmark),
+word AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM each UNION SELECT w FROM target)),
+hashed AS (SELECT w, xor(list_reduce(range(length(x) // 2), lambda c, k: xor(c >> 8, t[(xor(c, CAST('0x' || x[2 * k + 1:2 * k + 2] AS BIGINT)) & 255) + 1]), 4294967295), 4294967295) % {b} AS bucket FROM word, crc),
+s AS (SELECT bucket, count(*) AS s FROM each JOIN hashed USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM target JOIN hashed USING (w) GROUP BY bucket),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM each) + {b}) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM target) + {b})))) AS BIGINT) AS g
+  FROM (SELECT DISTINCT bucket FROM hashed) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+weight AS (SELECT r, CAST(floor(sum(g)::DOUBLE / count(*)) AS BIGINT) AS weight FROM each JOIN hashed USING (w) JOIN gain USING (bucket) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(w) AS n, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('{resampling.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5)::DOUBLE / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM doc LEFT JOIN weight USING (r)),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n, weight) AS rank, count(*) OVER () AS able FROM scored WHERE n >= {resampling.LEAST_WORDS})
+SELECT doc_id, n AS n_features, weight, score, rank FROM scored LEFT JOIN (SELECT r, rank FROM placed WHERE rank <= {resampling.DRAWN[0]} * able // {resampling.DRAWN[1]}) USING (r)"""
+
+
+_DEVIATIONS_SQL = f"""WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor({whitening.SCALE} * CAST(c AS DOUBLE)) AS BIGINT) + {whitening.OFFSET}) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+f AS (SELECT DISTINCT x FROM v),
+s AS (SELECT i, sum(x[i]) AS s FROM (SELECT x, unnest(range(1, len(x) + 1)) AS i FROM f) GROUP BY i),
+m AS (SELECT list(s ORDER BY i) AS s, (SELECT count(*) FROM f) AS n FROM s)
+SELECT vec_id, n, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (n * x[i] - s[i]) ** 2)) AS BIGINT) AS deviation FROM v, m"""
+
+_SECRETS_SQL = r"""SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda v: length(v) >= 8)) AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 16)) AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda v: length(v) >= 32)) AS n_hex FROM documents""".replace("\\x20", "\x20")
+
+
 def oracle_sql() -> dict[str, str]:
     """For what SQL can express; the fitted and the hash-drawn queries are held against brute force in tests."""
-    return {"op1_chat_windows": _op1_sql(), "op4_decontaminate": _op4_sql(), "mix_targets": _mix_sql(), "media_payloads": _MEDIA_SQL}
+    return {"op1_chat_windows": _op1_sql(), "op4_decontaminate": _op4_sql(), "mix_targets": _mix_sql(), "media_payloads": _MEDIA_SQL, "op11_resample": _op11_sql(), "vector_deviations": _DEVIATIONS_SQL, "secret_counts": _SECRETS_SQL}
