@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseplane import cli
+from proseplane.functions import profiles
 from proseplane.functions import rulebook as book
 from proseplane.functions import text as T
-from proseplane.operators import cleanup, features, gates, lm, mining, polish, prompts, rules
+from proseplane.operators import cleanup, features, gates, lm, mining, polish, prompts, rule_table, rules
 from proseplane.plans import oracle
 from proseplane.plans.scratch import ensure_checkpoint_dir
 from proseplane.shipping import shipped
@@ -107,6 +108,20 @@ def rule_hits_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.long_form(_scored(spark, sf_dir).select("doc_id", "violations")).select("doc_id", "category", "rule", _long("count").alias("hits"), scaled("score").alias("score"))
 
 
+def rule_hits_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rule_hits_long from rules that are rows of a table."""
+    table = rule_table.as_table(spark, {"en": book.DEFAULT})
+    found = rule_table.violations_by_table(probe.load(spark, sf_dir), table)
+    return rules.long_form(found.select("doc_id", "violations")).select("doc_id", "category", "rule", _long("count").alias("hits"), scaled("score").alias("score"))
+
+
+def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of every language in one plan, each by the rules of its profile."""
+    table = rule_table.as_table(spark, profiles.rule_sets())
+    got = rule_table.scored_by_table(probe.load(spark, sf_dir, every=True), table, profile=profiles.key_of("lang"))
+    return got.select("doc_id", "lang", scaled("total").alias("total"), "level", _long("n_violations").alias("n_violations"))
+
+
 def sample_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = next(r for r in book.WORDS if r.name == "corporate_filler")
     return probe.load(spark, sf_dir).select("doc_id", rules.first_hit(rule, T.without_code(F.col("text")), False).alias("sample"))
@@ -397,7 +412,7 @@ def queries() -> dict[str, Query]:
     found: dict[str, Query] = {f.__name__: f for f in (strip_code, normalize, tokenize_counts, sentence_stats, paragraph_stats)}
     for phrases, group in ((False, book.WORDS), (True, book.PHRASES)):
         found |= {f"rule_{r.name}": _list_rule(r, phrases) for r in group}
-    found |= {f.__name__: f for f in (rule_hits_long, sample_first_match, rule_score, rule_score_with_notes, level_histogram, violations_by_category, top_violations, rollup_scores)}
+    found |= {f.__name__: f for f in (rule_hits_long, rule_hits_by_table, profile_scores, sample_first_match, rule_score, rule_score_with_notes, level_histogram, violations_by_category, top_violations, rollup_scores)}
     gated = ["heading_density", "list_density", "sentence_length_cv", "short_sentence_ratio", "paragraph_uniformity", "para_opening_enumeration"]
     found |= {n: _named_rule(n) for n in gated + [r.name for r in (*book.PRETENCE, *book.SIGNALS)]}
     found |= {f.__name__: f for f in (lm_unigrams_topk, lm_bigrams_topk, lm_mass, lr_probability, combined_score)}

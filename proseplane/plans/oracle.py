@@ -51,7 +51,7 @@ def scaled(x: str) -> str:
     return f"CAST(floor(({x}) * 1e6 + 0.4987) AS BIGINT)"
 
 
-def _probe(name: str, phrases: list[str]) -> str:
+def _probe(name: str, phrases: list[str], which: str = "lang = 'en'") -> str:
     items = ", ".join(map(q, phrases))
     nl, n = "chr(10)", len(phrases)
     return f"""{name}_tells AS (SELECT [{items}] AS l),
@@ -62,7 +62,7 @@ def _probe(name: str, phrases: list[str]) -> str:
            WHEN doc_id % 12 = 3 THEN replace(t, {nl} || {nl}, {nl} || {nl} || 'First, ') ELSE t END AS m
     FROM (SELECT doc_id, source, lang,
         replace(replace(CASE WHEN doc_id % 3 = 0 THEN replace(text, {nl}, {nl} || {nl}) ELSE text END, ' the ', ' ' || l[doc_id % {n} + 1] || ' '), ' of ', ' ' || l[(doc_id * 7 + 3) % {n} + 1] || ' ') AS t
-      FROM documents, {name}_tells WHERE lang = 'en')))"""
+      FROM documents, {name}_tells WHERE {which})))"""
 
 
 def _norm(x: str) -> str:
@@ -279,6 +279,8 @@ UNION ALL SELECT 'meaning_without_scores', NULL, 'skipped'""",
     kept = f"pcl AS (SELECT doc_id, source, lang, t AS clean, replace(t, 'utilize', 'use') AS short FROM (SELECT doc_id, source, lang, {_protected('text')} AS t FROM probe)),\n"
     out["polish_once"] = p.rstrip() + ",\n" + kept + (_scoring("clean_", "pcl", "clean") + _scoring("short_", "pcl", "short")).rstrip().rstrip(",") + "\n" + once
     out["iterative_polish"] = _iterated()
+    out["rule_hits_by_table"] = out["rule_hits_long"]
+    out["profile_scores"] = _by_profile()
     out["judge_parse"], out["judge_report"] = _judged()
     return out
 
@@ -307,6 +309,16 @@ UNION ALL SELECT 'short_ratio', quality, {scaled("len(list_filter(l, lambda x: x
 UNION ALL SELECT 'paragraph_cv', quality, {scaled(cv("l"))} FROM (SELECT quality, list_transform({paragraphs("text")}, lambda x: length(x)) AS l FROM ltoks) WHERE len(l) >= 3"""
 
 
+def _by_profile() -> str:
+    """All rules for English, those that no word list stands behind for the others."""
+    kept = ", ".join(map(q, ("heading_density", "list_density", "sentence_length_cv", "short_sentence_ratio", "paragraph_uniformity")))
+    total = "least(100.0, coalesce(s, 0) / greatest(1.0, length(body) / 3000.0))"
+    return f"""WITH {_probe("aprobe", probe.tells(), "true")},
+{_scoring("all_", "aprobe", "text").rstrip().rstrip(",")}
+SELECT doc_id, lang, {scaled(total)} AS total, {_levels(total)} AS level, coalesce(c, 0) AS n_violations FROM all_body
+LEFT JOIN (SELECT v.doc_id, sum(score) AS s, count(*) AS c FROM all_violations v JOIN all_body b USING (doc_id) WHERE b.lang = 'en' OR v.rule IN ({kept}) GROUP BY 1) USING (doc_id)"""
+
+
 def _iterated() -> str:
     """Three rounds: the writer cuts 40 characters off the clean-up, the judge's score is its prompt's length modulo 80."""
     from proseplane.operators import prompts

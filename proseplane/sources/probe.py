@@ -23,15 +23,15 @@ def cleanup_tells() -> list[str]:
     return [old for _, old, _ in ordered_pairs()]
 
 
-def probe(docs: DataFrame, phrases: list[str] | None = None) -> DataFrame:
-    """(doc_id, text, source, lang) of the English rows of docs, with phrases at places that doc_id fixes."""
+def probe(docs: DataFrame, phrases: list[str] | None = None, every: bool = False) -> DataFrame:
+    """(doc_id, text, source, lang) of the English rows of docs, or of all, with phrases at places that doc_id fixes."""
     phrases = tells() if phrases is None else phrases
     table = F.array(*map(F.lit, phrases))
     d, n = F.col("doc_id"), len(phrases)
     pick = lambda i: F.concat(F.lit(" "), F.element_at(table, (i % n).cast("int") + 1), F.lit(" "))
     nl = F.lit("\n")
     t = F.when(d % 3 == 0, F.replace("text", nl, F.lit("\n\n"))).otherwise(F.col("text"))
-    docs = docs.where("lang = 'en'").withColumn("t", t)
+    docs = (docs if every else docs.where("lang = 'en'")).withColumn("t", t)
     docs = docs.withColumn("t", F.replace(F.replace("t", F.lit(" the "), pick(d)), F.lit(" of "), pick(d * 7 + 3)))
     marks = F.when(d % 5 == 0, F.replace("t", nl, F.lit("\n- "))).when(d % 7 == 0, F.replace("t", nl, F.lit("\n## "))).when(d % 12 == 3, F.replace("t", F.lit("\n\n"), F.lit("\n\nFirst, "))).otherwise(F.col("t"))
     docs = docs.withColumn("t", marks)
@@ -39,6 +39,6 @@ def probe(docs: DataFrame, phrases: list[str] | None = None) -> DataFrame:
     return docs.select("doc_id", F.concat("t", end).alias("text"), "source", "lang")
 
 
-def load(spark: SparkSession, sf_dir: str, cleanup: bool = False) -> DataFrame:
-    rows = tables.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text", "source", "lang")
-    return probe(tables.spread(rows), cleanup_tells() if cleanup else None)
+def load(spark: SparkSession, sf_dir: str, cleanup: bool = False, every: bool = False) -> DataFrame:
+    rows = tables.table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return probe(tables.spread(rows if every else rows.where("lang = 'en'")), cleanup_tells() if cleanup else None, every)
