@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from proseplane.operators.features import fleschkincaid
 
-EXTERNAL_RISE, EXTERNAL_SHARE, MEANING, GRADES = 0.3, 0.80, 0.85, 2.0
+EXTERNAL_RISE, EXTERNAL_SHARE, MEANING, GRADES, CALIBRATION = 0.3, 0.80, 0.85, 2.0, 0.75
 
 
 def readability_rows(docs: DataFrame, before: str, after: str, key: str = "doc_id") -> DataFrame:
@@ -34,6 +34,11 @@ def meaning_gate(rows: DataFrame, score: str, least: float = MEANING) -> DataFra
     return rows.agg(F.avg(score).alias("m")).select(*_row("meaning", F.col("m"), least, lambda m: m >= least))
 
 
+def calibration_gate(auc: DataFrame, least: float = CALIBRATION) -> DataFrame:
+    """One row: the `auc` of held-out rows, a frame of one row, and whether it is large enough; skipped without both classes."""
+    return auc.agg(F.max("auc").alias("m")).select(*_row("calibration", F.col("m"), least, lambda m: m >= least))
+
+
 def summary(*gates: DataFrame) -> DataFrame:
     out = gates[0]
     for g in gates[1:]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,14 +153,50 @@ def rank_auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     return got.select("n_pos", "n_neg", (F.col("won") / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))).alias("auc"))
 
 
-def train_logistic(rows: DataFrame, names: list[str], label: str, c: float = 1.0, iterations: int = 2000):
-    """Standardises, fits an L2 logistic model of strength c, and returns (calibration, intercept) for probability()."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+def logistic_sums(rows: DataFrame, names: list[str], label: str, weights: np.ndarray, figures: dict[str, tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """The matrix X'WX and the gradient X'(y - p) at given weights (intercept first), from one pass over the rows.
 
-    scaled, figures = standardised(rows.select(*names, F.col(label).cast("double").alias("label")), names)
-    data = VectorAssembler(inputCols=names, outputCol="features").transform(scaled).select("features", "label").cache()
-    n = max(data.count(), 1)
-    model = LogisticRegression(regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=iterations).fit(data)
-    data.unpersist()
-    return tuple((name, *figures[name], float(w)) for name, w in zip(names, model.coefficients, strict=True)), float(model.intercept)
+    A task adds up the outer products of its rows and sends one number for each place; those meet by place, so the
+    driver gets one small matrix however many rows and tasks there are. Rows with a null count for nothing.
+    """
+    means, spreads = (np.array([figures[c][k] for c in names], np.float64) for k in (0, 1))
+    n = len(names) + 1
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n + 1))
+        for batch in batches:
+            own = [c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns]
+            x = np.column_stack([np.ones(batch.num_rows), *own[1:]])
+            x[:, 1:] = (x[:, 1:] - means) / spreads
+            p = 1 / (1 + np.exp(-(x @ weights)))
+            total[:, :n] += (x * (p * (1 - p))[:, None]).T @ x
+            total[:, n] += x.T @ (own[0] - p)
+        i, j = np.indices(total.shape).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total.reshape(-1))], names=["i", "j", "v"])
+
+    known = rows.dropna(subset=[*names, label]).select(F.col(label).cast("double"), *[F.col(c).cast("double") for c in names])
+    out = np.zeros((n, n + 1))
+    for r in known.mapInArrow(added, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        out[r["i"], r["j"]] = r["v"]
+    return out[:, :n], out[:, n]
+
+
+def train_logistic(rows: DataFrame, names: list[str], label: str, c: float = 1.0, steps: int = 25, close: float = 1e-10):
+    """Standardises, fits an L2 logistic model of strength c, and returns (calibration, intercept) for probability().
+
+    Iteratively reweighted least squares: each step is one pass over the rows and one small solve on the driver,
+    until no weight moves by more than `close`. The intercept is not held back; rows with nulls are left out. Labels
+    that are all alike, and an empty table, end after `steps` with what they have come to.
+    """
+    known = rows.dropna(subset=[*names, label])
+    got = known.agg(*[F.avg(n).alias(f"{n}_m") for n in names], *[F.stddev_pop(n).alias(f"{n}_s") for n in names]).first()
+    figures = {n: (got[f"{n}_m"] or 0.0, got[f"{n}_s"] or 1.0) for n in names}
+    held = np.diag([0.0] + [1.0 / c] * len(names))
+    weights = np.zeros(len(names) + 1)
+    for _ in range(steps):
+        h, g = logistic_sums(known, names, label, weights, figures)
+        move = np.linalg.lstsq(h + held, g - held @ weights, rcond=None)[0]
+        weights = weights + move
+        if np.abs(move).max(initial=0) <= close:
+            break
+    return tuple((name, *figures[name], float(w)) for name, w in zip(names, weights[1:], strict=True)), float(weights[0])

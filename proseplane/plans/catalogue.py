@@ -243,20 +243,44 @@ def rank_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("n_pos", "n_neg", scaled("auc").alias("auc"))
 
 
-def lr_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The AUC on the rows of the fit and on the fifth of each class that is held out."""
+def _calibration_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents with their features, and which of them train; written once, for every step reads them."""
     ensure_checkpoint_dir(spark)
     labels = mining.stratified_split(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"), "quality", "doc_id")
-    names = [c[0] for c in book.CALIBRATION]
-    rows = features.features(_by_quality(spark, sf_dir), _model(spark, sf_dir)).select("doc_id", *names).join(labels, "doc_id").checkpoint()
-    calibration, intercept = mining.train_logistic(rows.where("train"), names, "quality")
+    featured = features.features(_by_quality(spark, sf_dir), _model(spark, sf_dir)).select("doc_id", *_CALIBRATED)
+    return featured.join(labels, "doc_id").select("doc_id", "quality", "train", *[F.col(c) for c in _CALIBRATED]).checkpoint()
+
+
+_CALIBRATED = [c[0] for c in book.CALIBRATION]
+#: Steps after which lr_steps looks at the weights.
+STEPS = 4
+
+
+def lr_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The AUC on the rows of the fit and on the fifth of each class that is held out."""
+    rows = _calibration_rows(spark, sf_dir)
+    calibration, intercept = mining.train_logistic(rows.where("train"), _CALIBRATED, "quality")
     scored = rows.withColumn("p", features.probability(calibration, intercept, rounded=False))
     part = lambda name, rows: mining.rank_auc(rows, "p", "quality").withColumn("part", F.lit(name))
-    return part("train", scored.where("train")).unionByName(part("held_out", scored.where("not train")))
+    both = part("train", scored.where("train")).unionByName(part("held_out", scored.where("not train")))
+    return both.select("part", "n_pos", "n_neg", scaled("auc").alias("auc"))
+
+
+def lr_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights of the calibration after some steps from zero."""
+    calibration, intercept = mining.train_logistic(_calibration_rows(spark, sf_dir).where("train"), _CALIBRATED, "quality", steps=STEPS)
+    rows = [("intercept", intercept), *((c[0], c[3]) for c in calibration)]
+    return spark.createDataFrame(rows, "name string, w double").select("name", scaled("w").alias("weight"))
+
+
+def lr_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the calibration's held-out AUC is good enough to ship."""
+    held = lr_train(spark, sf_dir).where("part = 'held_out'").select((F.col("auc") / 1e6).alias("auc"))
+    return gates.calibration_gate(held).select("name", scaled("metric").alias("metric"), "status")
 
 
 def lr_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sizes of the parts that lr_train fits and tests on, and the means of two features in them."""
+    """The sizes of the parts that lr_train fits and tests on, in documents and characters."""
     labels = mining.stratified_split(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"), "quality", "doc_id")
     rows = _by_quality(spark, sf_dir).select("doc_id", F.length("text").alias("n")).join(labels, "doc_id")
     return rows.groupBy("train", "quality").agg(F.count("*").alias("documents"), F.sum("n").alias("chars"))
@@ -422,7 +446,7 @@ def queries() -> dict[str, Query]:
         "punctuation_density": _feature("comma_density", "punct_density"), "ngram_features": _feature(*[c[0] for c in book.CALIBRATION]),
     }
     found |= {"mine_bigrams": _mine_phrases(2), "mine_trigrams": _mine_phrases(3)}
-    found |= {f.__name__: f for f in (mine_words, rhythm_percentiles, balanced_sample, stratified_split, standardize, rank_auc, lr_train, lr_parts)}
+    found |= {f.__name__: f for f in (mine_words, rhythm_percentiles, balanced_sample, stratified_split, standardize, rank_auc, lr_train, lr_steps, lr_gate, lr_parts)}
     found |= {"cleanup": cleanup_texts} | {f.__name__: f for f in (cleanup_delta, cleanup_score_delta, cleanup_protected, leftover_tells, fkgl, readability_gate, gate_summary)}
     found |= {f"prompt_{s.value}": _prompt(s.value) for s in prompts.Strength}
     found |= {f.__name__: f for f in (judge_parse, judge_report, detect_json, detect_payload, polish_once, iterative_polish, stream_scores)}

@@ -155,13 +155,14 @@ def _scoring(pre: str, table: str, column: str) -> str:
 """
 
 
-def prefix() -> str:
+def prefix(rows: str | None = None) -> str:
+    """Tables that the queries share; rows: what stands for the probe corpus where features of other documents are asked for."""
     lp = "CASE WHEN coalesce(u1.cnt, 0) > 0 THEN ln((coalesce(b.cnt, 0) + 1.0) / (u1.cnt + m.v)) ELSE ln((coalesce(u2.cnt, 0) + 1.0) / (m.n + m.v)) END"
     joins = "LEFT JOIN bi b ON b.w1 = p.w1 AND b.w2 = p.w2 LEFT JOIN uni u1 ON u1.token = p.w1 LEFT JOIN uni u2 ON u2.token = p.w2, meta m"
     changed = "text"
     for _, a, b in cleanup.ordered_pairs():
         changed = f"replace({changed}, {q(a)}, {q(b)})"
-    return f"""WITH {_probe("probe", probe.tells())},
+    return f"""WITH {f"probe AS ({rows})" if rows else _probe("probe", probe.tells())},
 {_probe("cprobe", probe.cleanup_tells())},
 {_scoring("", "probe", "text")}corpus AS (SELECT {tokens("text")} AS t FROM documents WHERE lang = 'en'),
 uni_all AS (SELECT token, count(*) AS cnt FROM (SELECT unnest(t) AS token FROM corpus) GROUP BY token),
@@ -281,6 +282,7 @@ UNION ALL SELECT 'meaning_without_scores', NULL, 'skipped'""",
     out["iterative_polish"] = _iterated()
     out["rule_hits_by_table"] = out["rule_hits_long"]
     out["profile_scores"] = _by_profile()
+    out |= _calibrated()
     out["judge_parse"], out["judge_report"] = _judged()
     return out
 
@@ -309,6 +311,42 @@ UNION ALL SELECT 'short_ratio', quality, {scaled("len(list_filter(l, lambda x: x
 UNION ALL SELECT 'paragraph_cv', quality, {scaled(cv("l"))} FROM (SELECT quality, list_transform({paragraphs("text")}, lambda x: length(x)) AS l FROM ltoks) WHERE len(l) >= 3"""
 
 
+def _calibrated() -> dict[str, str]:
+    """The logistic fit by the same steps: sums of products, and the small system solved by elimination."""
+    from proseplane.plans.catalogue import STEPS
+
+    names = [c[0] for c in book.CALIBRATION]
+    n = len(names) + 1
+    ctes = [
+        f"split AS (SELECT doc_id, quality, {_train()} AS train FROM labels)",
+        f"fit AS MATERIALIZED (SELECT doc_id, quality AS y, train, [{', '.join(names)}] AS f FROM feats JOIN split USING (doc_id))",
+        "figures AS MATERIALIZED (SELECT list(m ORDER BY j) AS m, list(CASE WHEN s = 0 THEN 1.0 ELSE s END ORDER BY j) AS s FROM (SELECT j, avg(f[j]) AS m, stddev_pop(f[j]) AS s FROM fit, range(1, %d) r(j) WHERE train GROUP BY j))" % n,
+        "xs AS MATERIALIZED (SELECT doc_id, y, train, list_concat([1.0::DOUBLE], list_transform(f, lambda v, j: (v - m[j]) / s[j])) AS x FROM fit, figures)",
+        f"b0 AS (SELECT [{', '.join(['0.0::DOUBLE'] * n)}] AS b)",
+    ]
+
+    def step(k: int) -> None:
+        ctes.append(f"g{k} AS MATERIALIZED (SELECT x, y, b, 1 / (1 + exp(-list_dot_product(x, b))) AS p FROM xs, b{k - 1} WHERE train)")
+        ctes.append(
+            f"e{k}_0 AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM (SELECT i, j, CASE WHEN j <= {n} THEN sum(p * (1 - p) * x[i] * x[j]) + CASE WHEN i = j AND i > 1 THEN 1 ELSE 0 END "
+            f"ELSE sum((y - p) * x[i]) - CASE WHEN i > 1 THEN any_value(b[i]) ELSE 0 END END AS v FROM g{k}, range(1, {n + 1}) r(i), range(1, {n + 2}) c(j) GROUP BY i, j) GROUP BY i))"
+        )
+        for c in range(1, n + 1):
+            ctes.append(f"e{k}_{c} AS MATERIALIZED (SELECT list_transform(m, lambda row, i: CASE WHEN i = {c} THEN list_transform(row, lambda v: v / row[{c}]) ELSE list_transform(row, lambda v, j: v - row[{c}] * m[{c}][j] / m[{c}][{c}]) END) AS m FROM e{k}_{c - 1})")
+        ctes.append(f"b{k} AS MATERIALIZED (SELECT list_transform(b, lambda v, i: v + m[i][{n + 1}]) AS b FROM b{k - 1}, e{k}_{n})")
+
+    for k in range(1, 9):  # the fit has come to rest long before
+        step(k)
+    from_ = prefix("SELECT doc_id, source, lang, text FROM documents JOIN labels USING (doc_id)").rstrip() + ",\n"
+    head = lambda k: from_ + ",\n".join(c for c in ctes if not re.match(r"[geb](\d)", c) or int(c[1]) <= k) + "\n"
+    aucs = "SELECT part, CAST(sum(y) AS BIGINT) AS n_pos, CAST(sum(1 - y) AS BIGINT) AS n_neg, (sum(r * y) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) AS auc FROM (SELECT part, y, avg(rn) OVER (PARTITION BY part, s) AS r FROM (SELECT part, y, s, row_number() OVER (PARTITION BY part ORDER BY s) AS rn FROM (SELECT CASE WHEN train THEN 'train' ELSE 'held_out' END AS part, y, list_dot_product(x, b) AS s FROM xs, b8))) GROUP BY part"
+    return {
+        "lr_steps": head(STEPS) + f"SELECT ['intercept', {', '.join(map(q, names))}][i] AS name, {scaled('b[i]')} AS weight FROM b{STEPS}, range(1, {n + 1}) r(i)",
+        "lr_train": head(8) + f"SELECT part, n_pos, n_neg, {scaled('auc')} AS auc FROM ({aucs})",
+        "lr_gate": head(8) + f"SELECT 'calibration' AS name, {scaled('auc')} AS metric, CASE WHEN auc >= 0.75 THEN 'pass' ELSE 'fail' END AS status FROM ({aucs}) WHERE part = 'held_out'",
+    }
+
+
 def _by_profile() -> str:
     """All rules for English, those that no word list stands behind for the others."""
     kept = ", ".join(map(q, ("heading_density", "list_density", "sentence_length_cv", "short_sentence_ratio", "paragraph_uniformity")))
