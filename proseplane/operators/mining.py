@@ -190,7 +190,8 @@ def train_logistic(rows: DataFrame, names: list[str], label: str, c: float = 1.0
     """
     known = rows.dropna(subset=[*names, label])
     got = known.agg(*[F.avg(n).alias(f"{n}_m") for n in names], *[F.stddev_pop(n).alias(f"{n}_s") for n in names]).first()
-    figures = {n: (got[f"{n}_m"] or 0.0, got[f"{n}_s"] or 1.0) for n in names}
+    spread = lambda m, s: s if s and s > 1e-12 * max(abs(m), 1.0) else 1.0  # noqa: E731 - a constant's deviation may be a rounding error
+    figures = {n: (got[f"{n}_m"] or 0.0, spread(got[f"{n}_m"] or 0.0, got[f"{n}_s"])) for n in names}
     held = np.diag([0.0] + [1.0 / c] * len(names))
     weights = np.zeros(len(names) + 1)
     for _ in range(steps):

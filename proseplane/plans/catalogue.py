@@ -12,9 +12,9 @@ from proseplane import cli
 from proseplane.functions import profiles
 from proseplane.functions import rulebook as book
 from proseplane.functions import text as T
-from proseplane.operators import cleanup, features, gates, lm, mining, polish, prompts, rule_table, rules
+from proseplane.operators import answers, cleanup, count_table, dispatch, external, features, gates, lm, mining, polish, prompts, rule_table, rules
 from proseplane.plans import oracle
-from proseplane.plans.scratch import ensure_checkpoint_dir
+from proseplane.plans.scratch import drop, ensure_checkpoint_dir
 from proseplane.shipping import shipped
 from proseplane.sources import probe, tables
 
@@ -432,6 +432,114 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select("doc_id", scaled("total").alias("total"), "level")
 
 
+def _kept(got: DataFrame, folder: str) -> DataFrame:
+    """The rows, cut from the files below folder, which go."""
+    kept = got.checkpoint()
+    drop(got.sparkSession, folder)
+    return kept
+
+
+def cleanup_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean-up by one pass over each text."""
+    docs = probe.load(spark, sf_dir, cleanup=True).withColumn("after", cleanup.cleaned_once("text"))
+    return docs.select("doc_id", _long(F.length("after")).alias("n"), F.md5("after").alias("after_md5"))
+
+
+#: Deltas that lm_bigrams_merged adds up, and pairs in the head of each.
+DELTAS, HEAD = 4, 2_000
+
+
+def lm_bigrams_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent pairs of all English documents from counts of four parts of them."""
+    folder = f"{ensure_checkpoint_dir(spark)}/counts-{uuid.uuid4().hex}"
+    docs = tables.spread(tables.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text"))
+    table = count_table.CountTable(spark, folder, ["w1", "w2"])
+    for k in range(DELTAS):
+        table.add(lm.bigram_counts(docs.where(F.pmod("doc_id", F.lit(DELTAS)) == k)), HEAD)
+    return _kept(table.top(500)[0], folder)
+
+
+def _echo(prompt: str) -> str:
+    return "Answer: " + prompt.replace(" the ", " a ")
+
+
+def stored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over the even documents, then one over all, which asks only what the first did not: who asked what."""
+    folder = f"{ensure_checkpoint_dir(spark)}/answers-{uuid.uuid4().hex}"
+    store, provider = answers.AnswerStore(spark, folder), polish.Provider("echo", "1", _echo)
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    store.ask(docs.where("doc_id % 2 = 0"), "text", provider, passes=2)
+    first = store.known(provider).select("key", F.lit(1).alias("run"))
+    done = store.ask(docs, "text", provider)
+    asked = store.parts().groupBy("key").agg(F.count("*").cast("long").alias("askings"))
+    got = done.withColumn("key", answers.key_of("text")).join(asked, "key").join(first, "key", "left")
+    return _kept(got.select("doc_id", F.md5("answered.answer").alias("answer_md5"), F.coalesce("run", F.lit(2)).alias("run"), "askings"), folder)
+
+
+#: Longest prompt of the faulty provider; below FRAIL characters its faults go by length.
+CONTEXT, FRAIL = 3_000, 800
+
+
+def _frail() -> polish.Provider:
+    """Fails by the length of a prompt: always, twice, once, or not at all, each time that it is asked; refuses long ones."""
+    seen: dict[str, int] = {}
+
+    def call(prompt: str) -> str:
+        seen[prompt] = seen.get(prompt, 0) + 1
+        n = len(prompt)
+        if n > CONTEXT:
+            raise polish.ContextLimitError("too long")
+        if n < FRAIL and n % 7 == 3:
+            raise polish.AuthError("refused")
+        if n < FRAIL and n % 5 == 1 and seen[prompt] % 3:
+            raise polish.RateLimitError("slow down")
+        if n < FRAIL and n % 11 == 4 and seen[prompt] % 2:
+            raise polish.ProviderTimeout("no answer")
+        return prompt
+
+    return polish.Provider("frail", "1", call)
+
+
+def dispatch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document sent to a provider that fails by kind: what came back whole, after how many calls."""
+    quick = {polish.RateLimitError: (8, 0.0), polish.ProviderTimeout: (8, 0.0)}
+    asked = dispatch.dispatched(_frail(), F.coalesce("text", F.lit("")), dispatch.Limits(retries=quick))
+    got = _documents(spark, sf_dir).select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"), asked.alias("a"))
+    return got.select("doc_id", F.md5("a.answer").alias("answer_md5"), F.substring_index("a.error", ":", 1).alias("error"), F.when(F.col("n") <= CONTEXT, _long("a.calls")).alias("calls"), (F.col("a.parts") > 1).alias("split"))
+
+
+def scheduled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stub scorer in place of a heavy model: the share of a text's characters that are blanks."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    got = external.scheduled_scores(docs, lambda: lambda texts: [t.count(" ") / max(len(t), 1) for t in texts])
+    return got.select("doc_id", scaled("external").alias("score"))
+
+
+#: Of every so many documents one arrives so much later than its neighbours.
+HELD_UP, HELD_BY = 11, 60
+
+
+def windowed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels by source and window of event time, from a stream that is stopped and taken up again three times.
+
+    Events are the clock: document k has the time of event k, counted round. Documents arrive by id, some late.
+    """
+    from proseplane.streaming import monitor
+
+    folder = f"{ensure_checkpoint_dir(spark)}/monitor-{uuid.uuid4().hex}"
+    events = tables.table(spark, sf_dir, "events").select("event_id", F.floor(F.col("ts").cast("timestamp").cast("decimal(20,6)") * 1000000).cast("long").alias("at"))
+    n = events.count()
+    docs = _scored(spark, sf_dir).select("doc_id", "source", scaled("total").alias("total")).join(events, F.pmod("doc_id", F.lit(n)) == F.col("event_id"))
+    arrival = F.col("doc_id") + F.when(F.pmod("doc_id", F.lit(HELD_UP)) == 0, F.lit(HELD_BY)).otherwise(F.lit(0))
+    rows = docs.select(arrival.alias("arrival"), F.col("doc_id").alias("id"), "source", F.pmod("doc_id", F.lit(monitor.SHARDS)).alias("shard"), "at", "total").checkpoint()
+    last = rows.agg(F.max("arrival")).first()[0] or 0
+    parts = 4
+    for k in range(parts):
+        rows.where((F.col("arrival") * parts > k * last) & (F.col("arrival") * parts <= (k + 1) * last) | (F.lit(k == 0) & (F.col("arrival") * parts <= 0))).write.mode("append").parquet(f"{folder}/in")
+        monitor.follow(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/state")
+    return _kept(monitor.levels(spark.read.parquet(f"{folder}/out")), folder).select("source", F.col("window").alias("slot"), "n", "total", "late", "level")
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {f.__name__: f for f in (strip_code, normalize, tokenize_counts, sentence_stats, paragraph_stats)}
     for phrases, group in ((False, book.WORDS), (True, book.PHRASES)):
@@ -449,7 +557,7 @@ def queries() -> dict[str, Query]:
     found |= {f.__name__: f for f in (mine_words, rhythm_percentiles, balanced_sample, stratified_split, standardize, rank_auc, lr_train, lr_steps, lr_gate, lr_parts)}
     found |= {"cleanup": cleanup_texts} | {f.__name__: f for f in (cleanup_delta, cleanup_score_delta, cleanup_protected, leftover_tells, fkgl, readability_gate, gate_summary)}
     found |= {f"prompt_{s.value}": _prompt(s.value) for s in prompts.Strength}
-    found |= {f.__name__: f for f in (judge_parse, judge_report, detect_json, detect_payload, polish_once, iterative_polish, stream_scores)}
+    found |= {f.__name__: f for f in (judge_parse, judge_report, detect_json, detect_payload, polish_once, iterative_polish, stream_scores, windowed_scores, cleanup_once, lm_bigrams_merged, stored_answers, dispatch_outcomes, scheduled_scores)}
     return {name: shipped(f) for name, f in found.items()}
 
 

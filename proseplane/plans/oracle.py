@@ -279,6 +279,9 @@ UNION ALL SELECT 'meaning_without_scores', NULL, 'skipped'""",
   CASE WHEN s.total < 25 THEN 'publishable' WHEN a.total < c.total THEN 'rewritten' ELSE 'cleaned' END AS status FROM scores s JOIN clean_scores c USING (doc_id) JOIN short_scores a USING (doc_id)"""
     kept = f"pcl AS (SELECT doc_id, source, lang, t AS clean, replace(t, 'utilize', 'use') AS short FROM (SELECT doc_id, source, lang, {_protected('text')} AS t FROM probe)),\n"
     out["polish_once"] = p.rstrip() + ",\n" + kept + (_scoring("clean_", "pcl", "clean") + _scoring("short_", "pcl", "short")).rstrip().rstrip(",") + "\n" + once
+    out["windowed_scores"] = p.rstrip().rstrip(",") + _windowed()
+    out["cleanup_once"], out["lm_bigrams_merged"] = out["cleanup"], out["lm_bigrams_topk"]
+    out |= _asked()
     out["iterative_polish"] = _iterated()
     out["rule_hits_by_table"] = out["rule_hits_long"]
     out["profile_scores"] = _by_profile()
@@ -311,6 +314,33 @@ UNION ALL SELECT 'short_ratio', quality, {scaled("len(list_filter(l, lambda x: x
 UNION ALL SELECT 'paragraph_cv', quality, {scaled(cv("l"))} FROM (SELECT quality, list_transform({paragraphs("text")}, lambda x: length(x)) AS l FROM ltoks) WHERE len(l) >= 3"""
 
 
+def _asked() -> dict[str, str]:
+    """What providers of the catalogue say, and how often they are asked."""
+    from proseplane.plans.catalogue import CONTEXT, FRAIL
+
+    return {
+        "stored_answers": "SELECT doc_id, md5('Answer: ' || replace(t, ' the ', ' a ')) AS answer_md5, CASE WHEN bool_or(doc_id % 2 = 0) OVER (PARTITION BY t) THEN 1 ELSE 2 END AS run, 1 AS askings FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
+        "dispatch_outcomes": f"""SELECT doc_id, CASE WHEN n < {FRAIL} AND n % 7 = 3 THEN NULL ELSE md5(t) END AS answer_md5, CASE WHEN n < {FRAIL} AND n % 7 = 3 THEN 'AuthError' END AS error,
+  CASE WHEN n > {CONTEXT} THEN NULL WHEN n >= {FRAIL} OR n % 7 = 3 THEN 1 WHEN n % 5 = 1 AND n % 11 = 4 THEN 6 WHEN n % 5 = 1 THEN 3 WHEN n % 11 = 4 THEN 2 ELSE 1 END AS calls, n > {CONTEXT} AS split
+FROM (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents)""",
+        "scheduled_scores": f"SELECT doc_id, {scaled("(length(text) - length(replace(text, ' ', ''))) * 1.0 / greatest(length(text), 1)")} AS score FROM documents",
+    }
+
+
+def _windowed() -> str:
+    """Late rows told by the latest time that arrived before them at their source and shard."""
+    from proseplane.plans.catalogue import HELD_BY, HELD_UP
+    from proseplane.streaming import monitor
+
+    return f""",
+came AS (
+  SELECT doc_id, coalesce(source, '') AS source, doc_id % {monitor.SHARDS} AS shard, epoch_us(ts) AS moment, {scaled("total")} AS total, doc_id + CASE WHEN doc_id % {HELD_UP} = 0 THEN {HELD_BY} ELSE 0 END AS arrival
+  FROM scores JOIN events ON doc_id % (SELECT count(*) FROM events) = event_id),
+told AS (SELECT *, coalesce(moment < max(moment) OVER (PARTITION BY source, shard ORDER BY arrival, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {monitor.LATE}, false) AS late FROM came),
+counted AS (SELECT source, moment // {monitor.WINDOW} AS w, count(*) FILTER (NOT late) AS n, CAST(coalesce(sum(total) FILTER (NOT late), 0) AS BIGINT) AS total, count(*) FILTER (late) AS late FROM told GROUP BY 1, 2)
+SELECT source, w AS slot, n, total, late, CASE WHEN n > 0 THEN {_levels("total / (n * 1e6)")} END AS level FROM counted"""
+
+
 def _calibrated() -> dict[str, str]:
     """The logistic fit by the same steps: sums of products, and the small system solved by elimination."""
     from proseplane.plans.catalogue import STEPS
