@@ -4,13 +4,16 @@ A sparse multinomial logistic regression over word uni- and bigrams tells licenc
 family that it knows (`unknown`) and ordinary paragraphs from one another. It is trained here with numpy on
 variants of the notices below (a fixed set) and a bounded sample of the corpus's own paragraphs, and its
 probabilities are calibrated on held-back variants. A prediction counts when the paragraph's words also cover
-enough of one of the family's notices. Paragraphs are lines and runs of neighbouring lines.
+enough of one of the family's notices. A paragraph is a run of words, over as many lines as they are wrapped: of each
+notice the places of its word pairs are known, and from each place on as many words as the notice has, twice, are looked at.
+So the work is in proportion to the text, and a notice is found wherever it stands in a line.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,88 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proseplane.llm.common import drawn
+from proseplane.llm.licence_notices import TEMPLATES, UNKNOWN
 
-#: Ordinary paragraphs; licences of no known family.
-NONE, UNKNOWN = "none", "unknown"
-
-#: Opening notices of licence families, from the public licence texts; digits are read as 9.
-TEMPLATES: dict[str, tuple[str, ...]] = {
-    "MIT": (
-        "Released under the MIT License.",
-        "Licensed under the MIT license.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
-        "License-Identifier: MIT",
-    ),
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-        "You may obtain a copy of the License at http www apache org licenses LICENSE-2.0",
-        "License-Identifier: Apache-2.0",
-    ),
-    "GPL": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
-        "License-Identifier: GPL-3.0",
-    ),
-    "LGPL": (
-        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
-        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
-        "License-Identifier: LGPL-2.1",
-    ),
-    "AGPL": (
-        "Licensed under the GNU Affero General Public License, version 3.",
-        "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License.",
-        "License-Identifier: AGPL-3.0",
-    ),
-    "BSD": (
-        "Released under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-        "License-Identifier: BSD-3-Clause",
-    ),
-    "MPL-2.0": (
-        "Licensed under the Mozilla Public License, version 2.0.",
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "License-Identifier: MPL-2.0",
-    ),
-    "CC-BY": (
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-        "License-Identifier: CC-BY-4.0",
-    ),
-    "CC-BY-SA": (
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-        "License-Identifier: CC-BY-SA-4.0",
-    ),
-    "CC-BY-NC": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-        "License-Identifier: CC-BY-NC-4.0",
-    ),
-    "CC0": (
-        "Released under CC0 1.0.",
-        "To the extent possible under law, the author has waived all copyright and related rights to this work under the CC0 1.0 Universal public domain dedication.",
-        "License-Identifier: CC0-1.0",
-    ),
-    "Unlicense": (
-        "This is free and unencumbered software released into the public domain.",
-        "Released under the Unlicense.",
-        "License-Identifier: Unlicense",
-    ),
-    UNKNOWN: (
-        "Licensed under the",
-        "License-Identifier:",
-        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted.",
-        "This program and the accompanying materials are made available under the terms of the",
-        "Use of this source code is governed by a license that can be found in the file",
-    ),
-}
+#: Ordinary paragraphs.
+NONE = "none"
 
 
 @dataclass(frozen=True)
 class Config:
     #: Variants of each notice, and the bound of the corpus paragraphs that stand for `unknown`.
-    variants: int = 60
+    variants: int = 40
     paragraphs: int = 2_000
     #: Bound of the n-grams with weights, and of the words kept of a paragraph to fill variants with.
     features: int = 2_000
@@ -270,15 +201,27 @@ def fit_on(docs: DataFrame, text: str = "text", config: Config = Config()) -> Mo
     return fit_reduced([frozenset(r["known"]) for r in got], sorted({w for r in got for w in r["filler"]}), config)
 
 
+#: Maps that the weights are dealt over by the CRC of the n-gram, for a map is searched from its beginning.
+_MAPS = 1024
+
+
 def _weights_of(model: Model) -> Column:
-    """The model's weights as a map, from one literal that the optimiser parses once."""
-    return F.from_json(F.lit(json.dumps(model.weights)), "map<string,array<double>>")
+    """The model's weights as an array of maps, from one literal that the optimiser parses once."""
+    maps: list[dict[str, tuple[float, ...]]] = [{} for _ in range(_MAPS)]
+    for g, w in model.weights.items():
+        maps[zlib.crc32(g.encode()) % _MAPS][g] = w
+    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,array<double>>>")
 
 
-def _notices() -> Column:
-    """array<struct<family, pairs>>, from one literal."""
-    rows = [{"family": k, "pairs": sorted(_pairs(_tokens(n)))} for k, ns in TEMPLATES.items() for n in ns]
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<family:string,pairs:array<string>>>")
+def _notices(coverage: float = 0.0) -> Column:
+    """array<struct<family, pairs, need, reach>>, from one literal; need: pairs that a covering holds, reach: words it may span."""
+    rows = []
+    for family, notices in TEMPLATES.items():
+        for n in notices:
+            words = _tokens(n)
+            own = sorted(_pairs(words))
+            rows.append({"family": family, "pairs": own, "need": max(int(np.ceil(coverage * len(own))), 1), "reach": 2 * len(words)})
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<family:string,pairs:array<string>,need:int,reach:int>>")
 
 
 def gate(model: Model) -> str:
@@ -292,15 +235,17 @@ def classified(words: Column, model: Model) -> Column:
     weights = _weights_of(model)
 
     def of(words: Column) -> Column:
-        vectors = F.filter(F.transform(grams(words), lambda g: F.element_at(weights, g)), lambda v: v.isNotNull())
+        vectors = F.filter(F.transform(grams(words), lambda g: F.element_at(F.get(weights, F.pmod(F.crc32(g.cast("binary")), F.lit(_MAPS)).cast("int")), g)), lambda v: v.isNotNull())
         logits = F.aggregate(vectors, F.array(*map(F.lit, model.bias)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
         scaled = F.transform(logits, lambda x: x / F.lit(model.temperature))
-        best = F.array_max(F.slice(scaled, 2, k - 1))
-        total = F.aggregate(scaled, F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max(scaled)))
-        score = F.exp(best - F.array_max(scaled)) / total
-        family = F.element_at(F.array(*map(F.lit, model.families)), F.array_position(F.slice(scaled, 2, k - 1), best).cast("int") + 1)
-        some = 1 - F.exp(F.element_at(scaled, 1) - F.array_max(scaled)) / total
-        return F.struct(family.alias("family"), score.alias("score"), words.alias("words"), some.alias("some"))
+        # each step is bound to a name, for what is written out twice is worked out twice
+        return _with(scaled, lambda z: _with(F.array_max(z), lambda top: _with(F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top)), lambda total: told(words, z, top, total))))
+
+    def told(words: Column, z: Column, top: Column, total: Column) -> Column:
+        best = F.array_max(F.slice(z, 2, k - 1))
+        family = F.element_at(F.array(*map(F.lit, model.families)), F.array_position(F.slice(z, 2, k - 1), best).cast("int") + 1)
+        some = 1 - F.exp(F.element_at(z, 1) - top) / total
+        return F.struct(family.alias("family"), (F.exp(best - top) / total).alias("score"), words.alias("words"), some.alias("some"))
 
     return F.element_at(F.transform(F.array(words), of), 1)
 
@@ -319,129 +264,116 @@ def _with(x: Column, f) -> Column:
     return F.element_at(F.transform(F.array(x), f), 1)
 
 
-#: Words of a wrapped notice behind its first line: twice the longest notice, so that it may hold other words.
-REACH = 2 * max(len(_tokens(n)) for ns in TEMPLATES.values() for n in ns)
+#: A licence expression names several identifiers; each is read as if it stood behind the keyword itself.
+_EXPRESSION = r"(?i)(?<=license-identifier[^\n]{0,200})[ \t]+(?:or|and)[ \t]+"
 
 
-def _covering(words: Column, coverage: float) -> Column:
-    """Whether the words hold enough pairs of any notice."""
-    every = sorted({p for ns in TEMPLATES.values() for n in ns for p in _pairs(_tokens(n))})
-    known = F.array_intersect(pairs(words), F.split(F.lit("\n".join(every)), "\n"))
-    return _with(known, lambda own: F.exists(_notices(), lambda t: F.size(F.array_intersect(own, t["pairs"])) >= F.lit(coverage) * F.size(t["pairs"])))
+def _words(text: Column) -> Column:
+    """array<struct<line, block, w>>: the words of a text with their lines; a line without words begins a new block."""
+    lines = F.transform(F.split(F.regexp_replace(text, _EXPRESSION, " License-Identifier: "), "\n"), lambda x, i: F.struct(i.alias("line"), tokens(x).alias("ws")))
+    full = F.filter(lines, lambda y: F.size(y["ws"]) > 0)
+    return F.flatten(F.transform(full, lambda y, k: F.transform(y["ws"], lambda w: F.struct(y["line"].alias("line"), (y["line"] - k).alias("block"), w.alias("w")))))
 
 
-def _windows(lines: Column, gated: Column, coverage: float) -> Column:
-    """Runs of neighbouring lines with words (struct<first, last, words>) near the gated ones, of two lines or more.
+def _places(words: Column) -> Column:
+    """array<struct<at, block, pair>>: where two words in one block are a pair of some notice."""
+    known = sorted({p for ns in TEMPLATES.values() for n in ns for p in _pairs(_tokens(n))})
 
-    A run goes on while the lines behind its first have fewer than REACH words, so however a notice is wrapped,
-    one run begins and ends with its lines. Of the first and last line only the REACH words next to the others
-    are in it. Where the longest run from a line covers no notice, no shorter one does; these are left out.
-    """
+    def place(x: Column, i: Column) -> Column:
+        y = F.get(words, i + 1)
+        return F.struct(i.alias("at"), x["block"].alias("block"), F.when(y["block"] == x["block"], F.concat(x["w"], F.lit(" "), y["w"])).alias("pair"))
 
-    def starting(of: Column, first: Column) -> Column:
-        head = F.get(of, first)
-        head = F.slice(head, F.greatest(F.size(head) - REACH + 1, F.lit(1)), REACH)
+    every = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), place)
+    return F.filter(every, lambda h: F.coalesce(h["pair"].isin(known), F.lit(False)))
 
-        def step(a: Column, at: Column) -> Column:
-            def joined(line: Column) -> Column:
-                longer = F.struct(F.lit(True).alias("open"), (a["behind"] + F.size(line)).alias("behind"), at.alias("last"), F.concat(a["words"], F.slice(line, 1, REACH)).alias("words"))
-                shut = F.struct(F.lit(False).alias("open"), a["behind"].alias("behind"), a["last"].alias("last"), a["words"].alias("words"))
-                return F.when((F.size(line) > 0) & (a["behind"] < REACH), longer).otherwise(shut)
 
-            return F.when(a["open"], _with(F.get(of, at), joined)).otherwise(a)
+def _runs(places: Column, notice: Column) -> Column:
+    """array<struct<first, last, share>>: the runs of words that cover enough of one notice, the best where they overlap.
 
-        def shorter(a: Column) -> Column:
-            def run(last: Column) -> Column:
-                behind = F.flatten(F.transform(F.sequence(first + 1, last), lambda at: F.slice(F.get(of, at), 1, REACH)))
-                return F.struct(first.alias("first"), last.alias("last"), F.concat(head, behind).alias("words"))
+    From each place of a pair the window of `reach` words is looked at; the run is the shortest in it with all its pairs.
+    """
+    reach = notice["reach"]
 
-            none = F.expr("cast(array() as array<struct<first:int,last:int,words:array<string>>>)")
-            return F.when((a["last"] > first) & _covering(a["words"], coverage), F.transform(F.sequence(first + 1, a["last"]), run)).otherwise(none)
+    def window(of: Column, h: Column) -> Column:
+        """(pair, at) of the places in the window from h, by pair, then place."""
+        inside = F.filter(F.slice(of, h["i"] + 1, reach), lambda x: (x["block"] == h["block"]) & (x["at"] < h["at"] + reach - 1))
+        return F.sort_array(F.transform(inside, lambda x: F.struct(x["pair"], x["at"])))
 
-        zero = F.struct((F.size(head) > 0).alias("open"), F.lit(0).alias("behind"), first.alias("last"), head.alias("words"))
-        ats = F.slice(F.sequence(first, F.least(first + REACH, F.size(of) - 1)), 2, REACH)
-        return _with(F.aggregate(ats, zero, step), shorter)
+    def tight(o: Column) -> Column:
+        """The run that ends where the window has all its pairs first, and begins where it has them last."""
+        new = F.filter(o, lambda x, k: (k == 0) | (F.get(o, k - 1)["pair"] != x["pair"]))
 
-    def near(of: Column, g: Column) -> Column:
-        """All words that a run with the line g can hold: the line's and the REACH words on either side."""
-        before = F.flatten(F.slice(of, F.greatest(g + 1 - REACH, F.lit(1)), F.least(g, F.lit(REACH))))
-        after = F.flatten(F.slice(of, g + 2, REACH))
-        return F.concat(F.slice(before, F.greatest(F.size(before) - REACH + 1, F.lit(1)), REACH), F.get(of, g), F.slice(after, 1, REACH))
+        def ended(new: Column) -> Column:
+            def begun(upto: Column, last: Column) -> Column:
+                old = F.filter(upto, lambda x, k: (k == F.size(upto) - 1) | F.coalesce(F.get(upto, k + 1)["pair"] != x["pair"], F.lit(True)))
+                return F.struct(F.array_min(F.transform(old, lambda x: x["at"])).alias("first"), (last + 1).alias("last"), (F.size(new) / F.size(notice["pairs"])).alias("share"))
 
-    def searched(of: Column) -> Column:
-        # where not even all the words near a gated line cover a notice, no run does
-        live = F.filter(gated, lambda g: _covering(near(of, g), coverage))
-        # a gated line of a run is at most REACH lines from its first
-        starts = F.array_distinct(F.flatten(F.transform(live, lambda g: F.sequence(F.greatest(g - REACH, F.lit(0)), g))))
-        return F.flatten(F.transform(starts, lambda first: starting(of, first)))
+            end = lambda last: _with(F.filter(o, lambda x: x["at"] <= last), lambda upto: begun(upto, last))
+            return F.when(F.size(new) >= notice["need"], _with(F.array_max(F.transform(new, lambda x: x["at"])), end))
 
-    return _with(F.transform(lines, tokens), searched)
+        return _with(new, ended)
 
+    def run(of: Column, h: Column) -> Column:
+        near = F.size(F.array_distinct(F.transform(F.slice(of, h["i"] + 1, reach), lambda x: x["pair"])))  # no fewer than the window has
+        return F.when(near >= notice["need"], _with(window(of, h), tight))
 
-def _chosen(single: Column, wrapped: Column) -> Column:
-    """The hits that stay: all of `single`, then others by coverage, then shortness, that share no line with those before.
+    def own(of: Column) -> Column:
+        none = F.expr("cast(array() as array<struct<first:int,last:int,share:double>>)")
+        # a place inside a run that has the whole notice begins none that covers more
+        whole = lambda a, h: (F.size(a) > 0) & (F.get(a, F.size(a) - 1)["share"] == 1) & (h["at"] <= F.get(a, F.size(a) - 1)["last"])
+        step = lambda a, h: F.when(F.coalesce(whole(a, h), F.lit(False)), a).otherwise(_with(run(of, h), lambda r: F.when(r.isNull(), a).otherwise(_placed(a, r))))
+        return F.when(F.size(of) >= notice["need"], F.aggregate(of, none, step)).otherwise(none)
+
+    mine = F.filter(places, lambda h: F.array_contains(notice["pairs"], h["pair"]))
+    return _with(F.transform(mine, lambda h, i: F.struct(i.alias("i"), h["at"].alias("at"), h["block"].alias("block"), h["pair"].alias("pair"))), own)
 
-    Runs of different families may share the line in which one ends and the other begins, unless one is unknown.
-    """
 
-    def step(a: Column, x: Column) -> Column:
-        def clash(y: Column) -> Column:
-            joint = (y["first"] < y["last"]) & (y["family"] != x["family"]) & (x["family"] != UNKNOWN) & ((y["last"] == x["first"]) | (y["first"] == x["last"]))
-            return (y["first"] <= x["last"]) & (x["first"] <= y["last"]) & ~joint
+def _placed(a: Column, x: Column) -> Column:
+    """Runs apart from one another, in order, with one more, which begins no earlier than the last: of two that share
+    words the one of the greater share, then the shorter, stays."""
+    last = F.get(a, F.size(a) - 1)
+    better = (x["share"] > last["share"]) | ((x["share"] == last["share"]) & (x["last"] - x["first"] < last["last"] - last["first"]))
+    return F.when(F.size(a) == 0, F.array(x)).when(x["first"] > last["last"], F.concat(a, F.array(x))).when(better, F.concat(F.slice(a, 1, F.size(a) - 1), F.array(x))).otherwise(a)
 
-        return F.when(F.exists(a, clash), a).otherwise(F.concat(a, F.array(x)))
 
-    return F.aggregate(F.array_sort(wrapped), single, step)
+def _apart(entries: Column) -> Column:
+    """Those of the entries that share no word, by _placed in order of `first`."""
+    return _with(entries, lambda e: F.aggregate(F.array_sort(e), F.filter(e, lambda x: F.lit(False)), _placed))
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with the column `licences`: array of (paragraph number, family, score), in order.
 
-    Lines of the whole text are numbered from 0. An entry is a line, or a run of neighbouring lines as of a
-    hard-wrapped notice, numbered by its first line, for which the classifier passes its threshold and the
-    notice confirms it: a family, or `unknown` for a licence of none. A line without letters and digits ends a run.
-    Null and empty texts have none; equal texts get equal entries, repeated rows stay, no rows give no rows. A
-    column of that name is replaced.
+    Lines of the whole text are numbered from 0. An entry is a run of words, numbered by its first line, that the classifier
+    puts in a family above its threshold and that covers enough of one of the family's notices, or `unknown` for a
+    licence of none. A line without letters and digits ends a run. Where runs overlap the one that covers most stays,
+    a family before `unknown`; of two runs that cover alike the shorter, or the first where both have a whole notice. Null and empty texts have none; equal texts get
+    equal entries, repeated rows stay, no rows give no rows. A column of that name is replaced.
     """
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-
-    def hit(x: Column) -> Column:
-        """A hit (rank first, for _chosen), or null."""
+    whole = F.coalesce(F.col(text), F.lit(""))
 
-        def entry(share: Column, family: Column, score: Column) -> Column:
-            return F.struct((-share).alias("rank"), (x["last"] - x["first"]).alias("more"), x["first"].alias("first"), x["last"].alias("last"), family.alias("family"), score.alias("score"))
+    def entry(run: Column, words: Column) -> Column:
+        made = lambda family, share, score: F.struct(run["first"].alias("first"), run["last"].alias("last"), family.alias("family"), share.alias("share"), score.alias("score"))
 
         def judged(c: Column) -> Column:
-            unknown = lambda share: F.when(share >= model.coverage, entry(share, F.lit(UNKNOWN), c["some"]))
-            other = F.when(c["some"] >= model.threshold, _with(coverage_of(c["words"], F.lit(UNKNOWN)), unknown))
-            known = lambda share: F.when((c["score"] >= model.threshold) & (share >= model.coverage), entry(share, c["family"], c["score"])).otherwise(other)
-            return _with(coverage_of(c["words"], c["family"]), known)
-
-        return _with(classified(x["words"], model), judged)
-
-    def found(of: Column) -> Column:
-        gated = F.filter(F.transform(of, lambda x, i: F.struct(i.alias("first"), i.alias("last"), x.alias("line"))), lambda x: F.rlike(F.lower(x["line"]), F.lit(gate(model))))
+            other = F.when(c["some"] >= model.threshold, _with(coverage_of(c["words"], F.lit(UNKNOWN)), lambda share: F.when(share >= model.coverage, made(F.lit(UNKNOWN), share, c["some"]))))
+            return _with(coverage_of(c["words"], c["family"]), lambda share: F.when((c["score"] >= model.threshold) & (share >= model.coverage), made(c["family"], share, c["score"])).otherwise(other))
 
-        def both(gated: Column) -> Column:
-            found = F.filter(F.transform(gated, lambda x: hit(F.struct(x["first"], x["last"], tokens(x["line"]).alias("words")))), lambda x: x.isNotNull())
-            return _with(found, lambda single: further(gated, single))
+        own = F.transform(F.slice(words, run["first"] + 1, run["last"] - run["first"] + 1), lambda x: x["w"])
+        return _with(classified(own, model), judged)
 
-        def further(gated: Column, single: Column) -> Column:
-            # a line that is a notice of a known family alone needs no neighbours; runs are tried near the others
-            sure = F.filter(single, lambda x: x["family"] != UNKNOWN)
-            rest = F.array_except(F.transform(gated, lambda x: x["first"]), F.transform(sure, lambda x: x["first"]))
-            wrapped = F.filter(F.transform(_windows(of, rest, model.coverage), hit), lambda x: x.isNotNull())
-            return F.when(F.size(rest) > 0, _with(wrapped, lambda more: entries(sure, single, more))).otherwise(sorted_entries(single))
+    def found(words: Column) -> Column:
+        runs = _with(_places(words), lambda places: F.array_distinct(F.flatten(F.transform(_notices(model.coverage), lambda t: F.transform(_runs(places, t), lambda r: F.struct(r["first"], r["last"]))))))
+        return _with(F.filter(F.transform(runs, lambda r: entry(r, words)), lambda e: e.isNotNull()), lambda entries: chosen(entries, words))
 
-        def entries(sure: Column, single: Column, wrapped: Column) -> Column:
-            vague = lambda xs: F.filter(xs, lambda x: x["family"] == UNKNOWN)
-            named = _chosen(sure, F.filter(wrapped, lambda x: x["family"] != UNKNOWN))
-            return sorted_entries(_chosen(named, F.concat(vague(single), vague(wrapped))))
+    def chosen(entries: Column, words: Column) -> Column:
+        vague = F.filter(entries, lambda e: e["family"] == UNKNOWN)
 
-        def sorted_entries(chosen: Column) -> Column:
-            return F.array_sort(F.transform(chosen, lambda x: F.struct(x["first"].alias("paragraph"), x["family"].alias("family"), x["score"].alias("score"))))
+        def both(named: Column) -> Column:
+            alone = F.filter(vague, lambda e: ~F.exists(named, lambda x: (x["first"] <= e["last"]) & (e["first"] <= x["last"])))
+            return F.array_sort(F.transform(F.concat(named, _apart(alone)), lambda e: F.struct(F.get(words, e["first"])["line"].alias("paragraph"), e["family"].alias("family"), e["score"].alias("score"))))
 
-        none = F.expr("cast(array() as array<struct<paragraph:int,family:string,score:double>>)")
-        return _with(gated, lambda gated: F.when(F.size(gated) > 0, both(gated)).otherwise(none))
+        return _with(_apart(F.filter(entries, lambda e: e["family"] != UNKNOWN)), both)
 
-    return docs.withColumn("licences", _with(lines, found))
+    none = F.expr("cast(array() as array<struct<paragraph:int,family:string,score:double>>)")
+    return docs.withColumn("licences", F.when(F.rlike(F.lower(whole), F.lit(gate(model))), _with(_words(whole), found)).otherwise(none))

@@ -273,14 +273,60 @@ def test_wrapped_at_any_width_and_identifiers(spark, licence_model):
 
     notices = {k: " ".join(w.replace("#", " ").replace("*", " ").split()) for k, w in WRAPPED.items()}
     texts = {textwrap.fill(n, w): [k] for k, n in notices.items() for w in (24, 40, 72, 100)}
-    texts |= {f"the thing of the er\n// SPDX-License-Identifier: {i}\nand to": [k] for i, k in (("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-3.0-or-later", "GPL"), ("BSD-3-Clause", "BSD"), ("ISC", "unknown"), ("EPL-2.0", "unknown"))}
+    texts |= {f"the thing of the er\n// SPDX-License-Identifier: {i}\nand to": [k] for i, k in (("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-3.0-or-later", "GPL"), ("BSD-3-Clause", "BSD"), ("ISC", "ISC"), ("EPL-2.0", "EPL-2.0"), ("Frob-7", "unknown"))}
     texts |= {FULL_MIT: ["MIT"], "Licensed under the Frobnitz License.": ["unknown"]}
-    texts["Permission to use, copy, modify, and/or distribute this software for any purpose\nwith or without fee is hereby granted, provided that the above"] = ["unknown"]
+    texts["Permission to use, copy, modify, and/or distribute this software for any purpose\nwith or without fee is hereby granted, provided that the above"] = ["ISC"]
+    texts["Licensed under the zlib license."] = ["Zlib"]
+    texts["Distributed under the Boost Software License, Version 1.0. (See accompanying file)"] = ["BSL-1.0"]
+    texts["// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause"] = ["Apache-2.0", "BSD", "MIT"]
+    texts["licensed under CC BY-NC-SA 4.0 by us"] = ["CC-BY-NC-SA"]
+    texts['THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'] = ["MIT"]
+    texts["the er to " * 500 + notices["BSD"] + " and is of" * 500] = ["BSD"]  # in the middle of a long line
     got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), licence_model).orderBy("doc_id").collect()
     for r, want in zip(got, texts.values(), strict=True):
         assert [x["family"] for x in r["licences"]] == want, r["text"]
 
 
+def test_runs_equal_brute_force(spark, licence_model):
+    """The runs of each notice against every run of words tried by itself."""
+    rng = random.Random(11)
+    notices = [(f, n) for f, ns in licenses.TEMPLATES.items() for n in ns]
+    texts = []
+    for k in range(12):
+        words = []
+        for _, n in rng.sample(notices, 2):
+            words += [w for w in licenses._tokens(n) if rng.random() > 0.1] + rng.choices(["thing", "er", "\n\n", "the"], k=rng.randint(0, 4))
+        texts.append(" ".join(words) if k % 3 else "\n".join(words))
+    whole = licenses._notices(licence_model.coverage)
+    docs = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("w", licenses._words(F.col("t")))
+    got = docs.select("t", "w", F.transform(whole, lambda n: licenses._runs(licenses._places(F.col("w")), n)).alias("r")).collect()
+    for row in got:
+        words = [(x["block"], x["w"]) for x in row["w"]]
+        for (_, n), runs in zip(notices, row["r"], strict=True):
+            own = licenses._pairs(licenses._tokens(n))
+            need, reach = max(math.ceil(licence_model.coverage * len(own)), 1), 2 * len(licenses._tokens(n))
+            covers = 0
+            for i in range(len(words)):
+                inside = {f"{a[1]} {b[1]}" for a, b in zip(words[i : i + reach], words[i + 1 : i + reach], strict=False) if a[0] == b[0] == words[i][0]} & own
+                covers = max(covers, len(inside))
+            assert bool(runs) == (covers >= need) and max((r["share"] for r in runs), default=0) == pytest.approx(covers / len(own) if covers >= need else 0)
+            assert all(a["last"] < b["first"] for a, b in zip(runs, runs[1:], strict=False))
+
+
+def test_work_is_in_proportion_to_the_text(spark, licence_model):
+    import time
+
+    notice = "\n".join(licenses._tokens(WRAPPED["GPL"]))
+    took = []
+    for k in (25, 25, 200):
+        docs = spark.createDataFrame([(("\n" + notice) * k,)], "text string")
+        began = time.perf_counter()
+        found = licenses.scan(docs, licence_model).first()["licences"]
+        took.append(time.perf_counter() - began)
+        assert [x["family"] for x in found] == ["GPL"] * k
+    assert took[2] < 8 * took[1] + 8
+
+
 def test_classifier_equals_the_plain_one(spark, licence_model):
     m, rng = licence_model, random.Random(5)
     words = sorted({w for ns in licenses.TEMPLATES.values() for n in ns for w in licenses._tokens(n)}) + ["thing", "er"]
