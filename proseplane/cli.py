@@ -1,4 +1,4 @@
-"""Command line: detect, clean, polish, judge, mine, train, gate and the rules page, over paths.
+"""Command line: detect, clean, polish, judge, mine, train, gate, providers and the rules page, over paths.
 
 Providers for polish and judge are named `module:function`; the function takes a prompt and returns text.
 
@@ -58,6 +58,7 @@ def main(argv: list[str] | None = None) -> int:
     p = sub.add_parser("rules")
     p.add_argument("output")
     p.add_argument("--check", action="store_true")
+    sub.add_parser("providers")
     for name in ("detect", "clean", "mine", "train", "gate", "polish", "judge"):
         p = sub.add_parser(name)
         p.add_argument("input")
@@ -74,9 +75,16 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("--model")
         if name == "mine":
             p.add_argument("--least", type=int, default=200)
+            p.add_argument("--words", type=int, default=1, help="1: single words, 2 or 3: phrases of so many")
     args = parser.parse_args(argv)
     if args.command == "rules":
         return rules_doc.write(args.output, args.check)
+    if args.command == "providers":
+        for name in polish.list_providers():
+            print(name)
+        if not polish.list_providers():
+            print("none; name one as module:function", file=sys.stderr)
+        return 0 if polish.list_providers() else 3
     if args.command in ("polish", "judge"):
         try:
             provider, writer = _provider(args.provider), _provider(args.writer) if args.writer else None
@@ -87,8 +95,9 @@ def main(argv: list[str] | None = None) -> int:
     try:
         if args.command == "mine":
             answers = readers.read_answers(spark, args.input, least=1)
-            found = mining.word_ratios(answers.where("label = 1"), answers.where("label = 0"), least=args.least)
-            readers.write_tsv(found.orderBy(F.desc("ratio"), "token"), args.output)
+            classes = answers.where("label = 1"), answers.where("label = 0")
+            found = mining.word_ratios(*classes, least=args.least) if args.words == 1 else mining.phrase_ratios(*classes, args.words, least=args.least)
+            readers.write_tsv(found.orderBy(F.desc("ratio"), found.columns[0]), args.output)
             return 0
         if args.command == "train":
             lm.LanguageModel.train(readers.read_answers(spark, args.input).where("label = 0")).save(args.output)

@@ -14,7 +14,7 @@ QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "events"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 

@@ -145,3 +145,22 @@ def test_a_lost_run_keeps_its_whole_passes(spark, tmp_path, monkeypatch):
     done = store.ask(rows, "prompt", provider)
     assert sorted(r["answered"]["answer"] for r in done.collect()) == sorted(f"P{k}" for k in range(40))
     assert store.parts().count() == 40 and store.parts().select("key").distinct().count() == 40
+
+
+def test_command_line_lists_providers_and_mines_phrases(spark, tmp_path, capsys):
+    import json
+
+    from proseplane import cli
+    from proseplane.operators import polish
+
+    polish.clear()
+    assert cli.main(["providers"]) == 3
+    polish.use_callable(str.upper, "upper")
+    try:
+        assert cli.main(["providers"]) == 0 and capsys.readouterr().out == "upper\n"
+    finally:
+        polish.clear()
+    answers_ = tmp_path / "answers.jsonl"
+    answers_.write_text("\n".join(json.dumps({"human_answers": [f"we walk home {k}"], "chatgpt_answers": [f"as an assistant i walk {k}"]}) for k in range(6)))
+    assert cli.main(["mine", str(answers_), str(tmp_path / "phrases"), "--words", "2", "--least", "2"]) == 0
+    assert "as an" in "".join(p.read_text() for p in (tmp_path / "phrases").glob("*") if p.is_file())
