@@ -10,8 +10,9 @@ is only how rows are written, no count depends on it.
 
 A range is one file of the shared folder with sorted hash arrays: a directory of the leading bits, the next
 24 bits of each hash (words: all 64), and numbers into a table of the distinct values. An n-gram that is not
-there is taken for one that is with a probability of about one in a million. Scoring workers map a file into
-memory when they first need it, one map for each, and keep the MAPS last used ones.
+there is taken for one that is with a probability of about one in a million. Scoring workers hash some GATHER
+tokens of their task, sort them by range, and map each range's file into memory once for all of them; the MAPS
+last used maps stay.
 """
 
 from __future__ import annotations
@@ -49,6 +50,8 @@ SHARE = 2
 FAN, WORD_FAN = 11, 10
 #: Words that have numbers at most; they are sent to the workers, 8 bytes each.
 NUMBERED = 1 << 20
+#: Tokens that a scoring task looks up together (some 50 bytes each), so that it opens a file once for all of them.
+GATHER = 4_000_000
 #: Files that a scoring worker keeps mapped.
 MAPS = 128
 _BEFORE = np.uint64(0x2545F4914F6CDD1D)
@@ -753,14 +756,19 @@ class Files:
             shutil.rmtree(self.copies, ignore_errors=True)
             self.copies = None
 
-    def find(self, level: int, section: int, part: np.ndarray, h: np.ndarray, columns: int) -> np.ndarray:
-        """The values beside each hash (rows) in a section of its range; 0 where it is not there."""
-        out = np.zeros((len(h), columns), np.int64)
+    def visits(self, level: int, part: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        """The rows of each range that has a file, and its arrays; range by range, so each file is opened once."""
         there = self.model.ranges[level]
         for p, rows in _by_range(part, self.model.word_bits if level == 1 else self.model.bits):
             at = int(np.searchsorted(there, p))
             if at < len(there) and there[at] == p:  # else no n-gram fell in that range
-                out[rows] = _find(self.of(level, p)[_ARRAYS * section : _ARRAYS * (section + 1)], h[rows], columns)
+                yield rows, self.of(level, p)
+
+    def words(self, h: np.ndarray) -> np.ndarray:
+        """The six values beside each word's hash; 0 where it is not known."""
+        out = np.zeros((len(h), 6), np.int64)
+        for rows, arrays in self.visits(1, range_of(h, self.model.word_bits)):
+            out[rows] = _find(arrays[:_ARRAYS], h[rows], 6)
         return out
 
 
@@ -779,44 +787,75 @@ def _left(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(n - np.array([0.0, *d])[np.minimum(n, 3)], 0)
 
 
-def _joined(n: np.ndarray, context: np.ndarray, lower: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
-    """Probabilities of n-grams with count n after contexts (total, numbers of counts 1, 2, more)."""
-    total = np.maximum(context[:, 0], 1)
-    return np.where(context[:, 0] > 0, _left(n, d) / total + (context[:, 1:4] @ np.array(d)) / total * lower, lower)
+def _shares(context: np.ndarray, d: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Totals of contexts (total, numbers of counts 1, 2, more), and the shares that they leave to the lower order.
+
+    A context that is not known leaves all.
+    """
+    total = np.maximum(context[:, 0], 1).astype(np.float64)
+    return total, np.where(context[:, 0] > 0, (context[:, 1:4] @ np.array(d)) / total, 1.0)
 
 
 class Scorer:
-    """Of texts by one model."""
+    """Of texts by one model: add() them, then score() all that were added, which opens each range's file once."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.files = model, Files(model)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.tokens = 0
 
-    def __call__(self, texts: pa.Array) -> dict[str, np.ndarray]:
-        m, find = self.model, self.files.find
+    def add(self, texts: pa.Array) -> None:
         words, own, bounds = hashed(texts)
+        self.waiting.append((np.append(words, _START), own, bounds))
+        self.tokens += len(own)
+
+    def _joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the distinct words of all that waits; each token's and the one's before it by number; bounds."""
+        held, (self.waiting, self.tokens) = self.waiting, ([], 0)
+        words, number = np.unique(np.concatenate([w for w, _, _ in held]), return_inverse=True)
+        places = np.split(number.astype(np.int32), np.cumsum([len(w) for w, _, _ in held])[:-1])
+        own = np.concatenate([p[o] for p, (_, o, _) in zip(places, held, strict=True)])
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, _, b in held]))]).astype(np.int64)
+        return words, own, _after(own, bounds[:-1], places[0][-1]), bounds
+
+    def score(self) -> dict[str, np.ndarray]:
+        """n_tokens, n_known, base_score and score of the texts added since the last call (some at least), in order."""
+        m = self.model
+        words, own, before, bounds = self._joined()
         starts = bounds[:-1]
-        words = np.append(words, _START)
-        stats = find(1, 0, range_of(words, m.word_bits), words, 6)
+        stats = self.files.words(words)
         ahead, count = stats[:, 4], stats[:, 5]
-        lower = _left(ahead, m.discounts[0]) / max(m.pairs, 1) + m.lower_rest / (m.distinct + 1)
-        before = _after(own, starts, len(words) - 1)
-        pair = gram_hash(words[before], words[own])
+        unigram = _left(ahead, m.discounts[0]) / max(m.pairs, 1) + m.lower_rest / (m.distinct + 1)
+        base = np.log10((count + 0.5) / (m.train_tokens + 0.5 * (m.distinct + 1)))
+        total, share = _shares(stats, m.discounts[1])
+        pair, p = gram_hash(words[before], words[own]), share[before] * unigram[own]
         ranges = range_of(pair, m.bits)
-        p = _joined(find(2, 0, ranges, pair, 1)[:, 0], stats[before], lower[own], m.discounts[1])
+        for rows, arrays in self.files.visits(2, ranges):
+            p[rows] += _left(_find(arrays[:_ARRAYS], pair[rows], 1)[:, 0], m.discounts[1]) / total[before[rows]]
         if m.order > 2:
             later = np.ones(len(own), bool)
             later[starts] = False
             later = np.flatnonzero(later)  # a text's first word has the start mark alone before it
-            n = find(3, 0, ranges[later - 1], gram_hash(pair[later - 1], words[own[later]]), 1)[:, 0]
-            p[later] = _joined(n, find(3, 1, ranges[later - 1], pair[later - 1], 4), p[later], m.discounts[2])
-        base = np.log10((count + 0.5) / (m.train_tokens + 0.5 * (m.distinct + 1)))[own]
-        sums = lambda x: np.add.reduceat(x, starts) if len(x) else np.zeros(0)
-        return {"n_tokens": np.diff(bounds), "n_known": sums((count[own] > 0).astype(np.int64)), "base_score": sums(base), "score": sums(np.log10(p))}
+            for at, arrays in self.files.visits(3, ranges[later - 1]):
+                rows = later[at]
+                context = pair[rows - 1]
+                total, share = _shares(_find(arrays[_ARRAYS : 2 * _ARRAYS], context, 4), m.discounts[2])
+                p[rows] = _left(_find(arrays[:_ARRAYS], gram_hash(context, words[own[rows]]), 1)[:, 0], m.discounts[2]) / total + share * p[rows]
+        return {"n_tokens": np.diff(bounds), "n_known": _sums((count > 0).astype(np.int64)[own], starts), "base_score": _sums(base[own], starts), "score": _sums(np.log10(p), starts)}
+
+    def __call__(self, texts: pa.Array) -> dict[str, np.ndarray]:
+        self.add(texts)
+        return self.score()
 
     def close(self) -> None:
         self.files.close()
 
 
+def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of what is between each start and the next."""
+    return np.add.reduceat(x, starts) if len(x) else x
+
+
 def perplexity(lm: Column) -> Column:
     """Of the struct that score() adds; infinite beyond the range of doubles."""
     return F.pow(F.lit(10.0), -lm["score"] / lm["n_tokens"])
@@ -825,26 +864,36 @@ def perplexity(lm: Column) -> Column:
 _RESULT = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", into: str = "lm") -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", into: str = "lm", gather: int = GATHER) -> DataFrame:
     """docs with the struct `into` of each whole text: n_tokens, n_known, base_score, score (log10 probability).
 
     A text is its words and an end token; null and blank texts are the end token alone. perplexity is
     10 ** (-score / n_tokens). base_score is that of the add-a-half unigram model of the same counts. The
     probabilities after any words sum to 1 over the known tokens and one unknown token. Equal texts get equal
     scores, repeated rows stay, no rows give no rows, and a column `into` of docs is replaced. A range file that
-    can't be read is an error, not a zero count.
+    can't be read is an error, not a zero count. A task opens a file once for each `gather` of its tokens, whatever the
+    number of ranges; a text longer than that is looked up whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(_RESULT)
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
+        names = [f.name for f in _RESULT]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+        def done() -> pa.Array:
+            got = scorer.score()
+            return pa.StructArray.from_arrays([pa.array(got[n], k) for n, k in zip(names, kinds, strict=True)], names)
+
         try:
             for batch in batches:
-                parts = [scorer(t) for t in slices(batch)]
-                names = ["n_tokens", "n_known", "base_score", "score"]
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.StructArray.from_arrays([pa.array(np.concatenate([p[n] for p in parts] or [np.zeros(0)]), k) for n, k in zip(names, kinds, strict=True)], names)
+                for part in slices(batch):
+                    scorer.add(part)
+                    if scorer.tokens >= gather:
+                        yield done()
+            if scorer.waiting:
+                yield done()
         finally:
             scorer.close()
 

@@ -629,6 +629,55 @@ def test_thousands_of_ranges_under_few_open_files(tmp_path, order, bits, named):
         assert (got["n_tokens"][i], got["n_known"][i]) == (n, known) and got["base_score"][i] == pytest.approx(base) and got["score"][i] == pytest.approx(score)
 
 
+def test_a_task_opens_each_file_once(tmp_path, monkeypatch):
+    opened = Counter()
+    real = ngram_lm.Files._map
+    monkeypatch.setattr(ngram_lm.Files, "_map", lambda self, name: opened.update([name]) or real(self, name))
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices([f"v{i}" for i in range(400)], k=80)) for _ in range(120)]
+    model = local_model(str(tmp_path / "m"), texts, 3, 9, 8)
+    assert sum(map(len, model.ranges.values())) > 4 * ngram_lm.MAPS
+    together, apart = ngram_lm.Scorer(model), ngram_lm.Scorer(model)
+    batches = [pa.array(texts[i : i + 10], pa.large_string()) for i in range(0, len(texts), 10)]
+    for b in batches:
+        together.add(b)
+    got = together.score()
+    assert max(opened.values()) == 1 and not together.waiting and not together.tokens
+    want = [apart(b) for b in batches]
+    for name, x in got.items():
+        assert np.array_equal(x, np.concatenate([w[name] for w in want]))
+
+
+@pytest.mark.parametrize("gather", [1, 300, 1 << 22])
+def test_scores_do_not_depend_on_what_is_looked_up_together(spark, gather):
+    """Scores of many small Arrow batches, given out at once, after some batches or at the end of the task."""
+    rows = [(i, t) for i, t in enumerate(lm_texts())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    model = ngram_lm.train(docs)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["doc_id"]: r["lm"] for r in ngram_lm.score(docs, model, gather=gather).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ngram_lm.forget(spark, model)
+    texts = [t for _, t in rows]
+    assert len(got) == len(rows)
+    for i, (n, known, _, base, score) in enumerate(plain_kneser_ney(texts, texts, 3)):
+        assert (got[i]["n_tokens"], got[i]["n_known"]) == (n, known) and got[i]["base_score"] == pytest.approx(base) and got[i]["score"] == pytest.approx(score)
+
+
+def test_a_word_pair_that_is_not_there_is_hardly_ever_found():
+    """24 bits of a hash are compared in a bucket of about 16 keys: once in a million; whole hashes never err."""
+    rng = np.random.default_rng(5)
+    keys, others = np.unique(rng.integers(0, 1 << 63, 200_000, np.uint64)), rng.integers(1 << 63, (1 << 64) - 1, 4_000_000, np.uint64, endpoint=True)
+    keys = keys << np.uint64(1)  # over the whole line, like the others
+    others = others << np.uint64(1) | np.uint64(1)
+    n = np.ones(len(keys), np.int64)
+    found = np.count_nonzero(ngram_lm._find(ngram_lm._section(keys, [n]), others, 1))
+    assert found <= 16 and (ngram_lm._find(ngram_lm._section(keys, [n]), keys, 1) == 1).all()
+    assert not ngram_lm._find(ngram_lm._section(keys, [n], whole=True), others, 1).any()
+
+
 def test_a_missing_range_is_an_error(tmp_path):
     model = local_model(str(tmp_path / "m"), ["a b c", "a b d"], 3, 2, 0)
     (tmp_path / "m" / f"3-{model.ranges[3][0]}").unlink()
