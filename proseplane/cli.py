@@ -11,6 +11,7 @@ import argparse
 import importlib
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +41,8 @@ def detect(spark: SparkSession, docs, model_dir: str | None = None):
     if model is None:
         scored = scored.withColumns({"ngram_probability": F.lit(0.0), "ngram_level": F.lit("UNAVAILABLE"), "available": F.lit(False)})
     else:
-        ngram = features.ngram_score(features.features(docs, model)).select("doc_id", "ngram_probability", "ngram_level")
-        scored = scored.join(ngram, "doc_id").withColumn("available", F.lit(True))
+        shown = ("total", "rounded_total", "level", "violations", "text_length")
+        scored = features.ngram_score(features.features(scored, model, keep=shown)).withColumn("available", F.lit(True))
     both = features.combined(F.col("total"), F.col("ngram_probability"), F.col("available"))
     shown = F.transform("violations", lambda v: F.struct(v["category"].alias("category"), v["rule"].alias("rule"), v["count"].alias("count"), v["sample"].alias("sample")))
     payload = F.struct(
@@ -120,8 +121,8 @@ def main(argv: list[str] | None = None) -> int:
             return gates.exit_code(report)
     except KeyboardInterrupt:
         return 130
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         print(f"no such input: {args.input}", file=sys.stderr)
         return 2

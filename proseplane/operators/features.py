@@ -159,9 +159,13 @@ def lm_features(docs: DataFrame, model: LanguageModel, key: str = "doc_id") -> D
     )
 
 
-def features(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs' key with word_count and the twelve features, unrounded; keys are taken to be distinct."""
-    own = text_features(docs.select(key, text), text).drop(text, "f_tokens")
+def features(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs' key and the columns `keep` with word_count and the twelve features, unrounded; keys are taken to be distinct.
+
+    Where the model goes to the workers this is one pass over docs, and keys don't matter. Up to lm.PACKED_ROWS rows
+    it does, and words are told apart by 64-bit hashes there; by themselves beyond that.
+    """
+    own = text_features(docs.select(key, text, *keep), text).drop(text, "f_tokens")
     there = with_lm_features(own, model)
     if there is not None:
         return there.drop("f_sentences")

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,12 +38,20 @@ def bigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.groupBy("p.w1", "p.w2").agg(F.count("*").alias("cnt"))
 
 
-def top(counts: DataFrame, k: int, order: list[str]) -> DataFrame:
+def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(w1, w2, cnt) over all texts with null before a text's first word: the counts of words too, in one scan."""
+    words = docs.select(T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    placed = F.transform("t", lambda w, i: F.struct(F.when(i > 0, F.get("t", i - 1)).alias("w1"), w.alias("w2")))
+    return words.select(F.explode_outer(placed).alias("p")).where("p is not null").groupBy("p.w1", "p.w2").agg(F.count("*").alias("cnt"))
+
+
+def top(counts: DataFrame, k: int, order: list[str], hold: bool = True) -> DataFrame:
     """The k rows of the highest cnt, equal ones by order.
 
-    A histogram of counts gives the least count that stays, so only rows of that very count are ranked.
+    A histogram of counts gives the least count that stays, so only rows of that very count are ranked. counts are
+    cached, for they are read twice; with hold=False the caller has seen to that.
     """
-    counts = counts.cache()
+    counts = counts.cache() if hold else counts
     line = Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each distinct count
     hist = counts.groupBy("cnt").agg(F.count("*").alias("n")).withColumn("above", F.coalesce(F.sum("n").over(line), F.lit(0)))
     last = hist.where(F.col("above") < k).agg(F.min("cnt"), F.max("above")).first()
@@ -118,8 +127,20 @@ class LanguageModel:
 
     @staticmethod
     def train(docs: DataFrame, text: str = "text", unigrams: int = UNIGRAMS, bigrams: int = BIGRAMS) -> LanguageModel:
-        """Counts, trims and keeps the tables in memory; save() writes them."""
-        return LanguageModel(top_unigrams(docs, text, unigrams).cache(), top_bigrams(docs, text, bigrams).cache())
+        """Counts in one scan of docs, trims and keeps the trimmed tables in memory until release(); save() writes them."""
+        both = pair_counts(docs, text).persist()
+        words = both.groupBy(F.col("w2").alias("token")).agg(F.sum("cnt").alias("cnt")).persist()
+        tables = top(words, unigrams, ["token"], hold=False).cache(), top(both.where("w1 is not null"), bigrams, ["w1", "w2"], hold=False).cache()
+        for table in tables:
+            table.count()  # filled, so that the counts below can go
+        words.unpersist()
+        both.unpersist()
+        return LanguageModel(*tables)
+
+    def release(self) -> None:
+        """Lets go of the tables in memory; they are computed anew where they are used again."""
+        self.unigrams.unpersist()
+        self.bigrams.unpersist()
 
     def save(self, folder: str) -> None:
         self.unigrams.write.mode("overwrite").parquet(f"{folder}/unigrams")
@@ -130,8 +151,8 @@ class LanguageModel:
         """None where there are no tables."""
         try:
             return LanguageModel(spark.read.parquet(f"{folder}/unigrams"), spark.read.parquet(f"{folder}/bigrams"))
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
             raise
 

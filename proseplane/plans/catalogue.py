@@ -39,7 +39,15 @@ def _model(spark: SparkSession, sf_dir: str) -> lm.LanguageModel:
 
 
 def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.features(probe.load(spark, sf_dir), _model(spark, sf_dir))
+    return _with_model(probe.load(spark, sf_dir), spark, sf_dir)
+
+
+def _with_model(docs: DataFrame, spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    model = _model(spark, sf_dir)
+    found = features.features(docs, model, keep=keep)
+    if model.packed() is not None:  # the workers have it
+        model.release()
+    return found
 
 
 def _text_featured(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,8 +197,7 @@ def lr_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def combined_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rule = _scored(spark, sf_dir).select("doc_id", "total")
-    both = rule.join(features.ngram_score(_featured(spark, sf_dir)).select("doc_id", "ngram_probability"), "doc_id")
+    both = features.ngram_score(_with_model(_scored(spark, sf_dir), spark, sf_dir, keep=("total",)))
     c = features.combined(F.col("total"), F.col("ngram_probability"), F.lit(True))
     return both.select("doc_id", scaled(c).alias("combined"), rules.band_key(c).alias("level"), (c >= 50).alias("block"))
 

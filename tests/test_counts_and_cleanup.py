@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from proseplane.operators import cleanup, count_table, external, mining
+from proseplane import cli
+from proseplane.operators import cleanup, count_table, external, lm, mining
 from proseplane.streaming import monitor
 
 
@@ -118,3 +120,25 @@ def test_monitor_goes_on_from_its_checkpoint(spark, tmp_path):
     got = monitor.levels(spark.read.parquet(str(tmp_path / "out")), unit=1.0)
     assert {tuple(r)[:5] for r in got.collect()} == plain_monitor(rows, 500, 120)
     assert {r["level"] for r in got.collect()} <= {"LOW", "MEDIUM", "HIGH", "VERY_HIGH", None}
+
+
+def test_words_and_pairs_of_one_scan(spark):
+    docs = spark.createDataFrame([("a b a b",), ("a",), ("",), (None,), ("don't a",), ("a b a b",)], "text string")
+    both = lm.pair_counts(docs)
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(both.groupBy("w2").agg(F.sum("cnt"))) == rows(lm.unigram_counts(docs))
+    assert rows(both.where("w1 is not null")) == rows(lm.bigram_counts(docs))
+    model = lm.LanguageModel.train(docs, unigrams=2, bigrams=2)
+    assert rows(model.unigrams) == rows(lm.top_unigrams(docs, k=2)) and rows(model.bigrams) == rows(lm.top_bigrams(docs, k=2))
+    model.release()
+    assert model.unigrams.count() == 2 and not lm.LanguageModel.train(docs.limit(0)).available
+
+
+def test_a_payload_takes_one_scan_and_no_exchange(spark, tmp_path):
+    path, model = str(tmp_path / "docs.parquet"), str(tmp_path / "model")
+    docs = spark.createDataFrame([(1, "Moreover, we delve into it. " * 20), (2, None), (2, "a b c"), (None, "")], "doc_id long, text string")
+    docs.write.parquet(path)
+    lm.LanguageModel.train(docs).save(model)
+    found = cli.detect(spark, spark.read.parquet(path), model)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Exchange" not in plan and found.count() == 4
