@@ -158,7 +158,8 @@ def top_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rollup_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _scored(spark, sf_dir).withColumn("s", scaled("total")).rollup("lang", "source").agg(F.count("*").alias("n"), F.sum("s").alias("total"))
+    """Over the documents of all languages, by the rules for English."""
+    got = rules.scored(probe.load(spark, sf_dir, every=True)).withColumn("s", scaled("total")).rollup("lang", "source").agg(F.count("*").alias("n"), F.sum("s").alias("total"))
     return got.select("lang", "source", "n", _long("total").alias("total"))
 
 

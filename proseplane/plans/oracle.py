@@ -226,7 +226,6 @@ def oracle_sql() -> dict[str, str]:
         "level_histogram": f"SELECT {_levels('total')} AS level, count(*) AS n FROM scores GROUP BY 1",
         "violations_by_category": "SELECT category, count(*) AS n, count(DISTINCT doc_id) AS documents FROM violations GROUP BY 1",
         "top_violations": f"SELECT doc_id, r AS place, rule, {scaled('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS r FROM violations) WHERE r <= 5",
-        "rollup_scores": f"SELECT lang, source, count(*) AS n, CAST(sum({scaled('total')}) AS BIGINT) AS total FROM scores GROUP BY ROLLUP (lang, source)",
         "lm_unigrams_topk": "SELECT token, cnt FROM uni_all ORDER BY cnt DESC, token LIMIT 500",
         "lm_bigrams_topk": "SELECT w1, w2, cnt FROM bi_all ORDER BY cnt DESC, w1, w2 LIMIT 500",
         "lm_mass": f"SELECT CAST(k AS BIGINT) AS kept, CAST(n AS BIGINT) AS total, {scaled('k / n')} AS share FROM (SELECT (SELECT sum(cnt) FROM (SELECT cnt FROM bi_all ORDER BY cnt DESC, w1, w2 LIMIT 500)) AS k, (SELECT sum(cnt) FROM bi_all) AS n)",
@@ -285,6 +284,9 @@ UNION ALL SELECT 'meaning_without_scores', NULL, 'skipped'""",
     out["iterative_polish"] = _iterated()
     out["rule_hits_by_table"] = out["rule_hits_long"]
     out["profile_scores"] = _by_profile()
+    out["rollup_scores"] = f"""WITH {_probe("probe", probe.tells(), "true")},
+{_scoring("", "probe", "text")}rolled AS (SELECT lang, source, count(*) AS n, CAST(sum({scaled("total")}) AS BIGINT) AS total FROM scores GROUP BY ROLLUP (lang, source))
+SELECT * FROM rolled"""
     out |= _calibrated()
     out["judge_parse"], out["judge_report"] = _judged()
     return out
