@@ -113,6 +113,39 @@ def test_toxicity_of_held_out_rows(spark):
     assert auc([r["score"] for r in rows], [labels[r["doc_id"]] for r in rows]) > 0.9
 
 
+def captured(monkeypatch, module):
+    """The models that the module's fit gives from now on."""
+    models, fit = [], module.fit
+    monkeypatch.setattr(module, "fit", lambda *a, **k: models.append(fit(*a, **k)) or models[-1])
+    return models
+
+
+@HAVE
+def test_toxicity_query_row_by_row(spark, odd_tables, monkeypatch):
+    """Every score against a plain sum over the features of the whole text, without the scorer's cache and choice of features."""
+    models, sf = captured(monkeypatch, toxicity), odd_tables()
+    texts = sorted(((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()), key=str)
+    got = sorted(((r["doc_id"], r["score"], r["predicted"]) for r in queries.op2_toxicity(spark, sf).collect()), key=str)
+    (m,) = models
+
+    def plain(text):
+        words = toxicity._WORDS.findall((text or "").lower())
+        n = {}
+        for w in words:
+            for f in [toxicity._hash(f"={w}", m.dims)] + [toxicity._hash(f"{k}{w[:k]}", m.dims) for k in m.heads if len(w) > k]:
+                n[f] = n.get(f, 0) + 1
+        steps = {toxicity._share(f, k, m.dims) for f, c in n.items() if c > 1 for k, x in enumerate(toxicity.SHARES, 1) if c * x >= len(words)}
+        s = m.bias + math.fsum(m.weights.get(f, 0.0) for f in set(n) | steps)
+        return 1 / (1 + math.exp(-min(max(s, -30), 30)))
+
+    want = {k: {} for k, _ in texts}
+    for k, t in texts:
+        want[k][t] = plain(t)
+    assert [k for k, _, _ in got] == [k for k, _ in texts] and len(m.weights) > 5
+    for k, score, predicted in got:
+        assert any(score == pytest.approx(x, abs=1e-9) for x in want[k].values()) and predicted == (score >= 0.3)
+
+
 def test_near_copies_count_once():
     rng = np.random.default_rng(2)
     a = np.unique(rng.integers(1000, 1 << 20, 200))
@@ -185,6 +218,39 @@ def test_language_of_held_out_rows(spark, odd_tables):
     assert queries.op8_language(spark, odd_tables(empty=True)).count() == 0
 
 
+@HAVE
+def test_language_query_row_by_row(spark, odd_tables, monkeypatch):
+    """Predictions of a fifth of the rows and the odd ones against n-grams hashed and weighed one by one."""
+    models, sf = captured(monkeypatch, language_id), odd_tables()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op8_language(spark, sf).collect()
+    (m,) = models
+    dims, full = len(m.idf), (1 << 64) - 1
+
+    def plain(text):
+        points, some = language_id._code_points(text or "")
+        if not some:
+            return {"und": 0.0}
+        points, n = [int(x) for x in points], {}
+        for at in range(len(points)):
+            h = 0
+            for k, x in enumerate(points[at : at + m.orders]):
+                h = (h * 0x9E3779B97F4A7C15 + x + k + 1) & full
+                d = ((h * 0xD6E8FEB86659FD93 & full) >> 40) % dims
+                n[d] = n.get(d, 0) + 1
+        x = {d: (1 + math.log(c)) * m.idf[d] for d, c in n.items()}
+        norm = math.sqrt(math.fsum(v * v for v in x.values()))
+        s = [(math.fsum(v / norm * float(m.weights[d, j]) for d, v in x.items()) + m.bias[j]) / m.temperature for j in range(len(m.languages))]
+        e = [math.exp(v - max(s)) for v in s]
+        return dict(zip(m.languages, (v / sum(e) for v in e), strict=True))
+
+    some = [r for r in got if r["doc_id"] is None or r["doc_id"] % 5 == 0 or r["doc_id"] > 70000]
+    assert len(some) > 200
+    for r in some:
+        p = plain(texts[r["doc_id"]])
+        assert r["score"] == pytest.approx(max(p.values()), abs=1e-6) and p[r["lang_pred"]] == pytest.approx(r["score"], abs=1e-6)
+
+
 def test_language_without_labels_and_calibration(spark):
     docs = spark.createDataFrame([("a b",), (None,)], "text string").withColumn("lang", F.lit(None).cast("string")).withColumn("doc_id", F.lit(1))
     model = language_id.fit(docs)
