@@ -58,15 +58,23 @@ def findings(violations: Column) -> Column:
     return F.when(F.size(violations) > 0, F.array_join(lines, "\n")).otherwise(F.lit(NOTHING_FOUND))
 
 
-def rewrite_prompt(article: Column, violations: Column, scene: str = "analysis", strength: Strength | str | None = None, aggressive: bool | None = None) -> Column:
-    """The article is joined in as it is, so braces and marks in it mean nothing."""
+def rewrite_head(scene: str = "analysis", strength: Strength | str | None = None, aggressive: bool | None = None) -> str:
+    """What a rewrite prompt says before its findings."""
     s = strength_of(strength, aggressive)
     if s is Strength.HIGH:
         head = "# Task: rewrite the article from sentence structure up, keeping its facts\n\n"
     else:
         rules = _RULE.join(SECTIONS[x] for x in LOW) + "\n" if s is Strength.LOW else scene_rules(scene, compact=True)
         head = "# Task: edit the article into plain prose\n\n" + rules + "\n"
-    return F.concat(F.lit(head + "## Findings\n"), findings(violations), F.lit("\n\n## Article\n"), article, F.lit("\n\nReturn the article alone.\n"))
+    return head + "## Findings\n"
+
+
+BEFORE_ARTICLE, AFTER_ARTICLE = "\n\n## Article\n", "\n\nReturn the article alone.\n"
+
+
+def rewrite_prompt(article: Column, violations: Column, scene: str = "analysis", strength: Strength | str | None = None, aggressive: bool | None = None) -> Column:
+    """The article is joined in as it is, so braces and marks in it mean nothing."""
+    return F.concat(F.lit(rewrite_head(scene, strength, aggressive)), findings(violations), F.lit(BEFORE_ARTICLE), article, F.lit(AFTER_ARTICLE))
 
 
 def review_prompt(article: Column) -> Column:

@@ -289,6 +289,7 @@ UNION ALL SELECT 'meaning_without_scores', NULL, 'skipped'""",
 SELECT * FROM rolled"""
     out |= _calibrated()
     out["judge_parse"], out["judge_report"] = _judged()
+    out |= _shown()
     return out
 
 
@@ -426,3 +427,63 @@ def _judged() -> tuple[str, str]:
         f"SELECT id, {pick(0, 'BOOLEAN')} AS publishable, {pick(1, 'VARCHAR')} AS parse_error, {pick(2, 'BIGINT')} AS raw_length FROM {rows}",
         f"SELECT id, replace({texts}, chr(1), CAST(id AS VARCHAR)) AS report FROM {rows}",
     )
+
+
+def _fixed(x: str, digits: int) -> str:
+    """A number with so many digits, halves away from zero."""
+    return f"printf('%.{digits}f', floor(({x}) * 1e{digits} + 0.5) / 1e{digits})"
+
+
+def _formatted(template: str, *values: str) -> str:
+    """A template of the rulebook with an expression in place of each %d and %.nf."""
+    parts, left = [], list(values)
+    for piece in re.split(r"(%d|%\.\df|%%)", template):
+        if piece == "%%":
+            parts.append("'%'")
+        elif piece == "%d":
+            parts.append(f"CAST({left.pop(0)} AS VARCHAR)")
+        elif piece.startswith("%."):
+            parts.append(_fixed(left.pop(0), int(piece[2])))
+        elif piece:
+            parts.append(q(piece))
+    return " || ".join(parts)
+
+
+def _samples() -> str:
+    """One SELECT for each rule: doc_id, rule, and the sample that its violation shows."""
+    plain = "replace(replace(regexp_extract(e, {}), chr(1), ''), chr(2), '')"
+    out = [f"SELECT doc_id, {q(r.name)} AS rule, {plain.format(q(_rule_pattern(r, phrases)))} AS sample FROM enc" for phrases, rules in ((False, book.WORDS), (True, book.PHRASES)) for r in rules]
+    words = "len(list_filter(words, lambda x: x < 6)) * 100.0 / nullif(len(words), 0)"
+    shaped = {
+        "heading_density": (book.HEADING_DENSITY[2], "headings", "headings * 1000.0 / greatest(n, 1)"), "list_density": (book.LIST_DENSITY[2], "items", "n_lines", "items * 100.0 / nullif(n_lines, 0)"),
+        "sentence_length_cv": (book.SENTENCE_LENGTH_CV[2], cv("words")), "short_sentence_ratio": (book.SHORT_SENTENCE_RATIO[3], words),
+        "paragraph_uniformity": (book.PARAGRAPH_UNIFORMITY[2], cv("lens")), "para_opening_enumeration": (book.PARA_OPENING_ENUMERATION[1], "openers"),
+    }
+    out += [f"SELECT doc_id, {q(name)}, {_formatted(book.SAMPLES[name].format(top=top), *values)} FROM shape" for name, (top, *values) in shaped.items()]
+    bare = "regexp_replace(body, '(?mi)^.*\\b(?:studies|research|reports|data)\\b', '', 'g')"
+    for r in book.PRETENCE:
+        tried = ", ".join(f"nullif(regexp_extract({bare if '(?!' in p else 'body'}, {q('(?i)' + _plain(p))}), '')" for p in r.patterns)
+        out.append(f"SELECT doc_id, {q(r.name)}, coalesce({tried}) FROM abody")
+    for r in book.SIGNALS:
+        out.append(f"SELECT doc_id, {q(r.name)}, {_formatted(book.SAMPLES['signals'].format(least=r.least), count('body', ('(?i)' if r.ignore_case else '') + r.pattern))} FROM abody")
+    return "\n  UNION ALL ".join(out)
+
+
+def _shown() -> dict[str, str]:
+    """Prompts and payloads, which show each violation with its sample."""
+    from proseplane.operators import prompts
+
+    line = f"""'- ' || category || '.' || rule || ': hit ' || hits || 'x | sample: "' || left(sample, {prompts.MOST_SAMPLE}) || '"'"""
+    head = prefix().rstrip().rstrip(",") + f""",
+samples AS ({_samples()}),
+shown AS MATERIALIZED (
+  SELECT doc_id, string_agg({line}, chr(10) ORDER BY place) FILTER (nth <= {prompts.MOST_VIOLATIONS}) AS findings, list({{'category': category, 'rule': rule, 'count': hits, 'sample': sample}} ORDER BY place) AS found
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS nth FROM violations JOIN samples USING (doc_id, rule)) GROUP BY doc_id)
+"""
+    prompt = "SELECT doc_id, {} || coalesce(findings, {}) || {} || text || {} AS prompt FROM probe LEFT JOIN shown USING (doc_id)"
+    out = {f"prompt_{s.value}": head + prompt.format(*map(q, (prompts.rewrite_head(strength=s), prompts.NOTHING_FOUND, prompts.BEFORE_ARTICLE, prompts.AFTER_ARTICLE))) for s in prompts.Strength}
+    rule = f"{{'probability': round(total, 1), 'level': {_levels('total')}, 'violations': coalesce(found, [])}}"
+    both = f"{{'probability': round(total, 1), 'level': {_levels('total')}, 'decision': CASE WHEN total >= 50 THEN 'BLOCK' ELSE 'PASS' END}}"
+    ngram = "{'probability': 0.0::DOUBLE, 'level': 'UNAVAILABLE', 'available': false}"
+    out["detect_payload"] = head + f"SELECT doc_id, CAST(to_json({{'file': doc_id, 'chars': n, 'rule': {rule}, 'ngram': {ngram}, 'combined': {both}}}) AS VARCHAR) AS payload FROM scores LEFT JOIN shown USING (doc_id)"
+    return out
