@@ -8,8 +8,10 @@ one that has a third of all rows is no hot key; the shards' counts are added up
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,6 +22,8 @@ from proseplane.operators import rules
 SHARDS = 8
 WINDOW, LATE = 6 * 3600 * 10**6, 3 * 3600 * 10**6
 OUT = "source string, shard long, window long, n long, total long, late long"
+# the driver's worker that sets up the state doesn't see the session's Python files, so the processor goes as it is
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class Levels(StatefulProcessor):
