@@ -289,7 +289,9 @@ def _removed(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """docs without the documents that are contaminated; the spans that others share with items are cut out.
 
-    Columns are those of docs, with any names.
+    Columns are those of docs, with any names. Null texts stay null and empty ones empty; each of repeated rows is kept,
+    cut or dropped alike; texts of any length are read whole. A document whose coverage is just the limit goes. An empty
+    benchmark, or one of null texts, changes nothing; no rows give no rows.
     """
     found = judged(find_contamination(packed_rows(docs, F.col(text).alias("_text")), benchmark, "_text", window=window), coverage)
     kept = found.where(~F.col("contaminated"))

@@ -213,7 +213,8 @@ _RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructFiel
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred and score (0 to 1) for each whole text; columns of these names are replaced.
 
-    Null texts and texts without a letter get `und` and 0. Equal texts get equal results.
+    Null texts and texts without a letter get `und` and 0. Equal texts get equal results, repeated rows stay, no rows
+    give no rows, texts are read whole. Of languages that are equally likely the first by code point is taken.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -161,7 +161,10 @@ _FEATURES = [("width", pa.int32()), ("height", pa.int32()), ("payload_bytes", pa
 
 
 def features(data: bytes | None, tile: int = TILE) -> dict:
-    """What the stored bytes hold; only `error` for bytes that are no image that can be read, nothing for null."""
+    """What the stored bytes hold; only `error` for bytes that are no image that can be read, nothing for null.
+
+    An image whose header claims more pixels than its bytes hold is one that can't be read; nothing is reserved for it.
+    """
     if data is None:
         return {}
     try:

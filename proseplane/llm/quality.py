@@ -194,6 +194,7 @@ def compiled(model: Model, text: str) -> Column:
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """docs with the probability that each whole text is of quality; a column of that name is replaced.
 
-    Null texts score as empty ones, equal texts alike, repeated rows stay, no rows give no rows.
+    Null texts score as empty ones, equal texts alike, repeated rows stay, no rows give no rows. Texts are read whole,
+    in time proportional to their length. A score just at a threshold is for the caller to place (op3_quality: of quality).
     """
     return docs.withColumn(into, compiled(model, text))

@@ -117,7 +117,11 @@ LARGE = 1_024
 
 
 def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp") -> DataFrame:
-    """docs with the fingerprint of each whole text as a signed long; null and blank texts give 0."""
+    """docs with the fingerprint of each whole text as a signed long; null and blank texts give 0.
+
+    Texts are read whole, equal texts get equal fingerprints, repeated rows stay, no rows give no rows. A bit that is 1
+    in just half of the shingles' hashes is 0. A column `into` of docs is replaced.
+    """
     return docs.withColumn(into, _fingerprints(F.col(text)))
 
 

@@ -193,7 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """From rows of docs and labels (by doc_id); rows with label 1 are the positives, all of docs the rest.
 
     Null ids and labels are left out; other labels tell nothing. Repeated and equal texts count once. Without
-    positives, or with empty tables, every score is 0 or near it. Samples are drawn by hashes of ids and texts.
+    positives, or with empty tables, every score is 0 or near it. Samples are drawn by hashes of ids and texts, so rows
+    never tie for a place. Texts of SKETCH_FROM features and more that are near copies count once; shorter ones all count,
+    as one word more or less is much of them. A text sends its distinct
+    features, of which there are config.dims at most, however long it is.
     """
     chosen = drawn(labels.where((F.col(label) == 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_k")).distinct(), "_k", config.positives)
     known = docs.select(F.col(doc_id).alias("_k"), F.col(text).alias("_t"))
@@ -239,7 +242,9 @@ class Scorer:
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """docs with the probability that each whole text is toxic; null and empty texts get the bias's.
 
-    Equal texts get equal scores, repeated rows stay, no rows give no rows; a column `into` of docs is replaced.
+    Equal texts get equal scores, repeated rows stay, no rows give no rows; a column `into` of docs is replaced. A very
+    long text takes memory for its distinct words. Who compares with a threshold has to say where a score just at it
+    belongs; op2_toxicity counts it as toxic.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
