@@ -1,4 +1,10 @@
-"""A training-data pipeline of five operators over `documents`; each stage works on what the one before kept."""
+"""A training-data pipeline of five operators over `documents`; each stage works on what the one before kept.
+
+Null texts and texts without a letter go in the first stage; rows with null ids go through like others. A score just at a
+bound keeps its document, coverage just at the limit drops it. Of a class of near copies the least id stays, of rows with
+one id the one with the least hash; the mix draws by hashes, so ties don't depend on the run. Empty tables give no rows,
+and further columns of any name come through.
+"""
 
 from __future__ import annotations
 
