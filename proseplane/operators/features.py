@@ -42,21 +42,32 @@ def entropy(words: Column) -> Column:
 def mattr(words: Column, window: int = WINDOW) -> Column:
     """Mean share of distinct tokens over all windows; 0 for fewer tokens than one window.
 
-    Each token is counted once for each window in which it is the first of its kind, so sorting the tokens
-    with their places gives the exact sum without walking the windows.
+    Each token counts in the windows in which it is the first of its kind, so sorting the tokens with their places
+    gives the windows where counts change without walking the windows. The shares are added up window by window, as
+    SQL's mean does: the model rounds the mean to four decimals, and means that lie on an edge go by the last bits.
     """
     n = F.size(words).cast("long")
+    at = lambda s, kind: s * F.lit(4).cast("long") + F.lit(kind).cast("long")  # noqa: E731 - 0: one less, 1: one more, 3: the window's share
+
+    def changes(placed: Column) -> Column:
+        def of(x: Column, k: Column) -> Column:
+            before = F.get(placed, k - 1)
+            first = F.greatest(x["i"] - window + 1, F.when(before["w"].eqNullSafe(x["w"]), before["i"] + 1).otherwise(F.lit(0).cast("long")), F.lit(0).cast("long"))
+            last = F.least(x["i"], n - window)
+            return F.when(first <= last, F.array(at(first, 1), at(last + 1, 0))).otherwise(F.array().cast("array<bigint>"))
+
+        return F.flatten(F.transform(placed, of))
+
     placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.cast("long").alias("i"))))
-    zero = F.struct(F.lit(None).cast("string").alias("w"), F.lit(-1).cast("long").alias("i"), F.lit(0).cast("long").alias("s"))
+    shares = F.transform(F.sequence(F.lit(0).cast("long"), n - window), lambda s: at(s, 3))
+    events = F.sort_array(F.concat(F.element_at(F.transform(F.array(placed), changes), 1), shares))
+    zero = F.struct(F.lit(0).alias("d"), F.lit(0.0).alias("s"))
 
-    def step(a: Column, x: Column) -> Column:
-        before = F.when(a["w"].eqNullSafe(x["w"]), a["i"]).otherwise(F.lit(-1).cast("long"))
-        first = F.greatest(x["i"] - window + 1, before + 1, F.lit(0).cast("long"))
-        own = F.greatest(F.least(x["i"], n - window) - first + 1, F.lit(0).cast("long"))
-        return F.struct(x["w"].alias("w"), x["i"].alias("i"), (a["s"] + own).alias("s"))
+    def step(a: Column, e: Column) -> Column:
+        kind = F.pmod(e, F.lit(4))
+        return F.struct(F.when(kind == 3, a["d"]).when(kind == 1, a["d"] + 1).otherwise(a["d"] - 1).alias("d"), F.when(kind == 3, a["s"] + a["d"] / F.lit(float(window))).otherwise(a["s"]).alias("s"))
 
-    total = F.aggregate(placed, zero, step, lambda a: a["s"])
-    return F.when(n >= window, total / (F.lit(float(window)) * (n - window + 1))).otherwise(F.lit(0.0))
+    return F.when(n >= window, F.aggregate(events, zero, step, lambda a: a["s"]) / (n - window + 1)).otherwise(F.lit(0.0))
 
 
 def text_features(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -147,3 +147,14 @@ def test_joined_and_packed_models_agree(spark, texts, monkeypatch):
     assert model.packed() is None
     for a, b in zip(packed, features.features(docs, model).orderBy("doc_id").collect(), strict=True):
         assert set(a.asDict()) == set(b.asDict()) and all(a[c] == pytest.approx(b[c]) for c in a.asDict())
+
+
+def test_mattr_is_added_up_window_by_window(spark):
+    rng = random.Random(5)
+    rows = [(k, [rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 3) for _ in range(n)]) for k, n in enumerate([0, 1, 49, 50, 51, *[65] * 20, 129, 400])]
+    got = {r["k"]: r["m"] for r in spark.createDataFrame(rows, "k long, t array<string>").select("k", features.mattr(F.col("t")).alias("m")).collect()}
+    for k, t in rows:
+        total = 0.0
+        for i in range(len(t) - 49):
+            total += len(set(t[i : i + 50])) / 50.0
+        assert got[k] == (total / (len(t) - 49) if len(t) >= 50 else 0.0)  # to the last bit
