@@ -13,10 +13,11 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from proseplane.functions.batches import of_texts
 from proseplane.operators.polish import ContextLimitError, Provider, ProviderTimeout, RateLimitError
 
 
@@ -146,11 +147,13 @@ class Dispatcher:
 def dispatched(provider: Provider, prompt: Column, limits: Limits = Limits()) -> Column:
     """struct<answer, error, calls, parts> of a column of prompts; null prompts are empty ones. No row fails another."""
 
-    @F.pandas_udf("answer string, error string, calls int, parts int")
-    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("answer string, error string, calls int, parts int")
+    def ask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         asked = Dispatcher(provider, limits)
         for batch in batches:
-            rows = [asked(p or "") for p in batch]
-            yield pd.DataFrame([(r.answer, r.error, r.calls, r.parts) for r in rows], columns=["answer", "error", "calls", "parts"])
+            for part in of_texts(batch):
+                rows = [asked(p or "") for p in part.to_pylist()]
+                kinds = {"answer": pa.string(), "error": pa.string(), "calls": pa.int32(), "parts": pa.int32()}
+                yield pa.StructArray.from_arrays([pa.array([getattr(r, c) for r in rows], kind) for c, kind in kinds.items()], list(kinds))
 
     return ask(prompt)
