@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
+from proseplane.functions.batches import of_texts
 from proseplane.llm.common import packed_rows
 
 UNIT = 576
@@ -144,17 +145,18 @@ def pack(text: str | None) -> tuple[int, bytes]:
 
 @F.arrow_udf(T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
 def _packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for texts in batches:
-        sizes: list[int] = []
+    for batch in batches:
+        for texts in of_texts(batch):
+            sizes: list[int] = []
 
-        def stored(texts: pa.Array = texts, sizes: list[int] = sizes) -> Iterator[bytes]:
-            for t in texts:
-                n, data = pack(t.as_py())
-                sizes.append(n)
-                yield data
+            def stored(texts: pa.Array = texts, sizes: list[int] = sizes) -> Iterator[bytes]:
+                for t in texts:
+                    n, data = pack(t.as_py())
+                    sizes.append(n)
+                    yield data
 
-        media = pa.array(stored(), pa.binary(), size=len(texts))  # one image at a time beside the array itself
-        yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), media], ["n_bytes", "media"])
+            media = pa.array(stored(), pa.binary(), size=len(texts))  # one image at a time beside the array itself
+            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), media], ["n_bytes", "media"])
 
 
 _FEATURES = [("width", pa.int32()), ("height", pa.int32()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("dhash", pa.string()), ("tile", pa.binary()), ("error", pa.string())]
@@ -183,8 +185,9 @@ def features(data: bytes | None, tile: int = TILE) -> dict:
 
 @F.arrow_udf(from_arrow_type(pa.struct(_FEATURES)))
 def _features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for media in batches:
-        yield pa.array([features(m.as_py()) for m in media], pa.struct(_FEATURES))
+    for batch in batches:
+        for media in of_texts(batch):
+            yield pa.array([features(m.as_py()) for m in media], pa.struct(_FEATURES))
 
 
 def store_text(docs: DataFrame, text: str = "text") -> DataFrame:
