@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proseplane.functions import rulebook as book
+from proseplane.functions.batches import of_texts
 
 
 def ordered_pairs(buckets: dict[str, tuple[tuple[str, str], ...]] = book.REPLACEMENTS) -> list[tuple[str, str, str]]:
@@ -86,7 +87,8 @@ def cleaned_once(text: str | Column, buckets: dict = book.REPLACEMENTS) -> Colum
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = OnePass(buckets)
         for texts in batches:
-            yield pa.array([None if t is None else one(t) for t in texts.to_pylist()], pa.string())
+            for part in of_texts(texts):
+                yield pa.array([None if t is None else one(t) for t in part.to_pylist()], pa.string())
 
     return clean(F.col(text) if isinstance(text, str) else text)
 
