@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from proseplane.functions import rulebook as book
 from proseplane.functions import text as T
+from proseplane.functions.batches import of_sentences
 from proseplane.operators.lm import LanguageModel, Packed, hashes
 from proseplane.operators.rules import band_key
 
@@ -138,7 +139,8 @@ def with_lm_features(docs: DataFrame, model: LanguageModel) -> DataFrame:
     @F.arrow_udf(", ".join(f"{c} double" for c in _LM))
     def statistics(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.StructArray.from_arrays([pa.array(x) for x in sentence_statistics(batch, shared.value)], list(_LM))
+            for part in of_sentences(batch):
+                yield pa.StructArray.from_arrays([pa.array(x) for x in sentence_statistics(part, shared.value)], list(_LM))
 
     return docs.withColumn("f_lm", statistics("f_sentences")).withColumns({c: F.col(f"f_lm.{c}") for c in _LM}).drop("f_lm")
 
