@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -36,6 +36,8 @@ class SignalRule:
     min_length: int
     ignore_case: bool
     pattern: str
+    #: Characters that every hit begins with one of, as in a character class; empty: any.
+    begins: str = ""
 
 
 VERSION = "0.4.0"
@@ -142,8 +144,8 @@ PRETENCE = (
 )
 
 SIGNALS = (
-    SignalRule("concrete_specifics", 5, 2, 300, False, r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b|\b\d{2,}\b|\b(?:19|20)\d{2}\b"),
-    SignalRule("contrarian_hinge", 5, 1, 300, True, r"\b(?:but|however,|actually,|unless|although|despite|yet,)\b"),
+    SignalRule("concrete_specifics", 5, 2, 300, False, r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b|\b\d{2,}\b|\b(?:19|20)\d{2}\b", r"A-Z\d"),
+    SignalRule("contrarian_hinge", 5, 1, 300, True, r"\b(?:but|however,|actually,|unless|although|despite|yet,)\b", "abduhy"),
 )
 
 #: Buckets in order; within one, longer keys come first. Case matters; keys are plain substrings.
@@ -345,3 +347,10 @@ class RuleSet:
 DEFAULT = RuleSet()
 #: What a rule file that can't be read gives: no rules, so that scoring goes on.
 EMPTY = RuleSet("0.0.0-unloadable", (), (), (), (), None, None, None, None, None, None)
+
+
+def only(name: str, rules: RuleSet = DEFAULT) -> RuleSet:
+    """The rules with nothing but the one of that name."""
+    groups = {g: tuple(r for r in getattr(rules, g) if r.name == name) for g in ("words", "phrases", "pretence", "signals")}
+    singles = ("heading_density", "list_density", "sentence_length_cv", "short_sentence_ratio", "paragraph_uniformity", "para_opening_enumeration")
+    return replace(rules, **groups, **{k: None for k in singles if k != name})
