@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,8 +22,12 @@ def ordered_pairs(buckets: dict[str, tuple[tuple[str, str], ...]] = book.REPLACE
 
 
 def cleaned(text: Column, buckets: dict = book.REPLACEMENTS) -> Column:
-    """Every pair replaced in turn, each seeing what the ones before it left."""
-    return reduce(lambda c, p: F.replace(c, F.lit(p[1]), F.lit(p[2])), ordered_pairs(buckets), text)
+    """Every pair replaced in turn, each seeing what the ones before it left; a text is searched for a key before it is replaced, which is quicker."""
+    pairs = ordered_pairs(buckets)
+    if not pairs:
+        return text
+    table = F.array(*[F.struct(F.lit(a).alias("old"), F.lit(b).alias("new")) for _, a, b in pairs])
+    return F.aggregate(table, text, lambda c, p: F.when(F.contains(c, p["old"]), F.replace(c, p["old"], p["new"])).otherwise(c))
 
 
 class OnePass:
@@ -107,7 +110,8 @@ def dimension(spark, buckets: dict = book.REPLACEMENTS) -> DataFrame:
     return spark.createDataFrame([(i, *p) for i, p in enumerate(ordered_pairs(buckets))], "ord int, bucket string, old string, new string")
 
 
-def leftovers(docs: DataFrame, text: str, key: str = "doc_id", buckets: dict = book.REPLACEMENTS) -> DataFrame:
-    """(key, old): the keys that a text still contains."""
-    olds = F.array(*[F.when(F.contains(F.col(text), F.lit(a)), F.lit(a)) for _, a, _ in ordered_pairs(buckets)])
-    return docs.select(key, F.explode_outer(F.filter(olds, lambda x: x.isNotNull())).alias("old")).where("old is not null")
+def leftovers(docs: DataFrame, text: str, key: str = "doc_id", buckets: dict = book.REPLACEMENTS, none: str | None = None) -> DataFrame:
+    """(key, old): the keys that a text still contains; with `none` a row of that for each text, null ones too, that contains none."""
+    olds = F.filter(F.array(F.lit(None).cast("string"), *[F.lit(a) for _, a, _ in ordered_pairs(buckets)]), lambda a: F.contains(F.col(text), a))
+    rows = docs.select(key, F.explode_outer(olds).alias("old"))
+    return rows.where("old is not null") if none is None else rows.withColumn("old", F.coalesce("old", F.lit(none)))
