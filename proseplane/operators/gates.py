@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proseplane.operators.features import fleschkincaid
@@ -10,28 +13,59 @@ from proseplane.operators.features import fleschkincaid
 EXTERNAL_RISE, EXTERNAL_SHARE, MEANING, GRADES, CALIBRATION = 0.3, 0.80, 0.85, 2.0, 0.75
 
 
-def readability_rows(docs: DataFrame, before: str, after: str, key: str = "doc_id") -> DataFrame:
-    rows = docs.select(key, fleschkincaid(before).alias("before_grade"), fleschkincaid(after).alias("after_grade"))
+def readability_rows(docs: DataFrame, before: str, after: str, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    rows = docs.select(key, *keep, fleschkincaid(before).alias("before_grade"), fleschkincaid(after).alias("after_grade"))
     return rows.withColumn("change", F.abs(F.col("after_grade") - F.col("before_grade")))
 
 
+@dataclass(frozen=True)
+class Gate:
+    """A mean over the rows, and what it has to be."""
+
+    name: str
+    value: Column
+    threshold: float
+    passes: Callable[[Column], Column]
+
+
+def readability(most: float = GRADES) -> Gate:
+    """The mean change of grade is small enough."""
+    return Gate("readability", F.col("change"), most, lambda m: m <= most)
+
+
+def external(before: str, after: str, rise: float = EXTERNAL_RISE, share: float = EXTERNAL_SHARE) -> Gate:
+    """The share of samples whose external score rose enough is large enough."""
+    return Gate("external_score", (F.col(after) - F.col(before) >= rise).cast("double"), share, lambda m: m >= share)
+
+
+def meaning(score: str, least: float = MEANING, name: str = "meaning") -> Gate:
+    """The mean similarity is large enough."""
+    return Gate(name, F.col(score), least, lambda m: m >= least)
+
+
 def _row(name: str, metric, threshold: float, passes) -> list:
     return [F.lit(name).alias("name"), metric.alias("metric"), F.lit(threshold).alias("threshold"), F.when(metric.isNull(), F.lit("skipped")).when(passes(metric), F.lit("pass")).otherwise(F.lit("fail")).alias("status")]
 
 
+def at_once(rows: DataFrame, *gates: Gate) -> DataFrame:
+    """One row for each gate, from one pass over the rows; skipped without values."""
+    means = rows.agg(*[F.avg(g.value).alias(f"m{k}") for k, g in enumerate(gates)])
+    return means.select(F.inline(F.array(*[F.struct(*_row(g.name, F.col(f"m{k}"), g.threshold, g.passes)) for k, g in enumerate(gates)])))
+
+
 def readability_gate(rows: DataFrame, most: float = GRADES) -> DataFrame:
     """One row: the mean change of grade and whether it is small enough; skipped without rows."""
-    return rows.agg(F.avg("change").alias("m")).select(*_row("readability", F.col("m"), most, lambda m: m <= most))
+    return at_once(rows, readability(most))
 
 
 def external_gate(rows: DataFrame, before: str, after: str, rise: float = EXTERNAL_RISE, share: float = EXTERNAL_SHARE) -> DataFrame:
     """One row: the share of samples whose external score rose enough; skipped without scores."""
-    return rows.agg(F.avg((F.col(after) - F.col(before) >= rise).cast("double")).alias("m")).select(*_row("external_score", F.col("m"), share, lambda m: m >= share))
+    return at_once(rows, external(before, after, rise, share))
 
 
 def meaning_gate(rows: DataFrame, score: str, least: float = MEANING) -> DataFrame:
     """One row: the mean similarity and whether it is large enough; skipped without scores."""
-    return rows.agg(F.avg(score).alias("m")).select(*_row("meaning", F.col("m"), least, lambda m: m >= least))
+    return at_once(rows, meaning(score, least))
 
 
 def calibration_gate(auc: DataFrame, least: float = CALIBRATION) -> DataFrame:
