@@ -12,12 +12,14 @@ FLAGS = "(?Ud)"
 BLANK = r"[\s\x1c-\x1f]"
 TOKEN = r"[A-Za-z]+(?:'[A-Za-z]+)?"
 SENTENCE_BREAK = rf"(?<=[.!?]){BLANK}+(?=[A-Z\"'(\[])|\n+"
+#: The characters that BLANK matches under FLAGS.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 PARAGRAPH_BREAK = rf"\n{BLANK}*\n+"
 
 
 def stripped(s: Column) -> Column:
     """Without blanks of any kind at either end."""
-    return F.regexp_replace(s, rf"{FLAGS}\A{BLANK}+|{BLANK}+\z", "")
+    return F.btrim(s, F.lit(BLANKS))
 
 
 def is_blank(s: Column) -> Column:
@@ -44,7 +46,7 @@ def token_count(s: Column) -> Column:
 
 
 def _parts(s: Column, at: str) -> Column:
-    return F.filter(F.transform(F.split(normalised(s), FLAGS + at, -1), stripped), lambda x: x != "")
+    return F.filter(F.transform(F.split(normalised(s), f"{FLAGS}(?={BLANK})(?:{at})", -1), stripped), lambda x: x != "")  # a break begins with a blank, which few places do
 
 
 def sentences(s: Column) -> Column:
@@ -112,6 +114,23 @@ def _guarded(ordered: list[str], strict: bool) -> str:
     return rf"(?<![\w'])(?:{body})(?![\w'])" if strict else rf"(?<![\w']){body}(?![\w'])"
 
 
+def holds_any(s: Column, texts: list[str]) -> Column:
+    """Whether s holds one of the texts; much quicker than a pattern of them."""
+    return F.exists(F.array(*map(F.lit, texts)), lambda x: F.contains(s, x)) if texts else F.lit(False)
+
+
+def fixed_part(pattern: str) -> str:
+    """The longest run of plain characters that every match of a regular expression holds, in any case; empty if none is sure."""
+    if re.search(r"\\[^\WbBdDsSwWAzZ]|\(\?[a-zA-Z]*x", pattern):  # characters by number or class, quotations, free spacing
+        return ""
+    alone = re.sub(r"\[[^\]]*\]|\\.", lambda m: "\0" if m[0][0] == "[" or m[0][1].isalnum() else "\1", pattern)
+    while (inner := re.sub(r"\([^()]*\)", "\0", alone)) != alone:
+        alone = inner
+    if "|" in alone:
+        return ""
+    return max(re.split("[\0\1.^$]", re.sub(r".(?:[*?]|\{[^}]*\})", "\0", alone.replace("+", "\0"))), key=len)
+
+
 def first_letters(patterns: tuple[str, ...]) -> str:
     """A look-ahead for any pattern's first letter, which spares most places the alternatives."""
     return "(?=[" + "".join(sorted({p[0] for p in patterns})) + "])"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from proseplane.functions import rulebook as book
 from proseplane.functions import text as T
 
-HEADING = r"(?md)(?:^|\n)#{1,6}[\s\x1c-\x1f]+[^\s\x1c-\x1f]"
+HEADING = r"(?md)(?=[\n#])(?:^|\n)#{1,6}[\s\x1c-\x1f]+[^\s\x1c-\x1f]"
 LIST_ITEM = r"(?U)\A[\s\x1c-\x1f]*(?:[-*•][\s\x1c-\x1f]+|\d+[.)][\s\x1c-\x1f]+)"
 #: Characters that make one unit of text; longer texts have their sums divided.
 UNIT = 3000.0
@@ -39,16 +39,20 @@ def first_hit(rule: book.ListRule, body: Column, phrases: bool, strict: bool = F
     return F.regexp_extract(body, "(?iuUd)" + _pattern(rule, phrases, strict), 0)
 
 
-def regex_hits(rule: book.RegexRule, body: Column) -> Column:
-    """Hits of each pattern by itself, added up."""
+def regex_hits(rule: book.RegexRule, body: Column, lowered: Column | None = None) -> Column:
+    """Hits of each pattern by itself, added up; with the text lower_folded, only where that holds what all hits hold."""
     total = F.lit(0)
     for p in rule.patterns:
-        total = total + F.regexp_count(body, F.lit("(?iuUd)" + p))
+        hits, part = F.regexp_count(body, F.lit("(?iuUd)" + p)), T.fixed_part(p)
+        if lowered is not None and part.isascii() and part.strip():
+            hits = F.when(F.contains(lowered, F.lit(part.lower())), hits).otherwise(F.lit(0))
+        total = total + hits
     return total
 
 
 def signal_hits(rule: book.SignalRule, body: Column) -> Column:
-    return F.regexp_count(body, F.lit(("(?iuUd)" if rule.ignore_case else T.FLAGS) + rule.pattern))
+    begins = f"(?=[{rule.begins}])(?:{rule.pattern})" if rule.begins else rule.pattern
+    return F.regexp_count(body, F.lit(("(?iuUd)" if rule.ignore_case else T.FLAGS) + begins))
 
 
 def prepared(docs: DataFrame, text: str = "text", strip_code: bool = True, rules: book.RuleSet = book.DEFAULT) -> DataFrame:
@@ -85,47 +89,23 @@ def _violation(category: str, rule: str, weight: int, count: Column, sample: Col
     return F.when(fires, row.cast(VIOLATION))
 
 
-def _any_of(patterns: list[str]) -> str:
-    """One expression for all patterns, branching by first letter, so that a place is tried by few of them."""
-    if not patterns:
-        return "(?!)"
-    by: dict[str, list[str]] = {}
-    for p in dict.fromkeys(patterns):
-        first = p[:2] if p[0] == "\\" else p[0]  # an escaped character stays whole
-        by.setdefault(first, []).append(p[len(first) :])
-    return "(?:" + "|".join(c + "(?:" + "|".join(rest) + ")" for c, rest in sorted(by.items())) + ")"
-
-
-def _gates(rules: book.RuleSet) -> tuple[str, str, str]:
-    """Expressions that match every piece between blanks with a hit of a word rule, the longest phrase of any
-    rule at each place of a text, and every lower-case text with a hit of a pretence rule (its beginning)."""
-    words = _any_of([re.escape(w) for r in rules.words for w in r.patterns])
-    every = sorted((p for r in rules.phrases for p in r.patterns), key=len, reverse=True)
-    phrases = T.FLAGS + "(?=(" + _any_of([f"{T.BLANK}+".join(map(re.escape, p.split(" "))) for p in every]) + "))"
-    begins = {re.split(r"[(\\.*+?|{^$]", p.removeprefix(r"\b"))[0].rstrip() if p.startswith(r"\b") else "" for r in rules.pretence for p in r.patterns}
-    return words, phrases, "(?Ud)" + ("" if "" in begins else r"\b") + "(?:" + "|".join(sorted(begins)) + ")"
+def _begins(phrases: bool, rule: book.ListRule, lowered: Column) -> Column:
+    """Whether a text may have hits of a rule: it holds one of its words, or all words of one of its phrases."""
+    if not phrases:
+        return T.holds_any(lowered, list(rule.patterns))
+    words = F.array(*[F.array(*[F.lit(w) for w in sorted(p.split(" "), key=len, reverse=True)]) for p in rule.patterns])
+    return F.exists(words, lambda p: F.forall(p, lambda w: F.contains(lowered, w))) if rule.patterns else F.lit(False)
 
 
 def _listed(docs: DataFrame, strict: bool, rules: book.RuleSet) -> tuple[DataFrame, list[Column]]:
-    """Word rules read only the pieces that hold a listed word; phrase rules only texts that hold one of theirs.
-
-    One pass finds the longest phrase at each place; a shorter one that begins it may be another rule's.
-    """
-    in_piece, in_text, _ = _gates(rules)
-    pieces = F.array_join(F.filter(F.split("p_lower", " ", -1), lambda w: F.rlike(w, F.lit(in_piece))), " ")
-    found = F.transform(F.regexp_extract_all("p_lower", F.lit(in_text), F.lit(1)), lambda x: F.regexp_replace(x, f"{T.FLAGS}{T.BLANK}+", " "))
-    docs = docs.withColumns({"p_pieces": pieces, "p_phrases": F.array_distinct(found)})
-    every = [p for r in rules.phrases for p in r.patterns]
+    """The expressions of word and phrase rules read only texts that hold their words."""
     counts, out = {}, []
     for category, group in (("blacklist_words", rules.words), ("blacklist_phrases", rules.phrases)):
         for r in group:
             n = f"n_{r.name}"
             phrases = category == "blacklist_phrases"
-            hits = list_hits(r, F.col("p_lower" if phrases or any(" " in w for w in r.patterns) else "p_pieces"), phrases, strict)
-            if phrases:
-                may = F.array(*[F.lit(p) for p in every if any(p.startswith(q) for q in r.patterns)])
-                hits = F.when(F.arrays_overlap("p_phrases", may), hits).otherwise(F.lit(0))
-            counts[n] = hits
+            lowered = F.col("p_lower")
+            counts[n] = F.when(_begins(phrases, r, lowered), list_hits(r, lowered, phrases, strict)).otherwise(F.lit(0))
             sample = first_hit(r, F.col("p_body"), phrases, strict)
             out.append(_violation(category, r.name, r.weight, F.col(n), sample, r.hard, ladder(F.col(n), r.weight, r.soft, r.hard), F.col(n) > 0))
     return docs.withColumns(counts), out
@@ -167,10 +147,9 @@ def _rhythm(rules: book.RuleSet) -> list[Column]:
 
 def _pretence(docs: DataFrame, has_notes: Column, rules: book.RuleSet) -> tuple[DataFrame, list[Column]]:
     counts, out = {}, []
-    *_, begins = _gates(rules)
     for r in rules.pretence:
         n = f"n_{r.name}"
-        counts[n] = F.when(has_notes | ~F.rlike("p_lower", F.lit(begins)), F.lit(0)).otherwise(regex_hits(r, F.col("p_body")))
+        counts[n] = F.when(has_notes, F.lit(0)).otherwise(regex_hits(r, F.col("p_body"), F.col("p_lower")))
         samples = [F.nullif(F.regexp_extract("p_body", "(?iuUd)" + p, 0), F.lit("")) for p in r.patterns]
         out.append(_violation("fake_human", r.name, r.weight, F.col(n), F.coalesce(*samples), r.hard, ladder(F.col(n), r.weight, None, r.hard), F.col(n) > 0))
     return docs.withColumns(counts), out
