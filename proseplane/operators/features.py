@@ -7,13 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proseplane.functions import rulebook as book
 from proseplane.functions import text as T
-from proseplane.functions.batches import of_sentences
+from proseplane.functions.batches import of_texts
+from proseplane.functions.segments import Segments, segmented
 from proseplane.operators.lm import LanguageModel, Packed, hashes
 from proseplane.operators.rules import band_key
 
@@ -24,7 +24,23 @@ DECIMALS = {
     "perplexity": 2, "avg_log_prob": 3, "burstiness": 4, "entropy_cv": 4, "mean_entropy": 3, "transition_density": 2, "sentence_cv": 4, "short_frac": 4,
     "equal_mid_frac": 4, "word_mattr": 4, "comma_density": 2, "punct_density": 2,
 }
-TRANSITION = r"(?iuUd)\b(?:" + "|".join(map(re.escape, book.TRANSITIONS)) + r")\b"
+
+
+def _by_first_letter(phrases: tuple[str, ...]) -> str:
+    r"""(?iuUd)\b(?:...)\b of phrases of letters, which tries them only where a word begins with one's first letter.
+
+    Letters that fold to others begin words too. Phrases of one first letter keep their order.
+    """
+    groups: dict[str, list[str]] = {}
+    for p in phrases:
+        groups.setdefault(p[0], []).append(re.escape(p[1:]))
+    folded = {"i": "\u0130\u0131", "s": "\u017f", "k": "\u212a"}
+    begins = "".join(c + c.upper() + folded.get(c, "") for c in groups)
+    body = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in groups.items())
+    return rf"(?Ud)(?<![a-z])(?=[{begins}])(?iu:\b(?:{body})\b)"
+
+
+TRANSITION = _by_first_letter(book.TRANSITIONS)
 
 
 def entropy(words: Column) -> Column:
@@ -71,86 +87,114 @@ def mattr(words: Column, window: int = WINDOW) -> Column:
     return F.when(n >= window, F.aggregate(events, zero, step, lambda a: a["s"]) / (n - window + 1)).otherwise(F.lit(0.0))
 
 
-def text_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the features that need no language model, word_count, and the arrays f_tokens and f_sentences."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    docs = docs.withColumns({"f_tokens": T.once(T.tokens(t)), "f_sentences": F.transform(T.sentences(t), T.tokens), "f_paragraphs": F.transform(T.paragraphs(t), T.tokens)})
-    n = F.size("f_tokens")
-    per = lambda c, k: F.when(n > 0, c * F.lit(float(k)) / n).otherwise(F.lit(0.0))
-    lengths = F.transform("f_sentences", lambda s: F.size(s).cast("double"))
-    enough = (F.size("f_sentences") >= 3) & F.exists("f_sentences", lambda s: F.size(s) > 0)
-    share = lambda test: F.when(enough, F.size(F.filter(lengths, test)) / F.size(lengths)).otherwise(F.lit(0.0))
-    docs = docs.withColumn("f_entropies", F.transform(F.filter("f_paragraphs", lambda p: F.size(p) >= 8), entropy))
-    two = F.size("f_entropies") >= 2
-    commas = F.regexp_count(t, F.lit(","))
-    return docs.withColumns({
-        "word_count": n,
-        "entropy_cv": F.when(two, T.variation(F.col("f_entropies"))).otherwise(F.lit(0.0)),
-        "mean_entropy": F.when(two, T.mean(F.col("f_entropies"))).otherwise(F.lit(0.0)),
-        "transition_density": per(F.regexp_count(t, F.lit(TRANSITION)), 1000),
-        "sentence_cv": F.when(enough, T.variation(lengths)).otherwise(F.lit(0.0)),
-        "short_frac": share(lambda x: x < 6),
-        "equal_mid_frac": share(lambda x: (x >= 15) & (x <= 25)),
-        "word_mattr": mattr(F.col("f_tokens")),
-        "comma_density": per(commas, 100),
-        "punct_density": per(commas + F.regexp_count(t, F.lit("[;:—–()]")), 100),
-    }).drop("f_paragraphs", "f_entropies")
+def _variation(of: np.ndarray, values: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size, mean and population deviation of each group of values, added up in their order."""
+    k = np.bincount(of, minlength=groups)
+    mu = np.bincount(of, values, groups) / np.maximum(k, 1)
+    return k, mu, np.sqrt(np.bincount(of, (values - mu[of]) ** 2, groups) / np.maximum(k, 1))
+
+
+def _entropies(parts: Segments) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the entropy of each paragraph of eight words at least."""
+    sizes = np.bincount(parts.paragraph_of, minlength=len(parts.text_of_paragraph))
+    own = sizes[parts.paragraph_of] >= 8
+    keys, counts = np.unique(parts.paragraph_of[own] * len(parts.known) + parts.words[own], return_counts=True)
+    long = np.flatnonzero(sizes >= 8)
+    weighed = np.bincount(keys // max(len(parts.known), 1), counts * np.log2(counts), len(sizes))[long]
+    return parts.text_of_paragraph[long], np.log2(sizes[long]) - weighed / sizes[long]
+
+
+def _mattr(text_of: np.ndarray, words: np.ndarray, texts: int, window: int = WINDOW) -> np.ndarray:
+    """mattr() of each text: a word counts in the windows in which it is the first of its kind, shares are added up window by window."""
+    n, i = np.bincount(text_of, minlength=texts), np.arange(len(words))
+    begin = (np.cumsum(n) - n)[text_of]
+    last = begin + n[text_of] - window  # the last window of the word's text
+    key = text_of * (words.max(initial=0) + 1) + words
+    order = np.argsort(key, kind="stable")
+    again = np.flatnonzero(key[order][1:] == key[order][:-1])
+    before = begin - 1
+    before[order[again + 1]] = order[again]
+    low, high = np.maximum(np.maximum(i - window + 1, before + 1), begin), np.minimum(i, last)
+    some = low <= high
+    distinct = np.cumsum(np.bincount(low[some], minlength=len(i) + 1) - np.bincount(high[some] + 1, minlength=len(i) + 1))[:-1]
+    starts = i <= last
+    return np.bincount(text_of[starts], distinct[starts] / float(window), texts) / np.maximum(n - window + 1, 1)
+
+
+_OWN = ("entropy_cv", "mean_entropy", "sentence_cv", "short_frac", "equal_mid_frac", "word_mattr", "comma_density", "punct_density")
+_LM = ("perplexity", "avg_log_prob", "burstiness")
 
 
-_LM = ("perplexity", "avg_log_prob", "burstiness")
+def own_statistics(parts: Segments) -> dict[str, np.ndarray]:
+    """word_count and the features that need no language model, but transition_density."""
+    texts, n = parts.texts, np.bincount(parts.text_of, minlength=parts.texts)
+    per = lambda c: np.where(n > 0, c * 100.0 / np.maximum(n, 1), 0.0)
+    k, mean, spread = _variation(*_entropies(parts), texts)
+    two = k >= 2
+    of, lengths = parts.text_of_sentence, np.bincount(parts.sentence_of, minlength=len(parts.text_of_sentence)).astype(np.float64)
+    lines, mu, sd = _variation(of, lengths, texts)
+    enough = (lines >= 3) & (n > 0)
+    share = lambda test: np.where(enough, np.bincount(of[test], minlength=texts) / np.maximum(lines, 1), 0.0)
+    ratio = lambda test, a, b: np.where(test & (b != 0), a / np.where(b != 0, b, 1.0), 0.0)
+    return {
+        "word_count": n,
+        "entropy_cv": ratio(two, spread, mean),
+        "mean_entropy": np.where(two, mean, 0.0),
+        "sentence_cv": ratio(enough, sd, mu),
+        "short_frac": share(lengths < 6),
+        "equal_mid_frac": share((lengths >= 15) & (lengths <= 25)),
+        "word_mattr": _mattr(parts.text_of, parts.words, texts),
+        "comma_density": per(parts.commas),
+        "punct_density": per(parts.commas + parts.marks),
+    }
 
 
-def sentence_statistics(sentences: pa.ListArray, model: Packed) -> list[np.ndarray]:
-    """perplexity, avg_log_prob and burstiness of texts given as lists of sentences of tokens."""
-    inner = sentences.flatten()
-    words = inner.flatten()
-    docs, sents, n = len(sentences), len(inner), len(words)
-    sent_of = pc.list_parent_indices(inner).to_numpy().astype(np.int64)
-    doc_of_sent = pc.list_parent_indices(sentences).to_numpy().astype(np.int64)
-    doc_of = doc_of_sent[sent_of] if n else np.zeros(0, np.int64)
-    tokens, lines = np.bincount(doc_of, minlength=docs), np.bincount(doc_of_sent, minlength=docs)
-    lp = model.log_probabilities(hashes(words)) if n > 1 else np.zeros(0)
-    together, own = doc_of[1:] == doc_of[:-1], sent_of[1:] == sent_of[:-1]
+def lm_statistics(parts: Segments, model: Packed) -> dict[str, np.ndarray]:
+    """perplexity, avg_log_prob and burstiness.
+
+    Under five words perplexity and avg_log_prob are 0; burstiness needs three sentences of three words.
+    """
+    texts, doc, sent = parts.texts, parts.text_of, parts.sentence_of
+    tokens, lines = np.bincount(doc, minlength=texts), np.bincount(parts.text_of_sentence, minlength=texts)
+    lp = model.log_probabilities(hashes(parts.known), parts.words)
+    together, own = doc[1:] == doc[:-1], sent[1:] == sent[:-1]
     with np.errstate(divide="ignore", invalid="ignore"):
-        a = np.bincount(doc_of[1:][together], lp[together], docs) / np.maximum(tokens - 1, 1)
-        pairs = np.bincount(sent_of[1:][own], minlength=sents)
-        means = np.bincount(sent_of[1:][own], lp[own], sents) / np.maximum(pairs, 1)
-        long, of = pairs >= 2, doc_of_sent
-        k = np.bincount(of[long], minlength=docs)
-        mu = np.bincount(of[long], means[long], docs) / np.maximum(k, 1)
-        sd = np.sqrt(np.bincount(of[long], (means[long] - mu[of[long]]) ** 2, docs) / np.maximum(k, 1))
+        a = np.bincount(doc[1:][together], lp[together], texts) / np.maximum(tokens - 1, 1)
+        pairs = np.bincount(sent[1:][own], minlength=len(parts.text_of_sentence))
+        means = np.bincount(sent[1:][own], lp[own], len(pairs)) / np.maximum(pairs, 1)
+        long = pairs >= 2
+        k, mu, sd = _variation(parts.text_of_sentence[long], means[long], texts)
         bursts = np.where((lines >= 3) & (k >= 3) & (mu != 0), np.abs(sd / mu), 0.0)
     known = tokens >= 5
-    return [np.where(known, np.minimum(np.exp(-np.where(known, a, 0)), 1e6), 0.0), np.where(known, a, 0.0), bursts]
+    return dict(zip(_LM, (np.where(known, np.minimum(np.exp(-np.where(known, a, 0)), 1e6), 0.0), np.where(known, a, 0.0), bursts), strict=True))
 
 
-def with_lm_features(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs with perplexity, avg_log_prob and burstiness from f_sentences, where the rows are; None if the model is too large for that.
+def text_features(docs: DataFrame, text: str = "text", model: Packed | None = None) -> DataFrame:
+    """docs with word_count and the features that need no language model; with a packed one, all of them, in one Arrow pass over the texts."""
+    shared = None if model is None else docs.sparkSession.sparkContext.broadcast(model)
+    names = _OWN if model is None else (*_OWN, *_LM)
 
-    Under five tokens perplexity and avg_log_prob are 0; burstiness needs three sentences of three tokens.
-    """
-    if not model.available:
-        return docs.withColumns({c: F.lit(0.0) for c in _LM})
-    packed = model.packed()
-    if packed is None:
-        return None
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
-
-    @F.arrow_udf(", ".join(f"{c} double" for c in _LM))
+    @F.arrow_udf("word_count int, " + ", ".join(f"{c} double" for c in names))
     def statistics(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            for part in of_sentences(batch):
-                yield pa.StructArray.from_arrays([pa.array(x) for x in sentence_statistics(part, shared.value)], list(_LM))
+            for part in of_texts(batch):
+                parts = segmented(part)
+                found = own_statistics(parts) | ({} if shared is None else lm_statistics(parts, shared.value))
+                yield pa.StructArray.from_arrays([pa.array(found["word_count"], pa.int32()), *[pa.array(found[c], pa.float64()) for c in names]], ["word_count", *names])
 
-    return docs.withColumn("f_lm", statistics("f_sentences")).withColumns({c: F.col(f"f_lm.{c}") for c in _LM}).drop("f_lm")
+    docs = docs.withColumn("f_own", statistics(text)).withColumns({c: F.col(f"f_own.{c}") for c in ("word_count", *names)}).drop("f_own")
+    n = F.col("word_count")
+    marks = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(TRANSITION))
+    return docs.withColumn("transition_density", F.when(n > 0, marks * F.lit(1000.0) / n).otherwise(F.lit(0.0)))
 
 
-def lm_features(docs: DataFrame, model: LanguageModel, key: str = "doc_id") -> DataFrame:
-    """(key, perplexity, avg_log_prob, burstiness) from f_sentences by joins; one shuffle, of a row for each sentence.
+def lm_features(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, perplexity, avg_log_prob, burstiness) by joins; one shuffle, of a row for each sentence.
 
     For models too large to send to the workers. Sentences hold all tokens in order, so one pass gives the pairs of
     the text and those within sentences.
     """
+    docs = docs.select(key, T.once(F.transform(T.sentences(F.coalesce(F.col(text), F.lit(""))), T.tokens)).alias("f_sentences"))
     words = F.flatten(F.transform("f_sentences", lambda s, i: F.transform(s, lambda w: F.struct(w.alias("w"), i.alias("s")))))
     base = docs.select(key, F.size("f_sentences").alias("sents"), words.alias("t"))
     n = F.size("t")
@@ -178,11 +222,14 @@ def features(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
     Where the model goes to the workers this is one pass over docs, and keys don't matter. Up to lm.PACKED_ROWS rows
     it does, and words are told apart by 64-bit hashes there; by themselves beyond that.
     """
-    own = text_features(docs.select(key, text, *keep), text).drop(text, "f_tokens")
-    there = with_lm_features(own, model)
-    if there is not None:
-        return there.drop("f_sentences")
-    return own.drop("f_sentences").join(lm_features(own, model, key), key, "left").withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in _LM})
+    docs = docs.select(key, text, *keep)
+    packed = model.packed() if model.available else None
+    own = text_features(docs, text, packed).drop(text)
+    if packed is not None:
+        return own
+    if not model.available:
+        return own.withColumns({c: F.lit(0.0) for c in _LM})
+    return own.join(lm_features(docs, model, key, text), key, "left").withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in _LM})
 
 
 def probability(calibration=book.CALIBRATION, intercept: float = book.INTERCEPT, rounded: bool = True) -> Column:

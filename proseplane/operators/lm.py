@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,12 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proseplane.functions import text as T
+from proseplane.functions.batches import of_texts
+from proseplane.functions.segments import segmented
 
 #: Rows that are kept of each table; so joins can broadcast them (some 40 MB at most).
 UNIGRAMS = 100_000
 BIGRAMS = 500_000
 #: Tables of so many rows together at most are sent to the workers (16 bytes a row); larger ones are joined.
 PACKED_ROWS = 2_000_000
+#: Bytes of text whose pairs a worker adds up at a time.
+PAIRED_BYTES = 4_000_000
 
 
 def unigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -39,10 +44,25 @@ def bigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(w1, w2, cnt) over all texts with null before a text's first word: the counts of words too, in one scan."""
-    words = docs.select(T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    placed = F.transform("t", lambda w, i: F.struct(F.when(i > 0, F.get("t", i - 1)).alias("w1"), w.alias("w2")))
-    return words.select(F.explode_outer(placed).alias("p")).where("p is not null").groupBy("p.w1", "p.w2").agg(F.count("*").alias("cnt"))
+    """(w1, w2, cnt) over all texts with null before a text's first word: the counts of words too, in one scan.
+
+    A worker adds up the pairs of some megabytes of text before they leave it.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in of_texts(batch.column(0), PAIRED_BYTES):
+                parts = segmented(part)
+                n = len(parts.known)
+                first = np.append(True, parts.text_of[1:] != parts.text_of[:-1])[: len(parts.words)]
+                before = np.where(first, n, np.append(n, parts.words[:-1])[: len(parts.words)])
+                keys, counts = np.unique(before * n + parts.words, return_counts=True)
+                if len(keys):
+                    w1, w2 = np.divmod(keys, n)
+                    yield pa.RecordBatch.from_arrays([parts.known.take(pa.array(w1, mask=w1 == n)), parts.known.take(pa.array(w2)), pa.array(counts)], names=["w1", "w2", "n"])
+
+    rows = docs.select(F.col(text)).mapInArrow(counted, "w1 string, w2 string, n long")
+    return rows.groupBy("w1", "w2").agg(F.sum("n").alias("cnt"))
 
 
 def top(counts: DataFrame, k: int, order: list[str], hold: bool = True) -> DataFrame:
@@ -95,22 +115,20 @@ class Packed:
     pair_counts: np.ndarray
     total: int
 
-    def log_probabilities(self, h: np.ndarray) -> np.ndarray:
-        """Of each word but the first, given the one before it; see LanguageModel.log_probabilities."""
+    def log_probabilities(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Of each word but the first, given the one before it; words: places in h, hashes of distinct words. See LanguageModel.log_probabilities."""
         v = float(len(self.words))
-        c = _counts(self.words, self.word_counts, h)
-        both = _counts(self.pairs, self.pair_counts, _mixed(h[:-1], h[1:]))
+        c = _counts(self.words, self.word_counts, h)[words]
+        both = _counts(self.pairs, self.pair_counts, _mixed(h[words[:-1]], h[words[1:]]))
         known = c[:-1] > 0
         return np.log(np.where(known, both + 1, c[1:] + 1) / np.where(known, c[:-1] + v, self.total + v))
 
 
 def hashes(words: pa.Array) -> np.ndarray:
-    """XXH64 of each word with the seed of Spark's xxhash64; equal words are hashed once."""
+    """XXH64 of each word with the seed of Spark's xxhash64."""
     import xxhash
 
-    coded = words.dictionary_encode()
-    known = np.array([xxhash.xxh64_intdigest(w, 42) for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
-    return known[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
+    return np.array([xxhash.xxh64_intdigest(w, 42) for w in words.cast(pa.binary()).to_pylist()], np.uint64)
 
 
 class LanguageModel:
@@ -156,9 +174,13 @@ class LanguageModel:
                 return None
             raise
 
+    def fits(self) -> bool:
+        """Whether the tables are small enough for the workers."""
+        return self.vocabulary + self.bigrams.limit(PACKED_ROWS + 1).count() <= PACKED_ROWS
+
     def packed(self) -> Packed | None:
         """The tables for the workers; None where they are too large."""
-        if self.vocabulary + self.bigrams.limit(PACKED_ROWS + 1).count() > PACKED_ROWS:
+        if not self.fits():
             return None
 
         def sorted_columns(rows: DataFrame) -> tuple[np.ndarray, ...]:
