@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,10 @@ BIGRAMS = 500_000
 PACKED_ROWS = 2_000_000
 #: Bytes of text whose pairs a worker adds up at a time.
 PAIRED_BYTES = 4_000_000
+#: Distinct pairs, about, that a worker holds before it sends them on.
+HELD_PAIRS = 2_000_000
+#: Rows of one count that one task ranks, where prefixes can tell more of them apart.
+RANKED = 100_000
 
 
 def unigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -43,26 +48,109 @@ def bigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.groupBy("p.w1", "p.w2").agg(F.count("*").alias("cnt"))
 
 
+def _added(parts: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of parts (words, w1, w2, n) as one part; w1 and w2 are places in the words, one behind the last for none."""
+    coded = pa.concat_arrays([p[0] for p in parts]).dictionary_encode()
+    known, places = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    v, ends = len(known), np.cumsum([len(p[0]) for p in parts])
+    own = [np.append(places[end - len(p[0]) : end], v) for p, end in zip(parts, ends, strict=True)]
+    keys = np.concatenate([at[p[1]] * v + at[p[2]] for p, at in zip(parts, own, strict=True)])
+    order = np.argsort(keys)
+    keys, counts = keys[order], np.concatenate([p[3] for p in parts])[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    w1, w2 = np.divmod(keys[first], max(v, 1))
+    return known, w1, w2, np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _dealt(part: tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray], groups: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs of a part by a hash of both words, each group with the words that it holds."""
+    known, w1, w2, n = part
+    h = np.append(hashes(known), np.uint64(0))
+    of = (_mixed(h[w1], h[w2]) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[order], np.arange(groups + 1))
+    for g in np.flatnonzero(np.diff(ends)):
+        rows = order[ends[g] : ends[g + 1]]
+        words = np.unique(np.append(w2[rows], w1[rows][w1[rows] < len(known)]))
+        place = lambda w: np.searchsorted(words, w)  # noqa: E731 - none stays behind the last
+        yield int(g), known.take(pa.array(words)), place(w1[rows]), place(w2[rows]), n[rows]
+
+
 def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(w1, w2, cnt) over all texts with null before a text's first word: the counts of words too, in one scan.
 
-    A worker adds up the pairs of some megabytes of text before they leave it.
+    A worker adds up pairs until it holds HELD_PAIRS distinct ones. They are shuffled by a hash of both words, as many
+    groups as there are shuffle partitions; a row is what a worker has for a group: the words once, and arrays of places
+    and counts. So the shuffle's rows go by tasks and not by pairs.
     """
+    groups = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for g, known, w1, w2, n in _dealt(_added(held), groups):
+                words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), known), "\n")
+                places = [pa.array([w.astype(np.int32).tobytes()], pa.binary()) for w in (w1, w2)]
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), words, *places, pa.array([n.astype(np.int64).tobytes()], pa.binary())], names=["g", "words", "w1", "w2", "n"])
+
         for batch in batches:
             for part in of_texts(batch.column(0), PAIRED_BYTES):
                 parts = segmented(part)
-                n = len(parts.known)
+                v = len(parts.known)
                 first = np.append(True, parts.text_of[1:] != parts.text_of[:-1])[: len(parts.words)]
-                before = np.where(first, n, np.append(n, parts.words[:-1])[: len(parts.words)])
-                keys, counts = np.unique(before * n + parts.words, return_counts=True)
-                if len(keys):
-                    w1, w2 = np.divmod(keys, n)
-                    yield pa.RecordBatch.from_arrays([parts.known.take(pa.array(w1, mask=w1 == n)), parts.known.take(pa.array(w2)), pa.array(counts)], names=["w1", "w2", "n"])
-
-    rows = docs.select(F.col(text)).mapInArrow(counted, "w1 string, w2 string, n long")
-    return rows.groupBy("w1", "w2").agg(F.sum("n").alias("cnt"))
+                before = np.where(first, v, np.append(v, parts.words[:-1])[: len(parts.words)])
+                held.append(_added([(parts.known, before, parts.words, np.ones(len(before), np.int64))]))
+                if len(held) > 1 and sum(len(p[1]) for p in held) > HELD_PAIRS:
+                    held = [_added(held)]
+                    if len(held[0][1]) > HELD_PAIRS // 2:
+                        yield from sent()
+                        held = []
+        if held:
+            yield from sent()
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        more = 0
+        for batch in batches:
+            words = pc.split_pattern(batch.column("words"), "\n")
+            for i in range(batch.num_rows):
+                w1, w2 = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int32).astype(np.int64) for c in ("w1", "w2"))
+                held.append((words[i].values, w1, w2, np.frombuffer(batch.column("n")[i].as_buffer(), np.int64)))
+                more += len(w1)
+                if more > max(HELD_PAIRS, 2 * len(held[0][1])):
+                    held, more = [_added(held)], 0
+        if held:
+            known, w1, w2, n = _added(held)
+            most = HELD_PAIRS // 4 + 1
+            for at in range(0, len(n), most):
+                a, b, c = (x[at : at + most] for x in (w1, w2, n))
+                yield pa.RecordBatch.from_arrays([known.take(pa.array(a, mask=a == len(known))), known.take(pa.array(b)), pa.array(c)], names=["w1", "w2", "cnt"])
+
+    rows = docs.select(F.col(text)).mapInArrow(counted, "g int, words string, w1 binary, w2 binary, n binary")
+    return rows.repartitionById(groups, "g").mapInArrow(met, "w1 string, w2 string, cnt long")
+
+
+def first_rows(rows: DataFrame, order: list[str], k: int, n: int) -> DataFrame:
+    """The first k of n rows by order, null first.
+
+    A task ranks RANKED rows, or those that a prefix of four characters of the last column leaves: rows are counted by
+    prefixes, ever longer ones, and only those of the prefix at the edge stay open.
+    """
+    sure, here = F.lit(False), F.lit(True)
+    levels = [(c, size) for c in order for size in (2, 4, None)][:-1]
+    line = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each prefix
+    for c, size in levels:
+        if n <= RANKED:
+            break
+        prefix = F.coalesce(F.col(c) if size is None else F.substring(c, 1, size), F.lit(""))
+        counts = rows.where(here).groupBy(prefix.alias("_p")).agg(F.count("*").alias("_n")).withColumn("_above", F.coalesce(F.sum("_n").over(line), F.lit(0)))
+        edge = counts.where(F.col("_above") < k).agg(F.max("_p"), F.max("_above"), F.max_by("_n", "_p")).first()
+        sure, here = sure | here & (prefix < edge[0]), here & (prefix == edge[0])
+        k, n = k - edge[1], edge[2]
+        if not edge[0]:  # null and empty, which the columns that follow don't order
+            break
+    return rows.where(sure).unionByName(rows.where(here).orderBy(*order).limit(k))
 
 
 def top(counts: DataFrame, k: int, order: list[str], hold: bool = True) -> DataFrame:
@@ -74,10 +162,12 @@ def top(counts: DataFrame, k: int, order: list[str], hold: bool = True) -> DataF
     counts = counts.cache() if hold else counts
     line = Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each distinct count
     hist = counts.groupBy("cnt").agg(F.count("*").alias("n")).withColumn("above", F.coalesce(F.sum("n").over(line), F.lit(0)))
-    last = hist.where(F.col("above") < k).agg(F.min("cnt"), F.max("above")).first()
+    last = hist.where(F.col("above") < k).agg(F.min("cnt"), F.max("above"), F.min_by("n", "cnt")).first()
     if last[0] is None:
         return counts.limit(0)
-    edge = counts.where(F.col("cnt") == last[0]).orderBy(*order).limit(k - last[1])
+    if last[1] + last[2] <= k:
+        return counts.where(F.col("cnt") >= last[0])
+    edge = first_rows(counts.where(F.col("cnt") == last[0]), order, k - last[1], last[2])
     return counts.where(F.col("cnt") > last[0]).unionByName(edge)
 
 

@@ -142,3 +142,31 @@ def test_a_payload_takes_one_scan_and_no_exchange(spark, tmp_path):
     found = cli.detect(spark, spark.read.parquet(path), model)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") == 1 and "Exchange" not in plan and found.count() == 4
+
+
+def test_pairs_are_shuffled_by_groups_whatever_a_worker_holds(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a", "b's", "the", "cat", "dog", "x" * 40, "Zoo."]) for _ in range(rng.randrange(60))) for _ in range(80)]
+    docs = spark.createDataFrame([(t,) for t in texts] + [(None,), ("",), ("one",)], "text string").repartition(3)
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    for held, size in ((2_000_000, 4_000_000), (10, 100), (1, 1)):
+        monkeypatch.setattr(lm, "HELD_PAIRS", held, raising=False)
+        monkeypatch.setattr(lm, "PAIRED_BYTES", size)
+        both = lm.pair_counts(docs)
+        assert "HashAggregate" not in both._jdf.queryExecution().executedPlan().toString()  # no row for each pair before the shuffle
+        assert rows(both.where("w1 is not null")) == rows(lm.bigram_counts(docs)) and rows(both.groupBy("w2").agg(F.sum("cnt"))) == rows(lm.unigram_counts(docs))
+
+
+def test_rows_of_the_last_count_are_ranked_in_small_parts(spark, monkeypatch):
+    """One task ranked all rows of that count before."""
+    rng = random.Random(6)
+    words = ["", None, "a", "ab", "abc", "abcd", "abcde", "abcdf", "abd", "b", "\u00e9t\u00e9", "zebra", "zebras"]
+    pairs = [(a, b, 9 if rng.random() < 0.1 else 1) for a in words for b in words]
+    counts = spark.createDataFrame(pairs, "w1 string, w2 string, cnt long").coalesce(2)
+    key = lambda r: (-r[2], *((w is not None, (w or "").encode()) for w in r[:2]))
+    want, ranked, order = sorted(pairs, key=key), [], type(counts).orderBy
+    monkeypatch.setattr(lm, "RANKED", 5, raising=False)
+    monkeypatch.setattr(type(counts), "orderBy", lambda self, *c: ranked.append(self.count()) or order(self, *c))
+    for k in (1, 20, 40, 77, 100, 131, 150, 168, 169, 200):
+        assert sorted(map(tuple, lm.top(counts, k, ["w1", "w2"], hold=False).collect()), key=key) == want[:k]
+    assert max(ranked) <= 2 * len(words)  # null and empty words stay together
