@@ -80,24 +80,69 @@ class Model:
 # ---- tokens -------------------------------------------------------------------------------------------------
 
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(h: np.ndarray, by: int) -> np.ndarray:
+    return (h << np.uint64(by)) | (h >> np.uint64(64 - by))
+
+
+def _xxh64(b: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """XXH64 with seed 1 of runs of bytes, all runs of one length at once; b has 8 bytes behind the last run."""
+    import xxhash
+
+    eight, four = (np.ndarray(len(b) - k + 1, f"<u{k}", b, strides=(1,)) for k in (8, 4))  # what begins at each byte
+    out = np.empty(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for n, rows in _by_range(np.minimum(size, 32), 6):
+            i = at[rows]
+            if n == 32:  # few in most texts, and of any length
+                lines, known = b.tobytes(), {}
+                words = [lines[x : x + k] for x, k in zip(i.tolist(), size[rows].tolist(), strict=True)]
+                out[rows] = [known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w, 1)) for w in words]
+                continue
+            h = np.full(len(i), np.uint64(1 + n) + _P5)
+            for k in range(0, n & ~7, 8):
+                h ^= _turned(eight[i + k] * _P2, 31) * _P1
+                h = _turned(h, 27) * _P1 + _P4
+            if n & 4:
+                h ^= four[i + (n & ~7)] * _P1
+                h = _turned(h, 23) * _P2 + _P3
+            for k in range(n & ~3, n):
+                h ^= b[i + k] * _P5
+                h = _turned(h, 11) * _P1
+            h ^= h >> np.uint64(33)
+            h *= _P2
+            h ^= h >> np.uint64(29)
+            h *= _P3
+            out[rows] = h ^ (h >> np.uint64(32))
+    return out
+
+
 def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct words, the last the end token's; the number of each token, with an end token after
     each text; and the texts' bounds."""
-    import xxhash
+    import pandas as pd
 
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    parents = pc.list_parent_indices(lists).to_numpy()
-    words = lists.flatten()
-    filled = pc.greater(pc.binary_length(words), 0)
-    parents, words = parents[filled.to_numpy(zero_copy_only=False)], words.filter(filled)
-    coded = words.dictionary_encode()
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.combine_chunks()
-    known = [xxhash.xxh64_intdigest(w, 1) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
-    ends = np.cumsum(np.bincount(parents, minlength=len(texts)) + 1)
-    code = np.full(int(ends[-1]) if len(ends) else 0, len(known), np.uint32)
-    code[np.arange(len(parents)) + parents] = coded.indices.to_numpy()
-    return np.array([*known, int(_END)], np.uint64), code, np.concatenate([[0], ends]).astype(np.int64)
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    b = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    b, at = np.append(b, np.zeros(8, np.uint8)), at - at[0]
+    word = ((b - np.uint8(9)) > 4) & (b != 32)
+    word[at[-1] :] = False
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    edges = at[1:-1]  # words end with their texts
+    edges = edges[(edges > 0) & (edges < at[-1])]
+    first[edges], last[edges - 1] = word[edges], word[edges - 1]
+    b += ((b - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5)
+    start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+    own, known = pd.factorize(_xxh64(b, start, stop - start))
+    before = np.searchsorted(start, at)  # words before each text
+    bounds = before + np.arange(len(at))
+    code = np.full(int(bounds[-1]), len(known), np.uint32)
+    code[np.arange(len(start)) + np.repeat(np.arange(len(texts)), np.diff(before))] = own
+    return np.append(known, _END), code, bounds
 
 
 def _after(x: np.ndarray, starts: np.ndarray, first) -> np.ndarray:
@@ -121,7 +166,7 @@ def range_of(h: np.ndarray, bits: int) -> np.ndarray:
 
 def _by_range(part: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
     """The rows of each range number that there is."""
-    if not bits:
+    if not bits or not len(part):
         if len(part):
             yield 0, np.arange(len(part))
         return
@@ -265,9 +310,9 @@ class Grams:
         codes = [np.concatenate([m[p.codes[i]] for m, p in zip(maps, parts, strict=True)]) for i in range(len(parts[0].codes))]
         return Grams(words, codes, [np.concatenate([p.values[i] for p in parts]) for i in range(len(parts[0].values))])
 
-    def packed(self, names: Names = _NO_NAMES) -> bytes:
-        """Rows sorted by the numbers of words; those without a name get the numbers after, frequent ones first,
-        and stand in a dictionary."""
+    def packed(self, names: Names = _NO_NAMES, section: np.ndarray | None = None, sections: int = 1) -> bytes:
+        """Rows of each section, sorted by the numbers of words; those without a name get the numbers after, frequent
+        ones first, and stand in a dictionary. Of more than one section, `section` has each row's."""
         used, n, places = _used(self.codes, len(self.words))
         number = names.of(self.words[used])
         rest = np.flatnonzero(number < 0)
@@ -282,14 +327,21 @@ class Grams:
             by = np.argsort(line)
         else:
             by = np.lexsort(codes[::-1])
-        words = _pack(self.words[used[rest]])
-        return np.int64([len(words), len(codes)]).tobytes() + words + _pack(*(_narrow(c[by]) for c in codes + self.values))
+        parts = [by]
+        if sections > 1:
+            section = section[by]
+            parts = [by[section == i] for i in range(sections)]
+        blobs = [_pack(self.words[used[rest]]), *(_pack(*(_narrow(c[p]) for c in codes + self.values)) for p in parts)]
+        return np.int64([len(codes), len(parts), *map(len, blobs)]).tobytes() + b"".join(blobs)
 
     @staticmethod
-    def unpacked(blob: bytes, names: Names = _NO_NAMES) -> Grams:
-        size, k = np.frombuffer(blob, np.int64, 2)
-        columns = _unpack(blob[16 + size :])
-        rest, named = _unpack(blob[16 : 16 + size])[0], len(names.hashes)
+    def unpacked(blob: bytes, names: Names = _NO_NAMES, sections: range | None = None) -> Grams:
+        """The rows of some sections, or of all."""
+        k, n = np.frombuffer(blob, np.int64, 2)
+        ends = np.cumsum(np.append(8 * (n + 3), np.frombuffer(blob, np.int64, n + 1, 16)))
+        lots = [_unpack(blob[ends[1 + i] : ends[2 + i]]) for i in (range(n) if sections is None else sections)]
+        columns = lots[0] if len(lots) == 1 else [np.concatenate(c) for c in zip(*lots, strict=True)]
+        rest, named = _unpack(blob[ends[0] : ends[1]])[0], len(names.hashes)
         used, _, codes = _used(columns[:k], named + len(rest))
         cut_at = int(np.searchsorted(used, named))
         words = np.concatenate([names.hashes[used[:cut_at]], rest[used[cut_at:].astype(np.int64) - named]])
@@ -330,9 +382,11 @@ class _Deal:
         return self.slots[part] if self.slots is not None and self.now == self.bits else part
 
     def __call__(self, grams: Grams, level: int) -> Iterator[pa.RecordBatch]:
-        """One row for each range that has n-grams."""
-        for p, rows in _by_range(range_of(grams.head(), self.bits) >> (self.bits - self.now), self.now):
-            yield _row(self.slot(p << (self.bits - self.now)), level, grams.of(rows).packed(self.names))
+        """One row for each range that has n-grams; what is dealt to the end has a section for each range of a task."""
+        part = range_of(grams.head(), self.bits + SHARE)
+        sections = 1 << SHARE if self.now == self.bits else 1
+        for p, rows in _by_range(part >> (self.bits + SHARE - self.now), self.now):
+            yield _row(self.slot(p << (self.bits - self.now)), level, grams.of(rows).packed(self.names, part[rows] & (sections - 1), sections))
 
 
 def _dealt(rows: DataFrame, bits: int, slots: list[int], shared: Broadcast) -> DataFrame:
@@ -473,12 +527,13 @@ def _reducer(level: int, folder: str, parts: dict[int, int], bits: int, lower: _
                     blobs.append(blob.as_py())
         here = lower.slot(group & ((1 << lower.bits) - 1))
         sums = None
-        for part in range(group << share, (group + 1) << share):
+        each = 1 << (SHARE - share)
+        for own in range(1 << share):
+            part = (group << share) + own
             now: list[Grams] = []
             waiting: list[Grams] = []
             for blob in blobs:
-                got = Grams.unpacked(blob, lower.names)
-                waiting.append(got.of(np.flatnonzero(range_of(got.head(), bits) == part)) if share else got)
+                waiting.append(Grams.unpacked(blob, lower.names, range(own * each, (own + 1) * each)))
                 if sum(len(x.codes[0]) for x in waiting) > max(500_000, len(now[0].codes[0]) // 2 if now else 0):
                     now, waiting = [merged([*now, *waiting])], []
             grams = merged([*now, *waiting]) if waiting else now[0] if now else None
@@ -643,12 +698,21 @@ def _section(key: np.ndarray, columns: list[np.ndarray], whole: bool = False) ->
 _ARRAYS = 7
 
 
+#: Hashes that are looked up at once, so that what each step of a search makes stays in the processor's cache.
+BLOCK = 1 << 14
+
+
 def _find(section: list[np.ndarray], h: np.ndarray, columns: int) -> np.ndarray:
     """Rows of values of the hashes; 0 where they are not there."""
-    directory, keys, ends, code, large, codes, table = section
     out = np.zeros((len(h), columns), np.int64)
-    if not len(keys):
-        return out
+    if len(section[1]):
+        for at in range(0, len(h), BLOCK):
+            _look_up(section, h[at : at + BLOCK], out[at : at + BLOCK])
+    return out
+
+
+def _look_up(section: list[np.ndarray], h: np.ndarray, out: np.ndarray) -> None:
+    directory, keys, ends, code, large, codes, table = section
     bits = (len(directory) - 1).bit_length() - 1
     lead = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
     if whole := keys.dtype == np.uint64:
@@ -672,8 +736,7 @@ def _find(section: list[np.ndarray], h: np.ndarray, columns: int) -> np.ndarray:
     if len(large):
         more = np.flatnonzero(found == 255)
         found[more] = codes[np.searchsorted(large, at[more])]
-    out[hit] = table.reshape(-1, columns)[found]
-    return out
+    out[hit] = table.reshape(-1, out.shape[1])[found]
 
 
 def _local(folder: str) -> str | None:

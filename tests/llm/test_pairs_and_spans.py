@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from types import SimpleNamespace
@@ -678,6 +679,52 @@ def test_a_word_pair_that_is_not_there_is_hardly_ever_found():
     assert not ngram_lm._find(ngram_lm._section(keys, [n], whole=True), others, 1).any()
 
 
+def test_short_words_are_hashed_as_arrays(monkeypatch):
+    """XXH64 of words of every length, case and place; only words of 32 bytes and more are hashed one by one."""
+    rng, real, alone = random.Random(11), xxhash.xxh64_intdigest, []
+    letters = "aBZ@[`{é語😀\x00\x1c\x7f\xa0"
+    words = ["".join(rng.choices(letters, k=k)) for k in range(1, 40) for _ in range(6)] + ["A" * k for k in range(1, 70)]
+    texts = ["", *(rng.choice(" \t\n\v\f\r").join(rng.choices(words, k=rng.choice([1, 1, 2, 50]))) for _ in range(200)), "", " ", " x ", "x", "x"]
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda w, seed: alone.append(w) or real(w, seed))
+    got, code, bounds = ngram_lm.hashed(pa.array([None, "gone", *texts], pa.large_string()).slice(2))
+    lines = [re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()) for t in texts]
+    assert alone and min(map(len, alone)) >= 32 and len(alone) == len(set(alone))
+    assert bounds.tolist() == np.cumsum([0, *(len(x) + 1 for x in lines)]).tolist() and got[-1] == ngram_lm._END
+    assert got[code].tolist() == [h for x in lines for h in [*(real(w, 1) for w in x), int(ngram_lm._END)]]
+    none = ngram_lm.hashed(pa.array([], pa.large_string()))
+    assert none[0].tolist() == [int(ngram_lm._END)] and len(none[1]) == 0 and none[2].tolist() == [0]
+
+
+@pytest.mark.parametrize("bits", [0, 1, 2, 5])
+def test_a_task_unpacks_each_row_once(tmp_path, monkeypatch, bits):
+    """A task that takes several ranges in turn reads each range's section, not all rows again for each range."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices([f"v{i}" for i in range(200)], k=60)) for _ in range(60)]
+    packed, read = [], []
+    pack, unpack = ngram_lm.Grams.packed, ngram_lm.Grams.unpacked
+    monkeypatch.setattr(ngram_lm.Grams, "packed", lambda g, *more: packed.append(len(g.codes[0])) or pack(g, *more))
+
+    def counted(*of):
+        g = unpack(*of)
+        read.append(len(g.codes[0]))
+        return g
+
+    monkeypatch.setattr(ngram_lm.Grams, "unpacked", staticmethod(counted))
+    model = local_model(str(tmp_path / "m"), texts, 3, bits, 0, 20)
+    assert sum(read) == sum(packed) > 0 and (bits < 2 or len(model.ranges[3]) > 1)
+    monkeypatch.undo()
+    got = ngram_lm.Scorer(model)(pa.array(texts, pa.large_string()))
+    assert got["score"].tolist() == pytest.approx([x[4] for x in plain_kneser_ney(texts, texts, 3)])
+
+
+def test_blank_texts_alone_are_scored_by_many_ranges(tmp_path):
+    texts = ["a b c", "a b d", "", "b c"]
+    model = local_model(str(tmp_path / "m"), texts, 3, 3, 1)
+    got = ngram_lm.Scorer(model)(pa.array(["", " \t"], pa.large_string()))
+    for i, (n, known, _, base, score) in enumerate(plain_kneser_ney(texts, ["", " "], 3)):
+        assert (got["n_tokens"][i], got["n_known"][i]) == (n, known) and got["base_score"][i] == pytest.approx(base) and got["score"][i] == pytest.approx(score)
+
+
 def test_a_missing_range_is_an_error(tmp_path):
     model = local_model(str(tmp_path / "m"), ["a b c", "a b d"], 3, 2, 0)
     (tmp_path / "m" / f"3-{model.ranges[3][0]}").unlink()
