@@ -81,8 +81,9 @@ def packed_rows(df: DataFrame, *more: Column) -> DataFrame:
 def mix64(h: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64-bit hashes."""
     with np.errstate(over="ignore"):
-        h = h ^ (h >> np.uint64(33))
-        h = h * np.uint64(0xFF51AFD7ED558CCD)
-        h = h ^ (h >> np.uint64(33))
-        h = h * np.uint64(0xC4CEB9FE1A85EC53)
-        return h ^ (h >> np.uint64(33))
+        h = h ^ (h >> np.uint64(33))  # a new array, which the rest changes in place
+        h *= np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(33)
+        h *= np.uint64(0xC4CEB9FE1A85EC53)
+        h ^= h >> np.uint64(33)
+        return h

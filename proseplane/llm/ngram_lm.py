@@ -699,7 +699,7 @@ _ARRAYS = 7
 
 
 #: Hashes that are looked up at once, so that what each step of a search makes stays in the processor's cache.
-BLOCK = 1 << 14
+BLOCK = 1 << 13
 
 
 def _find(section: list[np.ndarray], h: np.ndarray, columns: int) -> np.ndarray:
@@ -720,23 +720,28 @@ def _look_up(section: list[np.ndarray], h: np.ndarray, out: np.ndarray) -> None:
     else:
         low = (h << np.uint64(bits)) >> np.uint64(40)
         want, end = (low >> np.uint64(8)).astype(np.uint16), low.astype(np.uint8)
-    low, stop = directory[lead].astype(np.int64), directory[lead + 1].astype(np.int64)
-    high = stop.copy()
-    for _ in range(int((high - low).max()).bit_length()):
-        mid = (low + high) >> 1
-        at = keys.take(mid, mode="clip")
-        less = at < want if whole else (at < want) | ((at == want) & (ends.take(mid, mode="clip") < end))
-        less &= low < high
-        low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
-    hit = np.flatnonzero(low < stop)
-    at = low[hit]
-    same = (keys[at] == want[hit]) & (whole or (ends[at] == end[hit]))
-    hit, at = hit[same], at[same]
-    found = code[at].astype(np.int64)
-    if len(large):
-        more = np.flatnonzero(found == 255)
-        found[more] = codes[np.searchsorted(large, at[more])]
-    out[hit] = table.reshape(-1, out.shape[1])[found]
+    first, stop = directory.take(lead).astype(np.int64), directory.take(lead + 1).astype(np.int64)
+    most = int((stop - first).max())
+    at = first - 1  # the last place of a smaller key
+    for k in range(most.bit_length() - 1, -1, -1):
+        to = at + (1 << k)
+        at += ((keys.take(to, mode="clip") < want) & (to < stop)).astype(np.int64) << k
+    at += 1
+    rows = np.flatnonzero(at < stop)
+    at = at[rows]
+    while len(rows):  # over keys of one beginning, mostly one
+        same = keys.take(at) == want[rows]
+        rows, at = rows[same], at[same]
+        hit = np.ones(len(rows), bool) if whole else ends.take(at) == end[rows]
+        place = at[hit]
+        found = code.take(place).astype(np.int64)
+        if len(large):
+            more = np.flatnonzero(found == 255)
+            found[more] = codes[np.searchsorted(large, place[more])]
+        out[rows[hit]] = table.reshape(-1, out.shape[1]).take(found, axis=0)
+        rows, at = rows[~hit], at[~hit] + 1
+        left = at < stop[rows]
+        rows, at = rows[left], at[left]
 
 
 def _local(folder: str) -> str | None:

@@ -717,6 +717,20 @@ def test_a_task_unpacks_each_row_once(tmp_path, monkeypatch, bits):
     assert got["score"].tolist() == pytest.approx([x[4] for x in plain_kneser_ney(texts, texts, 3)])
 
 
+@pytest.mark.parametrize("whole", [False, True])
+def test_keys_of_one_beginning_are_found_apart(whole):
+    """Up to 200 keys share the 16 bits that a search compares first; others lie before, between and behind."""
+    rng = random.Random(13)
+    keys = sorted({(a << 48) | (b << 40) for a, n in ((0, 3), (5, 200), (6, 1), (0xFFFF, 40)) for b in rng.sample(range(256), n)})
+    values = [rng.randrange(1, 600) for _ in keys]
+    section = ngram_lm._section(np.array(keys, np.uint64), [np.array(values), np.arange(len(keys))], whole=whole)
+    want = {k: [v, i] for i, (k, v) in enumerate(zip(keys, values, strict=True))}
+    asked = [(a << 48) | (b << 40) for a in (0, 4, 5, 6, 7, 0xFFFF) for b in range(256)] * 7
+    rng.shuffle(asked)
+    assert len(asked) > ngram_lm.BLOCK
+    assert ngram_lm._find(section, np.array(asked, np.uint64), 2).tolist() == [want.get(k, [0, 0]) for k in asked]
+
+
 def test_blank_texts_alone_are_scored_by_many_ranges(tmp_path):
     texts = ["a b c", "a b d", "", "b c"]
     model = local_model(str(tmp_path / "m"), texts, 3, 3, 1)
